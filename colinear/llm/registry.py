@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colinear.llm import urlfilter
+from colinear.llm import bpe, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filter": urlfilter.op1_url_filter}
+    return {
+        "op1_url_filter": urlfilter.op1_url_filter,
+        "op6_bpe": bpe.op6_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
