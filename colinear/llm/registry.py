@@ -6,15 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colinear.llm import bpe, urlfilter
+from colinear.llm import bpe, topk, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": urlfilter.op1_url_filter,
         "op6_bpe": bpe.op6_bpe,
+        "op10_exact_topk": topk.op10_exact_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(urlfilter.ORACLE)
+    return urlfilter.ORACLE | topk.ORACLE
