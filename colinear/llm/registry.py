@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colinear.llm import bpe, topk, urlfilter
+from colinear.llm import bpe, topk, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": urlfilter.op1_url_filter,
+        "op4_warc": warc.op4_warc,
         "op6_bpe": bpe.op6_bpe,
         "op10_exact_topk": topk.op10_exact_topk,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return urlfilter.ORACLE | topk.ORACLE
+    return urlfilter.ORACLE | warc.ORACLE | topk.ORACLE
