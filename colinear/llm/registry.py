@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colinear.llm import bpe, topk, urlfilter, warc
+from colinear.llm import bpe, mixing, topk, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": urlfilter.op1_url_filter,
+        "op2_mixing": mixing.op2_mixing,
         "op4_warc": warc.op4_warc,
         "op6_bpe": bpe.op6_bpe,
         "op10_exact_topk": topk.op10_exact_topk,
