@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colinear.llm import bpe, mixing, sharding, topk, urlfilter, warc
+from colinear.llm import audio, bpe, mixing, sharding, topk, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filter": urlfilter.op1_url_filter,
         "op2_mixing": mixing.op2_mixing,
+        "op3_media_audio": audio.op3_media_audio,
         "op4_warc": warc.op4_warc,
         "op6_bpe": bpe.op6_bpe,
         "op8_sharding": sharding.op8_sharding,
