@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colinear.llm import audio, bpe, mixing, sharding, topk, urlfilter, warc
+from colinear.llm import audio, bpe, langid, mixing, sharding, topk, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": mixing.op2_mixing,
         "op3_media_audio": audio.op3_media_audio,
         "op4_warc": warc.op4_warc,
+        "op5_langid": langid.op5_langid,
         "op6_bpe": bpe.op6_bpe,
         "op8_sharding": sharding.op8_sharding,
         "op10_exact_topk": topk.op10_exact_topk,
