@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colinear.llm import audio, bpe, langid, mixing, sharding, topk, urlfilter, warc
+from colinear.llm import audio, bpe, langid, linededup, mixing, sharding, topk, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_langid": langid.op5_langid,
         "op6_bpe": bpe.op6_bpe,
         "op8_sharding": sharding.op8_sharding,
+        "op9_line_dedup": linededup.op9_line_dedup,
         "op10_exact_topk": topk.op10_exact_topk,
     }
 
