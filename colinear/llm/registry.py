@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colinear.llm import audio, bpe, langid, linededup, mixing, sharding, topk, urlfilter, warc
+from colinear.llm import audio, bpe, langid, linededup, mixing, neardup, sharding, topk, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc": warc.op4_warc,
         "op5_langid": langid.op5_langid,
         "op6_bpe": bpe.op6_bpe,
+        "op7_near_duplicates": neardup.op7_near_duplicates,
         "op8_sharding": sharding.op8_sharding,
         "op9_line_dedup": linededup.op9_line_dedup,
         "op10_exact_topk": topk.op10_exact_topk,
