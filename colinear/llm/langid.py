@@ -156,8 +156,8 @@ def draw(docs: DataFrame, learn: Column, id_col: str, text: str, lang: str, rows
     return xs, ys
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """Adds ``lang_pred`` and ``score`` (0 to 1) to every row; ``und`` and 0 for null texts, texts without a letter, or no model.
+def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Adds the language and its score (0 to 1), named by ``into``, to every row; ``und`` and 0 for null texts, texts without a letter, or no model.
 
     Columns of these names are replaced. The score is the winner's regression value, from -1..1 to 0..1.
     """
@@ -190,7 +190,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text") -> DataFra
             yield pd.DataFrame({"lang_pred": out, "score": score})
 
     found = docs.withColumn("_found", run(F.col(text)))
-    return found.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    return found.withColumns({into[0]: F.col("_found.lang_pred"), into[1]: F.col("_found.score")}).drop("_found")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
