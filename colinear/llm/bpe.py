@@ -17,6 +17,7 @@ been lost when they were merged.
 
 A word is encoded by walking the one accepting path: from each state the longest
 arc that fits the remaining bytes first, stepping back where a path ends early.
+Workers remember the ids of recent words.
 Ids decode to the bytes on the arcs.
 """
 
@@ -24,9 +25,12 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -36,11 +40,12 @@ from colinear.session import table
 
 #: The split pattern of byte-level tokenizers of this family.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words whose ids are remembered in a worker, at most; then it starts anew.
-MEMO = 200_000
+#: Words whose ids a worker remembers.
+MEMO = 150_000
 #: Longer words are not remembered.
 MEMO_CHARS = 64
 NEVER = 1 << 60
+DOUBLE = re.compile(r"\s\s").search
 
 
 def byte_letters() -> dict[str, int]:
@@ -65,10 +70,14 @@ class Automaton:
         self.lost: dict[int, dict[int, int]] = {}
         for rank, (a, b) in enumerate(merges):
             self._gadget(rank, vocab[a], vocab[b], vocab[a + b])
-        #: length of the longest label for each first byte
-        self.longest: dict[int, int] = {}
-        for b in self.id_of:
-            self.longest[b[0]] = max(self.longest.get(b[0], 0), len(b))
+        #: the arcs as a trie over their bytes; -1: the label that ends here
+        self.root: dict = {}
+        for b, i in self.id_of.items():
+            if i in self.born:
+                node = self.root
+                for x in b:
+                    node = node.setdefault(x, {})
+                node[-1] = i
         self.table: dict[tuple[int, int], bool] = {}
 
     def _gadget(self, rank: int, a: int, b: int, c: int) -> None:
@@ -105,31 +114,59 @@ class Automaton:
 
     def walk(self, word: bytes) -> list[int]:
         """The labels of the accepting path over ``word``."""
-        ids, starts, limits = [], [], []
-        at, n = 0, len(word)
-        limit = self.longest.get(word[0], 0) if n else 0
+        ids: list[int] = []
+        ends = [0]
+        tried: list[list[int]] = []  # for each step, the arcs that are left to try, longest last
+        table, label, n = self.table, self.label, len(word)
         dead: set[tuple[int, int]] = set()
+        at = 0
         while at < n:
-            last, found = ids[-1] if ids else None, None
-            for size in range(min(limit, n - at), 0, -1):
-                t = self.id_of.get(word[at : at + size])
-                if t in self.born and (at + size, t) not in dead and (last is None or self.follows(last, t)):
-                    found = t
+            node, arcs = self.root, []
+            for b in word[at:] if at else word:
+                if (node := node.get(b)) is None:
                     break
-            if found is None:
-                if not ids:
-                    raise ValueError("the vocabulary lacks a byte")
-                dead.add((at, ids.pop()))
-                at, limit = starts.pop(), limits.pop()
-                continue
-            ids.append(found)
-            starts.append(at)
-            limits.append(size - 1)
-            at += size
-            limit = self.longest.get(word[at], 0) if at < n else 0
+                if (t := node.get(-1)) is not None:
+                    arcs.append(t)
+            while True:
+                while arcs:
+                    t = arcs.pop()
+                    if ids and not (known if (known := table.get((ids[-1], t))) is not None else self.follows(ids[-1], t)):
+                        continue
+                    if dead and (at + len(label[t]), t) in dead:
+                        continue
+                    break
+                else:  # no arc goes on from here: step back
+                    if not ids:
+                        raise ValueError("the vocabulary lacks a byte")
+                    dead.add((at, ids.pop()))
+                    ends.pop()
+                    at, arcs = ends[-1], tried.pop()
+                    continue
+                break
+            ids.append(t)
+            at += len(label[t])
+            ends.append(at)
+            tried.append(arcs)
         return ids
 
 
+class Memo(dict):
+    """Remembers the results of ``make``: the last ``MEMO`` keys at least, and no more than twice as many."""
+
+    def __init__(self, make):
+        self.make, self.old = make, {}
+
+    def __missing__(self, key: str) -> str:
+        if (found := self.old.get(key)) is None:
+            found = self.make(key)
+        if len(key) <= MEMO_CHARS:
+            if len(self) >= MEMO:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Tokenizer:
     """Encodes and decodes whole texts; the words are split by ``SPLIT``, added tokens first."""
 
@@ -142,30 +179,26 @@ class Tokenizer:
         self.labels = {str(i): b for i, b in self.machine.label.items()} | {str(i): t.encode() for t, i in self.added.items()}
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self.words = regex.compile(SPLIT).findall
-        machine = self.machine
-
-        class Memo(dict):
-            def __missing__(self, word: str) -> str:
-                ids = ",".join(map(str, machine.walk(word.encode())))
-                if len(word) <= MEMO_CHARS:
-                    if len(self) >= MEMO:
-                        self.clear()
-                    self[word] = ids
-                return ids
-
-        self.memo = Memo()
+        walk = self.machine.walk
+        self.word_ids = word_ids = Memo(lambda w: ",".join(map(str, walk(w.encode()))))
+        words = self.words
+        self.spaced_ids = Memo(lambda w: ",".join([word_ids[x] for x in words(" " + w)]))
 
     def encode(self, text: str) -> str:
         """The ids in decimal, joined by commas."""
         if self.cut and any(t in text for t in self.added):
-            out = []
-            for piece in self.cut.split(text):
-                if piece in self.added:
-                    out.append(str(self.added[piece]))
-                elif piece:
-                    out.extend(map(self.memo.__getitem__, self.words(piece)))
-            return ",".join(out)
-        return ",".join(map(self.memo.__getitem__, self.words(text)))
+            return ",".join(str(self.added[x]) if x in self.added else self.plain(x) for x in self.cut.split(text) if x)
+        return self.plain(text)
+
+    def plain(self, text: str) -> str:
+        """As ``encode``, for a text without added tokens."""
+        if DOUBLE(text):
+            return ",".join(map(self.word_ids.__getitem__, self.words(text)))
+        # A single space belongs to what follows it, so the text falls apart before each.
+        first, *rest = text.split(" ")
+        out = list(map(self.word_ids.__getitem__, self.words(first)))
+        out.extend(map(self.spaced_ids.__getitem__, rest))
+        return ",".join(out)
 
     def decode(self, ids: str) -> str:
         """The text on the arcs; bytes that are no UTF-8 give the replacement character."""
@@ -190,9 +223,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """
 
     @F.pandas_udf("array<int>")
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = tokenizer(path)
         for s in batches:
             yield s.map(lambda x: np.array(t.encode(x).split(","), np.int32) if x else np.empty(0, np.int32))
@@ -204,7 +235,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """Adds ``decoded``: the text of an array of ids. Null arrays give null."""
 
     @F.pandas_udf("string")
-    def run(batches: Iterator) -> Iterator:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         t = tokenizer(path)
         for s in batches:
             yield s.map(lambda x: None if x is None else t.decode(",".join(map(str, x))))
