@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from colinear.plans import heavy
+from colinear.plans import queries as native
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return native.QUERIES | heavy.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return native.SQL | heavy.SQL
