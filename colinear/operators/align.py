@@ -62,8 +62,10 @@ class Alignment:
 def align(t: str, q: str, aligner: str = "SWGA", band: int = -1, end_to_end: bool = False) -> Alignment | None:
     """The best local alignment (``end_to_end``: of both whole sequences); None if nothing scores above 0.
 
-    States: a run of k equal letters (k up to ``DEPTH``), gap in the query, gap in the
-    target. A band limits how far rows and columns may differ.
+    States: 0 after a mismatch or at the start, 1 to ``DEPTH`` a run of so many equal
+    letters, then a gap in the query and a gap in the target. Rows are worked off one
+    after the other, all columns at once: only the gap in the target looks along the
+    row, which a running maximum gives. A band limits how far rows and columns differ.
     """
     gap, extend, miss, cube = ALIGNERS[aligner]
     n, m = len(t), len(q)
@@ -71,56 +73,62 @@ def align(t: str, q: str, aligner: str = "SWGA", band: int = -1, end_to_end: boo
         return None
     depth = DEPTH if cube else 1
     gain = [float((k + 1) ** 3 - k**3) if cube else 1.0 for k in range(depth)]
-    low = -math.inf
-    states = depth + 3  # 0: after a mismatch or at the start, 1..depth: runs, then gap in query, gap in target
     up, left = depth + 1, depth + 2
-    score = np.full((n + 1, m + 1, states), low)
-    back = np.full((n + 1, m + 1, states), -1, np.int16)
-    score[0, 0, 0] = 0
-    if not end_to_end:
-        score[:, 0, 0] = score[0, :, 0] = 0
-    best, at = 0.0, None
+    letters, columns = np.frombuffer(q.encode(), np.uint8), np.arange(m + 1)
+    back = np.full((n + 1, m + 1, depth + 3), -1, np.int8)
+    ends = np.array([0, up, left])
+    row, best, at = None, 0.0, None
     for i in range(n + 1):
-        lo, hi = (0, m) if band < 0 else (max(0, i - band), min(m, i + band))
-        for j in range(lo, hi + 1):
-            s = score[i, j]
-            if i and j:
-                d = score[i - 1, j - 1]
-                k = int(d.argmax())
-                top = d[k]
-                if t[i - 1] == q[j - 1]:
-                    # a run grows from the same run, or begins
-                    for r in range(1, depth + 1):
-                        if d[r] > low:
-                            to = min(r + 1, depth)
-                            v = d[r] + gain[min(r, depth - 1)]
-                            if v > s[to]:
-                                s[to], back[i, j, to] = v, r
-                    others = [x for x in (0, up, left) if d[x] > low]
-                    if others:
-                        x = max(others, key=lambda x: d[x])
-                        if d[x] + gain[0] > s[1]:
-                            s[1], back[i, j, 1] = d[x] + gain[0], x
-                elif top > low and top + miss > s[0]:
-                    s[0], back[i, j, 0] = top + miss, k
-            if i:
-                u = score[i - 1, j]
-                opened = np.where(np.arange(states) == up, extend, gap) + u
-                k = int(opened.argmax())
-                if opened[k] > s[up]:
-                    s[up], back[i, j, up] = opened[k], k
-            if j:
-                u = score[i, j - 1]
-                opened = np.where(np.arange(states) == left, extend, gap) + u
-                k = int(opened.argmax())
-                if opened[k] > s[left]:
-                    s[left], back[i, j, left] = opened[k], k
-            if not end_to_end and s[0] <= 0:
-                s[0], back[i, j, 0] = 0.0, -1
-            k = int(s.argmax())
-            if (end_to_end and (i, j) == (n, m)) or (not end_to_end and s[k] > best):
-                best, at = float(s[k]), (i, j, k)
-    if at is None:
+        new = np.full((m + 1, depth + 3), -np.inf)
+        if i == 0:
+            new[0, 0] = 0.0
+        else:
+            equal, before = letters == ord(t[i - 1]), row[:-1]
+            for r in range(1, depth + 1):
+                to = min(r + 1, depth)
+                v = np.where(equal, before[:, r] + gain[min(r, depth - 1)], -np.inf)
+                better = v > new[1:, to]
+                new[1:, to][better] = v[better]
+                back[i, 1:, to][better] = r
+            other = before[:, ends]
+            k = other.argmax(axis=1)
+            v = np.where(equal, other[columns[:-1], k] + gain[0], -np.inf)
+            better = v > new[1:, 1]
+            new[1:, 1][better] = v[better]
+            back[i, 1:, 1][better] = ends[k][better]
+            k = before.argmax(axis=1)
+            v = np.where(equal, -np.inf, before[columns[:-1], k] + miss)
+            better = v > new[1:, 0]
+            new[1:, 0][better] = v[better]
+            back[i, 1:, 0][better] = k[better]
+            price = np.full(depth + 3, gap)
+            price[up] = extend
+            opened = row + price
+            k = opened.argmax(axis=1)
+            new[:, up] = opened[columns, k]
+            back[i, :, up] = np.where(np.isfinite(new[:, up]), k, -1)
+        if not end_to_end:
+            start = new[:, 0] <= 0
+            new[start, 0] = 0.0
+            back[i, start, 0] = -1
+        if band >= 0:
+            new[np.abs(columns - i) > band] = -np.inf
+        k = new[:, :left].argmax(axis=1)
+        base = new[columns, k]
+        reach = np.maximum.accumulate(base - columns * extend)
+        new[1:, left] = reach[:-1] + gap + columns[:-1] * extend
+        opens = new[1:, left] <= base[:-1] + gap
+        back[i, 1:, left] = np.where(np.isfinite(new[1:, left]), np.where(opens, k[:-1], left), -1)
+        if band >= 0:
+            new[np.abs(columns - i) > band, left] = -np.inf
+        row = new
+        if not end_to_end:
+            x = int(row.argmax())
+            if row.flat[x] > best:
+                best, at = float(row.flat[x]), (i, x // (depth + 3), x % (depth + 3))
+    if end_to_end:
+        best, at = float(row[m].max()), (n, m, int(row[m].argmax()))
+    if at is None or not math.isfinite(best):
         return None
     i, j, k = at
     a, b = [], []
