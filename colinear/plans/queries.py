@@ -156,7 +156,11 @@ def chunks(spark, d):
     return grid.chunks(docs(spark, d), 512, 128)
 
 
-@query("SELECT doc_id AS seq_id, s AS start, e AS \"end\" FROM (SELECT doc_id, unnest(list_filter(list_transform(range(length(text)), lambda i: {'i': i, 'x': lower(text[i+1]) = 'n', 'p': i > 0 AND lower(text[i]) = 'n'}), lambda v: v.x AND NOT v.p)).i AS s, text FROM documents), LATERAL (SELECT s + length(regexp_extract(lower(substr(text, s + 1)), '^n+')) AS e)")
+@query(
+    """WITH l AS (SELECT doc_id, regexp_extract_all(translate(lower(text), 'n', 'N'), '(N+|[^N]+)', 1) AS l FROM documents), u AS (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM l),
+e AS (SELECT doc_id, x, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i)::BIGINT AS e FROM u)
+SELECT doc_id AS seq_id, e - length(x) AS start, e AS "end" FROM e WHERE x LIKE 'N%'"""
+)
 def n_runs(spark, d):
     rows = table(spark, d, "documents").select(F.col("doc_id").alias("name"), F.translate(F.lower("text"), "n", "N").alias("seq"))
     return fasta.n_gaps(rows).withColumnRenamed("name", "seq_id")
