@@ -168,7 +168,7 @@ def non_overlapping(t: str, q: str, aligner: str = "NSGA", most_p: float = 0.1,
     return [*left, best, *right]
 
 
-def skip_align(t: str, q: str, skip: float = 0.5, band: int = 200) -> tuple[float, list[tuple[int, int]]]:
+def skip_align(t: str, q: str, skip: float = 0.5, band: int = 48) -> tuple[float, list[tuple[int, int]]]:
     """Least-cost alignment of all of ``t``: a wrong column costs 1, leaving ``q`` by d letters costs skip + d (0.01 a letter past 500).
 
     Returns the cost and the (target, query) columns that are used.
