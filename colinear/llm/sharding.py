@@ -6,8 +6,8 @@ that is due k leaves is split along its widest dimension, at the weighted
 quantile that leaves floor(k/2) / k of the bytes below, until every leaf is due
 one shard of the target bytes.
 
-Medians are found on the cluster: all nodes of a level at once, by histograms
-that narrow the interval around each quantile. Coordinates are made distinct by
+Medians are found on the cluster, by native aggregates: all nodes of a level at
+once, by histograms that narrow the interval around each quantile. Coordinates are made distinct by
 hash bits in their low end, so ties (repeated values, one source with a third of
 the rows) split as finely as single rows do. The driver holds the tree and one
 histogram row per node, in proportion to the shards and not to the documents.
@@ -18,15 +18,13 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colinear.session import cut, partitions, table
 
 #: Bins of a histogram round, and the share of a shard's bytes within which a split may miss its quantile.
-BINS, MISS = 1024, 0.002
+BINS, MISS = 1 << 15, 0.002
 #: Rows of a slot block, about.
 SLOT_ROWS = 20_000
 SHARDS = 24
@@ -36,23 +34,42 @@ HIGH, LOW = 2**26, 2**26
 
 @dataclass
 class Tree:
-    """Split nodes as arrays: dimension, value, children. A child below 0 is leaf -1 - child."""
+    """Levels of splits. Node i of a level has the children 2i and 2i + 1 of the next: below ``at`` in dimension ``dim``, and not.
 
-    dim: list[int] = field(default_factory=list)
-    at: list[float] = field(default_factory=list)
-    left: list[int] = field(default_factory=list)
-    right: list[int] = field(default_factory=list)
+    A node that is due one shard already passes all its points on to its first child.
+    """
+
+    leaves: int
+    dim: list[list[int]] = field(default_factory=list)
+    at: list[list[float]] = field(default_factory=list)
+
+    def due(self) -> list[int]:
+        """The shards that each node of the last level is due (0: no such node)."""
+        nodes = [self.leaves]
+        for _ in self.dim:
+            nodes = [x for n in nodes for x in ((n // 2, n - n // 2) if n > 1 else (n, 0))]
+        return nodes
+
+    def node(self, dims: list[str]) -> Column:
+        """The node of the last level that a point has come to."""
+        if not self.dim:
+            return F.lit(0)
+        flat = lambda levels: F.array(*[F.lit(x) for level in levels for x in level])
+        x, dim, at = F.array(*[F.col(c) for c in dims]), flat(self.dim), flat(self.at)
+
+        def down(node: Column, first: Column) -> Column:
+            i = first + node + 1
+            return node * 2 + F.when(F.element_at(x, F.element_at(dim, i) + 1) < F.element_at(at, i), 0).otherwise(1)
+
+        return F.aggregate(F.array(*[F.lit(2**k - 1) for k in range(len(self.dim))]), F.lit(0), down)
 
-    def leaves(self, points: np.ndarray) -> np.ndarray:
-        """The node or leaf that each row of ``points`` has come to."""
-        where = np.zeros(len(points), np.int64) if self.dim else np.full(len(points), -1, np.int64)
-        dim, at, left, right = (np.array(x) for x in (self.dim, self.at, self.left, self.right))
-        while (live := where >= 0).any():
-            n = where[live]
-            d = dim[n]
-            below = points[live, d] < at[n]
-            where[live] = np.where(below, left[n], right[n])
-        return -1 - where
+    def shard(self, dims: list[str]) -> Column:
+        """The leaf that a point has come to, numbered from 0."""
+        due, n = [], 0
+        for x in self.due():
+            due.append(n)
+            n += x > 0
+        return F.element_at(F.array(*[F.lit(x) for x in due]), self.node(dims) + 1)
 
 
 def scaled(value: Column, lo: float, hi: float, *tie: Column) -> Column:
@@ -63,78 +80,46 @@ def scaled(value: Column, lo: float, hi: float, *tie: Column) -> Column:
 
 def grow(points: DataFrame, dims: list[str], leaves: int, weight: str = "size") -> Tree:
     """The tree for ``leaves`` shards of equal weight over the coordinates ``dims``."""
-    tree = Tree()
+    tree = Tree(leaves)
     total = points.agg(F.sum(weight)).first()[0] or 0
-    if not total or leaves < 2:
-        return tree
     slack = max(1.0, MISS * total / leaves)
-    # open nodes: number -> (leaves due, where it hangs in the tree); the numbers are the tree's leaf numbers for now
-    due: dict[int, tuple[int, int, str]] = {0: (leaves, -1, "")}
-    next_leaf = 1
-    while todo := {k: v for k, v in due.items() if v[0] > 1}:
-        node = leaf_of(tree, dims)
-        here = points.withColumn("node", node).where(F.col("node").isin(list(todo)) if len(todo) < 200 else F.lit(True))
+    while max(due := tree.due()) > 1:
+        here = points.withColumn("node", tree.node(dims))
         stats = {r["node"]: r for r in here.groupBy("node").agg(F.sum(weight).alias("w"), *[F.min(d).alias(f"lo{i}") for i, d in enumerate(dims)], *[F.max(d).alias(f"hi{i}") for i, d in enumerate(dims)]).collect()}
         goal = {}  # node -> [dimension, lo, hi, weight below lo, weight wanted below]
-        for k, (n, *_) in todo.items():
-            if (r := stats.get(k)) is None:
-                goal[k] = None
-                continue
-            d = max(range(len(dims)), key=lambda i: (r[f"hi{i}"] - r[f"lo{i}"], -i))
-            goal[k] = [d, r[f"lo{d}"], r[f"hi{d}"] + 1.0, 0.0, r["w"] * (n // 2) / n]
-        narrow = {k: g for k, g in goal.items() if g}
+        for k, n in enumerate(due):
+            if n > 1 and (r := stats.get(k)) is not None:
+                d = max(range(len(dims)), key=lambda i: (r[f"hi{i}"] - r[f"lo{i}"], -i))
+                goal[k] = [d, r[f"lo{d}"], r[f"hi{d}"] + 1.0, 0.0, r["w"] * (n // 2) / n]
+        narrow = dict(goal)
         while narrow:
-            for k, (bin_, below, inside) in crossing(here, dims, weight, narrow).items():
+            for k, (bin_, below, inside, single) in crossing(here, dims, weight, narrow, len(due)).items():
                 g = narrow[k]
                 width = (g[2] - g[1]) / BINS
                 g[1], g[2], g[3] = g[1] + bin_ * width, g[1] + (bin_ + 1) * width, g[3] + below
-                if inside <= slack or width <= 1.0:
+                if inside <= slack or single or width <= 1.0:
                     if g[3] + inside - g[4] < g[4] - g[3]:  # the upper end is nearer
                         g[1] = g[2]
                     del narrow[k]
-        for k, g in goal.items():
-            n, parent, side = due.pop(k)
-            s = len(tree.dim)
-            tree.dim.append(g[0] if g else 0)
-            tree.at.append(g[1] if g else 0.0)
-            tree.left.append(-1 - k)
-            tree.right.append(-1 - next_leaf)
-            if parent >= 0:
-                getattr(tree, side)[parent] = s
-            due[k], due[next_leaf] = (n // 2, s, "left"), (n - n // 2, s, "right")
-            next_leaf += 1
+        split = [goal.get(k, [0, float("inf")]) for k in range(len(due))]
+        tree.dim.append([g[0] for g in split])
+        tree.at.append([float(g[1]) for g in split])
     return tree
 
 
-def leaf_of(tree: Tree, dims: list[str]) -> Column:
-    @F.pandas_udf("long")
-    def run(*columns: pd.Series) -> pd.Series:
-        return pd.Series(tree.leaves(np.stack([c.to_numpy(dtype=float) for c in columns], axis=1)))
-
-    return run(*[F.col(d) for d in dims])
-
-
-def crossing(here: DataFrame, dims: list[str], weight: str, narrow: dict[int, list]) -> dict[int, tuple[int, float, float]]:
-    """For each node the bin in which the wanted weight is passed: (bin, weight in the bins below, weight inside)."""
-    nodes = np.array(sorted(narrow))
-    d, lo, hi, below, want = (np.array([narrow[k][i] for k in nodes]) for i in range(5))
-
-    @F.pandas_udf("long")
-    def bins(node: pd.Series, *columns: pd.Series) -> pd.Series:
-        at = np.searchsorted(nodes, node.to_numpy())
-        known = (at < len(nodes)) & (nodes[np.minimum(at, len(nodes) - 1)] == node.to_numpy())
-        at = np.where(known, at, 0)
-        x = np.stack([c.to_numpy(dtype=float) for c in columns], axis=1)[np.arange(len(at)), d[at].astype(int)]
-        b = np.floor((x - lo[at]) / (hi[at] - lo[at]) * BINS)
-        return pd.Series(np.where(known & (x >= lo[at]) & (x < hi[at]), at * BINS + np.minimum(b, BINS - 1), -1).astype("int64"))
-
-    hist = here.select(bins("node", *dims).alias("b"), F.col(weight).alias("w")).where("b >= 0").groupBy("b").agg(F.sum("w").alias("w"))
-    hist = hist.withColumn("n", F.floor(F.col("b") / BINS).cast("int"))
-    upto = F.sum("w").over(Window.partitionBy("n").orderBy("b"))
-    rest = F.element_at(F.array(*[F.lit(float(x)) for x in want - below]), F.col("n") + 1)
-    rows = hist.withColumn("upto", upto).withColumn("last", F.max("b").over(Window.partitionBy("n"))).where((F.col("upto") >= rest) | (F.col("b") == F.col("last")))
-    found = rows.groupBy("n").agg(F.min(F.struct("b", "upto", "w")).alias("x")).select("n", "x.*").collect()
-    return {int(nodes[r["n"]]): (r["b"] % BINS, float(r["upto"] - r["w"]), float(r["w"])) for r in found}
+def crossing(here: DataFrame, dims: list[str], weight: str, narrow: dict[int, list], nodes: int) -> dict[int, tuple[int, float, float, bool]]:
+    """For each node the bin in which the wanted weight is passed: (bin, weight in the bins below, weight inside, whether one row is all of it)."""
+    none = [0, 0.0, 0.0, 0.0, 0.0]
+    of = lambda i, kind: F.element_at(F.array(*[F.lit(kind(narrow.get(k, none)[i])) for k in range(nodes)]), F.col("node") + 1)
+    x = F.element_at(F.array(*[F.col(c) for c in dims]), of(0, int) + 1)
+    rows = here.select("node", F.col(weight).alias("w"), x.alias("x"), of(1, float).alias("lo"), of(2, float).alias("hi")).where("x >= lo and x < hi")
+    bins = F.least(F.floor((F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BINS), F.lit(BINS - 1))
+    hist = rows.groupBy("node", bins.alias("b")).agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    along = Window.partitionBy("node").orderBy("b")
+    hist = hist.withColumns({"upto": F.sum("w").over(along), "last": F.max("b").over(Window.partitionBy("node"))})
+    rest = of(4, float) - of(3, float)
+    found = hist.where((F.col("upto") >= rest) | (F.col("b") == F.col("last"))).groupBy("node").agg(F.min(F.struct("b", "upto", "w", "n")).alias("x")).select("node", "x.*").collect()
+    return {r["node"]: (r["b"], float(r["upto"] - r["w"]), float(r["w"]), r["n"] == 1) for r in found}
 
 
 def points_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> tuple[DataFrame, list[str]]:
@@ -151,7 +136,7 @@ def points_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
         "x_source": scaled(F.col("sh"), -end, end, F.col("th"), F.col("id")),
         "x_text": scaled(F.col("th"), -end, end, F.col("id")),
     }
-    return rows.withColumns(dims), list(dims)
+    return cut(rows.withColumns(dims)), list(dims)
 
 
 def shard(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None = None, **columns) -> DataFrame:
@@ -170,7 +155,7 @@ def shard(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None
     total, n = points.agg(F.sum("size"), F.count("*")).first()
     leaves = shards or max(1, math.ceil((total or 0) / target_bytes))
     tree = grow(points, dims, leaves)
-    placed = points.withColumn("shard", leaf_of(tree, dims).cast("int"))
+    placed = points.withColumn("shard", tree.shard(dims).cast("int"))
     blocks = max(1, -(-n // (leaves * SLOT_ROWS)), -(-partitions(spark) // leaves))
     placed = cut(placed.select("id", "size", "text_crc32", "th", "shard").withColumn("block", F.pmod(F.xxhash64("th", "id"), F.lit(blocks)).cast("int")))
     counts = placed.groupBy("shard", "block").agg(F.count("*").alias("n"))
