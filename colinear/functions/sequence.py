@@ -183,3 +183,22 @@ def gap_runs(seq: Column, letter: str = "N") -> Column:
 def consensus(letters: Column) -> Column:
     """The letter that an array holds, ``?`` if it holds several."""
     return F.when(F.size(F.array_distinct(letters)) > 1, F.lit("?")).otherwise(F.element_at(letters, 1))
+
+
+def _codon_codes() -> dict[str, str]:
+    """For each amino acid the three codes that its codons' bases make together."""
+    order, bits = "TCAG", {}
+    for i, amino in enumerate(AMINO):
+        codon = order[i // 16] + order[i // 4 % 4] + order[i % 4]
+        old = bits.setdefault(amino, [0, 0, 0])
+        for k, c in enumerate(codon):
+            old[k] |= 1 << "ACGT".index(c)
+    return {a: "".join(BY_BITS[x] for x in b) for a, b in bits.items()}
+
+
+def back_translate(protein: Column) -> Column:
+    """The ambiguous nucleotide sequence of a protein; an unknown amino acid gives NNN."""
+    codes = _codon_codes()
+    table = F.create_map(*[F.lit(x) for kv in sorted(codes.items()) for x in kv])
+    letters = F.filter(F.split(F.upper(protein), ""), lambda x: x != "")
+    return F.array_join(F.transform(letters, lambda x: F.coalesce(F.element_at(table, x), F.lit("NNN"))), "")

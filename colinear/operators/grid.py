@@ -103,3 +103,20 @@ def allowed(pairs: DataFrame, ranges: DataFrame) -> DataFrame:
     """Pairs (t, q) that lie in one of the ranges (t1, t2, q1, q2): ranges are spelt out by target chunk, then a semi-join."""
     spelt = ranges.withColumn("t", F.explode(F.sequence("t1", "t2")))
     return pairs.join(spelt.select("t", "q1", "q2"), (pairs["t"] == spelt["t"]) & pairs["q"].between(spelt["q1"], spelt["q2"]), "left_semi")
+
+
+def assign_blocks(pieces: DataFrame, n: int, block: int | None = None) -> DataFrame:
+    """Adds ``block`` (0 to n - 1): chunks dealt evenly in order; with ``block``, only that one's."""
+    from colinear.operators.ranking import global_rank
+
+    ranked, total = global_rank(pieces, ["seq_id", "chunk"])
+    out = ranked.withColumn("block", F.floor(F.col("_rank") * n / max(total, 1)).cast("int")).drop("_rank")
+    return out if block is None else out.where(F.col("block") == block)
+
+
+def shared_words(query: DataFrame, target: DataFrame, k: int = 12, least: int = 2) -> DataFrame:
+    """Query chunks (seq_id, seq) of which a run of ``least`` words in a row stands in some target chunk."""
+    from colinear.operators.seeds import word_lookup
+
+    found = word_lookup(query, target, k, least, most=1 << 30)
+    return query.join(found.select(F.col("query_id").alias("seq_id")).distinct(), "seq_id", "left_semi")

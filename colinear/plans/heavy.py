@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colinear.functions.sequence import revcomp, slice_clamped
-from colinear.operators import align, blocks, chain, scaffold, xcorr
+from colinear.operators import align, blocks, chain, guided, scaffold, xcorr
 from colinear.operators.seeds import as_matches, seed_blocks
 from colinear.plans import programs
 from colinear.plans.queries import docs, items, lineitem_matches, scaffold_hits, summary_of
@@ -181,3 +181,29 @@ def chromosemble(spark, d):
 @query
 def realigned(spark, d):
     return programs.realign(programs.merged_summary(_seeds(spark, d), docs(spark, d), items(spark, d)), docs(spark, d), items(spark, d))
+
+
+@query
+def super_matches(spark, d):
+    a = items(spark, d)
+    return guided.super_matches(a, docs(spark, d), 12, 2)
+
+
+@query
+def guided_matches(spark, d):
+    return guided.guided_matches(_regions(spark, d).select("id", "t_seq", "q_seq"))
+
+
+@query
+def hairpins(spark, d):
+    return guided.hairpins(items(spark, d))
+
+
+@query
+def compare_aligners(spark, d):
+    return guided.compare_aligners(_regions(spark, d).select("id", "t_seq", "q_seq"))
+
+
+@query
+def alignment_records(spark, d):
+    return guided.alignment_text(align.align_pairs(_regions(spark, d).select("id", "t_seq", "q_seq")), "mfa")

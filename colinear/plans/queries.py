@@ -620,3 +620,23 @@ def extract_fasta(spark, d):
     s = summary_of(spark, d).withColumns({"q_start": F.floor(F.col("q_start") / 2000), "q_end": F.floor(F.col("q_end") / 2000) + 30})
     seqs = items(spark, d).select(F.concat(F.lit("q"), F.col("seq_id")).alias("name"), "seq")
     return tables.extracted(s, seqs, 5)
+
+
+_BACK = "(VALUES " + ", ".join(f"('{a}', '{c}')" for a, c in sorted(S._codon_codes().items())) + ") AS b(a, c)"
+
+
+@query(f"WITH {ITEMS}, p AS (SELECT seq_id, i, substr(seq, i + 1, 1) AS a FROM items, LATERAL (SELECT unnest(range(length(seq))) AS i)) SELECT seq_id, string_agg(coalesce(c, 'NNN'), '' ORDER BY i) AS dna FROM p LEFT JOIN {_BACK} USING (a) GROUP BY seq_id")
+def back_translate(spark, d):
+    return items(spark, d).where("seq <> ''").select("seq_id", S.back_translate(F.col("seq")).alias("dna"))
+
+
+@query(f"""WITH {DOCS}, c AS (SELECT seq_id, unnest(range(0, length(seq) // 512 + 1)) AS chunk, length(seq) AS l FROM docs WHERE length(seq) >= 6), k AS (SELECT seq_id, chunk, row_number() OVER (ORDER BY seq_id, chunk) - 1 AS r, count(*) OVER () AS n FROM c WHERE least(l, (chunk + 1) * 512) > chunk * 512)
+SELECT seq_id, chunk, floor(r * 9 / n)::INTEGER AS block FROM k""")
+def chunk_blocks(spark, d):
+    return grid.assign_blocks(grid.chunks(docs(spark, d), 512), 9).select("seq_id", "chunk", "block")
+
+
+@query(f"WITH {ITEMS}, {_lookup} SELECT seq_id, seq FROM items WHERE seq_id IN (SELECT query_id FROM l)")
+def shared_words(spark, d):
+    a = items(spark, d)
+    return grid.shared_words(a, a)
