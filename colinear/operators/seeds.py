@@ -14,12 +14,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colinear.session import stored
+
 #: 2-bit codes by byte; 255 for letters that break a k-mer.
 CODE = np.full(256, 255, np.uint8)
 for _i, _c in enumerate("ACGT"):
     CODE[ord(_c)] = CODE[ord(_c.lower())] = _i
 #: Letters of a sequence that are encoded at a time.
 RUN = 1 << 20
+#: Query k-mers up to which they are broadcast to filter the target's before any shuffle (16 bytes each).
+SMALL = 1_000_000
 
 
 def kmers_of(seq: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,7 +94,11 @@ def extend(found: DataFrame, k: int, jump: int, least: int) -> DataFrame:
 
 def seed_blocks(query: DataFrame, target: DataFrame, k: int = 15, jump: int | None = None, least: int | None = None, most: int = 1) -> DataFrame:
     """Seeds of one k between two sets of sequences (seq_id, seq): k-mers that are rare on both sides, joined and extended."""
-    q, t = rare(kmers(query, k), most), rare(kmers(target, k), most)
+    q, t = stored(rare(kmers(query, k), most), "kmers"), kmers(target, k)
+    wanted = q.select("kmer").distinct()
+    if q.count() <= SMALL:  # the target's other k-mers needn't be shuffled, nor counted
+        t = t.join(F.broadcast(wanted), "kmer", "left_semi")
+    t = rare(t, most)
     return extend(hits(q, t), k, k - 1 if jump is None else jump, k if least is None else least)
 
 
