@@ -7,8 +7,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes that go to a Python worker at a time: whole texts are long, and two workers share an executor's memory.
+BATCH = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session by ``BATCH``."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The named Parquet table of a data folder."""
+    """The named Parquet table of a data folder; rows go to Python in small batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
