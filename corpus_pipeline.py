@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colinear.llm import bpe, langid, linededup, mixing, neardup
-from colinear.session import stored, table
+from colinear.session import small_batches, stored, table
 
 #: Documents of which the classifier is less sure belong to no language that it learned.
 LEAST_SCORE = 0.25
@@ -14,6 +14,7 @@ LEAST_SCORE = 0.25
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a recognisable language: no text, no letter, or no language near."""
+    small_batches(spark)
     model = langid.train(docs)
     found = langid.predict(docs, model, into=("_lang_pred", "_score"))
     return found.where((F.col("_lang_pred") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
