@@ -102,23 +102,28 @@ class Model:
 def fit(rows: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, width: int = WIDTH) -> Model:
     """Kernel ridge regression, one versus the rest, on Nystroem features of evenly drawn landmarks."""
     languages = sorted(set(labels))
-    x = np.zeros((len(rows), width), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r] = 1 / np.sqrt(len(r))
+
+    def dense(some: list[np.ndarray]) -> np.ndarray:
+        x = np.zeros((len(some), width), np.float32)
+        for i, r in enumerate(some):
+            x[i, r] = 1 / np.sqrt(len(r))
+        return x
+
     by = {k: [i for i, y in enumerate(labels) if y == k] for k in languages}
     share = max(1, landmarks // max(1, len(languages)))
-    marks = x[[i for k in languages for i in by[k][:share]]]
+    marks = dense([rows[i] for k in languages for i in by[k][:share]])
     k = (marks @ marks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(k)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])  # K^(-1/2) up to a rotation
-    phi = (x @ marks.T).astype(np.float64) @ root
+    # a few rows at a time: the rows by places are never held at once
+    phi = np.concatenate([(dense(rows[a : a + 128]) @ marks.T).astype(np.float64) @ root for a in range(0, len(rows), 128)])
     y = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     # languages with few rows weigh as much as the others
     w = np.array([len(labels) / (len(languages) * len(by[v])) for v in labels])
     gram = phi.T @ (phi * w[:, None]) + ridge * np.eye(phi.shape[1])
     beta = np.linalg.solve(gram, phi.T @ (y * w[:, None]))
-    return Model(languages, (marks.T.astype(np.float64) @ (root @ beta)).astype(np.float32))
+    return Model(languages, marks.T @ (root @ beta).astype(np.float32))
 
 
 def draw(docs: DataFrame, learn: Column, id_col: str, text: str, lang: str, rows: int = TRAIN_ROWS) -> tuple[list[np.ndarray], list[str]]:
