@@ -41,7 +41,7 @@ from colinear.session import table
 #: The split pattern of byte-level tokenizers of this family.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose ids a worker remembers.
-MEMO = 150_000
+MEMO = 80_000
 #: Longer words are not remembered.
 MEMO_CHARS = 64
 NEVER = 1 << 60
@@ -107,7 +107,7 @@ class Automaton:
                     break
                 until = self.born[x] + 1  # the shorter arc must have been there when the longer one was made of it; a loss in the same merge comes first
                 x = self.pair[x][0]
-            if len(self.table) >= 4 * MEMO:
+            if len(self.table) >= 2 * MEMO:
                 self.table.clear()
             self.table[key] = known
         return known
@@ -250,14 +250,17 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for b in batches:
-            counts, enc, dec = [], [], []
-            for x in b.column("text"):
-                ids = t.encode(x.as_py())
-                counts.append(ids.count(",") + 1 if ids else 0)
-                enc.append(hashlib.sha256(ids.encode()).hexdigest())
-                dec.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(counts, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        try:
+            for b in batches:
+                counts, enc, dec = [], [], []
+                for x in b.column("text"):
+                    ids = t.encode(x.as_py())
+                    counts.append(ids.count(",") + 1 if ids else 0)
+                    enc.append(hashlib.sha256(ids.encode()).hexdigest())
+                    dec.append(hashlib.sha256(t.decode(ids).encode()).hexdigest())
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(counts, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        finally:  # Spark keeps its workers: later stages get the memory of the tables back
+            tokenizer.cache_clear()
 
     return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
 
