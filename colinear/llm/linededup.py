@@ -91,10 +91,11 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", unit: str
 
     found = stored(rows.mapInArrow(run, f"digest long, id {id_kind}, th long, place int"), "units")
     # Most units occur once: the digests that recur are found first, from the digests alone.
-    again = found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    # (Stored, so that both sides of the joins are plain shuffles, of which Spark splits a digest with very many places.)
+    again = stored(found.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "again")
     recur = stored(found.join(again, "digest", "left_semi"), "recurring")
     rank = F.struct(F.col("id").isNull().alias("null_id"), F.col("id"), F.col("th"), F.col("place"))
-    first = recur.groupBy("digest").agg(F.min(rank).alias("first"))
+    first = stored(recur.groupBy("digest").agg(F.min(rank).alias("first")), "first")
     gone = recur.join(first, "digest").where(rank != F.col("first"))
     return gone.groupBy("id", "th").agg(F.array_sort(F.collect_set("place")).alias("places"))
 
