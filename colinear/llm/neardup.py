@@ -12,10 +12,13 @@ hold. Two documents agree in a register with the probability of their
 similarity.
 
 Texts with the same words are one node from then on. Nodes that agree in a band
-share a bucket; each is compared with the bucket's least node only, exactly, on
-the texts. Where a member fails (the bucket holds several classes), the bucket is
-split by its members' other bands, and its members are compared with the least
-failed one of each part. Classes are the components of the links that hold.
+share a bucket; each is compared with the bucket's centre, exactly, on the texts.
+The centre is the member that meets most others in its buckets, so a base that
+many copies derive from comes before the copies. A bucket whose members are not
+of one component yet goes on: with further centres while they pay, then by all
+its pairs of different components that were not compared. So each pair of a
+bucket is compared or connected, or too far apart by the triangle inequality
+that 1 - similarity obeys. Classes are the components of the links that hold.
 """
 
 from __future__ import annotations
@@ -38,8 +41,8 @@ BANDS, ROWS = 32, 7
 REGISTERS = BANDS * ROWS
 #: Arrivals drawn at a time, at least.
 DRAW = 1536
-#: Other bands that split a bucket in which a member failed.
-SPLITS = 8
+#: Pairs left for each row of a bucket up to which all are compared without a further centre.
+FEW = 4
 #: Rows up to which a table of keys is broadcast instead of shuffled against the texts.
 SMALL = 500_000
 
@@ -174,7 +177,7 @@ def maybe_broadcast(df: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b, holds`` of pairs (a, b) of nodes: whether their texts are similar."""
+    """``a, b, sim`` of pairs (a, b) of nodes: the similarity of their texts."""
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -185,18 +188,43 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             for b, ta, tb in zip(batch.column("b").to_pylist(), batch.column("ta"), batch.column("tb"), strict=True):
                 if b != held:
                     held, other = b, shingles(word_hashes(tb.as_py()))
-                out.append(similarity(shingles(word_hashes(ta.as_py())), other) >= SIMILAR - 1e-12)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], ["a", "b", "holds"])
+                out.append(similarity(shingles(word_hashes(ta.as_py())), other))
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "sim"])
 
-    return both.mapInArrow(run, "a long, b long, holds boolean")
+    return both.mapInArrow(run, "a long, b long, sim double")
+
+
+def left_open(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of ``members`` whose bucket holds several components of ``links``, with their ``root`` and the bucket's most frequent one, ``major``."""
+    roots = stored(components(links), "roots")
+    rooted = stored(members.drop("root", "major").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    counts = rooted.groupBy("band", "root").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots")).where("roots > 1")
+    return stored(rooted.join(mixed.select("band", F.col("most.root").alias("major")), "band"), "open")
+
+
+def pairs_left(rows: DataFrame) -> int:
+    """Bound of the pairs that open buckets have yet: those of a node outside the major component with any other."""
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("major")).alias("strays"))
+    return int(sizes.agg(F.sum(F.col("n") * F.col("strays"))).first()[0] or 0)
+
+
+def uncompared(pairs: DataFrame, checked: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) that were not compared either way."""
+    known = checked.select("a", "b").unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return pairs.select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
 
 
 def links_of(docs: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataFrame:
     """``a, b`` of the pairs of nodes that are similar: enough of them to connect each class. ``nodes``: node, head, bands."""
     rows = nodes.select("node", F.explode("bands").alias("band"))
-    buckets = stored(rows.groupBy("band").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1").select("band", "centre"), "buckets")
+    buckets = stored(rows.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     members = stored(rows.join(buckets, "band"), "members")  # nodes in buckets with others only
-    pairs = members.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
+    members = stored(members.drop("n").join(weights, "node"), "weighed")
+    heaviest = F.max(F.struct("weight", "node")).getField("node")
+    pivots = stored(members.groupBy("band").agg(heaviest.alias("pivot")), "pivots")
+    pairs = members.join(pivots, "band").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     wanted = stored(members.select("node").distinct().join(nodes.select("node", "head"), "node").select("node", "head.id", "head.th"), "wanted")
     keyed = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("_th"))
     few = maybe_broadcast(wanted)
@@ -204,20 +232,28 @@ def links_of(docs: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataF
     texts = stored(texts, "texts")
     # rows that repeat id and text give a node's text more than once; links are made distinct at the end
     checked = stored(verified(pairs, texts), "checked")
-    # buckets of several classes: split by other bands, compared with the least member that failed
-    failed = checked.where("not holds").select(F.col("a").alias("node"), F.col("b").alias("centre"))
-    lost = members.join(failed, ["node", "centre"], "left_semi").select("band", "node")
-    mixed = members.join(lost.select("band").distinct(), "band", "left_semi").join(lost.withColumn("lost", F.lit(True)), ["band", "node"], "left")
-    place = F.array_position(F.col("bands"), F.col("band")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.lit(SPLITS - 1)), lambda k: F.xxhash64(F.col("band"), F.element_at("bands", F.pmod(place + k, F.lit(BANDS)) + 1)))
-    parts = mixed.join(nodes.select("node", "bands"), "node").select("node", F.coalesce("lost", F.lit(False)).alias("lost"), F.explode(others).alias("part"))
-    parts = stored(parts, "parts")
-    centres = parts.groupBy("part").agg(F.min(F.when(F.col("lost"), F.col("node"))).alias("centre"), F.count("*").alias("n")).where("n > 1 and centre is not null").select("part", "centre")
-    more = parts.join(centres, "part").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    known = checked.select("a", "b")
-    more = more.join(known, ["a", "b"], "left_anti").join(known.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    again = verified(stored(more, "more"), texts)
-    return checked.unionByName(again).where("holds").select("a", "b").distinct()
+    similar = F.col("sim") >= SIMILAR - 1e-12
+    rows = left_open(members, checked.where(similar))
+    first, used, before = checked, pivots.select("band", F.col("pivot").alias("node")), None
+    while (n := pairs_left(rows)) > FEW * rows.count() and (before is None or 2 * n <= before):
+        before = n
+        fresh = rows.where("root <> major").join(used, ["band", "node"], "left_anti")
+        centres = stored(fresh.groupBy("band").agg(F.max(F.struct("weight", "node", "root")).alias("c")).select("band", F.col("c.node").alias("b"), F.col("c.root").alias("b_root")), "centres")
+        met = rows.join(centres, "band").where("root <> b_root").select(F.col("node").alias("a"), "b")
+        checked = stored(checked.unionByName(verified(stored(uncompared(met, checked), "more"), texts)), "checked")
+        used = stored(used.unionByName(centres.select("band", F.col("b").alias("node"))), "used")
+        rows = left_open(rows, checked.where(similar))
+    if n:
+        # the rest: every pair of different components has a member outside the major one
+        far = rows.join(pivots, "band").join(first.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "sim").distinct(), ["node", "pivot"], "left")
+        far = stored(far.withColumn("far", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(1 - F.col("sim"))), "far")
+        stray = far.where("root <> major").select("band", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("far").alias("a_far"))
+        other = far.select("band", F.col("node").alias("b"), F.col("root").alias("b_root"), "major", F.col("far").alias("b_far"))
+        near = F.abs(F.col("a_far") - F.col("b_far")) <= 1 - SIMILAR + 1e-9
+        rest = stray.join(other, "band").where((F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("major")) | (F.col("a") < F.col("b"))) & near)
+        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        checked = checked.unionByName(verified(stored(uncompared(rest, checked), "rest"), texts))
+    return checked.where(similar).select("a", "b").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -324,6 +324,45 @@ def test_near_duplicates_equal_brute_force(spark):
     assert neardup.classes(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_find_a_base_with_many_copies(spark):
+    """1000 copies at 0.82 to one base, below 0.8 to each other: one class."""
+    r = random.Random(31)
+    base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+    texts = []
+    for k in range(1000):
+        words = list(base)
+        for at in r.sample(range(8, 292, 5), 6):
+            words[at] = f"e{k}x{at}"
+        texts.append(" ".join(words))
+    sets = [neardup.shingles(neardup.word_hashes(t)) for t in [" ".join(base), *texts[:40]]]
+    assert all(0.81 < neardup.similarity(sets[0], s) < 0.83 for s in sets[1:])
+    assert sum(neardup.similarity(a, b) >= 0.8 for a in sets[1:] for b in sets[1:] if a is not b) == 0
+    df = docs_of(spark, [(k, t, "en", "s") for k, t in enumerate([*texts[:500], " ".join(base), *texts[500:]])])
+    assert neardup.classes(df).select("head").distinct().count() == 1
+
+
+def test_near_duplicates_follow_drift(spark):
+    """Versions that change a little at a time, in two families with a common half: each family is one class, whatever the centres."""
+    r = random.Random(32)
+    common = [f"c{r.randrange(10**6)}" for _ in range(200)]
+    rows, sets = [], []
+    for family in range(2):
+        words = [*common, *(f"f{family}x{r.randrange(10**6)}" for _ in range(60))]
+        for version in range(40):
+            at = r.randrange(len(words))
+            words[at] = f"v{family}x{version}"
+            rows.append((len(rows), " ".join(words), "en", "s"))
+            sets.append(neardup.shingles(neardup.word_hashes(rows[-1][1])))
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if neardup.similarity(sets[i], sets[j]) >= 0.8:
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    found = {x["id"]: x["head"]["id"] for x in neardup.classes(docs_of(spark, rows)).collect()}
+    assert [found[i] for i in range(len(rows))] == root
+
+
 def test_signature_estimates_probability_jaccard():
     r = np.random.default_rng(5)
     for overlap in (0.3, 0.6, 0.9):
