@@ -35,13 +35,14 @@ def pixels(matches: DataFrame, t_chunk: int = 4096, q_chunk: int = 4096) -> Data
     return matches.withColumns({"x": x, "y": y, "weight": F.floor(F.lit(100) * F.col("ident") * F.col("len"))})
 
 
-def weights(found: DataFrame, searched: DataFrame) -> DataFrame:
-    """``x, y, weight``: the greatest weight on each pixel; pixels already searched (x, y) pass theirs on to the 8 neighbours."""
-    own = found.groupBy("x", "y").agg(F.max("weight").alias("weight"))
-    done = own.join(searched.select("x", "y").distinct(), ["x", "y"], "left_semi")
+def weights(found: DataFrame, searched: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``keys, x, y, weight``: the greatest weight on each pixel; pixels already searched (keys, x, y) pass theirs on to the 8 neighbours. ``keys`` tell grids apart."""
+    at = [*keys, "x", "y"]
+    own = found.groupBy(*at).agg(F.max("weight").alias("weight"))
+    done = own.join(searched.select(*at).distinct(), at, "left_semi")
     around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)]))
-    near = done.withColumn("d", around).select((F.col("x") + F.col("d.i")).alias("x"), (F.col("y") + F.col("d.j")).alias("y"), "weight").where("x >= 0 and y >= 0")
-    return own.unionByName(near).groupBy("x", "y").agg(F.max("weight").alias("weight"))
+    near = done.withColumn("d", around).select(*keys, (F.col("x") + F.col("d.i")).alias("x"), (F.col("y") + F.col("d.j")).alias("y"), "weight").where("x >= 0 and y >= 0")
+    return own.unionByName(near).groupBy(*at).agg(F.max("weight").alias("weight"))
 
 
 def occupancy(found: DataFrame) -> DataFrame:

@@ -165,7 +165,7 @@ def gumbel_fit(spark, d):
 
 @query
 def synteny_search(spark, d):
-    return programs.synteny_search(items(spark, d), docs(spark, d), k=(15, 19), most=4, rounds=3)
+    return programs.synteny_search(items(spark, d), docs(spark, d), k=(15, 19), most=4)
 
 
 @query

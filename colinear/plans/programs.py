@@ -44,35 +44,42 @@ def search_pixels(tasks: DataFrame, query: DataFrame, target: DataFrame, t_chunk
     return xcorr.xcorr_matches(pairs.where("t_seq <> '' and q_seq <> ''"), cutoff)
 
 
-def synteny_search(query: DataFrame, target: DataFrame, k: tuple[int, ...] = tuple(range(11, 32, 2)), least_seed: int = 24, most: int = 1, t_chunk: int = 1024, q_chunk: int = 1024, rounds: int = 10, per_round: int = 200, least_prob: float = 0.99999, least_yield: int = 1) -> DataFrame:
+def synteny_search(query: DataFrame, target: DataFrame, k: tuple[int, ...] = tuple(range(11, 32, 2)), least_seed: int = 24, most: int = 1, t_chunk: int = 1024, q_chunk: int = 1024, rounds: int | None = None, per_round: int = 200, least_prob: float = 0.99999, least_yield: int = 1, patience: int = 10) -> DataFrame:
     """Seeds, chains, and searches around the chains by correlation, until rounds find little.
 
-    Each round weighs the pixels that the chained matches touch, searches the
-    heaviest that are new, and adds what it finds. Returns the chained matches.
+    Each round weighs the pixels that hold the middle of a chained match, and the neighbours
+    of those that were searched, searches the heaviest that are new, and adds what
+    it finds. The first round searches ``per_round`` pixels, each next one up to
+    twice as many. It ends when no new pixel is left, or when ``patience`` rounds in
+    a row found fewer than ``least_yield`` new matches; ``rounds``, if given, bounds
+    the rounds. Returns the chained matches.
     """
     q_sizes = sizes(query, "query")
     total = float(target.agg(F.sum(F.length("seq"))).first()[0] or 1)
     found = seeds.seed_blocks_multi(query, target, k, least_seed, most).drop("k").distinct()
     held = stored(seeds.as_matches(found, q_sizes).drop("matches"), "seeds")
-    searched = None
     pixel_keys = ["target_id", "query_id", "x", "y"]
-    for _ in range(rounds):
-        path = stored(chain.chain(held), "chain")
-        f = matches.forward(path)
-        x, y = grid.pixel(F.col("t_start"), F.col("q_from"), t_chunk, q_chunk)
-        weighed = f.withColumns({"x": x, "y": y}).groupBy(*pixel_keys).agg(F.max(F.floor(100 * F.col("ident") * F.col("len"))).alias("weight"))
-        if searched is not None:
-            weighed = weighed.join(searched, pixel_keys, "left_anti")
-        tasks = stored(weighed.orderBy(F.desc("weight"), *pixel_keys).limit(per_round), "tasks")
-        if tasks.isEmpty():
+    searched, low, done, batch = None, 0, 0, per_round
+    while rounds is None or done < rounds:
+        f = matches.forward(stored(chain.chain(held), "chain"))
+        x, y = grid.pixel(F.col("t_start") + F.floor(F.col("len") / 2), F.col("q_from") + F.floor(F.col("len") / 2), t_chunk, q_chunk)
+        own = f.withColumns({"x": x, "y": y, "weight": F.floor(100 * F.col("ident") * F.col("len"))}).select(*pixel_keys, "weight")
+        weighed = grid.weights(own, own.limit(0) if searched is None else searched, ("target_id", "query_id")).where("weight > 0")
+        inside = weighed.join(sizes(target, "target"), "target_id").join(q_sizes, "query_id").where((F.col("x") * (t_chunk * 3 // 4) < F.col("target_size")) & (F.col("y") * q_chunk < F.col("query_size"))).select(*pixel_keys, "weight")
+        fresh = stored(inside if searched is None else inside.join(searched, pixel_keys, "left_anti"), "fresh")
+        left = fresh.count()
+        if not left:
             break
-        new = stored(scored(search_pixels(tasks, query, target, t_chunk, q_chunk), total, least_prob), "found")
-        done = tasks.select(*pixel_keys)
-        searched = stored(done if searched is None else searched.unionByName(done), "searched")
-        n = new.count()
+        tasks = fresh if left <= batch else stored(fresh.orderBy(F.desc("weight"), *pixel_keys).limit(batch), "tasks")
+        new = scored(search_pixels(tasks, query, target, t_chunk, q_chunk), total, least_prob)
+        new = stored(new.select(*held.columns).subtract(held), "found")
+        tried = tasks.select(*pixel_keys)
+        searched = stored(tried if searched is None else searched.unionByName(tried), "searched")
+        low = low + 1 if new.count() < least_yield else 0
         held = stored(held.unionByName(new).distinct(), "held")
-        if n < least_yield:
+        if low >= patience:
             break
+        done, batch = done + 1, 2 * batch
     return chain.chain(held)
 
 
