@@ -10,11 +10,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colinear.functions.sequence import revcomp
 from colinear.operators import align, xcorr
 from colinear.operators.seeds import CODE, word_lookup
 
-#: Bounds of the super matches: cost of a step, hits of a frame, frames looked back, cost of leaving a word out.
-MOST_STEP, MOST_HITS, LOOK_BACK, NULL_STEP = 50_000, 1000, 16, 20.0
+#: Bounds of the super matches: cost of a step, frames looked back, cost of leaving a word out.
+MOST_STEP, LOOK_BACK, NULL_STEP = 50_000, 16, 20.0
 #: Reports of guided alignments: columns and p-value.
 LEAST_COLUMNS, MOST_P = 30, 1e-5
 
@@ -44,58 +45,76 @@ def word_codes(seq: str, k: int, kind: str = "exact") -> np.ndarray:
     return np.where(bad, -1, out)
 
 
-def best_words(q: np.ndarray, t: np.ndarray, target: np.ndarray, span: int) -> list[int]:
-    """Hits (query, target position, target), by query position, on the cheapest chain: each costs how far its step leaves the diagonal.
+def best_words(q: np.ndarray, t: np.ndarray, target: np.ndarray, span: int, rc: np.ndarray | None = None) -> list[int]:
+    """Hits (query, target position, target, strand), by query position, on the cheapest chain: each costs how far its step leaves the diagonal.
 
     A chain gains ``span`` a hit and may look back over ``LOOK_BACK`` query positions. The chain ends at the best hit.
+    On the reverse strand target positions fall along the query. Frames of any number of hits take part.
     """
-    order = np.lexsort((t, target, q))
-    q, t, target = q[order], t[order], target[order]
+    rc = np.zeros(len(q), bool) if rc is None else np.asarray(rc, bool)
+    order = np.lexsort((t, rc, target, q))
+    q, t, target, rc = q[order], t[order], target[order], rc[order]
     frames, first = np.unique(q, return_index=True)
     last = np.append(first[1:], len(q))
     gain, back = np.full(len(q), float(span)), np.full(len(q), -1)
-    for f in range(len(frames)):
-        if last[f] - first[f] >= MOST_HITS:
-            gain[first[f] : last[f]] = -math.inf
-            continue
-        for i in range(first[f], last[f]):
-            lo = first[max(0, f - LOOK_BACK)]
-            j = np.arange(lo, first[f])
-            if len(j):
-                off = np.abs((t[i] - t[j]) - (q[i] - q[j]))
-                price = np.where(target[j] == target[i], np.minimum(off, MOST_STEP), MOST_STEP) + NULL_STEP * ((q[i] - q[j]) > span)
-                g = gain[j] - price + span
-                k = int(g.argmax())
-                if g[k] > gain[i]:
-                    gain[i], back[i] = g[k], j[k]
-    at, path = int(gain.argmax()) if len(q) else -1, []
-    while at >= 0:
-        path.append(int(order[at]))
-        at = int(back[at])
+    if not len(q):
+        return []
+    # diagonals of one target and strand lie together, others a greatest step away at least: a step costs min(distance, MOST_STEP)
+    diagonal = np.where(rc, t + q, t - q).astype(np.int64)
+    line = 2 * np.unique(target, return_inverse=True)[1] + rc
+    at = line * (int(diagonal.max() - diagonal.min()) + MOST_STEP) + diagonal - diagonal.min()
+    for f in range(1, len(frames)):
+        own = slice(first[f], last[f])
+        j = np.arange(first[max(0, f - LOOK_BACK)], first[f])
+        j = j[np.argsort(at[j], kind="stable")]
+        place, g = at[j], gain[j] - NULL_STEP * ((frames[f] - q[j]) > span)
+        n = np.arange(len(j))
+        below, above = g + place, (g - place)[::-1]
+        low = np.maximum.accumulate(np.where(below == np.maximum.accumulate(below), n, 0))
+        high = (len(j) - 1 - np.maximum.accumulate(np.where(above == np.maximum.accumulate(above), n, 0)))[::-1]
+        x = np.searchsorted(place, at[own], "right")
+        tries = np.stack([low[np.maximum(x - 1, 0)], high[np.minimum(x, len(j) - 1)], np.full(len(x), int(g.argmax()))])
+        price = np.minimum(np.abs(place[tries] - at[own]), MOST_STEP)
+        value = g[tries] - price
+        k = value.argmax(axis=0)
+        won, here = value[k, np.arange(len(x))], j[tries[k, np.arange(len(x))]]
+        gain[own] += np.maximum(won, 0)
+        back[own] = np.where(won > 0, here, -1)
+    end, path = int(gain.argmax()), []
+    while end >= 0:
+        path.append(int(order[end]))
+        end = int(back[end])
     return path[::-1]
 
 
-def super_matches(query: DataFrame, target: DataFrame, k: int = 12, words: int = 1, most: int = 100) -> DataFrame:
-    """``query_id, target_id, q_start, t_start, len``: each query's best chain of words, steps of +1 joined.
+def super_matches(query: DataFrame, target: DataFrame, k: int = 12, words: int = 1, most: int | None = None) -> DataFrame:
+    """``query_id, target_id, rc, q_start, t_start, len``: each query's best chain of words, steps of +1 (on the reverse strand -1) joined.
 
-    Hits are found by joins; a query's hits on its frames (each bounded) are one group.
+    Words are looked up forward and reverse-complemented; starts are on the forward
+    strands of both. Words that the target has more than ``most`` times are left out
+    if it is given. Hits are found by joins; a query's hits are one group.
     """
-    hits = word_lookup(query, target, k, words, most).select("query_id", "target_id", "q_pos", "t_pos")
     span = k * words
+    find = lambda q: word_lookup(q, target, k, words, most).select("query_id", "target_id", "q_pos", "t_pos")
+    turned = find(query.select("seq_id", revcomp(F.col("seq")).alias("seq"))).join(query.select(F.col("seq_id").alias("query_id"), F.length("seq").alias("size")), "query_id")
+    hits = find(query).withColumn("rc", F.lit(False)).unionByName(turned.withColumn("q_pos", F.col("size") - span - F.col("q_pos")).drop("size").withColumn("rc", F.lit(True)))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        path = best_words(g["q_pos"].to_numpy(), g["t_pos"].to_numpy(), g["target_id"].to_numpy(), span)
+        path = best_words(g["q_pos"].to_numpy(), g["t_pos"].to_numpy(), g["target_id"].to_numpy(), span, g["rc"].to_numpy())
         out: list[list] = []
         for i in path:
-            q, t, tid = int(g["q_pos"].iloc[i]), int(g["t_pos"].iloc[i]), g["target_id"].iloc[i]
-            if out and out[-1][1] == tid and t - out[-1][3] == q - out[-1][2] and q <= out[-1][2] + out[-1][4]:
-                out[-1][4] = q + span - out[-1][2]
+            q, t, tid, rc = int(g["q_pos"].iloc[i]), int(g["t_pos"].iloc[i]), g["target_id"].iloc[i], bool(g["rc"].iloc[i])
+            same = bool(out) and out[-1][1] == tid and out[-1][2] == rc and q <= out[-1][3] + out[-1][5]
+            if same and not rc and t - out[-1][4] == q - out[-1][3]:
+                out[-1][5] = q + span - out[-1][3]
+            elif same and rc and t + q + span == out[-1][4] + out[-1][3] + out[-1][5]:
+                out[-1][4:] = [t, q + span - out[-1][3]]
             else:
-                out.append([g["query_id"].iloc[0], tid, q, t, span])
-        return pd.DataFrame(out, columns=["query_id", "target_id", "q_start", "t_start", "len"])
+                out.append([g["query_id"].iloc[0], tid, rc, q, t, span])
+        return pd.DataFrame(out, columns=["query_id", "target_id", "rc", "q_start", "t_start", "len"])
 
     kinds = dict(hits.dtypes)
-    return hits.groupBy("query_id").applyInPandas(run, f"query_id {kinds['query_id']}, target_id {kinds['target_id']}, q_start long, t_start long, len long")
+    return hits.groupBy("query_id").applyInPandas(run, f"query_id {kinds['query_id']}, target_id {kinds['target_id']}, rc boolean, q_start long, t_start long, len long")
 
 
 def shift_path(t: np.ndarray, q: np.ndarray, shifts: np.ndarray, jump: float = 1.0) -> tuple[list[tuple[int, int]], float]:
@@ -159,8 +178,6 @@ def guided_matches(pairs: DataFrame, proteins: bool = False) -> DataFrame:
 
 def hairpins(sequences: DataFrame, id_col: str = "seq_id", seq: str = "seq") -> DataFrame:
     """Sequences that match their own reverse complement: a guided alignment of each with it."""
-    from colinear.functions.sequence import revcomp
-
     return guided_matches(sequences.select(F.col(id_col).cast("long").alias("id"), F.col(seq).alias("t_seq"), revcomp(F.col(seq)).alias("q_seq")))
 
 

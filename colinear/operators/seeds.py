@@ -117,16 +117,21 @@ def as_matches(blocks: DataFrame, query_sizes: DataFrame) -> DataFrame:
     return blocks.join(query_sizes, "query_id").select("target_id", "query_id", "query_size", "t_start", flipped.alias("q_start"), "len", "rc", F.lit(1.0).alias("prob"), F.lit(1.0).alias("ident"), F.col("len").cast("double").alias("matches"))
 
 
-def word_lookup(query: DataFrame, target: DataFrame, k: int = 12, words: int = 2, most: int = 1000, ahead: int = 0) -> DataFrame:
+def word_lookup(query: DataFrame, target: DataFrame, k: int = 12, words: int = 2, most: int | None = 1000, ahead: int = 0) -> DataFrame:
     """Positions where ``words`` consecutive words of the query (each k letters) stand in a row in the target.
 
     ``query_id, q_pos, target_id, t_pos, offset``: a word may stand up to ``ahead``
     letters later in the target, by the same offset for all. Words that the target has more than
-    ``most`` times find nothing. Forward strand.
+    ``most`` times find nothing; None takes all. Forward strand.
     """
     q, t = kmers_plain(query, k), kmers_plain(target, k)
-    few = t.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("word")
-    t = t.join(few, "word", "left_semi")
+    if most is None:
+        wanted = stored(q.select("word").distinct(), "words")
+        if wanted.count() <= SMALL:  # the target's other words needn't be shuffled
+            t = t.join(F.broadcast(wanted), "word", "left_semi")
+    else:
+        few = t.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("word")
+        t = t.join(few, "word", "left_semi")
     starts = q.select(F.col("id").alias("query_id"), F.col("pos"), "word").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(words - 1)))).withColumn("q_pos", F.col("pos") - F.col("i") * k).where("q_pos >= 0")
     offsets = F.explode(F.sequence(F.lit(0), F.lit(ahead)))
     both = starts.join(t.select("word", F.col("id").alias("target_id"), F.col("pos").alias("t")), "word").withColumn("offset", offsets)
