@@ -15,10 +15,10 @@ Texts with the same words are one node from then on. Nodes that agree in a band
 share a bucket; each is compared with the bucket's centre, exactly, on the texts.
 The centre is the member that meets most others in its buckets, so a base that
 many copies derive from comes before the copies. A bucket whose members are not
-of one component yet goes on: with further centres while they pay, then by all
-its pairs of different components that were not compared. So each pair of a
-bucket is compared or connected, or too far apart by the triangle inequality
-that 1 - similarity obeys. Classes are the components of the links that hold.
+of one component yet goes on: with further centres while they pay, then by the
+pairs of different components that share a rare shingle (see ``meeting``). So
+each pair of a bucket is compared, or connected, or too far apart by a bound on
+its similarity. Classes are the components of the links that hold.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colinear.llm.components import components
-from colinear.session import stored, table
+from colinear.session import fresh, stored, table, tidy
 
 #: Words of a shingle, least similarity; bands and rows: 0.9995 of the pairs at 0.8 meet in a bucket.
 SHINGLE, SIMILAR = 5, 0.8
@@ -51,8 +51,8 @@ U = np.uint64
 WORD_BYTE = np.array([chr(b).isalnum() or b >= 128 or chr(b) == "_" for b in range(256)])
 BYTE_CODE = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 BASE = U(0x9E3779B97F4A7C15)
-INVERSE = U(pow(int(BASE), -1, 2**64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Bytes of a text that are worked off at a time.
+STEP = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -61,31 +61,37 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least n of them."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, b in enumerate((BASE, INVERSE)):
-            p = np.full(size, b, np.uint64)
-            p[0] = 1
-            _powers[k] = np.multiply.accumulate(p)
-    return _powers
-
-
 def word_hashes(text: str) -> np.ndarray:
     """A 64-bit hash of every word, in order: runs of ASCII letters, digits and ``_`` and other characters but punctuation, in lower case."""
     t = text.lower()
     if not t.isascii():
         t = PUNCTUATION.sub(" ", t)
     b = np.frombuffer(t.encode(), np.uint8)
+    out, at = [np.empty(0, np.uint64)], 0
+    while at < len(b):
+        to = min(len(b), at + STEP)
+        while to < len(b) and WORD_BYTE[b[to]]:  # a word that is cut is read to its end
+            more = np.flatnonzero(~WORD_BYTE[b[to : to + STEP]])
+            to = to + int(more[0]) if len(more) else min(len(b), to + STEP)
+        out.append(_hashes(b[at:to]))
+        at = to
+    return np.concatenate(out)
+
+
+def _hashes(b: np.ndarray) -> np.ndarray:
     inside = np.zeros(len(b) + 2, bool)
     inside[1:-1] = WORD_BYTE[b]
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     start, end = edge[::2], edge[1::2]
-    up, down = powers(len(b) + 1)
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[b] * up[: len(b)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start])
+    if not len(start):
+        return np.empty(0, np.uint64)
+    size = end - start
+    power = np.full(int(size.max()), BASE, np.uint64)
+    power[0] = 1
+    power = np.multiply.accumulate(power)
+    first = np.cumsum(size) - size
+    letters = BYTE_CODE[b[inside[1:-1]]] * power[np.arange(int(size.sum())) - np.repeat(first, size)]
+    return mix(np.add.reduceat(letters, first))
 
 
 def shingles(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,6 +154,7 @@ def describe(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
     kind = dict(rows.dtypes)["id"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes, bands, known = [], [], {}
@@ -181,6 +188,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, other = None, None
         for batch in batches:
@@ -215,6 +223,49 @@ def uncompared(pairs: DataFrame, checked: DataFrame) -> DataFrame:
     return pairs.select("a", "b").distinct().join(known, ["a", "b"], "left_anti")
 
 
+def grams_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """``node, root, stray, size, spare, gram, weight``: the shingles of the nodes' texts; size is the sum of the weights, spare what it is above the number of shingles."""
+    both = nodes.join(texts, "node").select("node", "root", "stray", "text")
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, t in enumerate(b.column("text")):
+                gram, weight = shingles(word_hashes(t.as_py()))
+                n, size = len(gram), int(weight.sum())
+                of = pa.array(np.full(n, k))
+                yield pa.RecordBatch.from_arrays([*[b.column(c).take(of) for c in ("node", "root", "stray")], pa.array(np.full(n, size)), pa.array(np.full(n, size - n)), pa.array(gram.view(np.int64)), pa.array(weight)], ["node", "root", "stray", "size", "spare", "gram", "weight"])
+
+    return both.mapInArrow(run, "node long, root long, stray boolean, size long, spare long, gram long, weight long")
+
+
+def meeting(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of nodes of different components that may be similar, for the rows of open buckets. No similar pair is left out.
+
+    Every node's shingles are put in one global order, rare ones first. Where the
+    first common shingle of two nodes comes after the weights p of P in one and q of
+    Q in the other, at most 1 - p/P and 1 - q/Q of their weights are common. Common
+    weights differ by no more than what repeated shingles add (``spare``). With
+    shares c and d in common the similarity is at most c * d / (c + d - c * d). So
+    nodes meet on a shingle near the head of both lists, and many nodes that each
+    differ from a base by shingles of their own don't meet at all.
+    """
+    nodes = rows.groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("major")).alias("stray"))
+    grams = stored(grams_of(nodes, texts), "grams")
+    often = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+    common = stored(grams.join(often, "gram"), "common")
+    of = Window.partitionBy("node")
+    upto = of.orderBy("n", "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = F.col("size") - F.sum("weight").over(of) + F.sum("weight").over(upto) - F.col("weight")
+    heads = stored(common.withColumn("before", before).where(F.col("before") <= (1 - SIMILAR) * F.col("size") + 1e-6).drop("weight", "n"), "heads")
+    one = heads.where("stray").select("gram", *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "size", "spare", "before")])
+    two = heads.select("gram", *[F.col(c).alias(f"b_{c}") for c in ("node", "root", "size", "spare", "before")])
+    left = lambda x, y: F.least(F.col(f"{x}_size") - F.col(f"{x}_before"), F.col(f"{y}_size") - F.col(f"{y}_before") + F.col(f"{x}_spare")) / F.col(f"{x}_size")
+    c, d = left("a", "b"), left("b", "a")
+    met = one.join(two, (one["gram"] == two["gram"]) & (F.col("a_root") != F.col("b_root")) & (c * d >= (SIMILAR - 1e-9) * (c + d - c * d)))
+    return met.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+
+
 def links_of(docs: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataFrame:
     """``a, b`` of the pairs of nodes that are similar: enough of them to connect each class. ``nodes``: node, head, bands."""
     rows = nodes.select("node", F.explode("bands").alias("band"))
@@ -244,15 +295,8 @@ def links_of(docs: DataFrame, nodes: DataFrame, id_col: str, text: str) -> DataF
         used = stored(used.unionByName(centres.select("band", F.col("b").alias("node"))), "used")
         rows = left_open(rows, checked.where(similar))
     if n:
-        # the rest: every pair of different components has a member outside the major one
-        far = rows.join(pivots, "band").join(first.select(F.col("a").alias("node"), F.col("b").alias("pivot"), "sim").distinct(), ["node", "pivot"], "left")
-        far = stored(far.withColumn("far", F.when(F.col("node") == F.col("pivot"), 0.0).otherwise(1 - F.col("sim"))), "far")
-        stray = far.where("root <> major").select("band", F.col("node").alias("a"), F.col("root").alias("a_root"), F.col("far").alias("a_far"))
-        other = far.select("band", F.col("node").alias("b"), F.col("root").alias("b_root"), "major", F.col("far").alias("b_far"))
-        near = F.abs(F.col("a_far") - F.col("b_far")) <= 1 - SIMILAR + 1e-9
-        rest = stray.join(other, "band").where((F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("major")) | (F.col("a") < F.col("b"))) & near)
-        rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        checked = checked.unionByName(verified(stored(uncompared(rest, checked), "rest"), texts))
+        rest = stored(uncompared(meeting(rows, texts), checked), "rest")
+        checked = checked.unionByName(verified(rest, texts))
     return checked.where(similar).select("a", "b").distinct()
 
 
@@ -281,18 +325,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that head their class: one document of each class; of rows that repeat id and text, one."""
     found = stored(classes(docs, id_col, text), "classes")
-    away = found.where(~F.struct("head.id", "head.th").eqNullSafe(F.struct("id", "th"))).select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
-    away = stored(away, "away")
-    twice = stored(found.groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_id"), F.col("th").alias("_th")), "twice")
-    keyed = docs.withColumn("_text_hash", F.xxhash64(F.col(text)))
+    th, key_id, key_th = fresh(docs, "th", "key_id", "key_th")
+    keys = found.select(F.col("id").alias(key_id), F.col("th").alias(key_th), F.col("head"))
+    away = stored(keys.where(~F.struct("head.id", "head.th").eqNullSafe(F.struct(key_id, key_th))).select(key_id, key_th).distinct(), "away")
+    twice = stored(keys.groupBy(key_id, key_th).agg(F.count("*").alias("n")).where("n > 1").select(key_id, key_th), "twice")
+    keyed = docs.withColumn(th, F.xxhash64(F.col(text)))
 
-    def against(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-        return rows.join(maybe_broadcast(keys), rows[id_col].eqNullSafe(keys["_id"]) & (rows["_text_hash"] == keys["_th"]), how)
+    def against(rows: DataFrame, other: DataFrame, how: str) -> DataFrame:
+        return rows.join(maybe_broadcast(other), rows[id_col].eqNullSafe(other[key_id]) & (rows[th] == other[key_th]), how)
 
     kept = against(keyed, away, "left_anti")
     if not twice.isEmpty():
-        kept = against(kept, twice, "left_anti").unionByName(against(kept, twice, "left_semi").dropDuplicates([id_col, "_text_hash"]))
-    return kept.select(*docs.columns)
+        kept = against(kept, twice, "left_anti").unionByName(against(kept, twice, "left_semi").dropDuplicates([id_col, th]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
