@@ -21,12 +21,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colinear.session import table
+from colinear.session import added, table, tidy
 
 #: Hash places, longest n-gram.
 WIDTH, LONGEST = 1 << 15, 4
@@ -140,6 +139,7 @@ def draw(docs: DataFrame, learn: Column, id_col: str, text: str, lang: str, rows
     share = max(2, rows // len(counts))
     rate = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.1 * share / n))]), F.col("lang"))
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got: list[list] = [[], [], []]
@@ -161,41 +161,36 @@ def draw(docs: DataFrame, learn: Column, id_col: str, text: str, lang: str, rows
     return xs, ys
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, text: str = "text", into: tuple[str, str] = ("lang_pred", "score"), keep: list[str] | None = None) -> DataFrame:
     """Adds the language and its score (0 to 1), named by ``into``, to every row; ``und`` and 0 for null texts, texts without a letter, or no model.
 
-    Columns of these names are replaced. The score is the winner's regression value, from -1..1 to 0..1.
+    ``keep``: the columns to keep, all if not given; columns of the new names are
+    replaced. The score is the winner's regression value, from -1..1 to 0..1.
     """
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    kind = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in batches:
-            out, score = np.full(len(s), "und", object), np.zeros(len(s))
-            todo, rows = [], []
-
-            def flush() -> None:
-                if rows:
-                    f = model.score(rows)
-                    best = f.argmax(axis=1)
-                    out[todo] = np.array(model.languages, object)[best]
-                    score[todo] = np.clip((f[np.arange(len(best)), best] + 1) / 2, 0, 1)
-                    todo.clear()
-                    rows.clear()
-
-            for i, t in enumerate(s):
-                if t is not None and model is not None and (p := presence(t)) is not None:
-                    todo.append(i)
-                    rows.append(p)
-                    if len(rows) == 256:
-                        flush()
-            flush()
-            yield pd.DataFrame({"lang_pred": out, "score": score})
-
-    found = docs.withColumn("_found", run(F.col(text)))
-    return found.withColumns({into[0]: F.col("_found.lang_pred"), into[1]: F.col("_found.score")}).drop("_found")
+
+    def make(texts: pa.Array) -> list[pa.Array]:
+        out, score = np.full(len(texts), "und", object), np.zeros(len(texts))
+        todo, rows = [], []
+
+        def flush() -> None:
+            if rows:
+                f = model.score(rows)
+                best = f.argmax(axis=1)
+                out[todo] = np.array(model.languages, object)[best]
+                score[todo] = np.clip((f[np.arange(len(best)), best] + 1) / 2, 0, 1)
+                todo.clear()
+                rows.clear()
+
+        for i, t in enumerate(texts):
+            if t.is_valid and model is not None and (p := presence(t.as_py())) is not None:
+                todo.append(i)
+                rows.append(p)
+                if len(rows) == 256:
+                    flush()
+        flush()
+        return [pa.array(out, pa.string()), pa.array(score, pa.float64())]
+
+    return added(docs, f"`{into[0]}` string, `{into[1]}` double", make, [text], keep)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -212,4 +207,4 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs)
-    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

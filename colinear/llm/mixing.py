@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colinear.session import cut, table
+from colinear.session import cut, fresh, table
 
 #: Documents of a block, blocks of a source at least, and documents of a block at least.
 BLOCK_ROWS, LEAST_BLOCKS, LEAST_ROWS = 4096, 16, 8
@@ -171,10 +171,12 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     meet it. Options as for ``decide``.
     """
     id_col, text, source = options.get("id_col", "doc_id"), options.get("text", "text"), options.get("source", "source")
-    taken = decide(docs, **options).where("copies > 0").select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
-    sized = docs.withColumn("_words", words(F.col(text)))
-    both = sized.join(taken, sized[id_col].eqNullSafe(taken["_id"]) & sized[source].eqNullSafe(taken["_source"]) & (sized["_words"] == taken["_size"]))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    names = fresh(docs, "unit_id", "unit_source", "unit_size", "copies", "words", "copy")
+    unit_id, unit_source, unit_size, copies, size, copy = names
+    taken = decide(docs, **options).where("copies > 0").select("id", "source", "size", "copies").toDF(*names[:4])
+    sized = docs.withColumn(size, words(F.col(text)))
+    both = sized.join(taken, sized[id_col].eqNullSafe(taken[unit_id]) & sized[source].eqNullSafe(taken[unit_source]) & (sized[size] == taken[unit_size]))
+    return both.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -241,8 +241,49 @@ def test_bpe_equals_the_library():
     for t in texts:
         want = ref.encode(t, add_special_tokens=False).ids
         ids = mine.encode(t)
-        assert ids == ",".join(map(str, want)), t
+        assert ids == want, t
         assert mine.decode(ids) == ref.decode(want, skip_special_tokens=False)
+    # side by side, with the words of one text remembered for the next
+    every = mine.digest(texts)
+    for t, n, shown, back in zip(texts, *every, strict=True):
+        want = ref.encode(t, add_special_tokens=False).ids
+        assert (n, shown) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest())
+        assert back == hashlib.sha256(ref.decode(want, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_bpe_long_words_and_small_memory(monkeypatch):
+    tokenizers = pytest.importorskip("tokenizers")
+    ref = tokenizers.Tokenizer.from_file(bpe.default_path())
+    for name, value in (("GROUP", 300), ("SEGMENT", 100), ("KNOWN", 50), ("LONG", 40), ("PLACES", 64)):
+        monkeypatch.setattr(bpe, name, value)
+    mine, r = bpe.Tokenizer(bpe.default_path()), random.Random(12)
+    texts = ["".join(r.choice(alphabet) for _ in range(n)) for alphabet in ("aab", "etaoinshrdlu", "é漢😀a", "=-", "ab cd\n", " \n", "a b<|endoftext|>") for n in (39, 41, 1000, 20_000)]
+    texts += ["x" * 99 + "  y" * 80, "a " * 500 + " ", " " * 300 + "b", "<|endoftext|>" * 40]
+    for t, n, shown, _ in zip(texts, *mine.digest(texts), strict=True):
+        want = ref.encode(t, add_special_tokens=False).ids
+        assert (n, shown) == (len(want), hashlib.sha256(",".join(map(str, want)).encode()).hexdigest()), t[:50]
+
+
+def test_bpe_reads_a_very_long_word_once():
+    """The library merges pair by pair; the automaton reads place by place, so time grows with the length only."""
+    import time
+
+    mine, r, took = bpe.Tokenizer(bpe.default_path()), random.Random(13), []
+    for n in (100_000, 800_000):
+        word = "".join(r.choice("etaoinshrdlu") for _ in range(n))
+        began = time.perf_counter()
+        ids = mine.encode(word)
+        took.append(time.perf_counter() - began)
+        assert mine.decode(ids) == word
+    assert took[1] < 16 * took[0] + 5
+
+
+def test_bpe_leaves_out_arcs_that_merges_never_reach():
+    """A token whose parts would have merged otherwise before is never emitted."""
+    labels = [b"a", b"b", b"c", b"ab", b"bc", b"abc", *[bytes([x]) for x in range(256) if x not in b"abc"]]
+    machine = bpe.Automaton(labels, [(0, 1, 3), (1, 2, 4), (0, 4, 5)])  # a bc is never left once ab is merged
+    flat, upto = machine.read(np.frombuffer(b"abcbcab", np.uint8), np.array([0, 3, 5, 7], np.int32))
+    assert [flat[a:b].tolist() for a, b in zip(upto[:-1], upto[1:], strict=True)] == [[3, 2], [4], [3]]
 
 
 def test_bpe_rows(spark):
@@ -403,24 +444,25 @@ def test_sharding(spark):
 # Substring dedup
 
 
-def brute_dedup(rows, kind="sentence"):
+def brute_dedup(rows, kind="sentence", least=linededup.LEAST_WORDS):
     seen, out = set(), {}
     for i, t in sorted(rows, key=lambda x: (x[0] is None, x[0])):
         if t is None:
             out[i] = None
             continue
-        ends, keep = list(linededup.units(t, kind)), []
+        ends, lost = list(linededup.units(t, kind)), set()
         plain = [linededup.normal(t[a:b]) for a, b, _ in ends]
-        for k, (a, _, z) in enumerate(ends):
-            j, whole = k + 1, plain[k]
-            while whole and len(whole.split()) < linededup.LEAST_WORDS and j < len(plain):
-                whole, j = whole + "\n" + plain[j], j + 1
-            if plain[k] and len(whole.split()) >= linededup.LEAST_WORDS:
-                if whole in seen:
-                    continue
-                seen.add(whole)
-            keep.append(t[a:z])
-        out[i] = "".join(keep)
+        for k in range(len(plain)):
+            j, n = k + 1, len(plain[k].split())
+            while n < least and j < len(plain):
+                j, n = j + 1, n + len(plain[j].split())
+            if not plain[k] or n < least:
+                continue
+            whole = tuple(x for x in plain[k:j] if x)
+            if whole in seen:
+                lost |= set(range(k, j))
+            seen.add(whole)
+        out[i] = "".join(t[a:z] for k, (a, _, z) in enumerate(ends) if k not in lost)
     return out
 
 
@@ -430,10 +472,15 @@ def test_line_dedup_equals_brute_force(spark):
     lines = [" ".join(word() for _ in range(r.randint(1, 14))) + r.choice([".", "", "!"]) for _ in range(60)]
     rows = [(i, "\n".join(r.choice(lines) if r.random() < 0.4 else " ".join(word() for _ in range(12)) for _ in range(r.randint(0, 8)))) for i in range(120)]
     rows += [(500, None), (501, ""), (502, "\n\n\n"), (None, lines[0] + "\n" + lines[1]), (503, (lines[3] + " ") * 3000)]
-    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, removed string")
-    got = linededup.remove(df).collect()
-    want = brute_dedup(rows)
-    assert {x["doc_id"]: x["text"] for x in got} == want
+    df = spark.createDataFrame([(i, t, "x", "y", "z", "p") for i, t in rows], "doc_id long, text string, removed string, _th string, TH string, places string")
+    for kind, least in (("line", 8), ("paragraph", 1), ("sentence", linededup.LEAST_WORDS)):
+        found = linededup.remove(df, unit=kind, least_words=least)
+        assert found.columns == ["doc_id", "text", "_th", "TH", "places", "removed"]
+        got = found.collect()
+        want = brute_dedup(rows, kind, least)
+        assert {x["doc_id"]: x["text"] for x in got} == want
+        assert {x["TH"] for x in got} == {"z"}
+    assert sum(len(t or "") for t in want.values()) < 0.9 * sum(len(t or "") for _, t in rows)
     original = dict(rows)
     for x in got:
         if x["text"] is not None:
@@ -442,8 +489,8 @@ def test_line_dedup_equals_brute_force(spark):
                 kept.append(t[at : s["start"]])
                 at = s["end"]
             assert "".join([*kept, t[at:]]) == x["text"]
-    twice = linededup.remove(docs_of(spark, [(1, "a b c d e f g h i", None, None), (1, "a b c d e f g h i", None, None)])).collect()
-    assert [x["text"] for x in twice] == ["a b c d e f g h i"] * 2
+    twice = linededup.remove(docs_of(spark, [(1, "a b c d e f g h i " * 2, None, None), (1, "a b c d e f g h i " * 2, None, None)])).collect()
+    assert [x["text"] for x in twice] == ["a b c d e f g h i " * 2] * 2
     assert linededup.remove(df.limit(0)).count() == 0
 
 
