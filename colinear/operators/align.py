@@ -18,8 +18,10 @@ from colinear.functions.scoring import GUMBEL
 
 #: Fixed values: (gap open, gap extension, mismatch, whether runs score by their cube) of each aligner.
 ALIGNERS = {"SW": (-1.0, -1.0, -1.0, False), "SWGA": (-6.0, -1.0, -1.0, False), "NS": (-100.0, -100.0, -8.0, True), "NSGA": (-200.0, -20.0, -8.0, True)}
-#: Runs longer than this score as this per letter.
+#: Letters of a run that score by the cube; further ones score as the last of them. A parameter, as states grow with it.
 DEPTH = 12
+#: Cells up to which the whole way back is held; beyond, rows are kept now and then, and what lies between is worked off again.
+HELD_CELLS = 1 << 24
 
 
 @dataclass
@@ -59,86 +61,115 @@ class Alignment:
         return sum(runs) / len(runs) if runs else 0.0
 
 
-def align(t: str, q: str, aligner: str = "SWGA", band: int = -1, end_to_end: bool = False) -> Alignment | None:
-    """The best local alignment (``end_to_end``: of both whole sequences); None if nothing scores above 0.
+class Rows:
+    """The dynamic program of two sequences, row by row (see ``align``)."""
 
-    States: 0 after a mismatch or at the start, 1 to ``DEPTH`` a run of so many equal
-    letters, then a gap in the query and a gap in the target. Rows are worked off one
-    after the other, all columns at once: only the gap in the target looks along the
-    row, which a running maximum gives. A band limits how far rows and columns differ.
-    """
-    gap, extend, miss, cube = ALIGNERS[aligner]
-    n, m = len(t), len(q)
-    if not n or not m:
-        return None
-    depth = DEPTH if cube else 1
-    gain = [float((k + 1) ** 3 - k**3) if cube else 1.0 for k in range(depth)]
-    up, left = depth + 1, depth + 2
-    letters, columns = np.frombuffer(q.encode(), np.uint8), np.arange(m + 1)
-    back = np.full((n + 1, m + 1, depth + 3), -1, np.int8)
-    ends = np.array([0, up, left])
-    row, best, at = None, 0.0, None
-    for i in range(n + 1):
-        new = np.full((m + 1, depth + 3), -np.inf)
-        if i == 0:
+    def __init__(self, t: str, q: str, aligner: str, band: int, end_to_end: bool, depth: int):
+        self.t, self.m, self.band, self.local = t, len(q), band, not end_to_end
+        self.gap, self.extend, self.miss, cube = ALIGNERS[aligner]
+        self.depth = depth if cube else 1
+        self.gain = [float((k + 1) ** 3 - k**3) if cube else 1.0 for k in range(self.depth)]
+        self.up, self.left = self.depth + 1, self.depth + 2
+        self.letters, self.columns = np.frombuffer(q.encode(), np.uint8), np.arange(self.m + 1)
+        self.ends = np.array([0, self.up, self.left])
+
+    def step(self, row: np.ndarray | None, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row i, the states that its cells come from) from row i - 1 (None: row 0)."""
+        depth, up, left, columns = self.depth, self.up, self.left, self.columns
+        new, back = np.full((self.m + 1, depth + 3), -np.inf), np.full((self.m + 1, depth + 3), -1, np.int8)
+        if row is None:
             new[0, 0] = 0.0
         else:
-            equal, before = letters == ord(t[i - 1]), row[:-1]
+            equal, before = self.letters == ord(self.t[i - 1]), row[:-1]
             for r in range(1, depth + 1):
                 to = min(r + 1, depth)
-                v = np.where(equal, before[:, r] + gain[min(r, depth - 1)], -np.inf)
+                v = np.where(equal, before[:, r] + self.gain[min(r, depth - 1)], -np.inf)
                 better = v > new[1:, to]
                 new[1:, to][better] = v[better]
-                back[i, 1:, to][better] = r
-            other = before[:, ends]
+                back[1:, to][better] = r
+            other = before[:, self.ends]
             k = other.argmax(axis=1)
-            v = np.where(equal, other[columns[:-1], k] + gain[0], -np.inf)
+            v = np.where(equal, other[columns[:-1], k] + self.gain[0], -np.inf)
             better = v > new[1:, 1]
             new[1:, 1][better] = v[better]
-            back[i, 1:, 1][better] = ends[k][better]
+            back[1:, 1][better] = self.ends[k][better]
             k = before.argmax(axis=1)
-            v = np.where(equal, -np.inf, before[columns[:-1], k] + miss)
+            v = np.where(equal, -np.inf, before[columns[:-1], k] + self.miss)
             better = v > new[1:, 0]
             new[1:, 0][better] = v[better]
-            back[i, 1:, 0][better] = k[better]
-            price = np.full(depth + 3, gap)
-            price[up] = extend
+            back[1:, 0][better] = k[better]
+            price = np.full(depth + 3, self.gap)
+            price[up] = self.extend
             opened = row + price
             k = opened.argmax(axis=1)
             new[:, up] = opened[columns, k]
-            back[i, :, up] = np.where(np.isfinite(new[:, up]), k, -1)
-        if not end_to_end:
+            back[:, up] = np.where(np.isfinite(new[:, up]), k, -1)
+        if self.local:
             start = new[:, 0] <= 0
             new[start, 0] = 0.0
-            back[i, start, 0] = -1
-        if band >= 0:
-            new[np.abs(columns - i) > band] = -np.inf
+            back[start, 0] = -1
+        if self.band >= 0:
+            new[np.abs(columns - i) > self.band] = -np.inf
         k = new[:, :left].argmax(axis=1)
         base = new[columns, k]
-        reach = np.maximum.accumulate(base - columns * extend)
-        new[1:, left] = reach[:-1] + gap + columns[:-1] * extend
-        opens = new[1:, left] <= base[:-1] + gap
-        back[i, 1:, left] = np.where(np.isfinite(new[1:, left]), np.where(opens, k[:-1], left), -1)
-        if band >= 0:
-            new[np.abs(columns - i) > band, left] = -np.inf
-        row = new
+        reach = np.maximum.accumulate(base - columns * self.extend)
+        new[1:, left] = reach[:-1] + self.gap + columns[:-1] * self.extend
+        opens = new[1:, left] <= base[:-1] + self.gap
+        back[1:, left] = np.where(np.isfinite(new[1:, left]), np.where(opens, k[:-1], left), -1)
+        if self.band >= 0:
+            new[np.abs(columns - i) > self.band, left] = -np.inf
+        return new, back
+
+
+def align(t: str, q: str, aligner: str = "SWGA", band: int = -1, end_to_end: bool = False, depth: int = DEPTH) -> Alignment | None:
+    """The best local alignment (``end_to_end``: of both whole sequences); None if nothing scores above 0.
+
+    States: 0 after a mismatch or at the start, 1 to ``depth`` a run of so many equal
+    letters, then a gap in the query and a gap in the target. Rows are worked off one
+    after the other, all columns at once: only the gap in the target looks along the
+    row, which a running maximum gives. A band limits how far rows and columns differ.
+
+    Of long sequences every so many rows is kept, about the square root of their
+    number; on the way back the rows between two of them are worked off again. So the
+    result is the same, and memory grows with the query times that square root.
+    """
+    n, m = len(t), len(q)
+    if not n or not m:
+        return None
+    rows = Rows(t, q, aligner, band, end_to_end, depth)
+    width = rows.depth + 3
+    every = n + 1 if (n + 1) * (m + 1) * width <= HELD_CELLS else math.isqrt(n) + 1
+    row, best, at, kept, backs = None, 0.0, None, {}, {}
+    for i in range(n + 1):
+        if i % every == 0:
+            kept[i] = row  # what row i is made from
+            if every <= n:
+                backs.clear()
+        row, backs[i] = rows.step(row, i)
         if not end_to_end:
             x = int(row.argmax())
             if row.flat[x] > best:
-                best, at = float(row.flat[x]), (i, x // (depth + 3), x % (depth + 3))
+                best, at = float(row.flat[x]), (i, x // width, x % width)
     if end_to_end:
         best, at = float(row[m].max()), (n, m, int(row[m].argmax()))
     if at is None or not math.isfinite(best):
         return None
     i, j, k = at
     a, b = [], []
-    while back[i, j, k] >= 0:
-        before = int(back[i, j, k])
-        if k == up:
+    while True:
+        if i not in backs:
+            first = i - i % every
+            row, backs = kept[first], {}
+            for x in range(first, i + 1):
+                row, backs[x] = rows.step(row, x)
+        before = int(backs[i][j, k])
+        if before < 0:
+            break
+        if k == rows.up:
             a.append(t[i - 1])
             b.append("-")
             i -= 1
-        elif k == left:
+        elif k == rows.left:
             a.append("-")
             b.append(q[j - 1])
             j -= 1
@@ -168,28 +199,35 @@ def non_overlapping(t: str, q: str, aligner: str = "NSGA", most_p: float = 0.1,
     return [*left, best, *right]
 
 
-def skip_align(t: str, q: str, skip: float = 0.5, band: int = 48) -> tuple[float, list[tuple[int, int]]]:
+def skip_align(t: str, q: str, skip: float = 0.5) -> tuple[float, list[tuple[int, int]]]:
     """Least-cost alignment of all of ``t``: a wrong column costs 1, leaving ``q`` by d letters costs skip + d (0.01 a letter past 500).
 
+    The price of a step is the lesser of two straight lines on either side, so the
+    cheapest step to every column, however long, comes from four running minima.
     Returns the cost and the (target, query) columns that are used.
     """
     n, m = len(t), len(q)
     if not n or not m:
         return 0.0, []
-    cost = np.array([float(t[0] != c) for c in q])
+    letters = np.array(list(q))
+    cost, columns = (letters != t[0]).astype(float), np.arange(m)
     back = np.zeros((n, m), np.int32)
+
+    def least(v: np.ndarray) -> np.ndarray:
+        """Place of the running minimum."""
+        return np.maximum.accumulate(np.where(v == np.minimum.accumulate(v), columns, 0))
+
     for i in range(1, n):
-        new = np.full(m, np.inf)
-        for d in range(-band, band + 1):
-            step = d - 1
-            price = 0.0 if step == 0 else skip + min(abs(step), 500) + 0.01 * max(0, abs(step) - 500)
-            lo, hi = max(0, d), min(m, m + d)
-            if lo < hi:
-                c = cost[lo - d : hi - d] + price
-                better = c < new[lo:hi]
-                new[lo:hi][better] = c[better]
-                back[i, lo:hi][better] = np.arange(lo - d, hi - d)[better]
-        cost = new + np.array([float(t[i] != c) for c in q])
+        new, at = np.full(m, np.inf), np.zeros(m, np.int64)
+        new[1:], at[1:] = cost[:-1], columns[:-1]  # the next column
+        for slope, price in ((1.0, skip), (0.01, skip + 495.0)):
+            x = least(cost - slope * columns)[:-1]  # from before
+            y = m - 1 - least((cost + slope * columns)[::-1])[::-1]  # from here or behind
+            for to, source in ((slice(1, None), x), (slice(None), y)):
+                v = cost[source] + slope * np.abs(columns[to] - 1 - source) + price
+                better = v < new[to]
+                new[to][better], at[to][better] = v[better], source[better]
+        back[i], cost = at, new + (letters != t[i])
     j = int(cost.argmin())
     total, path = float(cost[j]), []
     for i in range(n - 1, -1, -1):
@@ -198,18 +236,14 @@ def skip_align(t: str, q: str, skip: float = 0.5, band: int = 48) -> tuple[float
     return total, path[::-1]
 
 
-def align_pairs(pairs: DataFrame, aligner: str = "SWGA", most_cells: int = 4_000_000) -> DataFrame:
-    """Aligns pairs (id, t_seq, q_seq). One row each: offsets, score, identity, edits, the strings.
-
-    Pairs of more than ``most_cells`` cells are banded by the difference of their lengths and 256.
-    """
+def align_pairs(pairs: DataFrame, aligner: str = "SWGA", band: int = -1) -> DataFrame:
+    """Aligns pairs (id, t_seq, q_seq). One row each: offsets, score, identity, edits, the strings. A ``band``, if given, limits how far rows and columns differ."""
     schema = "id long, t_off long, q_off long, score double, identity double, edits long, p_value double, t_aligned string, q_aligned string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                band = -1 if len(r.t_seq) * len(r.q_seq) <= most_cells else abs(len(r.t_seq) - len(r.q_seq)) + 256
                 if a := align(r.t_seq, r.q_seq, aligner, band):
                     out.append((r.id, a.t_start, a.q_start, a.score, a.identity, a.edits, p_value(a.score, aligner), a.target, a.query))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
@@ -248,18 +282,21 @@ def merged_identity(t: str, q: str, members: list[tuple[int, int, int]]) -> tupl
     return sum(x == y for x, y in zip(ta, qa, strict=True)) / len(path), ta, qa
 
 
-def fit_gumbel(scores: np.ndarray) -> tuple[float, float]:
-    """(rate, location) of the extreme-value law by maximum likelihood: Newton steps, then bisection if they fail."""
+def fit_gumbel(scores: np.ndarray, weights: np.ndarray | None = None) -> tuple[float, float]:
+    """(rate, location) of the extreme-value law by maximum likelihood, of scores that count as often as ``weights`` say: Newton steps, then bisection if they fail."""
     x = np.asarray(scores, float)
+    w = np.ones(len(x)) if weights is None else np.asarray(weights, float)
+    w = w / w.sum()
     low = x.min()
     y = x - low
+    mean = float((w * y).sum())
 
     def f(rate: float) -> tuple[float, float]:
-        e = np.exp(-rate * y)
+        e = w * np.exp(-rate * y)
         s0, s1, s2 = e.sum(), (y * e).sum(), (y * y * e).sum()
-        return 1 / rate - y.mean() + s1 / s0, -1 / rate**2 + (s1 / s0) ** 2 - s2 / s0
+        return 1 / rate - mean + s1 / s0, -1 / rate**2 + (s1 / s0) ** 2 - s2 / s0
 
-    rate = math.pi / math.sqrt(6 * max(x.var(), 1e-12))
+    rate = math.pi / math.sqrt(6 * max(float((w * (y - mean) ** 2).sum()), 1e-12))
     for _ in range(100):
         v, d = f(rate)
         if abs(v) < 1e-9:
@@ -271,7 +308,7 @@ def fit_gumbel(scores: np.ndarray) -> tuple[float, float]:
                 rate = (a + b) / 2
                 a, b = (rate, b) if f(rate)[0] > 0 else (a, rate)
             break
-    return rate, low - math.log(np.exp(-rate * y).mean()) / rate
+    return rate, low - math.log((w * np.exp(-rate * y)).sum()) / rate
 
 
 def homopolymer_identity(a: str, b: str) -> float:

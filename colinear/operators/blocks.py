@@ -23,22 +23,24 @@ def _fold(rows: DataFrame, keys: list[str], order: list[str], step, schema: str)
 
 
 def merge_overlaps(matches: DataFrame) -> DataFrame:
-    """Merges a match into the one before while it overlaps that on both axes and starts behind it on both.
+    """Merges matches in order of the target start while each overlaps the newest one before it on both axes and doesn't start before that on either.
 
-    One group per target, query and strand, in order of the target start. Returns the
-    merged intervals with the number of their members.
+    The newest one counts as reaching as far on both axes as makes it end, on the
+    target, where the merged interval ends. One group per target, query and strand.
+    Returns the merged intervals with the number of their members.
     """
 
     def step(rows: list[dict]) -> Iterator[tuple]:
-        held = None
+        held, new = None, None
         for r in rows:
-            if held and held["t_start"] <= r["t_start"] < held["t_end"] and held["q_start"] <= r["q_start"] < held["q_end"]:
+            if held and new["t_start"] <= r["t_start"] < held["t_end"] and new["q_start"] <= r["q_start"] < new["q_start"] + held["t_end"] - new["t_start"]:
                 held["t_end"], held["q_end"] = max(held["t_end"], r["t_start"] + r["len"]), max(held["q_end"], r["q_start"] + r["len"])
                 held["members"] += 1
+                new = r
                 continue
             if held:
                 yield tuple(held.values())
-            held = {k: r[k] for k in ("target_id", "query_id", "rc", "t_start", "q_start")} | {"t_end": r["t_start"] + r["len"], "q_end": r["q_start"] + r["len"], "members": 1}
+            held, new = {k: r[k] for k in ("target_id", "query_id", "rc", "t_start", "q_start")} | {"t_end": r["t_start"] + r["len"], "q_end": r["q_start"] + r["len"], "members": 1}, r
         if held:
             yield tuple(held.values())
 

@@ -61,7 +61,7 @@ def best_path(t: np.ndarray, q: np.ndarray, query: np.ndarray, rc: np.ndarray, p
 
 def with_repeat_scores(matches: DataFrame) -> DataFrame:
     """Adds ``rep``: the lower of the repeat scores at the match's middle on both axes."""
-    rows = matches.withColumn("id", F.xxhash64("target_id", "query_id", "rc", "t_start", "q_start", "len"))
+    rows = matches.withColumn("id", F.struct("target_id", "query_id", "rc", "t_start", "q_start", "len"))
     middle = lambda start: F.col(start) + F.floor(F.col("len") / 2)
     t = depth_at(rows.select("id", F.col("target_id").alias("seq"), middle("t_start").alias("pos")).distinct(), trimmed(matches)).select("id", F.col("depth").alias("dt"))
     q_spans = matches.select(F.col("query_id").alias("seq"), F.col("q_start").alias("start"), (F.col("q_start") + F.col("len")).alias("end"))

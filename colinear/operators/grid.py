@@ -66,14 +66,19 @@ def stretches(axis: DataFrame, least: int) -> DataFrame:
 
 
 def seed_lines(targets: DataFrame, queries: DataFrame, n: int, least: int = 4) -> DataFrame:
-    """The n longest uncovered target stretches, ties kept, each paired with the longest uncovered query stretch of its rank.
+    """The n longest uncovered target stretches, and those as long as the last of them, each paired with the uncovered query stretch of its rank.
 
     Runs as two ranked lists joined by rank, so no stretch meets every other.
     """
-    rank = lambda df: df.withColumn("size", F.col("last") - F.col("first") + 1).orderBy(F.desc("size"), "seq", "first").limit(n)
-    order = Window.orderBy(F.desc("size"), "seq", "first")  # over n rows at most
-    t = rank(stretches(targets, least)).withColumn("line", F.row_number().over(order))
-    q = rank(stretches(queries, 1)).withColumn("line", F.row_number().over(order))
+    from colinear.operators.ranking import global_rank
+
+    def rank(rows: DataFrame) -> DataFrame:
+        sized = rows.withColumn("size", F.col("first") - F.col("last") - 1)  # longest first
+        last = sized.orderBy("size").limit(n).agg(F.max("size")).first()[0]
+        ranked, _ = global_rank(sized.where(F.col("size") <= F.lit(last)), ["size", "seq", "first"])
+        return ranked.withColumn("line", (F.col("_rank") + 1).cast("int"))
+
+    t, q = rank(stretches(targets, least)), rank(stretches(queries, 1))
     return t.select("line", F.col("seq").alias("target_id"), F.col("first").alias("t_first"), F.col("last").alias("t_last")).join(q.select("line", F.col("seq").alias("query_id"), F.col("first").alias("q_first"), F.col("last").alias("q_last")), "line")
 
 

@@ -58,27 +58,49 @@ def coverage_delta(before: DataFrame, after: DataFrame, key: str = "seq", start:
     return e.groupBy("seq").agg(F.coalesce(F.sum(F.when((F.col("da") == 0) & (F.col("db") > 0), F.col("size"))), F.lit(0)).alias("gained"), F.coalesce(F.sum(F.when((F.col("da") > 0) & (F.col("db") == 0), F.col("size"))), F.lit(0)).alias("lost"))
 
 
+def union(intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, start, end``: the runs of places under any interval (keys, start, end), by keys."""
+    ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"))))
+    e = intervals.where(F.col("end") > F.col("start")).select(*keys, ends.alias("x")).select(*keys, "x.*").groupBy(*keys, "pos").agg(F.sum("d").alias("d"))
+    along = Window.partitionBy(*keys).orderBy("pos")
+    e = e.withColumn("open", F.sum("d").over(along)).withColumn("before", F.col("open") - F.col("d"))
+    # only the places where a run begins or ends are left, in turn
+    e = e.where((F.col("open") == 0) | (F.col("before") == 0)).where("open <> before").withColumn("end", F.lead("pos").over(along))
+    return e.where("open > 0").select(*keys, F.col("pos").alias("start"), "end")
+
+
+def bases_before(points: DataFrame, runs: DataFrame) -> DataFrame:
+    """Adds ``below`` to points (seq, pos, ...): how many places below ``pos`` lie in disjoint runs (seq, start, end). One sweep over both."""
+    others = [c for c in points.columns if c not in ("seq", "pos")]
+    ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"))))
+    e = runs.select("seq", ends.alias("x")).select("seq", "x.*", *[F.lit(None).cast(dict(points.dtypes)[c]).alias(c) for c in others], F.lit(False).alias("asked"))
+    p = points.select("seq", "pos", F.lit(0).alias("d"), *others, F.lit(True).alias("asked"))
+    along = Window.partitionBy("seq").orderBy("pos")
+    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = e.unionByName(p).withColumn("before", F.coalesce(F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    step = F.when(F.col("before") > 0, F.col("pos") - F.lag("pos").over(along)).otherwise(0)
+    return rows.withColumn("step", step).withColumn("below", F.sum("step").over(upto)).where("asked").select(*points.columns, "below")
+
+
 def feature_coverage(features: DataFrame, sizes: DataFrame, covered: DataFrame) -> DataFrame:
     """``type, bases, covered, share`` over all sequences; type ``None`` for bases without any feature.
 
     ``features``: seq, type, start, end; ``sizes``: seq, size; ``covered``: seq, start, end.
-    Overlapping features of one type count once.
+    Overlapping features of one type count once. Types are rows of the sweeps, so any
+    number of them will do. Features are cut at the ends of their sequence.
     """
-    marks = features.select("seq", F.col("start").alias("s"), F.col("end").alias("e"), "type").unionByName(covered.select("seq", F.col("start").alias("s"), F.col("end").alias("e"), F.lit("").alias("type")))
-    marks = marks.unionByName(sizes.select("seq", F.lit(0).cast("long").alias("s"), F.col("size").alias("e"), F.lit("*").alias("type"))).where("e > s")
-    ends = F.explode(F.array(F.struct(F.col("s").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("e").alias("pos"), F.lit(-1).alias("d"))))
-    e = marks.select("seq", "type", ends.alias("x")).select("seq", "type", "x.*").groupBy("seq", "type", "pos").agg(F.sum("d").alias("d"))
-    # on every elementary segment: which types are open
-    types = [r["type"] for r in features.select("type").distinct().orderBy("type").limit(64).collect()]
-    along = Window.partitionBy("seq").orderBy("pos")
-    wide = e.groupBy("seq", "pos").agg(*[F.coalesce(F.sum(F.when(F.col("type") == t, F.col("d"))), F.lit(0)).alias(f"d{i}") for i, t in enumerate(["", "*", *types])])
-    wide = wide.select("seq", (F.lead("pos").over(along) - F.col("pos")).alias("size"), *[(F.sum(f"d{i}").over(along) > 0).alias(f"o{i}") for i in range(len(types) + 2)]).where("o1")
-    any_type = F.lit(False)
-    for i in range(len(types)):
-        any_type = any_type | F.col(f"o{i + 2}")
-    open_ = F.array(*[F.struct(F.lit(t).alias("type"), F.col(f"o{i + 2}").alias("on")) for i, t in enumerate(types)], F.struct(F.lit("None").alias("type"), (~any_type).alias("on")))
-    rows = wide.select("size", F.col("o0").alias("hit"), F.explode(open_).alias("x")).where("x.on")
-    return rows.groupBy(F.col("x.type").alias("type")).agg(F.sum("size").alias("bases"), F.coalesce(F.sum(F.when(F.col("hit"), F.col("size"))), F.lit(0)).alias("covered")).withColumn("share", F.col("covered") / F.col("bases"))
+    axis = sizes.select("seq", "size")
+    within = features.join(axis, "seq").select("seq", "type", F.greatest("start", F.lit(0)).alias("start"), F.least("end", "size").alias("end"))
+    every, hit = union(within, ["seq"]), union(covered, ["seq"])
+    whole = axis.select("seq", F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end"))
+    tag = lambda df, kind, name, sign: df.select("seq", F.lit(kind).alias("kind"), name.alias("type"), "start", "end", F.lit(sign).alias("sign"))
+    none = F.lit(None).cast("string")
+    runs = tag(union(within, ["seq", "type"]), 0, F.col("type"), 1).unionByName(tag(whole, 1, none, 1)).unionByName(tag(every, 1, none, -1))
+    ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), (-F.col("sign")).alias("by")), F.struct(F.col("end").alias("pos"), F.col("sign").alias("by"))))
+    points = runs.select("seq", "kind", "type", ends.alias("x")).select("seq", "kind", "type", "x.*")
+    found = bases_before(points, hit).groupBy("kind", "type").agg(F.sum(F.col("by") * F.col("pos")).alias("bases"), F.sum(F.col("by") * F.col("below")).alias("covered"))
+    name = F.when(F.col("kind") == 1, F.lit("None")).otherwise(F.col("type"))
+    return found.where("bases > 0").select(name.alias("type"), "bases", "covered", (F.col("covered") / F.col("bases")).alias("share"))
 
 
 def depth_at(points: DataFrame, intervals: DataFrame) -> DataFrame:

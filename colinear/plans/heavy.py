@@ -152,12 +152,12 @@ def align_skip(spark, d):
 
 @query
 def gumbel_fit(spark, d):
-    """Rate and location of the extreme-value law of order prices, by priority. Groups are pre-aggregated to counts by whole price."""
+    """Rate and location of the extreme-value law of order prices, by priority. Groups are pre-aggregated to counts by whole thousands."""
     prices = table(spark, d, "orders").select("o_orderpriority", F.floor(F.col("o_totalprice") / 1000).alias("v")).groupBy("o_orderpriority", "v").agg(F.count("*").alias("n"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("v")
-        rate, at = align.fit_gumbel(np.repeat(g["v"].to_numpy(float), g["n"].to_numpy()))
+        rate, at = align.fit_gumbel(g["v"].to_numpy(float), g["n"].to_numpy())
         return pd.DataFrame([(g["o_orderpriority"].iloc[0], round(rate, 6), round(at, 3))], columns=["priority", "rate", "location"])
 
     return prices.groupBy("o_orderpriority").applyInPandas(run, "priority string, rate double, location double")

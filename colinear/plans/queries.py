@@ -464,7 +464,7 @@ st AS (SELECT seq, min(chunk) AS first, max(chunk) AS last FROM ru WHERE free =
 
 
 @query(
-    f"""WITH {_LINES}, t AS (SELECT *, row_number() OVER (ORDER BY last - first DESC, seq, first) AS line FROM st WHERE last - first + 1 >= 4 QUALIFY line <= 20), q AS (SELECT *, row_number() OVER (ORDER BY last - first DESC, seq, first) AS line FROM st QUALIFY line <= 20)
+    f"""WITH {_LINES}, t AS (SELECT *, row_number() OVER (ORDER BY last - first DESC, seq, first) AS line FROM st WHERE last - first + 1 >= 4 QUALIFY rank() OVER (ORDER BY last - first DESC) <= 20), q AS (SELECT *, row_number() OVER (ORDER BY last - first DESC, seq, first) AS line FROM st QUALIFY rank() OVER (ORDER BY last - first DESC) <= 20)
 SELECT line::INTEGER AS line, t.seq AS target_id, t.first AS t_first, t.last AS t_last, q.seq AS query_id, q.first AS q_first, q.last AS q_last FROM t JOIN q USING (line)"""
 )
 def seed_lines(spark, d):

@@ -6,20 +6,28 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colinear.functions.sequence import clean_name
+from colinear.session import stored
 
 
-def read_fasta(spark: SparkSession, paths: str | list[str], proteins: bool = False) -> DataFrame:
+def records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``value, file``: what stands between the ``>`` that begin a line; text before the first is left out, and so are empty records."""
+    files = paths.split(",") if isinstance(paths, str) else list(paths)
+    rows = spark.read.option("lineSep", "\n>").text(files).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"))
+    # only what stands first in a file still has its own ">", or comes before the first
+    first = rows.where("block = 0").groupBy("file").agg(F.min("n").alias("n")).withColumn("first", F.lit(True))
+    value = F.when(F.col("first").isNull(), F.col("value")).when(F.col("value").startswith(">"), F.expr("substring(value, 2)"))
+    return rows.join(first, ["file", "n"], "left").select(value.alias("value"), "file").where("value is not null and trim(value) <> ''")
+
+
+def read_fasta(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``name, seq, file``: records of FASTA files (a list or a comma list), names without ``>`` and with ``_`` for blanks, letters in upper case.
 
-    Of each sequence line the first word counts. Files are split at ``>``, so a file is read by many tasks. Text before
-    the first ``>`` and empty records are left out. ``proteins`` keeps the letters as they are named, ``*`` too.
+    Of each sequence line the first word counts. Files are split where a line begins with ``>``, so a file is read by many
+    tasks. Nucleotides and proteins are read alike, ``*`` too.
     """
-    del proteins  # letters are the same; callers choose the functions
-    files = paths.split(",") if isinstance(paths, str) else list(paths)
-    rows = spark.read.option("lineSep", ">").text(files).select("value", F.input_file_name().alias("file")).where("trim(value) <> ''")
     lines = F.split(F.col("value"), r"\r?\n")
     body = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: F.regexp_extract(x, r"^\s*(\S*)", 1))
-    return rows.select(clean_name(F.element_at(lines, 1)).alias("name"), F.upper(F.array_join(body, "")).alias("seq"), "file")
+    return records(spark, paths).select(clean_name(F.element_at(lines, 1)).alias("name"), F.upper(F.array_join(body, "")).alias("seq"), "file")
 
 
 def with_ids(sequences: DataFrame) -> DataFrame:
@@ -36,24 +44,27 @@ def partial(sequences: DataFrame, first: int, count: int) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``name, seq, qual`` of four-line records. A record is found by its own lines, so files are split at line ends.
+    """``name, seq, qual`` of four-line records.
 
-    Lines are numbered within their file, which is one task's window; files of a sequencing run come in many parts.
+    Lines are read by the splits of the files; a line's number in its file is its place in the split and the lines of the
+    splits before, which are counted. No task needs more than its split.
     """
     files = paths.split(",") if isinstance(paths, str) else list(paths)
-    lines = spark.read.text(files, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", r"\r?\n")).alias("n", "line"))
-    rows = lines.withColumns({"record": F.floor(F.col("n") / 4), "part": F.col("n") % 4}).groupBy("file", "record")
+    lines = spark.read.text(files).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    lines = stored(lines, "lines")
+    blocks = lines.groupBy("file", "block").agg(F.min("n").alias("first"), F.count("*").alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = lines.join(blocks.withColumn("before", before), ["file", "block"]).withColumn("at", F.col("n") - F.col("first") + F.col("before"))
+    rows = numbered.withColumns({"record": F.floor(F.col("at") / 4), "part": F.col("at") % 4}).groupBy("file", "record")
     wide = rows.agg(*[F.max(F.when(F.col("part") == k, F.col("line"))).alias(c) for k, c in ((0, "header"), (1, "seq"), (3, "qual"))])
-    return wide.where("header like '@%' and seq is not null").select(clean_name(F.substring("header", 2, 1 << 20)).alias("name"), F.upper("seq").alias("seq"), "qual")
+    return wide.where("header like '@%' and seq is not null").select(clean_name(F.expr("substring(header, 2)")).alias("name"), F.upper("seq").alias("seq"), "qual")
 
 
 def read_qualities(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``name, qual`` (array of int) of a quality file in FASTA form."""
-    files = paths.split(",") if isinstance(paths, str) else list(paths)
-    rows = spark.read.option("lineSep", ">").text(files).where("trim(value) <> ''")
     lines = F.split(F.col("value"), r"\r?\n")
     numbers = F.filter(F.split(F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), " "), r"\s+"), lambda x: x != "")
-    return rows.select(clean_name(F.element_at(lines, 1)).alias("name"), F.transform(numbers, lambda x: x.cast("int")).alias("qual"))
+    return records(spark, paths).select(clean_name(F.element_at(lines, 1)).alias("name"), F.transform(numbers, lambda x: x.cast("int")).alias("qual"))
 
 
 def with_qualities(sequences: DataFrame, qualities: DataFrame) -> DataFrame:

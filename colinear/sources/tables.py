@@ -80,9 +80,10 @@ def extracted(summary: DataFrame, sequences: DataFrame, flank: int = 0) -> DataF
     return rows.select(F.concat("q_name", F.lit(":"), F.greatest(a, F.lit(0)), F.lit("-"), F.col("q_end") + flank).alias("name"), F.when(F.col("ori") == "-", revcomp(piece)).otherwise(piece).alias("seq"))
 
 
-def block_lines(blocks: DataFrame, least_size: int = 100_000, scale: int = 10) -> DataFrame:
-    """A block file's rows: coordinates divided by ``scale``, blocks whose target or query reaches ``least_size`` only."""
-    rows = blocks.where((F.col("t_end") >= least_size) & (F.col("q_end") >= least_size))
+def block_lines(blocks: DataFrame, t_sizes: DataFrame, q_sizes: DataFrame, least_size: int = 100_000, scale: int = 10) -> DataFrame:
+    """A block file's rows: coordinates divided by ``scale``; blocks of sequences (name, size) of ``least_size`` on both axes only."""
+    long = lambda sizes, name: sizes.where(F.col("size") >= least_size).select(F.col("name").alias(name))
+    rows = blocks.join(long(t_sizes, "t_name"), "t_name", "left_semi").join(long(q_sizes, "q_name"), "q_name", "left_semi")
     d = lambda c: F.floor(F.col(c) / scale).cast("string")
     return rows.select(F.concat_ws("\t", "t_name", d("t_start"), d("t_end"), "q_name", d("q_start"), d("q_end"), "ori", F.col("n").cast("string"), F.format_string("%f", "ident")).alias("value"))
 
