@@ -2,12 +2,13 @@
 
 Vectors are dealt into shards by hash. Each shard becomes one row: its vectors
 and a ball tree over them (centre and radius of every node). Queries are dealt
-in blocks. A block meets each shard by an equi-join on the shard's number and
-descends the tree: a node with centre c and radius r holds no inner product
-above q.c + |q| r, and is left out once that is below the query's kth score.
-Nodes are visited in order of their bounds. The kth score is shared in two
-rounds: every query first searches its home shard, and the kth score found there
-starts its search of all the others.
+in blocks. The blocks that go to a shard follow its tree in one stream, so a tree
+travels once, however many they are. A block descends the tree level by level: a
+node with centre c and radius r holds no inner product above q.c + |q| r, and is
+left out once that is below the query's kth score. Leaves are visited in order of
+their bounds. The kth score is shared in rounds: every query first searches its
+home shard, then 1, 2, 4, ... further ones, each round from the kth score of all
+that were searched before.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colinear.session import cut, table
+from colinear.session import cut, partitions, table
 
 #: Vectors of a shard, queries of a block and vectors of a leaf.
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 16384, 1024, 64
@@ -137,19 +138,20 @@ def search(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, shard: tuple[np
         return best
     qf = q.astype(np.float64)
     norms = np.sqrt((qf**2).sum(axis=1))
-    # Descend level by level with the (query, node) pairs that the floors leave.
-    pair_q, pair_n = np.arange(len(q_ids)), np.zeros(len(q_ids), np.int64)
+    # Descend level by level: bounds are products of blocks, queries by the nodes that the floors leave.
+    nodes, live = np.zeros(1, np.int64), np.ones((len(q_ids), 1), bool)
     leaf_q, leaf_n, leaf_b = [], [], []
-    while len(pair_q):
-        bound = np.einsum("ij,ij->i", qf[pair_q], centres[pair_n]) + norms[pair_q] * radii[pair_n]
+    while len(nodes):
+        bound = qf @ centres[nodes].T + norms[:, None] * radii[nodes][None, :]
         bound += 1e-6 + 1e-9 * np.abs(bound)
-        live = bound >= best.floor[pair_q]
-        pair_q, pair_n, bound = pair_q[live], pair_n[live], bound[live]
-        leaf = left[pair_n] < 0
-        leaf_q.append(pair_q[leaf])
-        leaf_n.append(pair_n[leaf])
-        leaf_b.append(bound[leaf])
-        pair_q, pair_n = np.repeat(pair_q[~leaf], 2), np.stack([left[pair_n[~leaf]], right[pair_n[~leaf]]], axis=1).ravel()
+        live &= bound >= best.floor[:, None]
+        leaf = left[nodes] < 0
+        at_q, at_n = np.nonzero(live & leaf[None, :])
+        leaf_q.append(at_q)
+        leaf_n.append(nodes[at_n])
+        leaf_b.append(bound[at_q, at_n])
+        go = ~leaf & live.any(axis=0)
+        nodes, live = np.stack([left[nodes[go]], right[nodes[go]]], axis=1).ravel(), np.repeat(live[:, go], 2, axis=1)
     lq, ln, lb = np.concatenate(leaf_q), np.concatenate(leaf_n), np.concatenate(leaf_b)
     by = np.lexsort((ln, -lb, lq))
     lq, ln, lb = lq[by], ln[by], lb[by]
@@ -177,7 +179,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
 
     ``vectors`` and ``queries`` have an id and an array of long. Returns
     ``query_id, rank, vec_id, score``; ties go to the smaller id; fewer than k
-    where there are fewer rows. Rows with a null id, a null or empty vector or a
+    where there are fewer rows. Products beyond 63 bits count as the type's ends. Rows with a null id, a null or empty vector or a
     null component take no part. A shorter vector counts as if it ended in zeros.
     Rows with the query's id are its own; a query that comes repeatedly counts
     once (the least vector, if they differ); repeated candidates count each time.
@@ -206,40 +208,43 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([blob], pa.binary())], ["block", "queries"])
 
     def hunt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, shard = None, None
+        shard: tuple = ()
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for s, tree, blob in zip(b.column("shard").to_pylist(), b.column("tree"), b.column("queries"), strict=True):
-                if s != held:
-                    held, shard = s, tuple(unpack(tree.as_py(), 9))
+            for tree, blob in zip(b.column("tree"), b.column("queries"), strict=True):
+                if tree.is_valid:  # comes before the blocks of its shard
+                    shard = tuple(unpack(tree.as_py(), 9))
+                    continue
                 q_ids, q, floors = unpack(blob.as_py(), 3)
                 best = search(q_ids, q, floors, shard, k)
-                for i, qid in enumerate(q_ids):
-                    by = np.lexsort((best.ids[i], -best.scores[i]))
-                    out[0] += [int(qid)] * len(by)
-                    out[1] += [s] * len(by)
-                    out[2] += best.ids[i][by].tolist()
-                    out[3] += best.scores[i][by].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], ["query_id", "shard", "vec_id", "score"])
-
-    def round_of(asked: DataFrame, shard_of) -> DataFrame:
-        """Each query against the shards named by ``shard_of`` (an array of ints)."""
-        blocks = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n_asked // BLOCK_ROWS)))))
-        blocks = blocks.withColumn("shard", F.explode(shard_of))
-        blocks = blocks.withColumn("block", F.col("block") * F.lit(shards) + F.col("shard"))
-        packed = blocks.groupBy("block").applyInArrow(pack_block, "block long, queries binary").withColumn("shard", F.pmod("block", F.lit(shards)).cast("int"))
-        return packed.join(trees, "shard").select("shard", "tree", "queries").mapInArrow(hunt, "query_id long, shard int, vec_id long, score long")
+                size = [len(x) for x in best.ids]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, size)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], ["query_id", "vec_id", "score"])
+
+    def round_of(asked: DataFrame, offsets: range) -> DataFrame:
+        """Each query against the shards that lie ``offsets`` behind its home shard."""
+        home = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards))
+        group = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n_asked // BLOCK_ROWS))))
+        blocks = asked.withColumn("group", group).withColumn("shard", F.explode(F.transform(F.sequence(F.lit(offsets.start), F.lit(offsets.stop - 1)), lambda o: F.pmod(home + o, F.lit(shards)).cast("int"))))
+        packed = blocks.withColumn("block", F.col("group") * F.lit(shards) + F.col("shard")).groupBy("block").applyInArrow(pack_block, "block long, queries binary")
+        lane = F.pmod(F.floor(F.col("block") / F.lit(shards)), F.lit(lanes)).cast("int")
+        asking = packed.select(F.pmod("block", F.lit(shards)).cast("int").alias("shard"), lane.alias("lane"), F.lit(None).cast("binary").alias("tree"), "queries")
+        told = trees.select("shard", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "tree", F.lit(None).cast("binary").alias("queries"))
+        dealt = told.unionByName(asking).repartition(min(shards * lanes, 20 * cores), "shard", "lane")
+        return dealt.sortWithinPartitions("shard", "lane", F.col("tree").isNull()).select("tree", "queries").mapInArrow(hunt, "query_id long, vec_id long, score long")
 
     asked = cut(asked)
-    n_asked = asked.count()
-    home = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).cast("int")
-    first = cut(round_of(asked.withColumn("floor", F.lit(float("-inf"))), F.array(home)))
-    floors = first.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("kth")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), (F.col("kth").cast("double") - F.abs(F.col("kth").cast("double")) * 1e-15).alias("floor"))
-    rest = asked.join(floors, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
-    others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home)
-    found = first.unionByName(round_of(rest, others)) if shards > 1 else first
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "shard")  # at most k rows of each shard
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    n_asked, cores = asked.count(), max(partitions(spark), spark.sparkContext.defaultParallelism)
+    lanes = max(1, min(-(-n_asked // BLOCK_ROWS), cores // shards))  # copies of a shard's tree, where shards are fewer than cores
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    asked, done, found = asked.withColumn("floor", F.lit(float("-inf"))), 0, None
+    while done < shards:
+        stop = min(shards, max(1, 2 * done))
+        fresh = round_of(asked, range(done, stop))
+        fresh = fresh if found is None else found.drop("rank").unionByName(fresh)
+        found = cut(fresh.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+        kth = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").cast("double").alias("kth"))
+        asked, done = asked.drop("floor").join(kth, "id", "left").withColumn("floor", F.coalesce(F.col("kth") - F.abs("kth") * 1e-15, F.lit(float("-inf")))).drop("kth"), stop
+        asked = cut(asked) if done < shards else asked
+    return found
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: float = 1024.0) -> DataFrame:
