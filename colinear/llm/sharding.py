@@ -28,6 +28,8 @@ BINS, MISS = 1 << 15, 0.002
 #: Rows of a slot block, about.
 SLOT_ROWS = 20_000
 SHARDS = 24
+#: Numbers that one row of repeated ones spells out.
+PART = 1 << 16
 #: Coordinates are doubles below 2**52: a scaled value in the high bits, hash bits in the low ones.
 HIGH, LOW = 2**26, 2**26
 
@@ -126,15 +128,21 @@ def points_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
     """(id, size, text_crc32, coordinates) of every row and the names of the coordinates."""
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("text_crc32"), F.xxhash64(t).alias("th"), F.xxhash64(F.col(source)).alias("sh"))
-    rows = cut(rows)
+    # rows that repeat everything get numbers, so that a split can fall among them
+    units = cut(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")))
+    parts = units.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PART))))
+    if (units.agg(F.max("n")).first()[0] or 0) > PART:
+        parts = parts.repartition(partitions(docs.sparkSession))
+    first = F.col("part") * PART
+    rows = parts.withColumn("copy", F.explode(F.sequence(first, F.least(F.col("n"), first + PART) - 1))).drop("n", "part")
     r = rows.agg(F.min(F.log("size")).alias("a"), F.max(F.log("size")).alias("b"), F.min(F.col("id").cast("double")).alias("c"), F.max(F.col("id").cast("double")).alias("d")).first()
     end = float(2**63)
     # equal texts share the low bits as far as they can: they stay together unless a split falls among them
     dims = {
-        "x_size": scaled(F.log("size"), r["a"] or 0, r["b"] or 0, F.col("th"), F.col("id")),
-        "x_id": scaled(F.col("id"), r["c"] or 0, r["d"] or 0, F.col("th"), F.col("id")),
-        "x_source": scaled(F.col("sh"), -end, end, F.col("th"), F.col("id")),
-        "x_text": scaled(F.col("th"), -end, end, F.col("id")),
+        "x_size": scaled(F.log("size"), r["a"] or 0, r["b"] or 0, F.col("th"), F.col("id"), F.col("copy")),
+        "x_id": scaled(F.col("id"), r["c"] or 0, r["d"] or 0, F.col("th"), F.col("id"), F.col("copy")),
+        "x_source": scaled(F.col("sh"), -end, end, F.col("th"), F.col("id"), F.col("copy")),
+        "x_text": scaled(F.col("th"), -end, end, F.col("id"), F.col("copy")),
     }
     return cut(rows.withColumns(dims)), list(dims)
 
@@ -146,9 +154,8 @@ def shard(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None
     or the bytes that a shard should reach. Shards differ in bytes by no more than
     a few splits' slack or a single large document. ``slot`` counts a shard's rows
     from 0 without gaps, in an order that depends on the rows alone. Null ids and
-    sources are points like others; rows that repeat everything may part where a
-    split falls among them only if their coordinates differ, else they stay
-    together. Empty tables give no rows; some shards are empty if there are few rows.
+    sources are points like others; rows that repeat everything are numbered and part
+    where a split falls among them. Empty tables give no rows; some shards are empty if there are few rows.
     """
     points, dims = points_of(docs, **columns)
     spark = docs.sparkSession
@@ -157,10 +164,10 @@ def shard(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None
     tree = grow(points, dims, leaves)
     placed = points.withColumn("shard", tree.shard(dims).cast("int"))
     blocks = max(1, -(-n // (leaves * SLOT_ROWS)), -(-partitions(spark) // leaves))
-    placed = cut(placed.select("id", "size", "text_crc32", "th", "shard").withColumn("block", F.pmod(F.xxhash64("th", "id"), F.lit(blocks)).cast("int")))
+    placed = cut(placed.select("id", "size", "text_crc32", "th", "copy", "shard").withColumn("block", F.pmod(F.xxhash64("th", "id", "copy"), F.lit(blocks)).cast("int")))
     counts = placed.groupBy("shard", "block").agg(F.count("*").alias("n"))
     offsets = counts.withColumn("first", F.sum("n").over(Window.partitionBy("shard").orderBy("block")) - F.col("n")).drop("n")
-    place = F.row_number().over(Window.partitionBy("shard", "block").orderBy("th", "id", "size")) - 1
+    place = F.row_number().over(Window.partitionBy("shard", "block").orderBy("th", "id", "size", "copy")) - 1
     return placed.withColumn("place", place).join(offsets, ["shard", "block"]).select("id", "size", "text_crc32", "shard", (F.col("first") + F.col("place")).cast("long").alias("slot"))
 
 
