@@ -114,10 +114,9 @@ def filterbank(rate: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_mel(x: np.ndarray, rate: int) -> np.ndarray:
-    """Log-mel frames (frames x bands); a signal shorter than a frame is padded to one."""
+    """Log-mel frames (frames x bands); the signal is padded with silence, so that the last frame covers its end."""
     window, bank = filterbank(rate)
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
+    x = np.pad(x, (0, FRAME + HOP * max(0, -(-(len(x) - FRAME) // HOP)) - len(x)))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     out = np.empty((len(frames), MELS), np.float32)
     for a in range(0, len(frames), RUN):
@@ -163,6 +162,18 @@ def tensor_stream(mel: np.ndarray, rate: int) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+def read_tensors(stream: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """(tensors, their spans in seconds) of an Arrow IPC stream, see ``tensor_stream``."""
+    t = pa.ipc.open_stream(stream).read_all()
+    return t.column("log_mel").combine_chunks().to_numpy_ndarray(), list(zip(t.column("start_s").to_pylist(), t.column("end_s").to_pylist(), strict=True))
+
+
+def described(media: bytes) -> tuple[bytes, list[dict[str, float]], int]:
+    """(tensor stream, active segments in seconds, number of frames) of a WAV file."""
+    mel, active = features(media)
+    return tensor_stream(mel, TO_RATE), [{"start_s": seconds(x, TO_RATE), "end_s": seconds(y, TO_RATE)} for x, y in active], len(mel)
+
+
 def features(media: bytes, to_rate: int = TO_RATE) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """(log-mel frames, active segments) of a WAV file."""
     rate, samples = read_wav(media)
@@ -185,10 +196,8 @@ def audio_features(rows: DataFrame, id_col: str, media: str) -> DataFrame:
         for b in batches:
             got: list[list] = [[], [], []]
             for m in b.column("media"):
-                mel, seg = features(m.as_py()) if m.is_valid else (None, None)
-                got[0].append(None if mel is None else tensor_stream(mel, TO_RATE))
-                got[1].append(None if mel is None else [{"start_s": seconds(x, TO_RATE), "end_s": seconds(y, TO_RATE)} for x, y in seg])
-                got[2].append(None if mel is None else len(mel))
+                for c, v in zip(got, described(m.as_py()) if m.is_valid else (None, None, None), strict=True):
+                    c.append(v)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(got[0], pa.binary()), pa.array(got[1], spans), pa.array(got[2], pa.int64())], ["id", "tensors", "segments", "n_frames"])
 
     return rows.mapInArrow(run, f"id {kind}, tensors binary, segments array<struct<start_s: double, end_s: double>>, n_frames long").withColumnRenamed("id", id_col)
@@ -203,8 +212,10 @@ def payload_of(text: str) -> tuple[int, bytes]:
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Stores every whole text as a WAV file, reads it back and describes it: one row per document.
 
-    ``feature``: frames, tensors, active segments and seconds, mean log-mel, and a
-    digest of the tensors. Null texts count as empty; an empty text is 192 blanks.
+    ``feature`` is read off the stored tensors (as ``audio_features`` gives them):
+    frames, tensors, the time that their spans cover, active segments and seconds,
+    mean of the tensors, and a digest of them and of all spans. Null texts count as
+    empty; an empty text is 192 blanks.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = dict(rows.dtypes)["id"]
@@ -218,10 +229,11 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
                 n, payload = payload_of(t.as_py())
                 media = write_wav(payload)
                 _, back = read_wav(media)
-                mel, seg = features(media)
-                tensors = patches(mel)
-                active = sum(y - x for x, y in seg)
-                feature = f"frames={len(mel)};tensors={len(tensors)};segments={len(seg)};active_s={seconds(active, TO_RATE):.2f};mean={float(mel.mean(dtype=np.float64)):.4f};mel_crc32={zlib.crc32(np.round(tensors, 2).tobytes()):08x}"
+                stream, active, frames = described(media)
+                tensors, spans = read_tensors(stream)
+                spoken = [(x["start_s"], x["end_s"]) for x in active]
+                digest = zlib.crc32(np.array([*spans, *spoken], np.float64).tobytes(), zlib.crc32(np.round(tensors, 2).tobytes()))
+                feature = f"frames={frames};tensors={len(tensors)};covers_s={spans[-1][1] - spans[0][0]:.2f};segments={len(spoken)};active_s={sum(y - x for x, y in spoken):.2f};mean={float(tensors.mean(dtype=np.float64)):.4f};crc32={digest:08x}"
                 for c, v in zip(got, (n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(c, k) for c, k in zip(got, arrow, strict=True)]], [x.split()[0] for x in schema.split(", ")])
