@@ -51,36 +51,32 @@ def _letters() -> np.ndarray:
 LETTERS = _letters()
 
 
-def codes(text: str) -> np.ndarray:
-    """The text's letters in lower case, runs of anything else as a single 0, with a 0 at both ends."""
+def codes(text: str, before: np.ndarray, ends: bool) -> np.ndarray:
+    """``before``, then the text's letters in lower case, runs of anything else as a single 0; a 0 behind if the text ``ends``."""
     raw = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     low = LETTERS[np.minimum(raw, 0xFFFF)]
     for i in np.flatnonzero(raw > 0xFFFF):
         c = chr(raw[i])
         low[i] = ord(c.lower()[0]) if c.isalpha() else 0
-    keep = np.empty(len(low), bool)
-    keep[:1] = low[:1] > 0
-    keep[1:] = (low[1:] > 0) | (low[:-1] > 0)
-    low = low[keep]
-    return np.concatenate([[0], low, [0]] if len(low) and low[-1] else [[0], low]).astype(np.uint64)
+    c = np.concatenate([before, low, np.zeros(int(ends), np.uint32)]).astype(np.uint64)
+    keep = np.ones(len(c), bool)
+    keep[1:] = (c[1:] > 0) | (c[:-1] > 0)
+    return c[keep]
 
 
 def presence(text: str, width: int = WIDTH) -> np.ndarray | None:
-    """The places of the text's n-grams, ascending; None if it has no letter."""
+    """The places of the text's n-grams, ascending; None if it has no letter. A text begins and ends with a 0."""
     flags = np.zeros(width, bool)
-    any_letter = False
+    any_letter, tail = False, np.zeros(1, np.uint64)
     for a in range(0, max(len(text), 1), CHARS):
-        c = codes(text[max(0, a - LONGEST) : a + CHARS])
-        if not c.any():
-            continue
-        any_letter = True
+        c = codes(text[a : a + CHARS], tail, a + CHARS >= len(text))
+        tail = c[-LONGEST:]
+        any_letter = any_letter or bool(c.any())
         h = np.zeros(len(c), np.uint64)
-        for n in range(1, LONGEST + 1):
+        for n in range(1, min(LONGEST, len(c)) + 1):
             h = (h[: len(c) - n + 1] + c[n - 1 :] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
             flags[(h >> np.uint64(20)) & np.uint64(width - 1)] = True
-            if len(c) <= n:
-                break
     return np.flatnonzero(flags) if any_letter else None
 
 
@@ -128,14 +124,13 @@ def fit(rows: list[np.ndarray], labels: list[str], landmarks: int = LANDMARKS, r
 def draw(docs: DataFrame, learn: Column, id_col: str, text: str, lang: str, rows: int = TRAIN_ROWS) -> tuple[list[np.ndarray], list[str]]:
     """Presence vectors and labels of up to ``rows`` labelled documents, evenly by language, by hash of id and text length.
 
+    Of more than ``LANGUAGES`` labels the most frequent ones are learned.
     Vectors are made on the executors, so what the driver gets is bounded whatever the texts' lengths.
     """
     known = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"), (F.pmod(F.xxhash64(F.col(id_col), F.length(F.col(text))), F.lit(1 << 30)) / float(1 << 30)).alias("u"))
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()}
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return [], []
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
     share = max(2, rows // len(counts))
     rate = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.1 * share / n))]), F.col("lang"))
 
@@ -151,7 +146,7 @@ def draw(docs: DataFrame, learn: Column, id_col: str, text: str, lang: str, rows
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.string()), pa.array(got[1], pa.float64()), pa.array(got[2], pa.binary())], ["lang", "u", "bits"])
 
-    got = known.where(F.col("u") < rate).mapInArrow(run, "lang string, u double, bits binary").orderBy("u", "lang", "bits").limit(4 * rows).collect()
+    got = known.where(F.col("lang").isin(list(counts)) & (F.col("u") < rate)).mapInArrow(run, "lang string, u double, bits binary").orderBy("u", "lang", "bits").limit(4 * rows).collect()
     xs, ys, taken = [], [], dict.fromkeys(counts, 0)
     for r in got:
         if taken[r["lang"]] < share:
