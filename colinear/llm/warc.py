@@ -7,7 +7,8 @@
    record again as a gzip member of its own, with a sidecar index of offsets.
    Records whose payload is already held by another record become ``revisit``
    records; which ones is decided beforehand on digests alone.
-3. ``read_records`` reads single members by their offsets.
+3. ``read_records`` reads the sidecars, and single members by the offsets there.
+   What a record revisits is what its headers say.
 
 Files live in the folder that the cluster shares and are written through
 ``pyarrow.fs``, so any file system with a URI serves. Each attempt of a task
@@ -27,7 +28,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colinear.session import cut, scratch, table
+from colinear.session import partitions, scratch, stored, table
 
 #: Uncompressed bytes after which a new archive begins.
 ARCHIVE_BYTES = 16 << 20
@@ -39,6 +40,8 @@ STEP = 1 << 16
 FAST, GOOD = 1, 6
 GZIP = 31
 CRLF = b"\r\n"
+#: Records that are read at a time.
+READ_ROWS = 256
 #: A fixed date: reruns agree.
 DATE = "2000-01-01T00:00:00Z"
 
@@ -51,6 +54,10 @@ def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
 
+def record_id(file: str, place: int) -> str:
+    return f"urn:record:{file[:32]}:{place}"
+
+
 def clean_uri(text: str) -> str:
     """A url as it may stand in a header: control characters and spaces are percent-encoded."""
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in text)
@@ -143,7 +150,7 @@ def write_archives(rows: DataFrame, folder: str, id_col: str = "page_id", url: s
                     out, z = system.open_output_stream(f"{base}/{name}", compression=None), zlib.compressobj(FAST, zlib.DEFLATED, GZIP)
                 payload = (h.as_py() or "").encode()
                 digest = hashlib.sha1(payload).hexdigest()
-                record = response(f"urn:record:{name[:32]}:{place}", u.as_py() or "", payload, digest)
+                record = response(record_id(name, place), u.as_py() or "", payload, digest)
                 out.write(z.compress(record))
                 for c, v in zip(got, (name, place, len(payload), digest), strict=True):
                     c.append(v)
@@ -169,89 +176,106 @@ def decide_revisits(written: DataFrame, least: int = REVISIT_BYTES) -> DataFrame
     return both.withColumn("to", F.when(revisits, F.col("keep"))).drop("keep")
 
 
+def by_file(rows: DataFrame) -> DataFrame:
+    """Rows dealt by ``file`` over enough partitions that each has few files. (Rows are small and files are not, so Spark must not merge them by size.)"""
+    spark = rows.sparkSession
+    files = rows.select("file").distinct().count()
+    return rows.repartition(max(1, min(3 * files, 20 * max(partitions(spark), spark.sparkContext.defaultParallelism))), "file")
+
+
 def normalise(decided: DataFrame, folder: str) -> DataFrame:
-    """Rewrites every archive of ``decided`` with one gzip member per record and writes ``.cdx`` sidecars.
+    """Rewrites every archive of ``decided`` with one gzip member per record and writes a ``.cdx`` sidecar beside it.
 
-    Returns the index, one row per record: ``file, place, id, to_id, offset, length``.
-    A file's rows are bounded by ``ARCHIVE_BYTES``, so each task holds the plan of one file and one record at a time.
+    Returns ``file, records`` of the new archives. A file's rows are bounded by
+    ``ARCHIVE_BYTES``, so each task holds the plan of one file and one record at a time.
     """
-    kind = dict(decided.dtypes)["id"]
-    plan = decided.select("file", "place", "id", "to.file", "to.place", "to.id").toDF("file", "place", "id", "to_file", "to_place", "to_id")
+    plan = decided.select("file", "place", "to.file", "to.place").toDF("file", "place", "to_file", "to_place")
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(batches).sort_by("place")
         name = key[0].as_py()
         system, base = open_fs(folder)
-        new = f"{name[:32]}-{uuid.uuid4().hex[:8]}"
+        new = f"{name[:32]}-{uuid.uuid4().hex[:8]}.norm.warc.gz"
         targets = list(zip(rows.column("to_file").to_pylist(), rows.column("to_place").to_pylist(), strict=True))
-        offsets, lengths, at, place, split = [], [], 0, 0, Records()
-        with system.open_input_stream(f"{base}/{name}", compression=None) as f, system.open_output_stream(f"{base}/{new}.norm.warc.gz", compression=None) as out:
+        index, at, split = [], 0, Records()
+        with system.open_input_stream(f"{base}/{name}", compression=None) as f, system.open_output_stream(f"{base}/{new}", compression=None) as out:
             for data in inflate(f):
                 for headers, block, raw in split.feed(data):
-                    to_file, to_place = targets[place]
-                    member = gzip_member(raw if to_file is None else revisit(headers, block, f"urn:record:{to_file[:32]}:{to_place}"))
+                    to_file, to_place = targets[len(index)]
+                    member = gzip_member(raw if to_file is None else revisit(headers, block, record_id(to_file, to_place)))
                     out.write(member)
-                    offsets.append(at)
-                    lengths.append(len(member))
-                    at, place = at + len(member), place + 1
+                    index.append(f"{headers['WARC-Record-ID'][1:-1]} {at} {len(member)}\n")
+                    at += len(member)
+        if len(index) != len(targets):
+            raise ValueError(f"{name}: {len(index)} records, {len(targets)} planned")
         with system.open_output_stream(f"{base}/{new}.cdx", compression=None) as out:
-            out.write("".join(f"urn:record:{name[:32]}:{i} {o} {n}\n" for i, (o, n) in enumerate(zip(offsets, lengths, strict=True))).encode())
-        n = len(rows)
-        if place != n:
-            raise ValueError(f"{name}: {place} records, {n} planned")
-        columns = [pa.array([f"{new}.norm.warc.gz"] * n, pa.string()), rows.column("place").combine_chunks(), rows.column("id").combine_chunks(), rows.column("to_id").combine_chunks(), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["file", "place", "id", "to_id", "offset", "length"])
+            out.write("".join(index).encode())
+        yield pa.RecordBatch.from_arrays([pa.array([new], pa.string()), pa.array([len(index)], pa.int64())], ["file", "records"])
+
+    return by_file(plan).groupBy("file").applyInArrow(run, "file string, records long")
+
 
-    return plan.groupBy("file").applyInArrow(run, f"file string, place long, id {kind}, to_id {kind}, offset long, length long")
+READ = "record string, record_type string, payload_bytes long, payload_digest string, refers_to_record string"
 
 
-def read_records(index: DataFrame, folder: str) -> DataFrame:
-    """Reads each indexed member and returns what it says: ``id, to_id, record_type, payload_bytes, payload_digest, refers_to_record``.
+def read_records(files: DataFrame, folder: str) -> DataFrame:
+    """Reads every record of normalised archives (``file``) by its sidecar: ``record, record_type, payload_bytes, payload_digest, refers_to_record``.
 
     Size and digest of a response are computed from the payload read; a revisit's are those of its headers.
     """
-    kind = dict(index.dtypes)["id"]
+    names = [c.split()[0] for c in READ.split(", ")]
+
+    def one(f: pa.NativeFile, name: str, record: str, offset: int, length: int) -> tuple:
+        headers, block, _ = next(Records().feed(zlib.decompress(f.read_at(length, offset), GZIP)))
+        if headers["WARC-Record-ID"] != f"<{record}>":
+            raise ValueError(f"{name} at {offset}: another record than the sidecar says")
+        cut_at = block.index(CRLF + CRLF) + 4
+        digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
+        if headers["WARC-Type"] == "response":
+            payload = block[cut_at:]
+            size, found = len(payload), hashlib.sha1(payload).hexdigest()
+            if found != digest:
+                raise ValueError(f"{name} at {offset}: payload and digest differ")
+        else:
+            size = int(parse_headers(block[: cut_at - 4])["Content-Length"])
+        return record, headers["WARC-Type"], size, digest, headers.get("WARC-Refers-To", "")[1:-1] or None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, base = open_fs(folder)
-        held, f = None, None
         for b in batches:
-            got: list[list] = [[], [], [], []]
-            for name, offset, length in zip(b.column("file").to_pylist(), b.column("offset").to_pylist(), b.column("length").to_pylist(), strict=True):
-                if name != held:
-                    if f:
-                        f.close()
-                    held, f = name, system.open_input_file(f"{base}/{name}")
-                raw = zlib.decompress(f.read_at(length, offset), GZIP)
-                headers, block, _ = next(Records().feed(raw))
-                cut_at = block.index(CRLF + CRLF) + 4
-                digest = headers["WARC-Payload-Digest"].removeprefix("sha1:")
-                if headers["WARC-Type"] == "response":
-                    payload = block[cut_at:]
-                    size, found = len(payload), hashlib.sha1(payload).hexdigest()
-                    if found != digest:
-                        raise ValueError(f"{name} at {offset}: payload and digest differ")
-                else:
-                    size = int(parse_headers(block[: cut_at - 4])["Content-Length"])
-                for c, v in zip(got, (headers["WARC-Type"], size, digest, headers.get("WARC-Refers-To")), strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("to_id"), pa.array(got[0], pa.string()), pa.array(got[1], pa.int64()), pa.array(got[2], pa.string()), pa.array(got[3], pa.string())], ["id", "to_id", "record_type", "payload_bytes", "payload_digest", "refers_to_record"])
-        if f:
-            f.close()
+            for name in b.column("file").to_pylist():
+                with system.open_input_stream(f"{base}/{name}.cdx", compression=None) as f:
+                    index = f.read().decode().splitlines()
+                with system.open_input_file(f"{base}/{name}") as f:
+                    for a in range(0, len(index), READ_ROWS):
+                        entries = (line.rsplit(" ", 2) for line in index[a : a + READ_ROWS])
+                        got = list(zip(*(one(f, name, record, int(offset), int(length)) for record, offset, length in entries), strict=True))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if n == "payload_bytes" else pa.string()) for c, n in zip(got, names, strict=True)], names)
+
+    return by_file(files.select("file")).mapInArrow(run, READ)
 
-    return index.mapInArrow(run, f"id {kind}, to_id {kind}, record_type string, payload_bytes long, payload_digest string, refers_to_record string")
 
+def archive(rows: DataFrame, folder: str, id_col: str = "page_id", url: str = "url", html: str = "html") -> tuple[DataFrame, DataFrame]:
+    """Writes and normalises the archives of ``rows`` under ``folder``; returns the archives (file, records) and whose records they hold (record, id)."""
+    written = stored(write_archives(rows, folder, id_col, url, html), "written")
+    known = written.select(F.concat(F.lit("urn:record:"), F.substring("file", 1, 32), F.lit(":"), F.col("place").cast("string")).alias("record"), "id")
+    return stored(normalise(decide_revisits(written), folder), "archives"), known
 
-def archive(rows: DataFrame, folder: str, id_col: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """Writes, normalises and indexes the archives of ``rows`` under ``folder``; returns the index."""
-    written = cut(write_archives(rows, folder, id_col, url, html))
-    return cut(normalise(decide_revisits(written), folder))
+
+def read_back(archives: DataFrame, known: DataFrame, folder: str) -> DataFrame:
+    """``id, payload_bytes, payload_digest, record_type, refers_to``: the records read, and whose they are, by record id.
+
+    Spark would take the records for as few as the files that they are read from, and broadcast them: it is told to sort and merge.
+    """
+    known = known.hint("merge")
+    read = read_records(archives, folder).join(known, "record").hint("merge")
+    target = known.select(F.col("record").alias("refers_to_record"), F.col("id").alias("refers_to"))
+    return read.join(target.hint("merge"), "refers_to_record", "left").select("id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "warc")
-    found = read_records(archive(table(spark, sf_dir, "pages"), folder), folder)
-    return found.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.when(F.col("record_type") == "revisit", F.col("to_id")).alias("refers_to"))
+    return read_back(*archive(table(spark, sf_dir, "pages"), folder), folder).withColumnRenamed("id", "page_id")
 
 
 ORACLE = {
