@@ -116,25 +116,25 @@ def without(text: str, places: set[int], kind: str, least: int) -> tuple[str, li
     return "".join([*keep, text[at:]]), away
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", unit: str = "sentence", least_words: int = LEAST_WORDS) -> DataFrame:
-    """All rows and columns of ``docs``; ``text`` without its repeated units, and ``removed``: array of (start, end).
+def remove(docs: DataFrame, id_col: str = "doc_id", text: str = "text", unit: str = "sentence", least_words: int = LEAST_WORDS, into: str = "removed") -> DataFrame:
+    """All rows and columns of ``docs``; ``text`` without its repeated units, and ``into``: array of (start, end) of what was removed.
 
     Offsets are in characters of the original text and take in what ends the unit
     (its newline, or the blanks behind a sentence). Kept text is not changed. Null
-    texts stay null. Any column named ``removed`` is replaced.
+    texts stay null. Any column named as ``into`` is replaced.
     """
     th, gone_id, gone_th, places, left, away = fresh(docs, "th", "gone_id", "gone_th", "places", "left", "away")
     gone = spans(docs, id_col, text, unit, least_words).toDF(gone_id, gone_th, places)
     keyed = docs.withColumn(th, F.xxhash64(F.col(text)))
     both = keyed.join(gone, keyed[id_col].eqNullSafe(gone[gone_id]) & (keyed[th] == gone[gone_th]), "left")
-    kept = [c for c in docs.columns if c != "removed"]
+    kept = [c for c in docs.columns if c != into]
 
     def make(texts: pa.Array, lists: pa.Array) -> list[pa.Array]:
         out = [(t.as_py(), []) if not p.is_valid or not t.is_valid else without(t.as_py(), set(p.as_py()), unit, least_words) for t, p in zip(texts, lists, strict=True)]
         return [pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
 
     done = added(both, f"{left} string, {away} array<struct<start: int, end: int>>", make, [text, places], [c for c in kept if c != text])
-    return done.select(*[F.col(left).alias(c) if c == text else F.col(f"`{c}`") for c in kept], F.col(away).alias("removed"))
+    return done.select(*[F.col(left).alias(c) if c == text else F.col(f"`{c}`") for c in kept], F.col(away).alias(into))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
