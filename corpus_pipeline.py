@@ -6,18 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colinear.llm import bpe, langid, linededup, mixing, neardup
-from colinear.session import small_batches, stored, table
+from colinear.session import fresh, small_batches, stored, table
 
-#: Documents of which the classifier is less sure belong to no language that it learned.
+#: Least score (0 to 1) of the language that a document is taken for.
 LEAST_SCORE = 0.25
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a recognisable language: no text, no letter, or no language near."""
+    """Drops documents without a language: no text, no letter, or a score that no language that was learned explains.
+
+    The scores of one text sum to about 1 over the languages, so with four of them the
+    nearest one reaches ``LEAST_SCORE`` anyway: it rejects next to nothing but texts
+    without a letter, and clean documents stay.
+    """
     small_batches(spark)
     model = langid.train(docs)
-    found = langid.predict(docs, model, into=("_lang_pred", "_score"))
-    return found.where((F.col("_lang_pred") != "und") & (F.col("_score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs, "lang_pred", "score")
+    found = langid.predict(docs, model, into=(lang, score))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +33,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that an earlier document has; documents that hold nothing else go."""
-    found = linededup.remove(docs).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes).get("n_chars", "long")))
+    (away,) = fresh(docs, "removed_spans")
+    found = linededup.remove(docs, into=away).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes).get("n_chars", "long")))
     return found.where("text is not null and text rlike '\\\\S'").select(*docs.columns)
 
 
