@@ -37,6 +37,13 @@ def match_probability(z: float, target_bases: float) -> float:
     return math.exp(-0.5 * math.erfc(z / math.sqrt(2)) * target_bases)
 
 
+def raw_score(identity: float, length: int, target_bases: float, gc_query: float, gc_target: float) -> float:
+    """The probability of a match from its summary alone: identity, length and the GC shares of both sides, rounded to whole bases."""
+    p, q = (math.floor(0.5 + length * x) / length for x in (gc_query, gc_target))
+    share = (p * q + (1 - p) * (1 - q)) / 2
+    return match_probability((identity - share) * length / math.sqrt(share * (1 - share) * length), target_bases)
+
+
 def match_penalty(prob: Column) -> Column:
     return -200.0 * F.log(prob)
 

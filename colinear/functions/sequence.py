@@ -133,6 +133,22 @@ def nucleotide_index(code: Column) -> Column:
     return F.position(code, F.lit("ACGT")) - 1
 
 
+def amino_index(letter: Column) -> Column:
+    """0 to 19 for the amino acids in the order of their letters; -1 for others."""
+    return F.position(letter, F.lit("ACDEFGHIKLMNPQRSTVWY")) - 1
+
+
+def column_distance(a: Column, b: Column) -> Column:
+    """0 if two columns of letters (arrays) share any, else 1."""
+    return F.when(F.arrays_overlap(a, b), 0).otherwise(1)
+
+
+def likeliest_base(a: Column, c: Column, g: Column, t: Column) -> Column:
+    """The base of the greatest of four weights, the first of equals."""
+    most = F.greatest(a, c, g, t)
+    return F.when(a == most, "A").when(c == most, "C").when(g == most, "G").otherwise("T")
+
+
 def codons(seq: Column) -> Column:
     """Array of the whole codons."""
     return F.regexp_extract_all(seq, F.lit("(.{3})"), F.lit(1))

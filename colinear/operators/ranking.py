@@ -24,3 +24,19 @@ def global_rank(rows: DataFrame, order: list[str]) -> tuple[DataFrame, int]:
     offset = F.element_at(F.create_map(*first), F.col("_part"))
     rank = (F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1 + offset).cast("long")
     return dealt.withColumn("_rank", rank).drop("_part"), at
+
+
+def block_order(summary: DataFrame) -> DataFrame:
+    """Summary rows with ``place``, their number (from 0) in the order of a block file: target, strand, query, start on the target, then the rest."""
+    ranked, _ = global_rank(summary, ["t_name", "ori", "q_name", "t_start", "t_end", "q_start", "q_end", "ident"])
+    return ranked.withColumnRenamed("_rank", "place")
+
+
+def paired(a: DataFrame, b: DataFrame, key: str, every: bool = False) -> DataFrame:
+    """Rows of two tables side by side, the key as ``a_key`` and ``b_key``: those of equal keys, or each with ``every`` one.
+
+    Every pair is what the caller then asks for, and its rows are the product of both;
+    a pairing of large tables belongs behind a seed search.
+    """
+    left, right = a.toDF(*[f"a_{c}" for c in a.columns]), b.toDF(*[f"b_{c}" for c in b.columns])
+    return left.crossJoin(right) if every else left.join(right, F.col(f"a_{key}") == F.col(f"b_{key}"))

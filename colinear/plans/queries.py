@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from colinear.functions import scoring
 from colinear.functions import sequence as S
-from colinear.operators import blocks, grid, intervals, matches, scaffold, seeds
+from colinear.operators import blocks, grid, intervals, matches, ranking, scaffold, seeds
 from colinear.session import table
 from colinear.sources import sequences as fasta
 from colinear.sources import tables
@@ -640,3 +640,42 @@ def chunk_blocks(spark, d):
 def shared_words(spark, d):
     a = items(spark, d)
     return grid.shared_words(a, a)
+
+
+# Letters, pairs and orders
+
+
+@query("SELECT letter, instr('ACGT', letter)::INTEGER - 1 AS nucleotide, instr('ACDEFGHIKLMNPQRSTVWY', letter)::INTEGER - 1 AS amino, count(*) AS n FROM (SELECT unnest(regexp_extract_all(upper(text), '[A-Z]')) AS letter FROM documents) GROUP BY ALL")
+def letter_index(spark, d):
+    letters = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.upper("text"), F.lit("([A-Z])"), F.lit(1))).alias("letter"))
+    return letters.groupBy("letter").agg(F.count("*").alias("n")).select("letter", S.nucleotide_index(F.col("letter")).alias("nucleotide"), S.amino_index(F.col("letter")).alias("amino"), "n")
+
+
+@query("SELECT doc_id, CASE WHEN list_has_any(string_split(lang, ''), string_split(source, '')) THEN 0 ELSE 1 END AS distance FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL")
+def column_distance(spark, d):
+    rows = table(spark, d, "documents").where("lang is not null and source is not null")
+    return rows.select("doc_id", S.column_distance(F.split("lang", ""), F.split("source", "")).alias("distance"))
+
+
+@query("SELECT vec_id, CASE WHEN a >= c AND a >= g AND a >= t THEN 'A' WHEN c >= g AND c >= t THEN 'C' WHEN g >= t THEN 'G' ELSE 'T' END AS base FROM (SELECT vec_id, embedding[1] AS a, embedding[2] AS c, embedding[3] AS g, embedding[4] AS t FROM embeddings WHERE embedding IS NOT NULL)")
+def likeliest_base(spark, d):
+    e = [F.element_at("embedding", k) for k in range(1, 5)]
+    return table(spark, d, "embeddings").where("embedding is not null").select("vec_id", S.likeliest_base(*e).alias("base"))
+
+
+@query("SELECT a.n_nationkey AS a_n_nationkey, a.n_name AS a_n_name, b.n_nationkey AS b_n_nationkey, b.n_name AS b_n_name FROM nation a CROSS JOIN nation b")
+def pairs_every(spark, d):
+    rows = table(spark, d, "nation").select("n_nationkey", "n_name")
+    return ranking.paired(rows, rows, "n_nationkey", every=True)
+
+
+@query("SELECT a.item_id AS a_item_id, b.doc_id AS b_item_id, length(a.text) AS a_size, length(b.text) AS b_size FROM benchmark a JOIN documents b ON a.item_id = b.doc_id")
+def pairs_diagonal(spark, d):
+    items_ = table(spark, d, "benchmark").select("item_id", F.length("text").cast("long").alias("size"))
+    documents = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), F.length("text").cast("long").alias("size"))
+    return ranking.paired(items_, documents, "item_id")
+
+
+@query(f"WITH {SUM} SELECT t_name, t_start, t_end, q_name, q_start, q_end, ident, ori, row_number() OVER (ORDER BY t_name, ori, q_name, t_start, t_end, q_start, q_end, ident) - 1 AS place FROM s")
+def block_order(spark, d):
+    return ranking.block_order(summary_of(spark, d))

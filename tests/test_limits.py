@@ -129,3 +129,11 @@ def test_gumbel_fit_by_weights():
     x = np.floor(r.gumbel(20, 3, 3000))
     v, n = np.unique(x, return_counts=True)
     assert align.fit_gumbel(v, n) == pytest.approx(align.fit_gumbel(x))
+
+
+def test_raw_score_from_a_summary():
+    from colinear.functions import scoring
+
+    z = (0.8 - 0.25 * 1.0) * 100 / np.sqrt(0.25 * 0.75 * 100)
+    assert scoring.raw_score(0.8, 100, 1e6, 0.5, 0.5) == pytest.approx(scoring.match_probability(z, 1e6))
+    assert scoring.raw_score(0.3, 50, 1e6, 0.41, 0.39) < 1e-6 < 0.99 < scoring.raw_score(0.9, 200, 1e6, 0.41, 0.39)
