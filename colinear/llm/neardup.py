@@ -224,19 +224,18 @@ def uncompared(pairs: DataFrame, checked: DataFrame) -> DataFrame:
 
 
 def grams_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """``node, root, stray, size, spare, gram, weight``: the shingles of the nodes' texts; size is the sum of the weights, spare what it is above the number of shingles."""
-    both = nodes.join(texts, "node").select("node", "root", "stray", "text")
+    """``node, gram, weight, size``: the shingles of the nodes' texts; size is the sum of a node's weights."""
+    both = texts.join(nodes.select("node"), "node", "left_semi").select("node", "text")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k, t in enumerate(b.column("text")):
+            for node, t in zip(b.column("node").to_pylist(), b.column("text"), strict=True):
                 gram, weight = shingles(word_hashes(t.as_py()))
-                n, size = len(gram), int(weight.sum())
-                of = pa.array(np.full(n, k))
-                yield pa.RecordBatch.from_arrays([*[b.column(c).take(of) for c in ("node", "root", "stray")], pa.array(np.full(n, size)), pa.array(np.full(n, size - n)), pa.array(gram.view(np.int64)), pa.array(weight)], ["node", "root", "stray", "size", "spare", "gram", "weight"])
+                n = len(gram)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, node, np.int64)), pa.array(gram.view(np.int64)), pa.array(weight.astype(np.int32)), pa.array(np.full(n, weight.sum(), np.int32))], ["node", "gram", "weight", "size"])
 
-    return both.mapInArrow(run, "node long, root long, stray boolean, size long, spare long, gram long, weight long")
+    return both.mapInArrow(run, "node long, gram long, weight int, size int")
 
 
 def meeting(rows: DataFrame, texts: DataFrame) -> DataFrame:
@@ -250,14 +249,15 @@ def meeting(rows: DataFrame, texts: DataFrame) -> DataFrame:
     nodes meet on a shingle near the head of both lists, and many nodes that each
     differ from a base by shingles of their own don't meet at all.
     """
-    nodes = rows.groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("major")).alias("stray"))
-    grams = stored(grams_of(nodes, texts), "grams")
-    often = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    common = stored(grams.join(often, "gram"), "common")
+    nodes = stored(rows.groupBy("node").agg(F.first("root").alias("root"), F.max(F.col("root") != F.col("major")).alias("stray")), "nodes")
+    grams = stored(grams_of(nodes, texts.dropDuplicates(["node"])), "grams")
+    often = grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram", F.col("n").cast("int").alias("n"))
     of = Window.partitionBy("node")
     upto = of.orderBy("n", "gram").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = F.col("size") - F.sum("weight").over(of) + F.sum("weight").over(upto) - F.col("weight")
-    heads = stored(common.withColumn("before", before).where(F.col("before") <= (1 - SIMILAR) * F.col("size") + 1e-6).drop("weight", "n"), "heads")
+    near = grams.join(often, "gram").withColumn("before", before).where(F.col("before") <= (1 - SIMILAR) * F.col("size") + 1e-6).select("node", "gram", "size", "before")
+    spare = grams.groupBy("node").agg((F.first("size") - F.count("*")).alias("spare"))
+    heads = stored(near.join(nodes.join(spare, "node"), "node"), "heads")
     one = heads.where("stray").select("gram", *[F.col(c).alias(f"a_{c}") for c in ("node", "root", "size", "spare", "before")])
     two = heads.select("gram", *[F.col(c).alias(f"b_{c}") for c in ("node", "root", "size", "spare", "before")])
     left = lambda x, y: F.least(F.col(f"{x}_size") - F.col(f"{x}_before"), F.col(f"{y}_size") - F.col(f"{y}_before") + F.col(f"{x}_spare")) / F.col(f"{x}_size")
