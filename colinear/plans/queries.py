@@ -645,9 +645,9 @@ def shared_words(spark, d):
 # Letters, pairs and orders
 
 
-@query("SELECT letter, instr('ACGT', letter)::INTEGER - 1 AS nucleotide, instr('ACDEFGHIKLMNPQRSTVWY', letter)::INTEGER - 1 AS amino, count(*) AS n FROM (SELECT unnest(regexp_extract_all(upper(text), '[A-Z]')) AS letter FROM documents) GROUP BY ALL")
+@query("SELECT letter, instr('ACGT', letter)::INTEGER - 1 AS nucleotide, instr('ACDEFGHIKLMNPQRSTVWY', letter)::INTEGER - 1 AS amino, count(*) AS n FROM (SELECT upper(unnest(regexp_extract_all(text, '[A-Za-z]'))) AS letter FROM documents) GROUP BY ALL")
 def letter_index(spark, d):
-    letters = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.upper("text"), F.lit("([A-Z])"), F.lit(1))).alias("letter"))
+    letters = table(spark, d, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z])"), F.lit(1))).alias("letter")).withColumn("letter", F.upper("letter"))
     return letters.groupBy("letter").agg(F.count("*").alias("n")).select("letter", S.nucleotide_index(F.col("letter")).alias("nucleotide"), S.amino_index(F.col("letter")).alias("amino"), "n")
 
 
