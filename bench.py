@@ -10,7 +10,7 @@ from pyspark.sql import SparkSession
 
 from colinear.plans import registry
 
-HEADLINE = ["seed_blocks", "kmer_counts", "six_frames", "chunks", "collapse", "summary_stats", "best_query", "depth_segments", "coverage_stats", "coverage_delta", "feature_coverage", "midpoint_depth", "grid_weights", "grid_topk", "interpolate", "gap_regions", "chain_best", "merge_overlaps", "synteny_blocks", "scaffold_anchors", "gff_export", "density_bins", "xcorr_matches", "align_swga", "guided_matches", "merged_summary"]
+HEADLINE = ["seed_blocks", "kmer_counts", "six_frames", "chunks", "collapse", "summary_stats", "best_query", "depth_segments", "coverage_stats", "coverage_delta", "feature_coverage", "midpoint_depth", "grid_weights", "grid_topk", "interpolate", "gap_regions", "chain_best", "merge_overlaps", "synteny_blocks", "scaffold_anchors", "gff_export", "density_bins", "align_swga", "guided_matches", "merged_summary"]
 
 
 def main() -> None:
