@@ -3,6 +3,10 @@
 Intervals are half-open. An interval is two events, +1 at its start and -1 at its
 end; events at one place are summed before the sweep, so repeated intervals cost
 one row. Nothing is ever held per base.
+
+Running sums are taken in two steps: within pieces of ``PIECE`` places, and over the
+totals of the pieces. So a long sequence keeps as many tasks busy as it has pieces.
+Intervals without a sequence take no part.
 """
 
 from __future__ import annotations
@@ -10,6 +14,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Places of a sequence whose events meet in one group of a sweep.
+PIECE = 1 << 16
+
+
+def running(rows: DataFrame, sums: list[str], keys: list[str], order: list[str] | None = None, piece: int = PIECE) -> DataFrame:
+    """Rows (keys, pos, ...) with the columns ``sums`` replaced by their running totals along ``pos``, and ``next``, the place of the row that follows.
+
+    Rows at one place follow ``order``, if given; without it each place has one row, or the order doesn't matter.
+    """
+    within, along = Window.partitionBy(*keys, "_piece").orderBy(*(order or ["pos"])), Window.partitionBy(*keys).orderBy("_piece")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_piece", F.floor(F.col("pos") / piece))
+    heads = rows.groupBy(*keys, "_piece").agg(F.min("pos").alias("_first"), *[F.sum(c).alias(f"_{c}") for c in sums])
+    heads = heads.select(*keys, "_piece", F.lead("_first").over(along).alias("_after"), *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums])
+    own = rows.withColumns({c: F.sum(c).over(upto) for c in sums} | {"next": F.lead("pos").over(within)})
+    joined = own.join(heads, [*keys, "_piece"])
+    totals = {c: F.col(c) + F.col(f"_{c}") for c in sums}
+    return joined.withColumns(totals | {"next": F.coalesce("next", "_after")}).drop("_piece", "_after", *[f"_{c}" for c in sums])
+
 
 def events(intervals: DataFrame, key: str = "seq", start: str = "start", end: str = "end", weight: Column | None = None) -> DataFrame:
     """``key, pos, delta`` summed by place."""
@@ -19,20 +43,19 @@ def events(intervals: DataFrame, key: str = "seq", start: str = "start", end: st
     return rows.groupBy("seq", "pos").agg(F.sum("delta").alias("delta"))
 
 
+def _segments(e: DataFrame) -> DataFrame:
+    rows = running(e, ["delta"], ["seq"])
+    return rows.where("delta > 0").select("seq", F.col("pos").alias("start"), F.col("next").alias("end"), F.col("delta").alias("depth"))
+
+
 def depth(intervals: DataFrame, **columns) -> DataFrame:
     """``seq, start, end, depth``: the maximal segments between events, of depth 1 at least."""
-    along = Window.partitionBy("seq").orderBy("pos")
-    rows = events(intervals, **columns).withColumn("depth", F.sum("delta").over(along)).withColumn("end", F.lead("pos").over(along))
-    return rows.where("depth > 0").select("seq", F.col("pos").alias("start"), "end", "depth")
+    return _segments(events(intervals, **columns))
 
 
 def merged_depth(intervals: DataFrame, **columns) -> DataFrame:
-    """As ``depth``, with neighbouring segments of one depth joined."""
-    along = Window.partitionBy("seq").orderBy("start")
-    rows = depth(intervals, **columns)
-    new = F.when((F.lag("end").over(along) == F.col("start")) & (F.lag("depth").over(along) == F.col("depth")), 0).otherwise(1)
-    rows = rows.withColumn("new", new).withColumn("run", F.sum("new").over(along))
-    return rows.groupBy("seq", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("depth").alias("depth")).drop("run")
+    """As ``depth``, with neighbouring segments of one depth joined: places where as much begins as ends are no borders."""
+    return _segments(events(intervals, **columns).where("delta <> 0")).select("seq", "start", "end", "depth")
 
 
 def coverage(intervals: DataFrame, most: int = 100, **columns) -> DataFrame:
@@ -53,33 +76,32 @@ def coverage_delta(before: DataFrame, after: DataFrame, key: str = "seq", start:
     rows = tag(before, 1, 0).unionByName(tag(after, 0, 1))
     ends = F.explode(F.array(F.struct(F.col("s").alias("pos"), F.col("a"), F.col("b")), F.struct(F.col("e").alias("pos"), (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))))
     e = rows.select("seq", ends.alias("x")).select("seq", "x.*").groupBy("seq", "pos").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    along = Window.partitionBy("seq").orderBy("pos")
-    e = e.withColumns({"da": F.sum("a").over(along), "db": F.sum("b").over(along), "size": F.lead("pos").over(along) - F.col("pos")})
-    return e.groupBy("seq").agg(F.coalesce(F.sum(F.when((F.col("da") == 0) & (F.col("db") > 0), F.col("size"))), F.lit(0)).alias("gained"), F.coalesce(F.sum(F.when((F.col("da") > 0) & (F.col("db") == 0), F.col("size"))), F.lit(0)).alias("lost"))
+    e = running(e, ["a", "b"], ["seq"])
+    size = F.col("next") - F.col("pos")
+    return e.groupBy("seq").agg(F.coalesce(F.sum(F.when((F.col("a") == 0) & (F.col("b") > 0), size)), F.lit(0)).alias("gained"), F.coalesce(F.sum(F.when((F.col("a") > 0) & (F.col("b") == 0), size)), F.lit(0)).alias("lost"))
 
 
 def union(intervals: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, start, end``: the runs of places under any interval (keys, start, end), by keys."""
     ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"))))
     e = intervals.where(F.col("end") > F.col("start")).select(*keys, ends.alias("x")).select(*keys, "x.*").groupBy(*keys, "pos").agg(F.sum("d").alias("d"))
-    along = Window.partitionBy(*keys).orderBy("pos")
-    e = e.withColumn("open", F.sum("d").over(along)).withColumn("before", F.col("open") - F.col("d"))
+    e = running(e.withColumn("by", F.col("d")), ["d"], keys).withColumn("before", F.col("d") - F.col("by"))
     # only the places where a run begins or ends are left, in turn
-    e = e.where((F.col("open") == 0) | (F.col("before") == 0)).where("open <> before").withColumn("end", F.lead("pos").over(along))
-    return e.where("open > 0").select(*keys, F.col("pos").alias("start"), "end")
+    e = e.where((F.col("d") == 0) | (F.col("before") == 0)).where("by <> 0").select(*keys, "pos", F.col("d").alias("open"))
+    return running(e, [], keys).where("open > 0").select(*keys, F.col("pos").alias("start"), F.col("next").alias("end"))
 
 
 def bases_before(points: DataFrame, runs: DataFrame) -> DataFrame:
-    """Adds ``below`` to points (seq, pos, ...): how many places below ``pos`` lie in disjoint runs (seq, start, end). One sweep over both."""
+    """Adds ``below`` to points (seq, pos, ...): how many places below ``pos`` lie in disjoint runs (seq, start, end). One sweep over both.
+
+    A run's start at x adds pos - x, its end takes it away: two running sums give all.
+    """
     others = [c for c in points.columns if c not in ("seq", "pos")]
-    ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"))))
+    ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).cast("long").alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).cast("long").alias("d"))))
     e = runs.select("seq", ends.alias("x")).select("seq", "x.*", *[F.lit(None).cast(dict(points.dtypes)[c]).alias(c) for c in others], F.lit(False).alias("asked"))
-    p = points.select("seq", "pos", F.lit(0).alias("d"), *others, F.lit(True).alias("asked"))
-    along = Window.partitionBy("seq").orderBy("pos")
-    upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = e.unionByName(p).withColumn("before", F.coalesce(F.sum("d").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    step = F.when(F.col("before") > 0, F.col("pos") - F.lag("pos").over(along)).otherwise(0)
-    return rows.withColumn("step", step).withColumn("below", F.sum("step").over(upto)).where("asked").select(*points.columns, "below")
+    p = points.select("seq", "pos", F.lit(0).cast("long").alias("d"), *others, F.lit(True).alias("asked"))
+    rows = running(e.unionByName(p).withColumn("at", F.col("d") * F.col("pos")), ["d", "at"], ["seq"])
+    return rows.where("asked").withColumn("below", F.col("d") * F.col("pos") - F.col("at")).select(*points.columns, "below")
 
 
 def feature_coverage(features: DataFrame, sizes: DataFrame, covered: DataFrame) -> DataFrame:
@@ -107,8 +129,8 @@ def depth_at(points: DataFrame, intervals: DataFrame) -> DataFrame:
     """Adds ``depth`` to points (id, seq, pos): how many intervals (seq, start, end) hold each. One sweep over both."""
     e = events(intervals).select("seq", "pos", "delta", F.lit(0).alias("kind"), F.lit(None).cast(dict(points.dtypes)["id"]).alias("id"))
     p = points.select("seq", "pos", F.lit(0).cast("long").alias("delta"), F.lit(1).alias("kind"), "id")
-    along = Window.partitionBy("seq").orderBy("pos", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return e.unionByName(p).withColumn("depth", F.sum("delta").over(along)).where("kind = 1").select("id", "seq", "pos", "depth")
+    rows = running(e.unionByName(p), ["delta"], ["seq"], ["pos", "kind"])
+    return rows.where("kind = 1").select("id", "seq", "pos", F.col("delta").alias("depth"))
 
 
 def trimmed(matches: DataFrame) -> DataFrame:
