@@ -11,7 +11,7 @@ from colinear.functions.sequence import revcomp, slice_clamped
 from colinear.operators import align, blocks, chain, guided, scaffold, xcorr
 from colinear.operators.seeds import as_matches, seed_blocks
 from colinear.plans import programs
-from colinear.plans.queries import docs, items, lineitem_matches, scaffold_hits, summary_of
+from colinear.plans.queries import HITS, SUM, M, docs, items, lineitem_matches, scaffold_hits, summary_of
 from colinear.session import table
 
 QUERIES: dict = {}
@@ -23,6 +23,40 @@ def query(f):
     return f
 
 
+def with_sql(sql: str):
+    def keep(f):
+        SQL[f.__name__] = sql
+        return query(f)
+
+    return keep
+
+
+# A fold over the rows of a group in turn: one step of the recursion for each row, a block's last state is the block.
+_MERGE = f"""WITH RECURSIVE {M}, o AS (SELECT *, row_number() OVER (PARTITION BY target_id, query_id, rc ORDER BY t_start, len, q_start) AS i FROM m),
+w AS (SELECT target_id, query_id, rc, i, 1 AS b, t_start, q_start, t_start + len AS t_end, q_start + len AS q_end, 1 AS members, t_start AS nt, q_start AS nq FROM o WHERE i = 1
+UNION ALL SELECT o.target_id, o.query_id, o.rc, o.i, CASE WHEN j THEN b ELSE b + 1 END, CASE WHEN j THEN w.t_start ELSE o.t_start END, CASE WHEN j THEN w.q_start ELSE o.q_start END,
+CASE WHEN j THEN greatest(w.t_end, o.t_start + len) ELSE o.t_start + len END, CASE WHEN j THEN greatest(w.q_end, o.q_start + len) ELSE o.q_start + len END, CASE WHEN j THEN members + 1 ELSE 1 END, o.t_start, o.q_start
+FROM w JOIN o ON w.target_id = o.target_id AND w.query_id = o.query_id AND w.rc = o.rc AND o.i = w.i + 1, LATERAL (SELECT nt <= o.t_start AND o.t_start < w.t_end AND nq <= o.q_start AND o.q_start < nq + w.t_end - nt AS j))
+SELECT target_id, query_id, rc, t_start, q_start, t_end, q_end, members FROM w QUALIFY row_number() OVER (PARTITION BY target_id, query_id, rc, b ORDER BY i DESC) = 1"""
+_TURN = "o AS (SELECT *, row_number() OVER (PARTITION BY t_name, q_name, ori ORDER BY t_start, t_end, q_start) AS i FROM s)"
+_ON = "w.t_name = o.t_name AND w.q_name = o.q_name AND w.ori = o.ori AND o.i = w.i + 1"
+_BOUNDED = f"""WITH RECURSIVE {SUM}, {_TURN},
+w AS (SELECT t_name, q_name, ori, i, 1 AS b, t_start, t_end, q_start, q_end, 1 AS n FROM o WHERE i = 1
+UNION ALL SELECT o.t_name, o.q_name, o.ori, o.i, CASE WHEN j THEN b ELSE b + 1 END, CASE WHEN j THEN w.t_start ELSE o.t_start END, CASE WHEN j THEN greatest(w.t_end, o.t_end) ELSE o.t_end END,
+CASE WHEN j THEN w.q_start ELSE o.q_start END, CASE WHEN j THEN greatest(w.q_end, o.q_end) ELSE o.q_end END, CASE WHEN j THEN n + 1 ELSE 1 END
+FROM w JOIN o ON {_ON}, LATERAL (SELECT abs(w.t_end - o.t_start) <= 2000 AND abs(w.q_end - o.q_start) <= 2000 AS j))
+SELECT t_name, t_start, t_end, q_name, q_start, q_end, ori, n FROM w QUALIFY row_number() OVER (PARTITION BY t_name, q_name, ori, b ORDER BY i DESC) = 1"""
+_SYNTENY = f"""WITH RECURSIVE {SUM}, {_TURN},
+w AS (SELECT t_name, q_name, ori, i, 1 AS b, t_start AS ft, q_start AS fq, t_start, t_end, q_start, q_end, ident FROM o WHERE i = 1
+UNION ALL SELECT o.t_name, o.q_name, o.ori, o.i, CASE WHEN j THEN b ELSE b + 1 END, CASE WHEN j THEN ft ELSE o.t_start END, CASE WHEN j THEN fq ELSE o.q_start END, o.t_start, o.t_end, o.q_start, o.q_end, o.ident
+FROM w JOIN o ON {_ON}, LATERAL (SELECT CASE WHEN o.ori = '+' THEN o.q_end > fq AND abs(o.q_start - fq - (o.t_start - ft)) < 1000000 ELSE o.q_start < fq AND abs(o.q_start - fq + (o.t_start - ft)) < 1000000 END AS j))
+SELECT t_name, min(t_start) AS t_start, max(t_end) AS t_end, q_name, min(q_start) AS q_start, max(q_end) AS q_end, ori, count(*)::INTEGER AS n, round(avg(ident), 9) AS ident FROM w GROUP BY t_name, q_name, ori, b HAVING count(*) >= 3"""
+_RUNS = f"""WITH {HITS}, k AS (SELECT *, count(*) OVER (PARTITION BY scaffold) AS n, count(*) OVER (PARTITION BY scaffold, chr) AS o FROM h),
+r AS (SELECT *, abs(sum(dir) OVER w) AS total, count(*) OVER w AS len FROM k WHERE o >= n // 5 WINDOW w AS (PARTITION BY scaffold ORDER BY s_pos, chr, pos, dir ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+g AS (SELECT *, row_number() OVER (PARTITION BY scaffold ORDER BY s_pos, chr, pos, dir) AS lo, row_number() OVER (PARTITION BY scaffold ORDER BY s_pos DESC, chr DESC, pos DESC, dir DESC) AS hi FROM r WHERE total = 5 AND len = 5)
+SELECT a.scaffold, a.chr AS lo_chr, a.pos AS lo_pos, b.chr AS hi_chr, b.pos AS hi_pos, a.dir FROM g AS a JOIN g AS b ON a.scaffold = b.scaffold AND a.lo = 1 AND b.hi = 1"""
+
+
 def _seeds(spark, d) -> DataFrame:
     """Seeds of the benchmark items on the documents, as matches."""
     q = items(spark, d)
@@ -48,17 +82,17 @@ def chain_dups(spark, d):
     return chain.chain_duplicates(lineitem_matches(spark, d))
 
 
-@query
+@with_sql(_MERGE)
 def merge_overlaps(spark, d):
     return blocks.merge_overlaps(lineitem_matches(spark, d))
 
 
-@query
+@with_sql(_SYNTENY)
 def synteny_blocks(spark, d):
-    return blocks.synteny_blocks(summary_of(spark, d))
+    return blocks.synteny_blocks(summary_of(spark, d)).withColumn("ident", F.round("ident", 9))
 
 
-@query
+@with_sql(_BOUNDED)
 def bounded_merge(spark, d):
     return blocks.bounded_merge(summary_of(spark, d), 2000)
 
@@ -70,7 +104,7 @@ def superscaffolds(spark, d):
     return scaffold.superscaffolds(scaffold.paths(scaffold.adjacency(ends), ends), names)
 
 
-@query
+@with_sql(_RUNS)
 def scaffold_run_anchors(spark, d):
     return scaffold.anchors(scaffold_hits(spark, d), run=5)
 
@@ -174,8 +208,8 @@ def merged_summary(spark, d):
 
 
 @query
-def chromosemble(spark, d):
-    return programs.chromosemble(items(spark, d), docs(spark, d), k=15, most=4)
+def scaffold_assembly(spark, d):
+    return programs.scaffold_assembly(items(spark, d), docs(spark, d), k=15, most=4)
 
 
 @query

@@ -19,11 +19,6 @@ from colinear.operators import align, blocks, chain, grid, matches, scaffold, se
 from colinear.session import stored
 
 
-def kmatch(query: DataFrame, target: DataFrame, k: int, least: int = 24, jump: int | None = None, most: int = 1) -> DataFrame:
-    """Exact seeds of one k."""
-    return seeds.seed_blocks(query, target, k, jump, least, most)
-
-
 def sizes(sequences: DataFrame, name: str) -> DataFrame:
     return sequences.select(F.col("seq_id").alias(f"{name}_id"), F.length("seq").cast("long").alias(f"{name}_size"))
 
@@ -121,7 +116,7 @@ def realign(summary: DataFrame, target: DataFrame, query: DataFrame, aligner: st
     return align.align_pairs(pairs.select("id", "t_seq", "q_seq"), aligner).join(pairs.select("id", "kind").distinct(), "id").select("id", "kind", "t_off", "q_off", "score", "identity", "edits")
 
 
-def chromosemble(scaffolds: DataFrame, reference: DataFrame, k: int = 15, least: int = 24, most: int = 1) -> DataFrame:
+def scaffold_assembly(scaffolds: DataFrame, reference: DataFrame, k: int = 15, least: int = 24, most: int = 1) -> DataFrame:
     """Orders, orients and joins scaffolds along a reference: seeds, anchors, links, walks, superscaffolds."""
     found = seeds.seed_blocks(scaffolds, reference, k, None, least, most)
     hits = found.select(F.concat(F.lit("q"), "query_id").alias("scaffold"), F.col("q_start").alias("s_pos"), F.col("target_id").alias("chr"), F.col("t_start").alias("pos"), F.when(F.col("rc"), -1).otherwise(1).alias("dir"))

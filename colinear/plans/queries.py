@@ -548,8 +548,8 @@ def transition_costs(spark, d):
     return m.where("dt is not null").select("target_id", "t_start", "query_id", "rc", "len", "q_start", scoring.transition(F.col("dt"), F.col("dq"), F.col("oq"), F.col("os")).alias("cost"))
 
 
-_HITS = "h AS (SELECT 's' || l_suppkey AS scaffold, l_orderkey * 10 + l_linenumber AS s_pos, l_partkey % 5 AS chr, (l_orderkey * 37 + l_suppkey * 101) % 1000000 AS pos, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS dir FROM lineitem)"
-_ENDS = f"""{_HITS}, r AS (SELECT *, count(*) OVER (PARTITION BY scaffold) AS n, count(*) OVER (PARTITION BY scaffold, chr) AS c FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY scaffold ORDER BY s_pos, chr, pos, dir) AS a, row_number() OVER (PARTITION BY scaffold ORDER BY s_pos DESC, chr DESC, pos DESC, dir DESC) AS z FROM r WHERE c >= n // 5),
+HITS = "h AS (SELECT 's' || l_suppkey AS scaffold, l_orderkey * 10 + l_linenumber AS s_pos, l_partkey % 5 AS chr, (l_orderkey * 37 + l_suppkey * 101) % 1000000 AS pos, CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END AS dir FROM lineitem)"
+_ENDS = f"""{HITS}, r AS (SELECT *, count(*) OVER (PARTITION BY scaffold) AS n, count(*) OVER (PARTITION BY scaffold, chr) AS c FROM h), k AS (SELECT *, row_number() OVER (PARTITION BY scaffold ORDER BY s_pos, chr, pos, dir) AS a, row_number() OVER (PARTITION BY scaffold ORDER BY s_pos DESC, chr DESC, pos DESC, dir DESC) AS z FROM r WHERE c >= n // 5),
 en AS (SELECT lo.scaffold, lo.chr AS lo_chr, lo.pos AS lo_pos, hi.chr AS hi_chr, hi.pos AS hi_pos, lo.dir FROM k lo JOIN k hi ON lo.scaffold = hi.scaffold AND lo.a = 1 AND hi.z = 1)"""
 
 
@@ -571,7 +571,7 @@ def scaffold_adjacency(spark, d):
 
 
 @query(
-    f"""WITH {_HITS}, f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY scaffold ORDER BY chr, pos, s_pos) = 1), b AS (SELECT *, CASE WHEN dir > 0 THEN pos - s_pos ELSE pos - (5000 - s_pos) END AS beg FROM f),
+    f"""WITH {HITS}, f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY scaffold ORDER BY chr, pos, s_pos) = 1), b AS (SELECT *, CASE WHEN dir > 0 THEN pos - s_pos ELSE pos - (5000 - s_pos) END AS beg FROM f),
 p AS (SELECT *, row_number() OVER w - 1 AS place, beg - lag(beg + 5000) OVER w AS gap FROM b WINDOW w AS (PARTITION BY chr ORDER BY pos, scaffold))
 SELECT 'Pseudo' || chr AS chr, place::INTEGER AS place, scaffold, dir, CASE WHEN place = 0 THEN 0 ELSE least(greatest(gap, 10), 1000) END::BIGINT AS gap FROM p"""
 )
