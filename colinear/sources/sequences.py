@@ -76,7 +76,7 @@ def fasta_lines(sequences: DataFrame, skip_empty: bool = False, width: int = 80)
     """``value``: each record as text, its sequence in lines of ``width``; a record without a name is ``Sequence_i``."""
     rows = sequences.where("seq <> ''") if skip_empty else sequences
     name = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.concat(F.lit("Sequence_"), F.col("seq_id").cast("string"))) if "seq_id" in sequences.columns else F.col("name")
-    return rows.select(F.concat(F.lit(">"), name, F.lit("\n"), F.regexp_replace(F.coalesce("seq", F.lit("")), f"(.{{1,{width}}})(?!$)", "$1\n")).alias("value"))
+    return rows.select(F.concat(F.lit(">"), name, F.lit("\n"), F.regexp_replace(F.coalesce("seq", F.lit("")), f"(.{{{width}}})(?=.)", "$1\n")).alias("value"))
 
 
 def write_fasta(sequences: DataFrame, path: str, skip_empty: bool = False) -> None:
