@@ -218,3 +218,9 @@ def back_translate(protein: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in sorted(codes.items()) for x in kv])
     letters = F.filter(F.split(F.upper(protein), ""), lambda x: x != "")
     return F.array_join(F.transform(letters, lambda x: F.coalesce(F.element_at(table, x), F.lit("NNN"))), "")
+
+
+def substitution(a: Column, b: Column, scores: dict[tuple[str, str], float], unknown: float = -100.0) -> Column:
+    """The score of a letter against another by a table of pairs (``tables.read_scores`` reads one, for amino acids or codons); ``unknown`` if it isn't there."""
+    table = F.create_map(*[F.lit(v) for (x, y), n in sorted(scores.items()) for v in (x + y, float(n))])
+    return F.coalesce(F.element_at(table, F.concat(F.upper(a), F.upper(b))), F.lit(float(unknown)))

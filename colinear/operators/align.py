@@ -321,6 +321,16 @@ def homopolymer_identity(a: str, b: str) -> float:
     return same / max(1, min(len(a), len(b)))
 
 
+def homopolymer_identities(pairs: DataFrame) -> DataFrame:
+    """``id, identity`` of pairs (id, t_seq, q_seq), see ``homopolymer_identity``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"id": b["id"], "identity": [homopolymer_identity(t, q) for t, q in zip(b["t_seq"], b["q_seq"], strict=True)]})
+
+    return pairs.select("id", "t_seq", "q_seq").mapInPandas(run, "id long, identity double")
+
+
 def join_overlap(a: str, b: str, least: int, most: int, ident: float) -> str | None:
     """``a`` and ``b`` joined at the longest suffix of a that b begins with, by identity; differing letters give their code."""
     from colinear.functions.sequence import BY_BITS, IUPAC

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from colinear.functions.sequence import revcomp
 from colinear.operators import align, xcorr
 from colinear.operators.seeds import CODE, word_lookup
+from colinear.session import stored
 
 #: Bounds of the super matches: cost of a step, frames looked back, cost of leaving a word out.
 MOST_STEP, LOOK_BACK, NULL_STEP = 50_000, 16, 20.0
@@ -209,3 +210,38 @@ def alignment_text(alignments: DataFrame, form: str = "csv") -> DataFrame:
     if form == "xml":
         return alignments.select(F.format_string('<alignment id="%d" target="%d" query="%d" score="%f" identity="%f"><t>%s</t><q>%s</q></alignment>', "id", "t_off", "q_off", "score", "identity", "t_aligned", "q_aligned").alias("value"))
     raise ValueError(f"no such form: {form}")
+
+
+def reference_columns(pairs: DataFrame, least: int = 150, least_pairs: int = 20) -> DataFrame:
+    """``ref_id, aligner, pos, same, pairs, decile``: how many of the sequences that were aligned to a reference keep each of its columns.
+
+    ``pairs``: ref_id, t_seq (the reference), q_seq. Every aligner aligns every pair; only the window that all of them
+    align counts, pairs whose window is shorter than ``least`` and references with fewer than ``least_pairs`` pairs left take no part. Equal pairs are aligned once.
+    """
+    kind = dict(pairs.dtypes)["ref_id"]
+    schema = f"ref_id {kind}, size long, n long, aligner string, kept array<int>"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for r in b.itertuples(index=False):
+                found = {name: align.align(r.t_seq, r.q_seq, name) for name in align.ALIGNERS}
+                if not all(found.values()):
+                    continue
+                start = max(a.t_start for a in found.values())
+                stop = min(a.t_start + len(a.target.replace("-", "")) for a in found.values())
+                if stop - start < least:
+                    continue
+                for name, a in found.items():
+                    place = a.t_start + np.cumsum([c != "-" for c in a.target]) - 1
+                    same = np.array([x == y for x, y in zip(a.target, a.query, strict=True)])
+                    out.append((r.ref_id, len(r.t_seq), r.n, name, place[same & (place >= start) & (place < stop)].tolist()))
+            yield pd.DataFrame(out, columns=["ref_id", "size", "n", "aligner", "kept"])
+
+    rows = pairs.where("t_seq <> '' and q_seq <> ''").groupBy("ref_id", "t_seq", "q_seq").agg(F.count("*").alias("n")).mapInPandas(run, schema)
+    rows = stored(rows, "kept")
+    counts = rows.groupBy("ref_id", "aligner").agg(F.sum("n").alias("pairs"), F.max("size").alias("size")).where(F.col("pairs") >= least_pairs)
+    every = counts.select("ref_id", "aligner", "pairs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("pos"))
+    kept = rows.select("ref_id", "aligner", "n", F.explode(F.col("kept").cast("array<bigint>")).alias("pos")).groupBy("ref_id", "aligner", "pos").agg(F.sum("n").alias("same"))
+    same = F.coalesce("same", F.lit(0))
+    return every.join(kept, ["ref_id", "aligner", "pos"], "left").select("ref_id", "aligner", "pos", same.alias("same"), "pairs", F.floor(10 * same / F.col("pairs")).alias("decile"))

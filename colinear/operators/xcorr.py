@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from colinear.functions.sequence import AMINO, IUPAC
 
@@ -107,8 +108,8 @@ def matches_of(target: str, query: str, cutoff: float = CUTOFF) -> list[tuple[in
     return sorted(set(found))
 
 
-def xcorr_matches(pairs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """Matches of chunk pairs (target_id, query_id, t_off, q_off, q_size, t_seq, q_seq) on both strands.
+def xcorr_matches(pairs: DataFrame, cutoff: float = CUTOFF, both: bool = True) -> DataFrame:
+    """Matches of chunk pairs (target_id, query_id, t_off, q_off, q_size, t_seq, q_seq) on both strands, or on the given one only.
 
     ``q_start`` is on the reversed query for reverse matches. With each match come
     the counts that its score needs: length, GC of both sides, equal columns.
@@ -120,7 +121,7 @@ def xcorr_matches(pairs: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                for rc in (False, True):
+                for rc in (False, True) if both else (False,):
                     q = r.q_seq.translate(turn)[::-1] if rc else r.q_seq
                     off = r.q_size - r.q_off - len(r.q_seq) if rc else r.q_off
                     for ts, qs, n, ident in matches_of(r.t_seq, q, cutoff):
@@ -150,3 +151,31 @@ def protein_matches(target: str, query: str, cutoff: float = CUTOFF, least: int
     size = 2 * 1 << (max(len(t), len(q)) - 1).bit_length()
     xc = correlate(signal(t, size, False), signal(q, size, False))
     return sorted({m for at in peaks(xc, cutoff) for m in runs_at(t, q, int(at) - size // 2, least, share)})
+
+
+def correlate_direct(t: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Correlation of two float signals (values, or values x channels) by plain sums: entry ``len(q) - 1 + s`` is that of the query moved by s."""
+    t, q = (np.asarray(v, float).reshape(len(v), -1) for v in (t, q))
+    return sum(np.correlate(t[:, k], q[:, k], "full") for k in range(t.shape[1]))
+
+
+def signal_shifts(pairs: DataFrame, id_col: str = "id") -> DataFrame:
+    """``id, shift, strength``: where the second of two float signals (id, t, q) fits the first best, the least shift of equals; nulls and empty signals give no row."""
+    schema = f"{id_col} {dict(pairs.dtypes)[id_col]}, shift long, strength double"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for i, t, q in zip(b[id_col], b["t"], b["q"], strict=True):
+                xc = correlate_direct(t, q)
+                at = int(xc.argmax())
+                out.append((i, at - len(q) + 1, float(xc[at])))
+            yield pd.DataFrame(out, columns=[id_col, "shift", "strength"])
+
+    return pairs.where("size(t) > 0 and size(q) > 0").select(id_col, "t", "q").mapInPandas(run, schema)
+
+
+def full_overlap(t_size: Column, q_size: Column, shift: Column) -> Column:
+    """(t_start, q_start, len) of all columns in which two sequences meet when the query is moved by ``shift``; length 0 if they don't."""
+    t, q = F.greatest(shift, F.lit(0)), F.greatest(-shift, F.lit(0))
+    return F.struct(t.cast("long").alias("t_start"), q.cast("long").alias("q_start"), F.greatest(F.least(t_size - t, q_size - q), F.lit(0)).cast("long").alias("len"))

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from colinear.functions import scoring
 from colinear.functions.sequence import revcomp, slice_clamped
-from colinear.operators import align, blocks, chain, grid, matches, scaffold, seeds, xcorr
+from colinear.operators import align, blocks, chain, grid, guided, matches, scaffold, seeds, xcorr
 from colinear.session import stored
+from colinear.sources import tables
 
 
 def sizes(sequences: DataFrame, name: str) -> DataFrame:
@@ -31,15 +32,39 @@ def scored(found: DataFrame, target_bases: float, least_prob: float) -> DataFram
     return good.select("target_id", "query_id", "query_size", "t_start", "q_start", "len", "rc", F.lit(least_prob).alias("prob"), "ident")
 
 
+def pieces(sequences: DataFrame, name: str, at: str, step: int, size: int) -> DataFrame:
+    """``<name>_id, <at>, <name>_seq, <name>_length``: sequences cut every ``step`` letters into pieces of ``size``, numbered by ``at``."""
+    seq = F.col("seq")
+    rows = sequences.where(F.length(seq) > 0).select(F.col("seq_id").alias(f"{name}_id"), seq, F.length(seq).cast("long").alias(f"{name}_length"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length(seq) - 1) / step))).alias(at))
+    return rows.select(f"{name}_id", at, slice_clamped(seq, F.col(at) * step, F.lit(size)).alias(f"{name}_seq"), f"{name}_length")
+
+
 def search_pixels(tasks: DataFrame, query: DataFrame, target: DataFrame, t_chunk: int, q_chunk: int, cutoff: float = xcorr.CUTOFF) -> DataFrame:
-    """Correlates the chunks that tasks (target_id, query_id, x, y) name: equi-joins by sequence, then slices."""
-    rows = tasks.join(target.select(F.col("seq_id").alias("target_id"), F.col("seq").alias("t")), "target_id").join(query.select(F.col("seq_id").alias("query_id"), F.col("seq").alias("q")), "query_id")
-    t_off, q_off = F.col("x") * (t_chunk * 3 // 4), F.col("y") * q_chunk
-    pairs = rows.select("target_id", "query_id", t_off.alias("t_off"), q_off.alias("q_off"), F.length("q").cast("long").alias("q_size"), slice_clamped(F.col("t"), t_off, F.lit(t_chunk)).alias("t_seq"), slice_clamped(F.col("q"), q_off, F.lit(q_chunk)).alias("q_seq"))
-    return xcorr.xcorr_matches(pairs.where("t_seq <> '' and q_seq <> ''"), cutoff)
+    """Correlates the chunks that tasks (target_id, query_id, x, y) name. Sequences are cut first, so that a task meets its two chunks and no whole sequence."""
+    step = t_chunk * 3 // 4
+    rows = tasks.join(pieces(target, "target", "x", step, t_chunk), ["target_id", "x"]).join(pieces(query, "query", "y", q_chunk, q_chunk), ["query_id", "y"])
+    pairs = rows.select("target_id", "query_id", (F.col("x") * step).alias("t_off"), (F.col("y") * q_chunk).alias("q_off"), F.col("query_length").alias("q_size"), F.col("target_seq").alias("t_seq"), F.col("query_seq").alias("q_seq"))
+    return xcorr.xcorr_matches(pairs, cutoff)
 
 
-def synteny_search(query: DataFrame, target: DataFrame, k: tuple[int, ...] = tuple(range(11, 32, 2)), least_seed: int = 24, most: int = 1, t_chunk: int = 1024, q_chunk: int = 1024, rounds: int | None = None, per_round: int = 200, least_prob: float = 0.99999, least_yield: int = 1, patience: int = 10) -> DataFrame:
+def refined(held: DataFrame, query: DataFrame, target: DataFrame, cutoff: float = 1.2, least_prob: float = 0.99999) -> DataFrame:
+    """Matches and what a more lenient correlation finds in the gaps between consecutive ones (``blocks.guide_chunks``), with the columns of matches."""
+    columns = ["target_id", "query_id", "query_size", "t_start", "q_start", "len", "rc", "prob", "ident"]
+    total = float(target.agg(F.sum(F.length("seq"))).first()[0] or 1)
+    held = stored(held.select(*columns), "guide")
+    rows = blocks.guide_chunks(held).join(target.select(F.col("seq_id").alias("target_id"), F.col("seq").alias("t")), "target_id").join(query.select(F.col("seq_id").alias("query_id"), F.col("seq").alias("q")), "query_id")
+    turned = F.when(F.col("rc"), revcomp(F.col("q"))).otherwise(F.col("q"))
+    t, q = slice_clamped(F.col("t"), F.col("t_from"), F.col("t_to") - F.col("t_from")), slice_clamped(turned, F.col("q_from"), F.col("q_to") - F.col("q_from"))
+    pairs = rows.select("target_id", "query_id", "rc", F.col("t_from").alias("t_off"), F.col("q_from").alias("q_off"), F.length("q").cast("long").alias("q_size"), t.alias("t_seq"), q.alias("q_seq"))
+    found = None
+    for rc in (False, True):
+        # the pieces are turned already, so only their own strand is asked for
+        one = xcorr.xcorr_matches(pairs.where(F.col("rc") == rc).drop("rc").where("t_seq <> '' and q_seq <> ''"), cutoff, both=False).withColumn("rc", F.lit(rc))
+        found = one if found is None else found.unionByName(one)
+    return held.unionByName(scored(found, total, least_prob).select(*columns)).distinct()
+
+
+def synteny_search(query: DataFrame, target: DataFrame, k: tuple[int, ...] = tuple(range(11, 32, 2)), least_seed: int = 24, most: int = 1, t_chunk: int = 1024, q_chunk: int = 1024, rounds: int | None = None, per_round: int = 200, least_prob: float = 0.99999, least_yield: int = 1, patience: int = 10, old: DataFrame | None = None, dump: str | None = None) -> DataFrame:
     """Seeds, chains, and searches around the chains by correlation, until rounds find little.
 
     Each round weighs the pixels that hold the middle of a chained match, and the neighbours
@@ -47,12 +72,21 @@ def synteny_search(query: DataFrame, target: DataFrame, k: tuple[int, ...] = tup
     it finds. The first round searches ``per_round`` pixels, each next one up to
     twice as many. It ends when no new pixel is left, or when ``patience`` rounds in
     a row found fewer than ``least_yield`` new matches; ``rounds``, if given, bounds
-    the rounds. Returns the chained matches.
+    the rounds. Matches of an earlier search (``old``, see ``tables.read_matches``) take the
+    place of seeds, so a search that stopped goes on from what it had found; with ``dump``
+    each round's new matches are written there, by round (``tables.read_rounds`` gives them
+    back). Returns the chained matches.
     """
     q_sizes = sizes(query, "query")
     total = float(target.agg(F.sum(F.length("seq"))).first()[0] or 1)
-    found = seeds.seed_blocks_multi(query, target, k, least_seed, most).drop("k").distinct()
-    held = stored(seeds.as_matches(found, q_sizes).drop("matches"), "seeds")
+    if old is None:
+        found = seeds.seed_blocks_multi(query, target, k, least_seed, most).drop("k").distinct()
+        first = seeds.as_matches(found, q_sizes).drop("matches")
+    else:
+        first = old.select("target_id", "query_id", "query_size", "t_start", "q_start", "len", "rc", "prob", "ident").distinct()
+    held = stored(first, "seeds")
+    if dump:
+        tables.write_round(held, dump, 0)
     pixel_keys = ["target_id", "query_id", "x", "y"]
     searched, low, done, batch = None, 0, 0, per_round
     while rounds is None or done < rounds:
@@ -68,6 +102,8 @@ def synteny_search(query: DataFrame, target: DataFrame, k: tuple[int, ...] = tup
         tasks = fresh if left <= batch else stored(fresh.orderBy(F.desc("weight"), *pixel_keys).limit(batch), "tasks")
         new = scored(search_pixels(tasks, query, target, t_chunk, q_chunk), total, least_prob)
         new = stored(new.select(*held.columns).subtract(held), "found")
+        if dump:
+            tables.write_round(new, dump, done + 1)
         tried = tasks.select(*pixel_keys)
         searched = stored(tried if searched is None else searched.unionByName(tried), "searched")
         low = low + 1 if new.count() < least_yield else 0
@@ -116,10 +152,32 @@ def realign(summary: DataFrame, target: DataFrame, query: DataFrame, aligner: st
     return align.align_pairs(pairs.select("id", "t_seq", "q_seq"), aligner).join(pairs.select("id", "kind").distinct(), "id").select("id", "kind", "t_off", "q_off", "score", "identity", "edits")
 
 
+def seeded_alignments(query: DataFrame, target: DataFrame, k: int = 12, words: int = 1, aligner: str = "NSGA", most_gap: int = 1000, flank: int = 10, most: int | None = None) -> DataFrame:
+    """``target_id, query_id, rc, t_start, q_start, score, identity, edits, t_aligned, q_aligned``: from words to alignments.
+
+    Super matches, their groups along target and query, and one alignment of each
+    group's surroundings. Starts are those of the alignment; ``q_start`` is on the reversed query for reverse groups.
+    """
+    q_sizes = sizes(query, "query")
+    found = guided.super_matches(query, target, k, words, most).join(q_sizes, "query_id")
+    turned = F.when(F.col("rc"), F.col("query_size") - F.col("q_start") - F.col("len")).otherwise(F.col("q_start"))
+    groups = blocks.seed_groups(found.withColumn("q_start", turned), most_gap)
+    groups = stored(groups.withColumn("id", F.monotonically_increasing_id()), "groups")
+    rows = groups.join(target.select(F.col("seq_id").alias("target_id"), F.col("seq").alias("t")), "target_id").join(query.select(F.col("seq_id").alias("query_id"), F.col("seq").alias("q")), "query_id")
+    q = F.when(F.col("rc"), revcomp(F.col("q"))).otherwise(F.col("q"))
+    piece = lambda s, a, z: slice_clamped(s, F.col(a) - flank, F.col(z) - F.col(a) + 2 * flank)
+    aligned = align.align_pairs(rows.select("id", piece(F.col("t"), "t_start", "t_end").alias("t_seq"), piece(q, "q_start", "q_end").alias("q_seq")), aligner)
+    at = lambda start, off: (F.greatest(F.col(start) - flank, F.lit(0)) + F.col(off)).alias(start)
+    return aligned.join(groups, "id").select("target_id", "query_id", "rc", at("t_start", "t_off"), at("q_start", "q_off"), "score", "identity", "edits", "t_aligned", "q_aligned")
+
+
 def scaffold_assembly(scaffolds: DataFrame, reference: DataFrame, k: int = 15, least: int = 24, most: int = 1) -> DataFrame:
     """Orders, orients and joins scaffolds along a reference: seeds, anchors, links, walks, superscaffolds."""
     found = seeds.seed_blocks(scaffolds, reference, k, None, least, most)
-    hits = found.select(F.concat(F.lit("q"), "query_id").alias("scaffold"), F.col("q_start").alias("s_pos"), F.col("target_id").alias("chr"), F.col("t_start").alias("pos"), F.when(F.col("rc"), -1).otherwise(1).alias("dir"))
+    # both ends of a seed are hits, so that one seed tells which way a scaffold lies
+    first, last = F.when(F.col("rc"), F.col("t_start") + F.col("len")).otherwise(F.col("t_start")), F.when(F.col("rc"), F.col("t_start")).otherwise(F.col("t_start") + F.col("len"))
+    ends = F.explode(F.array(F.struct(F.col("q_start").alias("s_pos"), first.alias("pos")), F.struct((F.col("q_start") + F.col("len")).alias("s_pos"), last.alias("pos"))))
+    hits = found.select(F.concat(F.lit("q"), "query_id").alias("scaffold"), F.col("target_id").alias("chr"), F.when(F.col("rc"), -1).otherwise(1).alias("dir"), ends.alias("e")).select("scaffold", "e.s_pos", "chr", "e.pos", "dir")
     ends = stored(scaffold.anchors(hits), "anchors")
     named = scaffolds.select(F.concat(F.lit("q"), "seq_id").alias("name"), "seq")
     walked = scaffold.paths(scaffold.adjacency(ends), named.select(F.col("name").alias("scaffold")))

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colinear.plans import heavy
+from colinear.plans import forms, heavy
 from colinear.plans import queries as native
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return native.QUERIES | heavy.QUERIES
+    return native.QUERIES | heavy.QUERIES | forms.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return native.SQL | heavy.SQL
+    return native.SQL | heavy.SQL | forms.SQL

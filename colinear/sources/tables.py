@@ -80,19 +80,93 @@ def extracted(summary: DataFrame, sequences: DataFrame, flank: int = 0) -> DataF
     return rows.select(F.concat("q_name", F.lit(":"), F.greatest(a, F.lit(0)), F.lit("-"), F.col("q_end") + flank).alias("name"), F.when(F.col("ori") == "-", revcomp(piece)).otherwise(piece).alias("seq"))
 
 
-def block_lines(blocks: DataFrame, t_sizes: DataFrame, q_sizes: DataFrame, least_size: int = 100_000, scale: int = 10) -> DataFrame:
-    """A block file's rows: coordinates divided by ``scale``; blocks of sequences (name, size) of ``least_size`` on both axes only."""
-    long = lambda sizes, name: sizes.where(F.col("size") >= least_size).select(F.col("name").alias(name))
-    rows = blocks.join(long(t_sizes, "t_name"), "t_name", "left_semi").join(long(q_sizes, "q_name"), "q_name", "left_semi")
-    d = lambda c: F.floor(F.col(c) / scale).cast("string")
-    return rows.select(F.concat_ws("\t", "t_name", d("t_start"), d("t_end"), "q_name", d("q_start"), d("q_end"), "ori", F.col("n").cast("string"), F.format_string("%f", "ident")).alias("value"))
-
-
-def read_blocks(spark: SparkSession, path: str, scale: int = 10) -> DataFrame:
-    p = F.split("value", "\t")
-    rows = spark.read.text(path).where(F.size(p) >= 9)
-    n = lambda k: (F.element_at(p, k).cast("long") * scale)
-    return rows.select(F.element_at(p, 1).alias("t_name"), n(2).alias("t_start"), n(3).alias("t_end"), F.element_at(p, 4).alias("q_name"), n(5).alias("q_start"), n(6).alias("q_end"), F.element_at(p, 7).alias("ori"), F.element_at(p, 8).cast("int").alias("n"), F.element_at(p, 9).cast("double").alias("ident"))
+def block_rows(summary: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The summary rows of each block (``blocks.synteny_blocks``), with the block's start: rows of its target, query and strand inside it on both axes."""
+    b = blocks.select("t_name", "q_name", "ori", F.col("t_start").alias("b_start"), F.col("t_end").alias("b_end"), F.col("q_start").alias("bq_start"), F.col("q_end").alias("bq_end"))
+    rows = summary.join(b, ["t_name", "q_name", "ori"])
+    inside = (F.col("t_start") >= F.col("b_start")) & (F.col("t_end") <= F.col("b_end")) & (F.col("q_start") >= F.col("bq_start")) & (F.col("q_end") <= F.col("bq_end"))
+    return rows.where(inside).drop("b_end", "bq_start", "bq_end")
+
+
+def block_lines(blocks: DataFrame, t_sizes: DataFrame, q_sizes: DataFrame, least_size: int = 100_000, scale: int = 10, rows: DataFrame | None = None) -> DataFrame:
+    """A block file: ``section, key, line, value``; in this order ``value`` is the file.
+
+    Both genomes' names, numbers and sizes of sequences (name, size; of ``least_size`` and more), divided by ``scale``;
+    then the blocks on such sequences, each followed by its ``rows`` (``block_rows``), if given, and an empty line. Query names end in Q.
+    """
+    long = lambda sizes: sizes.where(F.col("size") >= least_size)
+    text = lambda section, key, line, value: (F.lit(section).alias("section"), key.cast("string").alias("key"), F.lit(line).cast("long").alias("line"), value.alias("value"))
+    out = None
+    for section, sizes, title, mark in ((0, t_sizes, "Genome1", ""), (2, q_sizes, "Genome2", "Q")):
+        head = long(sizes).agg(F.count("*").alias("n")).select(*text(section, F.lit(""), 0, F.concat(F.lit(f"genome\t{title}\nchromosomes\t"), F.col("n").cast("string"))))
+        names = long(sizes).select(*text(section + 1, F.col("name"), 0, F.concat(F.col("name"), F.lit(f"{mark}\t"), F.floor(F.col("size") / scale).cast("string"))))
+        head = head.unionByName(names)
+        out = head if out is None else out.unionByName(head)
+    on = lambda df: df.join(long(t_sizes).select(F.col("name").alias("t_name")), "t_name", "left_semi").join(long(q_sizes).select(F.col("name").alias("q_name")), "q_name", "left_semi")
+    sign = F.when(F.col("ori") == "-", "-1").otherwise("+1")
+    key = lambda start: F.concat_ws("\t", "t_name", F.format_string("%020d", F.col(start)), "q_name", "ori")
+    ident = F.format_string("%f", "ident")
+    whole = on(blocks).select(*text(4, key("t_start"), -1, F.concat_ws("\t", "t_name", "t_start", "t_end", F.lit("+1"), F.concat("q_name", F.lit("Q")), "q_start", "q_end", sign, ident, F.col("n").cast("string"))))
+    out = out.unionByName(whole)
+    if rows is not None:
+        detail = on(rows).select(F.lit(4).alias("section"), key("b_start").alias("key"), F.col("t_start").cast("long").alias("line"), F.concat_ws("\t", "t_start", "t_end", F.lit("+1"), F.lit(""), "q_start", "q_end", sign, ident).alias("value"))
+        out = out.unionByName(detail)
+    return out
+
+
+def write_blocks(lines: DataFrame, path: str) -> None:
+    """The lines of a block file in their order, over as many part files as there are ranges; a block and its rows stay in one."""
+    lines.repartitionByRange("section", "key").sortWithinPartitions("section", "key", "line", "value").select("value").write.text(path)
+
+
+def read_blocks(spark: SparkSession, path: str, scale: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(axes: file, name, size), (blocks), (rows, with the names and the start of their block) of block files.
+
+    Ten columns make a block, two an axis; other rows belong to the block above them in their file.
+    """
+    p = F.split(F.trim("value"), r"\s+")
+    lines = spark.read.text(path).select(p.alias("p"), F.monotonically_increasing_id().alias("n"), F.col("_metadata.file_path").alias("file"))
+    text, number = lambda k: F.element_at("p", k), lambda k: F.element_at("p", k).cast("long")
+    ori = lambda k: F.when(text(k) == "-1", "-").otherwise("+").alias("ori")
+    axes = lines.where((F.size("p") == 2) & ~text(1).isin("genome", "chromosomes")).select("file", text(1).alias("name"), (number(2) * scale).alias("size"))
+    query = lambda c: F.regexp_replace(c, "Q$", "")
+    blocks = lines.where(F.size("p") >= 10).select(text(1).alias("t_name"), number(2).alias("t_start"), number(3).alias("t_end"), query(text(5)).alias("q_name"), number(6).alias("q_start"), number(7).alias("q_end"), ori(8), text(9).cast("double").alias("ident"), text(10).cast("int").alias("n"))
+    head = F.when(F.size("p") >= 10, F.struct(text(1).alias("t_name"), query(text(5)).alias("q_name"), number(2).alias("b_start")))
+    along = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = lines.where(F.size("p") >= 7).withColumn("head", F.last(head, ignorenulls=True).over(along)).where(F.size("p") < 10)
+    rows = rows.select("head.*", number(1).alias("t_start"), number(2).alias("t_end"), number(4).alias("q_start"), number(5).alias("q_end"), ori(6), text(7).cast("double").alias("ident"))
+    return axes, blocks, rows
+
+
+def write_round(found: DataFrame, path: str, done: int) -> None:
+    """The matches that a round of a search found; a round that is written again is replaced."""
+    found.write.mode("overwrite").parquet(f"{path.rstrip('/')}/round={done}")
+
+
+def read_rounds(spark: SparkSession, path: str) -> DataFrame:
+    """All matches that the rounds of a search found, to go on from."""
+    return spark.read.parquet(path).drop("round").distinct()
+
+
+ALIGNMENTS = "id long, t_off long, q_off long, score double, identity double, edits long, p_value double, t_aligned string, q_aligned string"
+
+
+def write_alignments(alignments: DataFrame, path: str) -> None:
+    """A store of alignments (``align.align_pairs``)."""
+    alignments.select(*[c.split()[0] for c in ALIGNMENTS.split(", ")]).write.mode("overwrite").parquet(path)
+
+
+def read_alignments(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ALIGNMENTS).parquet(path)
+
+
+def read_scores(spark: SparkSession, path: str) -> dict[tuple[str, str], float]:
+    """A substitution table in the usual text form: a line of letters, then a letter and its scores in each line; ``#`` begins a comment.
+
+    The table has a row per letter, so it is held as it is.
+    """
+    lines = [x["value"].split() for x in spark.read.option("wholetext", True).text(path).select(F.explode(F.split("value", r"\r?\n")).alias("value")).collect() if x["value"].strip() and not x["value"].startswith("#")]
+    return {(row[0], c): float(v) for row in lines[1:] for c, v in zip(lines[0], row[1:], strict=True)} if lines else {}
 
 
 def read_selection(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from colinear.functions import sequence as S
 from colinear.operators import align, blocks, grid, intervals
 from colinear.sources import sequences, tables
 
@@ -117,11 +119,33 @@ def test_sequence_files_in_many_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", held)
 
 
-def test_block_lines_go_by_the_size_of_the_sequence(spark):
-    rows = spark.createDataFrame([("a", 0, 100, "x", 0, 100, "+", 3, 0.9), ("b", 0, 100, "x", 0, 100, "+", 3, 0.9)], "t_name string, t_start long, t_end long, q_name string, q_start long, q_end long, ori string, n int, ident double")
+def test_block_file(spark, tmp_path):
+    names = "t_name string, t_start long, t_end long, q_name string, q_start long, q_end long, ident double, ori string"
+    summary = spark.createDataFrame([("a", 10 * k, 10 * k + 5, "x", 20 * k, 20 * k + 5, 0.5, "+") for k in range(4)] + [("b", 0, 100, "x", 0, 100, 0.9, "-")], names)
+    found = blocks.synteny_blocks(summary)
+    small = spark.createDataFrame([("b", 0, 100, "x", 0, 100, "-", 1, 0.9)], found.schema)
     size = lambda pairs: spark.createDataFrame(pairs, "name string, size long")
-    got = [x["value"] for x in tables.block_lines(rows, size([("a", 200_000), ("b", 5)]), size([("x", 100_000)])).collect()]
-    assert got == ["a\t0\t10\tx\t0\t10\t+\t3\t0.900000"]
+    t_sizes, q_sizes = size([("a", 200_000), ("b", 5)]), size([("x", 100_000)])
+    lines = tables.block_lines(found.unionByName(small), t_sizes, q_sizes, rows=tables.block_rows(summary, found))
+    text = [x["value"] for x in lines.orderBy("section", "key", "line", "value").collect()]
+    assert text == ["genome\tGenome1\nchromosomes\t1", "a\t20000", "genome\tGenome2\nchromosomes\t1", "xQ\t10000", "a\t0\t35\t+1\txQ\t0\t65\t+1\t0.500000\t4"] + [f"{10 * k}\t{10 * k + 5}\t+1\t\t{20 * k}\t{20 * k + 5}\t+1\t0.500000" for k in range(4)]
+    tables.write_blocks(lines, f"{tmp_path}/blocks")
+    axes, whole, rows = tables.read_blocks(spark, f"{tmp_path}/blocks")
+    assert sorted((x["name"], x["size"]) for x in axes.collect()) == [("a", 200_000), ("xQ", 100_000)]
+    assert [tuple(x) for x in whole.collect()] == [("a", 0, 35, "x", 0, 65, "+", 0.5, 4)]
+    assert sorted(tuple(x) for x in rows.collect()) == [("a", "x", 0, 10 * k, 10 * k + 5, 20 * k, 20 * k + 5, "+", 0.5) for k in range(4)]
+
+
+def test_stores_and_substitution_tables(spark, tmp_path):
+    pairs = spark.createDataFrame([(1, "ACGTACGTAC", "ACGTTCGTAC")], "id long, t_seq string, q_seq string")
+    found = align.align_pairs(pairs)
+    tables.write_alignments(found, f"{tmp_path}/alignments")
+    assert [tuple(x) for x in tables.read_alignments(spark, f"{tmp_path}/alignments").collect()] == [tuple(x) for x in found.collect()]
+    (tmp_path / "scores").write_text("# made for this test\n  A  R\nA 4 -1\nR -1 5\n")
+    scores = tables.read_scores(spark, f"{tmp_path}/scores")
+    assert scores == {("A", "A"): 4, ("A", "R"): -1, ("R", "A"): -1, ("R", "R"): 5}
+    rows = spark.createDataFrame([("a", "R"), ("R", "R"), ("A", "?"), (None, "A")], "a string, b string")
+    assert [x[0] for x in rows.select(S.substitution(F.col("a"), F.col("b"), scores)).collect()] == [-1, 5, -100, -100]
 
 
 def test_gumbel_fit_by_weights():
