@@ -96,9 +96,11 @@ def super_matches(query: DataFrame, target: DataFrame, k: int = 12, words: int =
     if it is given. Hits are found by joins; a query's hits are one group.
     """
     span = k * words
-    find = lambda q: word_lookup(q, target, k, words, most).select("query_id", "target_id", "q_pos", "t_pos")
-    turned = find(query.select("seq_id", revcomp(F.col("seq")).alias("seq"))).join(query.select(F.col("seq_id").alias("query_id"), F.length("seq").alias("size")), "query_id")
-    hits = find(query).withColumn("rc", F.lit(False)).unionByName(turned.withColumn("q_pos", F.col("size") - span - F.col("q_pos")).drop("size").withColumn("rc", F.lit(True)))
+    # both strands of the queries are looked up at once, so that the target's words are made once
+    strand = lambda seq, rc: F.struct(F.struct("seq_id", F.lit(rc).alias("rc"), F.length("seq").alias("size")).alias("seq_id"), seq.alias("seq"))
+    strands = query.select(F.explode(F.array(strand(F.col("seq"), False), strand(revcomp(F.col("seq")), True))).alias("s")).select("s.*")
+    q_pos = F.when(F.col("query_id.rc"), F.col("query_id.size") - span - F.col("q_pos")).otherwise(F.col("q_pos"))
+    hits = word_lookup(strands, target, k, words, most).select(F.col("query_id.seq_id").alias("query_id"), "target_id", q_pos.alias("q_pos"), "t_pos", F.col("query_id.rc").alias("rc"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         path = best_words(g["q_pos"].to_numpy(), g["t_pos"].to_numpy(), g["target_id"].to_numpy(), span, g["rc"].to_numpy())

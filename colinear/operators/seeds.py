@@ -26,8 +26,8 @@ RUN = 1 << 20
 SMALL = 1_000_000
 
 
-def kmers_of(seq: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(canonical k-mers, 0-based positions, whether the reverse strand is the canonical one); k is at most 31."""
+def kmers_of(seq: str, k: int, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(canonical k-mers, 0-based positions, whether the reverse strand is the canonical one); k is at most 31. ``plain``: those of the forward strand."""
     codes = CODE[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
     n = len(codes) - k + 1
     if n < 1:
@@ -38,14 +38,17 @@ def kmers_of(seq: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     forward, backward = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for j in range(k):
         forward = (forward << 2) | two[j : j + n]
-        backward = (backward << 2) | (3 - two[k - 1 - j : k - 1 - j + n])
+        if not plain:
+            backward = (backward << 2) | (3 - two[k - 1 - j : k - 1 - j + n])
     at = np.flatnonzero(good)
+    if plain:
+        return forward[at], at, np.zeros(len(at), bool)
     f, b = forward[at], backward[at]
     return np.minimum(f, b), at, b < f
 
 
-def kmers(sequences: DataFrame, k: int, id_col: str = "seq_id", seq: str = "seq") -> DataFrame:
-    """``id, kmer, pos, neg`` of every k-mer of plain bases; others break the window. Null and short sequences give none."""
+def kmers(sequences: DataFrame, k: int, id_col: str = "seq_id", seq: str = "seq", plain: bool = False) -> DataFrame:
+    """``id, kmer, pos, neg`` of every k-mer of plain bases; others break the window. Null and short sequences give none. ``plain``: see ``kmers_of``."""
     if not 0 < k < 32:
         raise ValueError("k must be from 1 to 31")
     rows = sequences.select(F.col(id_col).alias("id"), F.col(seq).alias("seq")).where("seq is not null")
@@ -56,7 +59,7 @@ def kmers(sequences: DataFrame, k: int, id_col: str = "seq_id", seq: str = "seq"
             for i in range(len(b)):
                 s = b.column("seq")[i].as_py()
                 for a in range(0, max(1, len(s) - k + 1), RUN):
-                    codes, at, neg = kmers_of(s[a : a + RUN + k - 1], k)
+                    codes, at, neg = kmers_of(s[a : a + RUN + k - 1], k, plain)
                     if len(codes):
                         ids = b.column("id").take(pa.array(np.full(len(codes), i, np.int64)))
                         yield pa.RecordBatch.from_arrays([ids, pa.array(codes), pa.array(at + a), pa.array(neg)], ["id", "kmer", "pos", "neg"])
@@ -141,11 +144,7 @@ def word_lookup(query: DataFrame, target: DataFrame, k: int = 12, words: int = 2
 
 def kmers_plain(sequences: DataFrame, k: int, id_col: str = "seq_id", seq: str = "seq") -> DataFrame:
     """``id, word, pos`` on the forward strand only (the k-mer code, not made canonical)."""
-    rows = kmers(sequences, k, id_col, seq)
-    # the canonical code of a reversed word is turned back: complement, then order
-    digits = [F.shiftright(F.col("kmer"), 2 * j).bitwiseAND(3) for j in range(k)]
-    back = sum((F.shiftleft(F.lit(3).cast("long") - d, 2 * (k - 1 - j)) for j, d in enumerate(digits)), F.lit(0).cast("long"))
-    return rows.select("id", F.when(F.col("neg"), back).otherwise(F.col("kmer")).alias("word"), "pos")
+    return kmers(sequences, k, id_col, seq, plain=True).select("id", F.col("kmer").alias("word"), "pos")
 
 
 def unique_seeds(query: DataFrame, target: DataFrame, k: int = 12, words: int = 2, distance: int = 1) -> DataFrame:
