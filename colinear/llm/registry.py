@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colinear.llm import audio, bpe, langid, linededup, mixing, neardup, sharding, topk, urlfilter, warc
+from colinear.llm import audio, bpe, decontaminate, infill, langid, linededup, mixing, neardup, periods, sharding, topk, urlfilter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sharding": sharding.op8_sharding,
         "op9_line_dedup": linededup.op9_line_dedup,
         "op10_exact_topk": topk.op10_exact_topk,
+        "op11_infill": infill.op11_infill,
+        "op12_periodic_runs": periods.op12_periodic_runs,
+        "op13_decontaminate": decontaminate.op13_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return urlfilter.ORACLE | warc.ORACLE | topk.ORACLE
+    return urlfilter.ORACLE | warc.ORACLE | topk.ORACLE | infill.ORACLE | decontaminate.ORACLE
