@@ -7,7 +7,7 @@ Aligners: ``SW`` and ``SWGA`` (linear, affine gaps; +1 / -1), ``NS`` and ``NSGA`
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +18,10 @@ from colinear.functions.scoring import GUMBEL
 
 #: Fixed values: (gap open, gap extension, mismatch, whether runs score by their cube) of each aligner.
 ALIGNERS = {"SW": (-1.0, -1.0, -1.0, False), "SWGA": (-6.0, -1.0, -1.0, False), "NS": (-100.0, -100.0, -8.0, True), "NSGA": (-200.0, -20.0, -8.0, True)}
-#: Letters of a run that score by the cube; further ones score as the last of them. A parameter, as states grow with it.
-DEPTH = 12
-#: Cells up to which the whole way back is held; beyond, rows are kept now and then, and what lies between is worked off again.
-HELD_CELLS = 1 << 24
+#: Cells of pairs that are worked off side by side. A pair of more cells goes alone, with rows kept now and then; what lies between is worked off again.
+HELD_CELLS = 1 << 22
+#: States of a cell: after a mismatch (or at the start), in a run of equal letters, in a gap of the query, in a gap of the target.
+OTHER, RUN, UP, LEFT = range(4)
 
 
 @dataclass
@@ -61,124 +61,210 @@ class Alignment:
         return sum(runs) / len(runs) if runs else 0.0
 
 
-class Rows:
-    """The dynamic program of two sequences, row by row (see ``align``)."""
-
-    def __init__(self, t: str, q: str, aligner: str, band: int, end_to_end: bool, depth: int):
-        self.t, self.m, self.band, self.local = t, len(q), band, not end_to_end
-        self.gap, self.extend, self.miss, cube = ALIGNERS[aligner]
-        self.depth = depth if cube else 1
-        self.gain = [float((k + 1) ** 3 - k**3) if cube else 1.0 for k in range(self.depth)]
-        self.up, self.left = self.depth + 1, self.depth + 2
-        self.letters, self.columns = np.frombuffer(q.encode(), np.uint8), np.arange(self.m + 1)
-        self.ends = np.array([0, self.up, self.left])
-
-    def step(self, row: np.ndarray | None, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row i, the states that its cells come from) from row i - 1 (None: row 0)."""
-        depth, up, left, columns = self.depth, self.up, self.left, self.columns
-        new, back = np.full((self.m + 1, depth + 3), -np.inf), np.full((self.m + 1, depth + 3), -1, np.int8)
-        if row is None:
-            new[0, 0] = 0.0
+def first_best(*values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest of several arrays, cell by cell, and which one has it (the first of equals)."""
+    best, which = values[0], np.zeros(values[0].shape, np.int8)
+    for k, v in enumerate(values[1:], 1):
+        which[v > best] = k
+        best = np.maximum(best, v)
+    return best, which
+
+
+@dataclass
+class Row:
+    """A row of every pair's table: the value of each state; the greatest of them and its state; open runs (value and row before their first letter), as many as some cell has."""
+
+    states: list[np.ndarray]
+    best: np.ndarray
+    which: np.ndarray
+    bases: list[np.ndarray]
+    begins: list[np.ndarray]
+
+
+class Table:
+    """The dynamic program of pairs of sequences side by side, row by row (see ``align_many``)."""
+
+    def __init__(self, pairs: list[tuple[str, str]], aligner: str, band: int, end_to_end: bool):
+        self.gap, self.extend, self.miss, self.cube = ALIGNERS[aligner]
+        self.kind = np.float64 if self.cube else np.float32  # both hold whole numbers of the sizes that occur
+        self.band, self.local = band, not end_to_end
+        self.n, self.m = max(len(t) for t, _ in pairs), max(len(q) for _, q in pairs)
+        fill = lambda strings, width, pad: np.stack([np.frombuffer(x.encode("ascii", "replace").ljust(width, pad), np.uint8) for x in strings])
+        self.t, self.q = fill([t for t, _ in pairs], self.n, b"\1"), fill([q for _, q in pairs], self.m, b"\2")
+        self.columns = np.arange(self.m + 1)
+        self.slope = (self.columns * self.extend).astype(self.kind)
+
+    def first(self) -> tuple[Row, list[np.ndarray]]:
+        shape = (len(self.t), self.m + 1)
+        new = [np.full(shape, -np.inf, self.kind) for _ in range(4)]
+        new[OTHER][:, 0] = 0.0
+        return self.finish(new, [np.full(shape, -1, np.int8) for _ in range(4)], 0, [], [])
+
+    def step(self, row: Row, i: int) -> tuple[Row, list[np.ndarray]]:
+        """Row i from row i - 1, and where its cells come from: for each state the state before (for runs of the cubic aligners how long the run is), and the best state that a run can begin behind."""
+        shape = (len(self.t), self.m + 1)
+        new = [np.full(shape, -np.inf, self.kind) for _ in range(4)]
+        back = [np.full(shape, -1, np.int8) for _ in range(4)]
+        equal = self.q == self.t[:, i - 1, None]
+        before, which = row.best[:, :-1], row.which[:, :-1]
+        new[OTHER][:, 1:] = np.where(equal, -np.inf, before + self.miss)
+        back[OTHER][:, 1:] = which
+        bases, begins = [], []
+        if self.cube:
+            new[RUN], back[RUN], bases, begins = self.runs(row, i, equal)
         else:
-            equal, before = self.letters == ord(self.t[i - 1]), row[:-1]
-            for r in range(1, depth + 1):
-                to = min(r + 1, depth)
-                v = np.where(equal, before[:, r] + self.gain[min(r, depth - 1)], -np.inf)
-                better = v > new[1:, to]
-                new[1:, to][better] = v[better]
-                back[1:, to][better] = r
-            other = before[:, self.ends]
-            k = other.argmax(axis=1)
-            v = np.where(equal, other[columns[:-1], k] + self.gain[0], -np.inf)
-            better = v > new[1:, 1]
-            new[1:, 1][better] = v[better]
-            back[1:, 1][better] = self.ends[k][better]
-            k = before.argmax(axis=1)
-            v = np.where(equal, -np.inf, before[columns[:-1], k] + self.miss)
-            better = v > new[1:, 0]
-            new[1:, 0][better] = v[better]
-            back[1:, 0][better] = k[better]
-            price = np.full(depth + 3, self.gap)
-            price[up] = self.extend
-            opened = row + price
-            k = opened.argmax(axis=1)
-            new[:, up] = opened[columns, k]
-            back[:, up] = np.where(np.isfinite(new[:, up]), k, -1)
+            new[RUN][:, 1:] = np.where(equal, before + 1, -np.inf)
+            back[RUN][:, 1:] = which
+        new[UP], back[UP] = first_best(row.states[OTHER] + self.gap, row.states[RUN] + self.gap, row.states[UP] + self.extend, row.states[LEFT] + self.gap)
+        return self.finish(new, back, i, bases, begins)
+
+    def runs(self, row: Row, i: int, equal: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Values of runs and their lengths. A run that begins at row s is worth what comes before plus (i - s) cubed.
+
+        Of two open runs on a diagonal the older grows faster. So a younger one that
+        is not worth more is never needed again; all others stay open, however long they are.
+        """
+        shape = (len(self.t), self.m + 1)
+
+        def moved(x: np.ndarray, keep: np.ndarray, rest: float) -> np.ndarray:
+            out = np.full(shape, rest, x.dtype)
+            out[:, 1:] = np.where(keep, x[:, :-1], rest)
+            return out
+
+        bases = [moved(x, equal, -np.inf) for x in row.bases]
+        begins = [moved(x, equal, 0) for x in row.begins]
+        value, begin = np.full(shape, -np.inf), np.zeros(shape, np.int32)
+        for base, at in zip(bases, begins, strict=True):
+            v = base + (i - at).astype(float) ** 3
+            better = v > value
+            value, begin = np.where(better, v, value), np.where(better, at, begin)
+        ends, _ = first_best(row.states[OTHER], row.states[UP], row.states[LEFT])
+        fresh = moved(ends, equal, -np.inf)
+        wins = fresh + 1 > value
+        value, begin = np.where(wins, fresh + 1, value), np.where(wins, i - 1, begin)
+        for base, at in zip(bases, begins, strict=True):
+            base[at > begin] = -np.inf  # younger than the best
+            free = wins & (base == -np.inf)
+            base[free], at[free] = fresh[free], i - 1
+            wins &= ~free
+        if wins.any():
+            bases.append(np.where(wins, fresh, -np.inf))
+            begins.append(np.where(wins, i - 1, 0).astype(np.int32))
+        return value, np.where(np.isfinite(value), i - begin, -1).astype(np.int32), bases, begins
+
+    def finish(self, new: list[np.ndarray], back: list[np.ndarray], i: int, bases: list[np.ndarray], begins: list[np.ndarray]) -> tuple[Row, list[np.ndarray]]:
         if self.local:
-            start = new[:, 0] <= 0
-            new[start, 0] = 0.0
-            back[start, 0] = -1
-        if self.band >= 0:
-            new[np.abs(columns - i) > self.band] = -np.inf
-        k = new[:, :left].argmax(axis=1)
-        base = new[columns, k]
-        reach = np.maximum.accumulate(base - columns * self.extend)
-        new[1:, left] = reach[:-1] + self.gap + columns[:-1] * self.extend
-        opens = new[1:, left] <= base[:-1] + self.gap
-        back[1:, left] = np.where(np.isfinite(new[1:, left]), np.where(opens, k[:-1], left), -1)
-        if self.band >= 0:
-            new[np.abs(columns - i) > self.band, left] = -np.inf
-        return new, back
-
-
-def align(t: str, q: str, aligner: str = "SWGA", band: int = -1, end_to_end: bool = False, depth: int = DEPTH) -> Alignment | None:
-    """The best local alignment (``end_to_end``: of both whole sequences); None if nothing scores above 0.
-
-    States: 0 after a mismatch or at the start, 1 to ``depth`` a run of so many equal
-    letters, then a gap in the query and a gap in the target. Rows are worked off one
-    after the other, all columns at once: only the gap in the target looks along the
-    row, which a running maximum gives. A band limits how far rows and columns differ.
-
-    Of long sequences every so many rows is kept, about the square root of their
-    number; on the way back the rows between two of them are worked off again. So the
-    result is the same, and memory grows with the query times that square root.
+            start = new[OTHER] <= 0
+            new[OTHER][start], back[OTHER][start] = 0.0, -1
+        outside = np.abs(self.columns - i) > self.band if self.band >= 0 else None
+        if outside is not None:
+            for x in [*new, *bases]:
+                x[:, outside] = -np.inf
+        base, which = first_best(new[OTHER], new[RUN], new[UP])
+        reach = np.maximum.accumulate(base - self.slope, axis=1)
+        new[LEFT][:, 1:] = reach[:, :-1] + self.gap + self.slope[:-1]
+        opens = new[LEFT][:, 1:] <= base[:, :-1] + self.gap
+        back[LEFT][:, 1:] = np.where(opens, which[:, :-1], LEFT)
+        if outside is not None:
+            new[LEFT][:, outside] = -np.inf
+        for k in (OTHER, UP, LEFT):
+            back[k][new[k] == -np.inf] = -1
+        left = new[LEFT] > base
+        ends = first_best(new[OTHER], new[UP], new[LEFT])[1] if self.cube else which
+        return Row(new, np.where(left, new[LEFT], base), np.where(left, np.int8(LEFT), which), bases, begins), [*back, ends]
+
+
+def align_many(pairs: list[tuple[str, str]], aligner: str = "SWGA", band: int = -1, end_to_end: bool = False) -> list[Alignment | None]:
+    """The best local alignment of each pair (target, query), or the one of both whole sequences (``end_to_end``); None if nothing scores above 0.
+
+    Pairs of like sizes share their rows: all columns of all of them are one step,
+    and only the gap in the target looks along the row, which a running maximum
+    gives. Letters of a run of any length score by the cube with ``NS`` and ``NSGA``. A band limits how far
+    rows and columns differ. Long pairs go alone; every so many rows is kept, about the
+    square root of their number, and on the way back the rows between two of them are
+    worked off again: the result is the same, and memory grows with the query times that square root.
     """
-    n, m = len(t), len(q)
-    if not n or not m:
-        return None
-    rows = Rows(t, q, aligner, band, end_to_end, depth)
-    width = rows.depth + 3
-    every = n + 1 if (n + 1) * (m + 1) * width <= HELD_CELLS else math.isqrt(n) + 1
-    row, best, at, kept, backs = None, 0.0, None, {}, {}
+    out: list[Alignment | None] = [None] * len(pairs)
+    order = sorted((k for k, (t, q) in enumerate(pairs) if t and q), key=lambda k: (len(pairs[k][0]), len(pairs[k][1])))
+    held: list[int] = []
+    cells = lambda ks: len(ks) * (max(len(pairs[k][0]) for k in ks) + 1) * (max(len(pairs[k][1]) for k in ks) + 1)
+    for k in order:
+        own = sum(cells([x]) for x in [*held, k])
+        if held and (cells([*held, k]) > min(HELD_CELLS, 1.5 * own)):
+            for x, found in zip(held, _aligned([pairs[x] for x in held], aligner, band, end_to_end), strict=True):
+                out[x] = found
+            held = []
+        held.append(k)
+    if held:
+        for x, found in zip(held, _aligned([pairs[x] for x in held], aligner, band, end_to_end), strict=True):
+            out[x] = found
+    return out
+
+
+def _aligned(pairs: list[tuple[str, str]], aligner: str, band: int, end_to_end: bool) -> list[Alignment | None]:
+    table = Table(pairs, aligner, band, end_to_end)
+    n, m, size = table.n, table.m, len(pairs)
+    every = n + 1 if size * (n + 1) * (m + 1) <= HELD_CELLS else math.isqrt(n) + 1
+    best, at = np.zeros(size), np.full((size, 3), -1)
+    lengths, widths = np.array([len(t) for t, _ in pairs]), np.array([len(q) for _, q in pairs])
+    if end_to_end:
+        best[:] = -np.inf
+    row, kept, backs = None, {}, {}
     for i in range(n + 1):
         if i % every == 0:
             kept[i] = row  # what row i is made from
             if every <= n:
                 backs.clear()
-        row, backs[i] = rows.step(row, i)
-        if not end_to_end:
-            x = int(row.argmax())
-            if row.flat[x] > best:
-                best, at = float(row.flat[x]), (i, x // width, x % width)
-    if end_to_end:
-        best, at = float(row[m].max()), (n, m, int(row[m].argmax()))
-    if at is None or not math.isfinite(best):
-        return None
-    i, j, k = at
-    a, b = [], []
-    while True:
+        row, backs[i] = table.first() if row is None else table.step(row, i)
+        if end_to_end:
+            own = np.flatnonzero(lengths == i)
+            best[own] = row.best[own, widths[own]]
+            at[own] = np.stack([lengths[own], widths[own], row.which[own, widths[own]]], axis=1)
+        else:
+            j = row.best.argmax(axis=1)
+            v = row.best[np.arange(size), j]
+            own = np.flatnonzero(v > best)
+            best[own] = v[own]
+            at[own] = np.stack([np.full(len(own), i), j[own], row.which[own, j[own]]], axis=1)
+
+    def of(i: int) -> list[np.ndarray]:
+        nonlocal backs
         if i not in backs:
             first = i - i % every
-            row, backs = kept[first], {}
-            for x in range(first, i + 1):
-                row, backs[x] = rows.step(row, x)
-        before = int(backs[i][j, k])
+            again, backs = kept[first], {}
+            for x in range(first, min(first + every, n + 1)):
+                again, backs[x] = table.first() if again is None else table.step(again, x)
+        return backs[i]
+
+    return [_traced(p, *pairs[p], float(best[p]), *map(int, at[p]), of, table.cube) if at[p, 0] >= 0 and math.isfinite(best[p]) else None for p in range(size)]
+
+
+def _traced(p: int, t: str, q: str, score: float, i: int, j: int, state: int, of: Callable[[int], list[np.ndarray]], cube: bool) -> Alignment:
+    """The way back from a cell of pair ``p``."""
+    a, b = [], []
+    while state >= 0:
+        before = int(of(i)[state][p, j])
         if before < 0:
             break
-        if k == rows.up:
-            a.append(t[i - 1])
-            b.append("-")
+        if state == RUN and cube:  # the whole run at once
+            a.append(t[i - before : i][::-1])
+            b.append(q[j - before : j][::-1])
+            i, j = i - before, j - before
+            state = (OTHER, UP, LEFT)[int(of(i)[4][p, j])]
+            continue
+        if state != LEFT:
             i -= 1
-        elif k == rows.left:
-            a.append("-")
-            b.append(q[j - 1])
+        if state != UP:
             j -= 1
-        else:
-            a.append(t[i - 1])
-            b.append(q[j - 1])
-            i, j = i - 1, j - 1
-        k = before
-    return Alignment(i, j, "".join(a[::-1]), "".join(b[::-1]), best)
+        a.append("-" if state == LEFT else t[i])
+        b.append("-" if state == UP else q[j])
+        state = before
+    return Alignment(i, j, "".join(a)[::-1], "".join(b)[::-1], score)
+
+
+def align(t: str, q: str, aligner: str = "SWGA", band: int = -1, end_to_end: bool = False) -> Alignment | None:
+    """The best alignment of one pair, see ``align_many``."""
+    return align_many([(t, q)], aligner, band, end_to_end)[0]
 
 
 def p_value(score: float, aligner: str) -> float:
@@ -187,16 +273,26 @@ def p_value(score: float, aligner: str) -> float:
     return -math.expm1(-math.exp(min(700.0, -rate * (score - location))))
 
 
+def non_overlapping_many(pairs: list[tuple[str, str]], aligner: str = "NSGA", most_p: float = 0.1, least: int = 5) -> list[list[Alignment]]:
+    """For each pair the best alignment, and those left and right of it, again while they are significant and long enough: by target start. What is left of all pairs is aligned side by side."""
+    out: list[list[Alignment]] = [[] for _ in pairs]
+    open_ = [(k, 0, 0, t, q) for k, (t, q) in enumerate(pairs)]
+    while open_ := [x for x in open_ if len(x[3]) > least and len(x[4]) > least]:
+        left = []
+        for (k, t_at, q_at, t, q), a in zip(open_, align_many([(t, q) for *_, t, q in open_], aligner), strict=True):
+            if a is None or p_value(a.score, aligner) > most_p:
+                continue
+            t_end, q_end = a.t_start + len(a.target.replace("-", "")), a.q_start + len(a.query.replace("-", ""))
+            left += [(k, t_at, q_at, t[: a.t_start], q[: a.q_start]), (k, t_at + t_end, q_at + q_end, t[t_end:], q[q_end:])]
+            a.t_start, a.q_start = a.t_start + t_at, a.q_start + q_at
+            out[k].append(a)
+        open_ = left
+    return [sorted(x, key=lambda a: (a.t_start, a.q_start)) for x in out]
+
+
 def non_overlapping(t: str, q: str, aligner: str = "NSGA", most_p: float = 0.1, least: int = 5) -> list[Alignment]:
-    """The best alignment, and those left and right of it, again while they are significant and long enough."""
-    if len(t) <= least or len(q) <= least or (best := align(t, q, aligner)) is None or p_value(best.score, aligner) > most_p:
-        return []
-    t_end, q_end = best.t_start + len(best.target.replace("-", "")), best.q_start + len(best.query.replace("-", ""))
-    left = non_overlapping(t[: best.t_start], q[: best.q_start], aligner, most_p, least)
-    right = non_overlapping(t[t_end:], q[q_end:], aligner, most_p, least)
-    for r in right:
-        r.t_start, r.q_start = r.t_start + t_end, r.q_start + q_end
-    return [*left, best, *right]
+    """See ``non_overlapping_many``."""
+    return non_overlapping_many([(t, q)], aligner, most_p, least)[0]
 
 
 def skip_align(t: str, q: str, skip: float = 0.5) -> tuple[float, list[tuple[int, int]]]:
@@ -242,10 +338,8 @@ def align_pairs(pairs: DataFrame, aligner: str = "SWGA", band: int = -1) -> Data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
-            for r in b.itertuples(index=False):
-                if a := align(r.t_seq, r.q_seq, aligner, band):
-                    out.append((r.id, a.t_start, a.q_start, a.score, a.identity, a.edits, p_value(a.score, aligner), a.target, a.query))
+            pairs = list(zip(b["t_seq"], b["q_seq"], strict=True))
+            out = [(i, a.t_start, a.q_start, a.score, a.identity, a.edits, p_value(a.score, aligner), a.target, a.query) for i, a in zip(b["id"], align_many(pairs, aligner, band), strict=True) if a]
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     return pairs.mapInPandas(run, schema)

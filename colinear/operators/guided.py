@@ -226,8 +226,9 @@ def reference_columns(pairs: DataFrame, least: int = 150, least_pairs: int = 20)
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for r in b.itertuples(index=False):
-                found = {name: align.align(r.t_seq, r.q_seq, name) for name in align.ALIGNERS}
+            aligned = {name: align.align_many(list(zip(b["t_seq"], b["q_seq"], strict=True)), name) for name in align.ALIGNERS}
+            for k, r in enumerate(b.itertuples(index=False)):
+                found = {name: aligned[name][k] for name in align.ALIGNERS}
                 if not all(found.values()):
                     continue
                 start = max(a.t_start for a in found.values())

@@ -168,7 +168,7 @@ for _name in align.ALIGNERS:
 def align_non_overlapping(spark, d):
     def run(batches):
         for b in batches:
-            out = [(int(i), a.t_start, a.q_start, len(a.target), a.score) for i, t, q in zip(b["id"], b["t_seq"], b["q_seq"], strict=True) for a in align.non_overlapping(t, q, "SWGA", 0.5)]
+            out = [(int(i), a.t_start, a.q_start, len(a.target), a.score) for i, found in zip(b["id"], align.non_overlapping_many(list(zip(b["t_seq"], b["q_seq"], strict=True)), "SWGA", 0.5), strict=True) for a in found]
             yield pd.DataFrame(out, columns=["id", "t_start", "q_start", "len", "score"])
 
     return _regions(spark, d).select("id", "t_seq", "q_seq").mapInPandas(run, "id long, t_start long, q_start long, len long, score double")
