@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colinear.functions.sequence import revcomp
+
 
 def chunks(sequences: DataFrame, size: int = 4096, overlap: int = 0, id_col: str = "seq_id", seq: str = "seq") -> DataFrame:
     """``seq_id, chunk, start, end, all_n, seq``: a sequence of length l in 1 + l div (size - overlap) pieces.
@@ -121,8 +123,11 @@ def assign_blocks(pieces: DataFrame, n: int, block: int | None = None) -> DataFr
 
 
 def shared_words(query: DataFrame, target: DataFrame, k: int = 12, least: int = 2) -> DataFrame:
-    """Query chunks (seq_id, seq) of which a run of ``least`` words in a row stands in some target chunk."""
-    from colinear.operators.seeds import word_lookup
-
-    found = word_lookup(query, target, k, least, most=1 << 30)
-    return query.join(found.select(F.col("query_id").alias("seq_id")).distinct(), "seq_id", "left_semi")
+    """Query chunks (seq_id, seq) of which a run of ``least`` words in a row stands in some target chunk or its reverse complement."""
+    from colinear.operators.seeds import spans, wanted_only
+
+    # the query's own reverse complement stands for the target's, which needs to be read once only
+    strands = query.select("seq_id", F.explode(F.array("seq", revcomp(F.col("seq")))).alias("seq"))
+    (q, key), (t, _) = spans(strands, k, least), spans(target, k, least)
+    found = q.join(wanted_only(t, q, key).select(*key).distinct(), key, "left_semi")
+    return query.join(found.select(F.col("id").alias("seq_id")).distinct(), "seq_id", "left_semi")

@@ -120,26 +120,61 @@ def as_matches(blocks: DataFrame, query_sizes: DataFrame) -> DataFrame:
     return blocks.join(query_sizes, "query_id").select("target_id", "query_id", "query_size", "t_start", flipped.alias("q_start"), "len", "rc", F.lit(1.0).alias("prob"), F.lit(1.0).alias("ident"), F.col("len").cast("double").alias("matches"))
 
 
-def word_lookup(query: DataFrame, target: DataFrame, k: int = 12, words: int = 2, most: int | None = 1000, ahead: int = 0) -> DataFrame:
+def spans(sequences: DataFrame, k: int, words: int, id_col: str = "seq_id", seq: str = "seq") -> tuple[DataFrame, list[str]]:
+    """``id, pos`` and the code of the ``words`` words of ``k`` letters each that stand in a row there, forward strand; and the code's columns, with as many words each as a long holds."""
+    if not 0 < k < 32:
+        raise ValueError("k must be from 1 to 31")
+    each = min(words, 31 // k)
+    starts = list(range(0, words, each))
+    names = [f"code{x}" for x in range(len(starts))]
+    rows = sequences.select(F.col(id_col).alias("id"), F.col(seq).alias("seq")).where("seq is not null")
+    kind, span = dict(rows.dtypes)["id"], k * words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                s = b.column("seq")[i].as_py()
+                for a in range(0, max(1, len(s) - span + 1), RUN):
+                    piece = s[a : a + RUN + span - 1]
+                    found, valid = [], None
+                    for first in starts:
+                        n = k * min(each, words - first)
+                        codes, at, _ = kmers_of(piece[first * k : len(piece) - span + first * k + n], n, True)
+                        found.append((codes, at))
+                        valid = at if valid is None else np.intersect1d(valid, at, assume_unique=True)
+                    if valid is not None and len(valid):
+                        ids = b.column("id").take(pa.array(np.full(len(valid), i, np.int64)))
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(valid + a), *[pa.array(codes[np.searchsorted(at, valid)]) for codes, at in found]], ["id", "pos", *names])
+
+    return rows.mapInArrow(run, f"id {kind}, pos long, " + ", ".join(f"{n} long" for n in names)), names
+
+
+def word_lookup(query: DataFrame, target: DataFrame, k: int = 12, words: int = 2, most: int | None = None, ahead: int = 0) -> DataFrame:
     """Positions where ``words`` consecutive words of the query (each k letters) stand in a row in the target.
 
     ``query_id, q_pos, target_id, t_pos, offset``: a word may stand up to ``ahead``
-    letters later in the target, by the same offset for all. Words that the target has more than
-    ``most`` times find nothing; None takes all. Forward strand.
+    letters later in the target, by the same offset for all. The words of a place are looked up together,
+    by one equal join: a frequent word costs nothing unless its neighbours stand with it. Words that the target has more than
+    ``most`` times find nothing, if it is given. Forward strand.
     """
-    q, t = kmers_plain(query, k), kmers_plain(target, k)
-    if most is None:
-        wanted = stored(q.select("word").distinct(), "words")
-        if wanted.count() <= SMALL:  # the target's other words needn't be shuffled
-            t = t.join(F.broadcast(wanted), "word", "left_semi")
-    else:
-        few = t.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("word")
-        t = t.join(few, "word", "left_semi")
-    starts = q.select(F.col("id").alias("query_id"), F.col("pos"), "word").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(words - 1)))).withColumn("q_pos", F.col("pos") - F.col("i") * k).where("q_pos >= 0")
-    offsets = F.explode(F.sequence(F.lit(0), F.lit(ahead)))
-    both = starts.join(t.select("word", F.col("id").alias("target_id"), F.col("pos").alias("t")), "word").withColumn("offset", offsets)
-    both = both.withColumn("t_pos", F.col("t") - F.col("i") * k - F.col("offset")).where("t_pos >= 0")
-    return both.groupBy("query_id", "q_pos", "target_id", "t_pos", "offset").agg(F.count("*").alias("n")).where(F.col("n") == words).drop("n")
+    (q, key), (t, _) = spans(query, k, words), spans(target, k, words)
+    if most is not None:
+        single = kmers_plain(target, k)
+        often = stored(single.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > most).select("word"), "often")
+        places = single.join(F.broadcast(often) if often.count() <= SMALL else often, "word", "left_semi")
+        barred = places.select("id", F.explode(F.array(*[F.col("pos") - i * k for i in range(words)])).alias("pos")).distinct()
+        t = t.join(barred, ["id", "pos"], "left_anti")
+    t = wanted_only(t, q, key)
+    starts = q.select(F.col("id").alias("query_id"), F.col("pos").alias("q_pos"), *key)
+    both = starts.join(t.select(*key, F.col("id").alias("target_id"), F.col("pos").alias("t")), key)
+    both = both.withColumn("offset", F.explode(F.sequence(F.lit(0), F.lit(ahead)))) if ahead else both.withColumn("offset", F.lit(0))
+    return both.select("query_id", "q_pos", "target_id", (F.col("t") - F.col("offset")).alias("t_pos"), "offset").where("t_pos >= 0")
+
+
+def wanted_only(t: DataFrame, q: DataFrame, key: list[str]) -> DataFrame:
+    """The rows of ``t`` whose key ``q`` has, if ``q`` has few enough to be broadcast: the others needn't be shuffled. All of them else."""
+    wanted = stored(q.select(*key).distinct(), "wanted")
+    return t.join(F.broadcast(wanted), key, "left_semi") if wanted.count() <= SMALL else t
 
 
 def kmers_plain(sequences: DataFrame, k: int, id_col: str = "seq_id", seq: str = "seq") -> DataFrame:
@@ -150,9 +185,12 @@ def kmers_plain(sequences: DataFrame, k: int, id_col: str = "seq_id", seq: str =
 def unique_seeds(query: DataFrame, target: DataFrame, k: int = 12, words: int = 2, distance: int = 1) -> DataFrame:
     """Query positions (every ``distance``) whose words have exactly one place in the target, runs of +1 steps joined.
 
-    Returns ``query_id, target_id, q_start, t_start, len``.
+    Returns ``query_id, target_id, q_start, t_start, len``. The target's words are counted before
+    they meet the query's, so that repeats of any number are never paired.
     """
-    found = word_lookup(query, target, k, words).where(F.col("q_pos") % distance == 0)
-    only = found.groupBy("query_id", "q_pos").agg(F.count("*").alias("n"), F.min("target_id").alias("target_id"), F.min("t_pos").alias("t_pos")).where("n = 1")
+    (q, key), (t, _) = spans(query, k, words), spans(target, k, words)
+    place = F.struct(F.col("id").alias("target_id"), F.col("pos").alias("t_pos"))
+    once = wanted_only(t, q, key).groupBy(*key).agg(F.count("*").alias("n"), F.min(place).alias("at")).where("n = 1").select(*key, "at.*")
+    only = q.where(F.col("pos") % distance == 0).select(F.col("id").alias("query_id"), F.col("pos").alias("q_pos"), *key).join(once, key)
     blocks = extend(only.withColumn("rc", F.lit(False)).select("query_id", "target_id", "q_pos", "t_pos", "rc"), k * words, distance, 0)
     return blocks.select("query_id", "target_id", "q_start", "t_start", "len")

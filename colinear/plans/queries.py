@@ -226,7 +226,7 @@ l AS (SELECT query_id, q_pos, target_id, t_pos FROM h GROUP BY ALL HAVING count(
 @query(f"WITH {ITEMS}, {_lookup} SELECT *, 0 AS \"offset\" FROM l")
 def word_lookup(spark, d):
     a = items(spark, d)
-    return seeds.word_lookup(a, a, 12, 2, most=1 << 30)
+    return seeds.word_lookup(a, a, 12, 2)
 
 
 @query(
@@ -636,10 +636,16 @@ def chunk_blocks(spark, d):
     return grid.assign_blocks(grid.chunks(docs(spark, d), 512), 9).select("seq_id", "chunk", "block")
 
 
-@query(f"WITH {ITEMS}, {_lookup} SELECT seq_id, seq FROM items WHERE seq_id IN (SELECT query_id FROM l)")
+@query(
+    f"""WITH {ITEMS}, x AS (SELECT seq_id, {RC.format(s="seq")} AS seq FROM items WHERE seq_id % 2 = 1), t AS (SELECT seq_id, p, substr(seq, p + 1, 24) AS word FROM (SELECT * FROM items WHERE seq_id % 2 = 0 UNION ALL SELECT * FROM x), LATERAL (SELECT unnest(range(greatest(length(seq) - 23, 0))) AS p)),
+q AS (SELECT seq_id, substr(seq, p + 1, 24) AS word FROM (SELECT seq_id, seq FROM items UNION ALL SELECT seq_id, {RC.format(s="seq")} FROM items), LATERAL (SELECT unnest(range(greatest(length(seq) - 23, 0))) AS p))
+SELECT seq_id, seq FROM items WHERE seq_id IN (SELECT seq_id FROM q WHERE word IN (SELECT word FROM t))"""
+)
 def shared_words(spark, d):
+    """Items against items of which every other one is turned, so that half of them can be met on the reverse strand only."""
     a = items(spark, d)
-    return grid.shared_words(a, a)
+    turned = a.withColumn("seq", F.when(F.col("seq_id") % 2 == 1, S.revcomp(F.col("seq"))).otherwise(F.col("seq")))
+    return grid.shared_words(a, turned)
 
 
 # Letters, pairs and orders
