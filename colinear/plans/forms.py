@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from colinear.functions import scoring
 from colinear.functions import sequence as S
-from colinear.operators import align, blocks, grid, guided, intervals, xcorr
+from colinear.operators import align, blocks, grid, guided, intervals, tiles, xcorr
 from colinear.plans import programs
 from colinear.plans.heavy import _SYNTENY, _regions, _seeds
 from colinear.plans.queries import DOCS, ITEMS, SUM, docs, items, summary_of
@@ -169,9 +169,10 @@ def seeded_alignments(spark, d):
 @query()
 def reference_columns(spark, d):
     """Every item against the documents' surroundings of its seeds."""
-    m = _seeds(spark, d).where("not rc").join(docs(spark, d).select(F.col("seq_id").alias("target_id"), F.col("seq").alias("t")), "target_id").join(items(spark, d).select(F.col("seq_id").alias("query_id"), F.col("seq").alias("q")), "query_id")
-    first = F.col("t_start") - F.col("q_start")
-    pairs = m.select(F.col("query_id").alias("ref_id"), "target_id", first.alias("first"), F.col("q").alias("t_seq"), S.slice_clamped(F.col("t"), first - 20, F.length("q") + 40).alias("q_seq")).distinct()
+    m = _seeds(spark, d).where("not rc").select("query_id", "target_id", (F.col("t_start") - F.col("q_start") - 20).alias("first")).distinct()
+    m = m.join(items(spark, d).select(F.col("seq_id").alias("query_id"), F.col("seq").alias("t_seq")), "query_id").withColumn("size", F.length("t_seq") + 40)
+    found = tiles.sliced(m, tiles.store(docs(spark, d)), "target_id", "first", "size", "q_seq")
+    pairs = found.select(F.col("query_id").alias("ref_id"), "target_id", "first", "t_seq", "q_seq")
     return guided.reference_columns(pairs, least=100, least_pairs=2)
 
 

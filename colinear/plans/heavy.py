@@ -7,8 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colinear.functions.sequence import revcomp, slice_clamped
-from colinear.operators import align, blocks, chain, guided, scaffold, xcorr
+from colinear.operators import align, blocks, chain, guided, scaffold, tiles, xcorr
 from colinear.operators.seeds import as_matches, seed_blocks
 from colinear.plans import programs
 from colinear.plans.queries import HITS, SUM, M, docs, items, lineitem_matches, scaffold_hits, summary_of
@@ -65,11 +64,9 @@ def _seeds(spark, d) -> DataFrame:
 
 def _regions(spark, d) -> DataFrame:
     """(id, t_seq, q_seq) of every seed with 30 letters around it."""
-    m = _seeds(spark, d)
-    rows = m.join(docs(spark, d).select(F.col("seq_id").alias("target_id"), F.col("seq").alias("t")), "target_id").join(items(spark, d).select(F.col("seq_id").alias("query_id"), F.col("seq").alias("q")), "query_id")
-    q = F.when(F.col("rc"), revcomp(F.col("q"))).otherwise(F.col("q"))
-    piece = lambda s, at: slice_clamped(s, F.col(at) - 30, F.col("len") + 60)
-    return rows.select(F.xxhash64("target_id", "query_id", "rc", "t_start", "q_start").alias("id"), piece(F.col("t"), "t_start").alias("t_seq"), piece(q, "q_start").alias("q_seq"), "target_id", "query_id", "t_start", "q_start", "len", "rc")
+    m = _seeds(spark, d).withColumns({"t_from": F.col("t_start") - 30, "q_from": F.col("q_start") - 30, "size": F.col("len") + 60})
+    rows = tiles.sliced(tiles.sliced(m, tiles.store(docs(spark, d)), "target_id", "t_from", "size", "t_seq"), tiles.store(items(spark, d)), "query_id", "q_from", "size", "q_seq", "rc")
+    return rows.select(F.xxhash64("target_id", "query_id", "rc", "t_start", "q_start").alias("id"), "t_seq", "q_seq", "target_id", "query_id", "t_start", "q_start", "len", "rc")
 
 
 @query
@@ -112,11 +109,11 @@ def scaffold_run_anchors(spark, d):
 @query
 def xcorr_matches(spark, d):
     """Correlation of every seed's surroundings, widened to 512 letters."""
-    m = _seeds(spark, d)
-    rows = m.join(docs(spark, d).select(F.col("seq_id").alias("target_id"), F.col("seq").alias("t")), "target_id").join(items(spark, d).select(F.col("seq_id").alias("query_id"), F.col("seq").alias("q")), "query_id")
     off = F.greatest(F.col("t_start") - 256, F.lit(0))
-    pairs = rows.select("target_id", "query_id", F.floor(off / 256).alias("piece"), F.col("t"), F.col("q")).distinct()
-    pairs = pairs.select("target_id", "query_id", (F.col("piece") * 256).alias("t_off"), F.lit(0).cast("long").alias("q_off"), F.length("q").cast("long").alias("q_size"), slice_clamped(F.col("t"), F.col("piece") * 256, F.lit(1024)).alias("t_seq"), F.col("q").alias("q_seq"))
+    rows = _seeds(spark, d).select("target_id", "query_id", (F.floor(off / 256) * 256).alias("t_off"), F.lit(1024).alias("size")).distinct()
+    # items are read as they are: one query sequence of a pair, of some hundred letters
+    pairs = tiles.sliced(rows, tiles.store(docs(spark, d)), "target_id", "t_off", "size", "t_seq").join(items(spark, d).select(F.col("seq_id").alias("query_id"), F.col("seq").alias("q_seq")), "query_id")
+    pairs = pairs.select("target_id", "query_id", "t_off", F.lit(0).cast("long").alias("q_off"), F.length("q_seq").cast("long").alias("q_size"), "t_seq", "q_seq")
     return xcorr.xcorr_matches(pairs).distinct()
 
 

@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colinear.functions import scoring
-from colinear.functions.sequence import revcomp, slice_clamped
-from colinear.operators import align, blocks, chain, grid, guided, matches, scaffold, seeds, xcorr
+from colinear.functions.sequence import revcomp
+from colinear.operators import align, blocks, chain, grid, guided, matches, scaffold, seeds, tiles, xcorr
 from colinear.session import stored
-from colinear.sources import tables
+from colinear.sources import tables as files
 
 
 def sizes(sequences: DataFrame, name: str) -> DataFrame:
@@ -34,9 +34,7 @@ def scored(found: DataFrame, target_bases: float, least_prob: float) -> DataFram
 
 def pieces(sequences: DataFrame, name: str, at: str, step: int, size: int) -> DataFrame:
     """``<name>_id, <at>, <name>_seq, <name>_length``: sequences cut every ``step`` letters into pieces of ``size``, numbered by ``at``."""
-    seq = F.col("seq")
-    rows = sequences.where(F.length(seq) > 0).select(F.col("seq_id").alias(f"{name}_id"), seq, F.length(seq).cast("long").alias(f"{name}_length"), F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.length(seq) - 1) / step))).alias(at))
-    return rows.select(f"{name}_id", at, slice_clamped(seq, F.col(at) * step, F.lit(size)).alias(f"{name}_seq"), f"{name}_length")
+    return tiles.tiles(sequences.where("seq <> ''"), size=size, step=step).toDF(f"{name}_id", at, f"{name}_seq", f"{name}_length")
 
 
 def search_pixels(tasks: DataFrame, query: DataFrame, target: DataFrame, t_chunk: int, q_chunk: int, cutoff: float = xcorr.CUTOFF) -> DataFrame:
@@ -50,12 +48,12 @@ def search_pixels(tasks: DataFrame, query: DataFrame, target: DataFrame, t_chunk
 def refined(held: DataFrame, query: DataFrame, target: DataFrame, cutoff: float = 1.2, least_prob: float = 0.99999) -> DataFrame:
     """Matches and what a more lenient correlation finds in the gaps between consecutive ones (``blocks.guide_chunks``), with the columns of matches."""
     columns = ["target_id", "query_id", "query_size", "t_start", "q_start", "len", "rc", "prob", "ident"]
-    total = float(target.agg(F.sum(F.length("seq"))).first()[0] or 1)
+    ts, qs = tiles.store(target), tiles.store(query)
+    total = float(tiles.totals(ts).agg(F.sum("total")).first()[0] or 1)
     held = stored(held.select(*columns), "guide")
-    rows = blocks.guide_chunks(held).join(target.select(F.col("seq_id").alias("target_id"), F.col("seq").alias("t")), "target_id").join(query.select(F.col("seq_id").alias("query_id"), F.col("seq").alias("q")), "query_id")
-    turned = F.when(F.col("rc"), revcomp(F.col("q"))).otherwise(F.col("q"))
-    t, q = slice_clamped(F.col("t"), F.col("t_from"), F.col("t_to") - F.col("t_from")), slice_clamped(turned, F.col("q_from"), F.col("q_to") - F.col("q_from"))
-    pairs = rows.select("target_id", "query_id", "rc", F.col("t_from").alias("t_off"), F.col("q_from").alias("q_off"), F.length("q").cast("long").alias("q_size"), t.alias("t_seq"), q.alias("q_seq"))
+    rows = blocks.guide_chunks(held).withColumns({"t_len": F.col("t_to") - F.col("t_from"), "q_len": F.col("q_to") - F.col("q_from")})
+    rows = tiles.sliced(tiles.sliced(rows, ts, "target_id", "t_from", "t_len", "t_seq"), qs, "query_id", "q_from", "q_len", "q_seq", "rc")
+    pairs = stored(rows.join(tiles.totals(qs).toDF("query_id", "q_size"), "query_id").select("target_id", "query_id", "rc", F.col("t_from").alias("t_off"), F.col("q_from").alias("q_off"), "q_size", "t_seq", "q_seq"), "pairs")
     found = None
     for rc in (False, True):
         # the pieces are turned already, so only their own strand is asked for
@@ -86,7 +84,7 @@ def synteny_search(query: DataFrame, target: DataFrame, k: tuple[int, ...] = tup
         first = old.select("target_id", "query_id", "query_size", "t_start", "q_start", "len", "rc", "prob", "ident").distinct()
     held = stored(first, "seeds")
     if dump:
-        tables.write_round(held, dump, 0)
+        files.write_round(held, dump, 0)
     pixel_keys = ["target_id", "query_id", "x", "y"]
     searched, low, done, batch = None, 0, 0, per_round
     while rounds is None or done < rounds:
@@ -103,7 +101,7 @@ def synteny_search(query: DataFrame, target: DataFrame, k: tuple[int, ...] = tup
         new = scored(search_pixels(tasks, query, target, t_chunk, q_chunk), total, least_prob)
         new = stored(new.select(*held.columns).subtract(held), "found")
         if dump:
-            tables.write_round(new, dump, done + 1)
+            files.write_round(new, dump, done + 1)
         tried = tasks.select(*pixel_keys)
         searched = stored(tried if searched is None else searched.unionByName(tried), "searched")
         low = low + 1 if new.count() < least_yield else 0
@@ -116,15 +114,12 @@ def synteny_search(query: DataFrame, target: DataFrame, k: tuple[int, ...] = tup
 
 def merged_summary(found: DataFrame, target: DataFrame, query: DataFrame, least_prob: float = 0.6) -> DataFrame:
     """Merges overlapping matches and computes each block's identity on the sequences. Returns summary columns."""
-    good = matches.at_least(found, 0, least_prob)
-    merged = blocks.merge_overlaps(good)
-    members = good.select("target_id", "query_id", "rc", F.col("t_start").alias("mt"), F.col("q_start").alias("mq"), F.col("len").alias("ml"))
     keys = ["target_id", "query_id", "rc"]
-    inside = (F.col("mt") >= F.col("t_start")) & (F.col("mt") < F.col("t_end")) & (F.col("mq") >= F.col("q_start")) & (F.col("mq") < F.col("q_end"))
-    rows = merged.join(members, keys).where(inside).groupBy(*keys, "t_start", "t_end", "q_start", "q_end").agg(F.collect_list(F.struct("mt", "mq", "ml")).alias("members"))
-    rows = rows.join(target.select(F.col("seq_id").alias("target_id"), F.col("seq").alias("t")), "target_id").join(query.select(F.col("seq_id").alias("query_id"), F.col("seq").alias("q")), "query_id")
-    q = F.when(F.col("rc"), revcomp(F.col("q"))).otherwise(F.col("q"))
-    rows = rows.select(*keys, "t_start", "t_end", "q_start", "q_end", F.length("q").cast("long").alias("q_size"), "members", slice_clamped(F.col("t"), F.col("t_start"), F.col("t_end") - F.col("t_start")).alias("ts"), slice_clamped(q, F.col("q_start"), F.col("q_end") - F.col("q_start")).alias("qs"))
+    ts, qs = tiles.store(target), tiles.store(query)
+    merged = blocks.merge_overlaps(matches.at_least(found, 0, least_prob).select(*keys, "t_start", "q_start", "len"), members=True)
+    merged = merged.select(*keys, "t_start", "t_end", "q_start", "q_end", F.col("list").alias("members"), (F.col("t_end") - F.col("t_start")).alias("t_len"), (F.col("q_end") - F.col("q_start")).alias("q_len"))
+    rows = tiles.sliced(tiles.sliced(merged, ts, "target_id", "t_start", "t_len", "ts"), qs, "query_id", "q_start", "q_len", "qs", "rc")
+    rows = rows.join(tiles.totals(qs).toDF("query_id", "q_size"), "query_id").select(*keys, "t_start", "t_end", "q_start", "q_end", "q_size", "members", "ts", "qs")
     schema = "t_name string, t_start long, t_end long, q_name string, q_start long, q_end long, ident double, ori string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,11 +139,11 @@ def realign(summary: DataFrame, target: DataFrame, query: DataFrame, aligner: st
     merged = blocks.bounded_merge(summary, boundary)
     gaps = blocks.gap_regions(merged).select("t_name", F.col("t_from").alias("t_start"), F.col("t_to").alias("t_end"), "q_name", F.col("q_from").alias("q_start"), F.col("q_to").alias("q_end"), "ori", F.lit("gap").alias("kind"))
     rows = merged.drop("n").withColumn("kind", F.lit("block")).unionByName(gaps)
-    rows = rows.withColumn("id", F.xxhash64(*rows.columns))
-    rows = rows.join(target.select(F.concat(F.lit("t"), "seq_id").alias("t_name"), F.col("seq").alias("t")), "t_name").join(query.select(F.concat(F.lit("q"), "seq_id").alias("q_name"), F.col("seq").alias("q")), "q_name")
-    q = slice_clamped(F.col("q"), F.col("q_start"), F.col("q_end") - F.col("q_start"))
-    pairs = rows.select("id", "kind", slice_clamped(F.col("t"), F.col("t_start"), F.col("t_end") - F.col("t_start")).alias("t_seq"), F.when(F.col("ori") == "-", revcomp(q)).otherwise(q).alias("q_seq"))
-    pairs = stored(pairs, "pairs")
+    rows = rows.withColumn("id", F.xxhash64(*rows.columns)).withColumns({"t_len": F.col("t_end") - F.col("t_start"), "q_len": F.col("q_end") - F.col("q_start")})
+    named = lambda df, x: tiles.store(df.select(F.concat(F.lit(x), "seq_id").alias("name"), "seq"), "name")
+    rows = tiles.sliced(tiles.sliced(rows, named(target, "t"), "t_name", "t_start", "t_len", "t_seq"), named(query, "q"), "q_name", "q_start", "q_len", "q_seq")
+    # a summary's intervals are on the forward strand
+    pairs = stored(rows.select("id", "kind", "t_seq", F.when(F.col("ori") == "-", revcomp(F.col("q_seq"))).otherwise(F.col("q_seq")).alias("q_seq")), "pairs")
     return align.align_pairs(pairs.select("id", "t_seq", "q_seq"), aligner).join(pairs.select("id", "kind").distinct(), "id").select("id", "kind", "t_off", "q_off", "score", "identity", "edits")
 
 
@@ -163,10 +158,9 @@ def seeded_alignments(query: DataFrame, target: DataFrame, k: int = 12, words: i
     turned = F.when(F.col("rc"), F.col("query_size") - F.col("q_start") - F.col("len")).otherwise(F.col("q_start"))
     groups = blocks.seed_groups(found.withColumn("q_start", turned), most_gap)
     groups = stored(groups.withColumn("id", F.monotonically_increasing_id()), "groups")
-    rows = groups.join(target.select(F.col("seq_id").alias("target_id"), F.col("seq").alias("t")), "target_id").join(query.select(F.col("seq_id").alias("query_id"), F.col("seq").alias("q")), "query_id")
-    q = F.when(F.col("rc"), revcomp(F.col("q"))).otherwise(F.col("q"))
-    piece = lambda s, a, z: slice_clamped(s, F.col(a) - flank, F.col(z) - F.col(a) + 2 * flank)
-    aligned = align.align_pairs(rows.select("id", piece(F.col("t"), "t_start", "t_end").alias("t_seq"), piece(q, "q_start", "q_end").alias("q_seq")), aligner)
+    around = groups.withColumns({f"{x}_{part}": y for x in "tq" for part, y in (("from", F.col(f"{x}_start") - flank), ("len", F.col(f"{x}_end") - F.col(f"{x}_start") + 2 * flank))})
+    rows = tiles.sliced(tiles.sliced(around, tiles.store(target), "target_id", "t_from", "t_len", "t_seq"), tiles.store(query), "query_id", "q_from", "q_len", "q_seq", "rc")
+    aligned = align.align_pairs(rows.select("id", "t_seq", "q_seq"), aligner)
     at = lambda start, off: (F.greatest(F.col(start) - flank, F.lit(0)) + F.col(off)).alias(start)
     return aligned.join(groups, "id").select("target_id", "query_id", "rc", at("t_start", "t_off"), at("q_start", "q_off"), "score", "identity", "edits", "t_aligned", "q_aligned")
 

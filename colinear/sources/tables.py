@@ -72,12 +72,12 @@ def qlt(summary: DataFrame) -> DataFrame:
 
 def extracted(summary: DataFrame, sequences: DataFrame, flank: int = 0) -> DataFrame:
     """``name, seq``: the query interval of every row, with ``flank`` on both sides, reversed for ``-``."""
-    from colinear.functions.sequence import revcomp, slice_clamped
+    from colinear.functions.sequence import revcomp
+    from colinear.operators import tiles
 
-    rows = summary.join(sequences.select(F.col("name").alias("q_name"), "seq"), "q_name")
-    a, n = F.col("q_start") - flank, F.col("q_end") - F.col("q_start") + 2 * flank
-    piece = slice_clamped(F.col("seq"), a, n)
-    return rows.select(F.concat("q_name", F.lit(":"), F.greatest(a, F.lit(0)), F.lit("-"), F.col("q_end") + flank).alias("name"), F.when(F.col("ori") == "-", revcomp(piece)).otherwise(piece).alias("seq"))
+    asked = summary.withColumns({"from": F.col("q_start") - flank, "size": F.col("q_end") - F.col("q_start") + 2 * flank})
+    rows = tiles.sliced(asked, tiles.store(sequences, "name"), "q_name", "from", "size", "piece")
+    return rows.select(F.concat("q_name", F.lit(":"), F.greatest("from", F.lit(0)), F.lit("-"), F.col("q_end") + flank).alias("name"), F.when(F.col("ori") == "-", revcomp(F.col("piece"))).otherwise(F.col("piece")).alias("seq"))
 
 
 def block_rows(summary: DataFrame, blocks: DataFrame) -> DataFrame:
