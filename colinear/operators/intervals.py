@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colinear.operators.islands import before, dealt
+
 #: Places of a sequence whose events meet in one group of a sweep.
 PIECE = 1 << 16
 
@@ -26,7 +28,7 @@ def running(rows: DataFrame, sums: list[str], keys: list[str], order: list[str]
     within, along = Window.partitionBy(*keys, "_piece").orderBy(*(order or ["pos"])), Window.partitionBy(*keys).orderBy("_piece")
     before = along.rowsBetween(Window.unboundedPreceding, -1)
     upto = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_piece", F.floor(F.col("pos") / piece))
+    rows = rows.withColumn("_piece", F.floor(F.col("pos") / piece)).repartition(*keys, "_piece")  # one exchange for both sides
     heads = rows.groupBy(*keys, "_piece").agg(F.min("pos").alias("_first"), *[F.sum(c).alias(f"_{c}") for c in sums])
     heads = heads.select(*keys, "_piece", F.lead("_first").over(along).alias("_after"), *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums])
     own = rows.withColumns({c: F.sum(c).over(upto) for c in sums} | {"next": F.lead("pos").over(within)})
@@ -135,11 +137,10 @@ def depth_at(points: DataFrame, intervals: DataFrame) -> DataFrame:
 
 def trimmed(matches: DataFrame) -> DataFrame:
     """Target intervals ``seq, start, end`` of matches, each from where its predecessor (same query, rising) ends: tandem overlaps count once."""
-    along = Window.partitionBy("target_id", "query_id", "rc").orderBy("t_start", "len", "q_start")
-    end = F.lag(F.col("t_start") + F.col("len")).over(along)
-    rising = F.lag("q_start").over(along) < F.col("q_start")
-    start = F.when(rising, F.greatest(F.col("t_start"), end)).otherwise(F.col("t_start"))
-    return matches.select(F.col("target_id").alias("seq"), start.alias("start"), (F.col("t_start") + F.col("len")).alias("end")).where(F.col("end") > F.col("start"))
+    keys, order = ["target_id", "query_id", "rc"], ["t_start", "len", "q_start"]
+    rows = before(dealt(matches.select(*keys, *order), keys, order), keys, order, last=("max", F.struct(*order)))
+    start = F.when(F.col("last.q_start") < F.col("q_start"), F.greatest(F.col("t_start"), F.col("last.t_start") + F.col("last.len"))).otherwise(F.col("t_start"))
+    return rows.select(F.col("target_id").alias("seq"), start.alias("start"), (F.col("t_start") + F.col("len")).alias("end")).where(F.col("end") > F.col("start"))
 
 
 def contains(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
