@@ -150,8 +150,11 @@ def shift_path(t: np.ndarray, q: np.ndarray, shifts: np.ndarray, jump: float = 1
     return path[::-1], best
 
 
-def guided(target: str, query: str, proteins: bool = False, n: int = 15) -> tuple[list[tuple[int, int]], float, float] | None:
-    """(columns, identity, p-value) of the alignment along the n best shifts; None if it is short or likely by chance."""
+def guided(target: str, query: str, proteins: bool = False, n: int = 15, places: float = 1.0) -> tuple[list[tuple[int, int]], float, float] | None:
+    """(columns, identity, p-value) of the alignment along the n best shifts; None if it is short or likely by chance.
+
+    The p-value is that of the best of ``places`` independent places, 1 - exp(-upper normal tail * places).
+    """
     t, q = (xcorr.amino_channels(target), xcorr.amino_channels(query)) if proteins else (xcorr.weights_of(target), xcorr.weights_of(query))
     if not len(t) or not len(q):
         return None
@@ -163,7 +166,7 @@ def guided(target: str, query: str, proteins: bool = False, n: int = 15) -> tupl
     same = sum(float((t[a] * q[b]).sum()) for a, b in path)
     mean = float((t.mean(axis=0) * q.mean(axis=0)).sum())
     z = (same - mean * len(path)) / math.sqrt(max(mean * (1 - mean) * len(path), 1e-9))
-    p = 0.5 * math.erfc(z / math.sqrt(2)) * len(t)
+    p = -math.expm1(-0.5 * math.erfc(z / math.sqrt(2)) * places)
     return (path, same / len(path), p) if p <= MOST_P else None
 
 

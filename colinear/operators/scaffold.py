@@ -5,11 +5,12 @@ Anchors: scaffold, chr, pos, dir (+1, -1), one row for each match of a scaffold
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colinear.functions.sequence import revcomp
+from colinear.operators.islands import before, dealt
+from colinear.session import stored
 
 #: Letters between joined scaffolds; bounds of an estimated gap.
 LINKER, LEAST_GAP, MOST_GAP = "n" * 100, 10, 1000
@@ -41,44 +42,84 @@ def adjacency(ends: DataFrame) -> DataFrame:
     return rows.where(F.col("b") != F.col("scaffold")).select("chr", "pos", F.col("scaffold").alias("a"), F.col("end").alias("a_end"), "b", "b_end")
 
 
+def taken(links: DataFrame) -> DataFrame:
+    """The links (a, a_end, b, b_end) that stand when, in order of chromosome and position, each takes its two ends if both are free.
+
+    Links of ``adjacency`` form runs in which each begins at the end where the one before ends:
+    of a run the first, third, ... are taken. If links share ends in any other way, those that are first at
+    both their ends are taken, and what names a taken end goes, round by round.
+    """
+    order = ["chr", "pos", "a", "a_end", "b", "b_end"]
+    rows = before(dealt(links.select(*order).withColumn("_one", F.lit(1)), ["_one"], order), ["_one"], order, last=("max", F.struct(*order)), n=("sum", F.lit(1)))
+    rows = rows.withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+    goes_on = F.coalesce((F.col("last.b") == F.col("a")) & (F.col("last.b_end") == F.col("a_end")), F.lit(False))
+    rows = stored(before(rows.withColumn("_on", goes_on), ["_one"], order, head=("max", F.when(~goes_on, F.col("n")))).withColumn("head", F.when(F.col("_on"), F.col("head")).otherwise(F.col("n"))), "links")
+    sides = F.explode(F.array(F.struct(F.col("a").alias("name"), F.col("a_end").alias("end"), F.lit(True).alias("first")), F.struct(F.col("b").alias("name"), F.col("b_end").alias("end"), F.lit(False).alias("first"))))
+    ends = rows.select("n", "head", "_on", sides.alias("e")).select("n", "head", "_on", "e.*")
+    # an end as a run has it: one link leads to it and the next one, of the same run, away from it
+    odd = ends.groupBy("name", "end").agg(F.count("*").alias("k"), F.min("n").alias("lo"), F.max("n").alias("hi"), F.countDistinct("head").alias("runs")).where("k > 2 or (k = 2 and (hi <> lo + 1 or runs <> 1))")
+    if odd.isEmpty():
+        return rows.where((F.col("n") - F.col("head")) % 2 == 0).select("a", "a_end", "b", "b_end")
+    left, out = rows.select("n", "a", "a_end", "b", "b_end"), None
+    while not left.isEmpty():
+        ends = left.select("n", sides.alias("e")).select("n", "e.name", "e.end")
+        firsts = ends.groupBy("name", "end").agg(F.min("n").alias("n"))
+        now = stored(firsts.groupBy("n").agg(F.count("*").alias("k")).where("k = 2").select("n"), "first")
+        won = stored(left.join(now, "n", "left_semi"), "won")
+        out = won if out is None else out.unionByName(won)
+        gone = ends.join(won.select(sides.alias("e")).select("e.name", "e.end"), ["name", "end"], "left_semi").select("n").distinct()
+        left = stored(left.join(gone, "n", "left_anti"), "left")
+    return (rows.select("n", "a", "a_end", "b", "b_end").limit(0) if out is None else out).drop("n")
+
+
+def ranked_walks(steps: DataFrame) -> DataFrame:
+    """``state, last, d, low, ring`` of steps (state, next; next null at the end of a walk): the last state of each walk, how far it is, the least name on the way, and whether the walk goes round.
+
+    Pointers are doubled: after k rounds each spans 2^k steps. States are (name, dir).
+    """
+    held = stored(steps.select("state", "next", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("d"), F.col("state").alias("last"), F.col("state.name").alias("low")), "walk")
+    for _ in range(max(1, held.count()).bit_length() + 1):
+        if held.where("next is not null").isEmpty():
+            break
+        on = held.select(F.col("state").alias("next"), F.col("next").alias("further"), F.col("d").alias("more"), F.col("last").alias("end"), F.col("low").alias("lower"))
+        joined = held.join(on, "next", "left")
+        gone = F.col("next").isNotNull()
+        held = stored(joined.select("state", F.when(gone, F.col("further")).alias("next"), F.when(gone, F.col("d") + F.col("more")).otherwise(F.col("d")).alias("d"), F.when(gone, F.col("end")).otherwise(F.col("last")).alias("last"), F.when(gone, F.least("low", "lower")).otherwise(F.col("low")).alias("low")), "walk")
+    return held.select("state", "last", "d", "low", F.col("next").isNotNull().alias("ring"))
+
+
 def paths(links: DataFrame, scaffolds: DataFrame) -> DataFrame:
     """``path, place, scaffold, dir``: scaffolds walked along their links, each used once, each end linked once.
 
-    Links come in order of chromosome and position; the first that names an end takes it. Links are
-    one or two rows per scaffold, and a walk follows one chromosome, so they meet in one group of
-    scaffold names alone, no sequences.
+    Links come in order of chromosome and position; the first that names an end takes
+    it (``taken``). A path is named by the least name on it. It is walked from the one of
+    its two outer scaffolds with the lesser name; a ring from its least name on, entered at ``lo``. Scaffolds without a link are paths of
+    their own. Places come from doubled pointers, so a path may be of any length.
     """
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        rows = group.sort_values(["chr", "pos", "a", "b"], kind="stable")
-        free: dict[tuple[str, str], tuple[str, str]] = {}
-        for r in rows.itertuples(index=False):
-            a, b = (r.a, r.a_end), (r.b, r.b_end)
-            if a not in free and b not in free:
-                free[a], free[b] = b, a
-        names = list(dict.fromkeys([*rows["a"], *rows["b"]]))
-        used: set[str] = set()
-        out, path = [], 0
-        turn = {"lo": "hi", "hi": "lo"}
-        # open ends first, so that a walk begins at the end of its path; what is left are rings
-        for start in [n for n in names if ((n, "lo") in free) != ((n, "hi") in free)] + names:
-            if start in used:
-                continue
-            into = "lo" if (start, "lo") not in free else "hi"
-            at, place = start, 0
-            while at not in used:
-                used.add(at)
-                out.append((path, place, at, 1 if into == "lo" else -1))
-                place += 1
-                step = free.get((at, turn[into]))
-                if step is None:
-                    break
-                at, into = step
-            path += 1
-        return pd.DataFrame(out, columns=["path", "place", "scaffold", "dir"])
-
-    linked = links.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda g: walk(g), "path long, place long, scaffold string, dir int")
-    alone = scaffolds.select("scaffold").join(linked.select("scaffold"), "scaffold", "left_anti").select(F.xxhash64("scaffold").alias("path"), F.lit(0).cast("long").alias("place"), "scaffold", F.lit(1).alias("dir"))
+    state = lambda name, end, way: F.struct(name.alias("name"), F.when(end == way, 1).otherwise(-1).alias("dir"))
+    both = stored(taken(links), "taken")
+    ways = both.unionByName(both.select(F.col("b").alias("a"), F.col("b_end").alias("a_end"), F.col("a").alias("b"), F.col("a_end").alias("b_end")))
+    # forward (1) a scaffold is left at hi and entered at lo
+    hops = ways.select(state(F.col("a"), F.col("a_end"), "hi").alias("state"), state(F.col("b"), F.col("b_end"), "lo").alias("next"))
+    every = hops.select(F.col("state.name").alias("name")).distinct().select(F.explode(F.array(*[F.struct("name", F.lit(x).alias("dir")) for x in (1, -1)])).alias("state"))
+    steps = stored(every.join(hops, "state", "left"), "steps")
+    found = ranked_walks(steps)
+    rings = found.where("ring")
+    if not rings.isEmpty():
+        # the link into the least scaffold's lo is cut, in both directions
+        least = F.col("state.name") == F.col("low")
+        cut = rings.where(least & (F.col("state.dir") == -1)).select("state")
+        around = steps.join(rings.select("state"), "state", "left_semi")
+        back = cut.select(F.struct(F.col("state.name").alias("name"), F.lit(1).alias("dir")).alias("next"))
+        opened = around.join(cut.withColumn("cut", F.lit(True)), "state", "left").join(back.withColumn("into", F.lit(True)), "next", "left")
+        opened = opened.select("state", F.when(F.col("cut").isNull() & F.col("into").isNull(), F.col("next")).alias("next"))
+        found = found.where("not ring").unionByName(ranked_walks(opened))
+    found = stored(found, "walks")
+    one, other = found.where("state.dir = 1"), found.where("state.dir = -1")
+    pair = one.select(F.col("state.name").alias("scaffold"), F.col("last.name").alias("end"), F.col("d").alias("to_end"), F.col("low").alias("low")).join(other.select(F.col("state.name").alias("scaffold"), F.col("last.name").alias("start"), F.col("d").alias("to_start"), F.col("low").alias("low2")), "scaffold")
+    ahead = F.col("start") < F.col("end")
+    linked = pair.select(F.least("low", "low2").alias("path"), F.when(ahead, F.col("to_start")).otherwise(F.col("to_end")).alias("place"), "scaffold", F.when(ahead, 1).otherwise(-1).alias("dir"))
+    alone = scaffolds.select("scaffold").join(linked.select("scaffold"), "scaffold", "left_anti").select(F.col("scaffold").alias("path"), F.lit(0).cast("long").alias("place"), "scaffold", F.lit(1).alias("dir"))
     return linked.unionByName(alone)
 
 

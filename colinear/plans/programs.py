@@ -25,11 +25,11 @@ def sizes(sequences: DataFrame, name: str) -> DataFrame:
 
 
 def scored(found: DataFrame, target_bases: float, least_prob: float) -> DataFrame:
-    """Correlation matches whose z-score reaches the least probability, with the columns of matches."""
+    """Correlation matches whose z-score reaches the least probability, with the columns of matches; ``prob`` is each match's own."""
     n = F.col("len").cast("double")
     z = scoring.z_score(F.col("ident") * n, n, scoring.expected_share(F.col("gc_q"), F.col("gc_t"), n))
     good = found.where(z >= scoring.z_for(least_prob, target_bases))
-    return good.select("target_id", "query_id", "query_size", "t_start", "q_start", "len", "rc", F.lit(least_prob).alias("prob"), "ident")
+    return good.select("target_id", "query_id", "query_size", "t_start", "q_start", "len", "rc", scoring.match_probabilities(z, target_bases).alias("prob"), "ident")
 
 
 def pieces(sequences: DataFrame, name: str, at: str, step: int, size: int) -> DataFrame:

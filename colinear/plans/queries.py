@@ -527,6 +527,23 @@ def probability_filter(spark, d):
     return m.where(scoring.z_score(F.col("ident") * n, n, p) >= _Z).select("target_id", "query_id", "rc", "t_start", "q_start", "len")
 
 
+_T, _ABS = "(1 / (1 + abs(z / sqrt(2)) / 2))", "abs(z / sqrt(2))"
+_UPPER = f"{_T} * exp({' + '.join(f'({c!r}) * pow({_T}, {k})' for k, c in enumerate(scoring.ERFC))} - {_ABS} * {_ABS})"
+
+
+@query(
+    f"""WITH {M}, y AS (SELECT *, (0.3 * 0.4 + 0.7 * 0.6)::DOUBLE / 2 AS p FROM m), x AS (SELECT *, (ident * len - p * len) / sqrt(p * (1 - p) * len) AS z FROM y),
+t AS (SELECT *, (CASE WHEN z >= 0 THEN {_UPPER} ELSE 2 - {_UPPER} END) / 2 AS tail FROM x)
+SELECT target_id, query_id, rc, t_start, q_start, len, round(z, 6) AS z, round(tail, 9) AS tail, round(exp(-tail * 3000000), 9) AS prob FROM t"""
+)
+def match_probabilities(spark, d):
+    """The probability of every match, from its identity and length and the GC shares of both sides."""
+    n = F.col("len").cast("double")
+    m = lineitem_matches(spark, d).withColumn("z", scoring.z_score(F.col("ident") * n, n, scoring.expected_share(0.3 * n, 0.4 * n, n)))
+    tail, prob = scoring.normal_tail(F.col("z")), scoring.match_probabilities(F.col("z"), 3_000_000.0)
+    return m.select("target_id", "query_id", "rc", "t_start", "q_start", "len", F.round("z", 6).alias("z"), F.round(tail, 9).alias("tail"), F.round(prob, 9).alias("prob"))
+
+
 _GUMBEL = ", ".join(f"1 - exp(-exp(-({r}) * (len - {u}))) AS p_{k.lower() or 'base'}" for k, (r, u) in scoring.GUMBEL.items())
 
 
