@@ -596,7 +596,20 @@ def scaffold_placement(spark, d):
     return scaffold.placement(scaffold_hits(spark, d))
 
 
-@query()
+_TURNED = "SELECT {a} AS s, CASE {a}_end WHEN 'hi' THEN 1 ELSE -1 END AS d, {b} AS t, CASE {b}_end WHEN 'lo' THEN 1 ELSE -1 END AS u FROM tk"
+
+
+@query(
+    f"""WITH RECURSIVE {_ENDS}, pt AS (SELECT scaffold, 'lo' AS e, lo_chr AS chr, lo_pos AS pos FROM en UNION ALL SELECT scaffold, 'hi', hi_chr, hi_pos FROM en),
+ld AS (SELECT scaffold AS a, e AS a_end, lead(scaffold) OVER w AS b, lead(e) OVER w AS b_end, row_number() OVER (ORDER BY chr, pos, scaffold, e) AS n FROM pt WINDOW w AS (PARTITION BY chr ORDER BY pos, scaffold, e)),
+lk AS (SELECT *, n - row_number() OVER (ORDER BY n) AS g FROM ld WHERE b <> a), tk AS (SELECT * FROM lk QUALIFY row_number() OVER (PARTITION BY g ORDER BY n) % 2 = 1),
+hop AS ({_TURNED.format(a="a", b="b")} UNION ALL {_TURNED.format(a="b", b="a")}),
+walk AS (SELECT s AS root, s, d, 0 AS place FROM hop AS x WHERE NOT EXISTS (FROM hop AS y WHERE y.s = x.s AND y.d = -x.d) UNION ALL SELECT root, t, u, place + 1 FROM walk JOIN hop USING (s, d)),
+ring AS (SELECT DISTINCT s AS root, s, 1 AS d, 0 AS place FROM hop WHERE s NOT IN (SELECT s FROM walk) UNION ALL SELECT root, t, u, place + 1 FROM ring JOIN hop USING (s, d) WHERE t <> root),
+walked AS (SELECT *, min(s) OVER (PARTITION BY root) AS path, arg_max(s, place) OVER (PARTITION BY root) AS last FROM walk), ringed AS (SELECT *, min(s) OVER (PARTITION BY root) AS path FROM ring)
+SELECT path, place::BIGINT AS place, s AS scaffold, d::INTEGER AS dir FROM walked WHERE root < last UNION ALL SELECT path, place::BIGINT, s, d::INTEGER FROM ringed WHERE root = path
+UNION ALL SELECT scaffold, 0, scaffold, 1 FROM en WHERE scaffold NOT IN (SELECT s FROM hop)"""
+)
 def superscaffold_paths(spark, d):
     ends = scaffold.anchors(scaffold_hits(spark, d))
     return scaffold.paths(scaffold.adjacency(ends), ends)
