@@ -16,6 +16,8 @@ AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
 #: The letters of any text read as nucleotides, in turn.
 FOLD_FROM, FOLD_TO = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
+#: Amino acids in the order of their codes.
+PROTEIN = "ARNDCQEGHILKMFPSTWYV*"
 
 
 def fold(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Word codes, super matches by k-mer dynamic programming, and alignments guided by the best shifts of a correlation."""
+"""Super matches by k-mer dynamic programming, and alignments guided by the best shifts of a correlation."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from colinear.functions.sequence import revcomp
 from colinear.operators import align, xcorr
-from colinear.operators.seeds import CODE, word_lookup
+from colinear.operators.seeds import word_lookup
 from colinear.session import stored
 
 #: Bounds of the super matches: cost of a step, frames looked back, cost of leaving a word out.
@@ -21,31 +21,6 @@ MOST_STEP, LOOK_BACK, NULL_STEP = 50_000, 16, 20.0
 LEAST_COLUMNS, MOST_P = 30, 1e-5
 
 
-def word_codes(seq: str, k: int, kind: str = "exact") -> np.ndarray:
-    """A number for every word of k letters, -1 where a letter has no code.
-
-    ``exact``: base 4 on nucleotides; ``protein``: base 21 on amino acids; ``comb``:
-    every second letter of 2k; the letters between may differ.
-    """
-    if kind == "protein":
-        table = np.full(256, -1, np.int64)
-        for i, c in enumerate(xcorr.PROTEIN):
-            table[ord(c)] = i
-        base, offsets = 21, np.arange(k)
-    else:
-        table = np.where(CODE == 255, -1, CODE.astype(np.int64))
-        base, offsets = 4, np.arange(k) * (2 if kind == "comb" else 1)
-    codes = table[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
-    n = len(codes) - int(offsets[-1]) if len(codes) else 0
-    if n < 1:
-        return np.empty(0, np.int64)
-    out, bad = np.zeros(n, np.int64), np.zeros(n, bool)
-    for o in offsets:
-        c = codes[o : o + n]
-        out, bad = out * base + np.maximum(c, 0), bad | (c < 0)
-    return np.where(bad, -1, out)
-
-
 def best_words(q: np.ndarray, t: np.ndarray, target: np.ndarray, span: int, rc: np.ndarray | None = None) -> list[int]:
     """Hits (query, target position, target, strand), by query position, on the cheapest chain: each costs how far its step leaves the diagonal.
 

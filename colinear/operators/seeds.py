@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from colinear.functions.sequence import PROTEIN
 from colinear.session import stored
 
 #: 2-bit codes by byte; 255 for letters that break a k-mer.
@@ -177,6 +178,90 @@ def wanted_only(t: DataFrame, q: DataFrame, key: list[str]) -> DataFrame:
     return t.join(F.broadcast(wanted), key, "left_semi") if wanted.count() <= SMALL else t
 
 
+def word_width(k: int, kind: str) -> int:
+    """Letters that a word of ``word_codes`` spans."""
+    return 2 * k - 1 if kind == "comb" else k
+
+
+def word_codes(seq: str, k: int, kind: str = "exact") -> np.ndarray:
+    """A number for every word of k letters, -1 where a letter has no code.
+
+    ``exact``: base 4 on nucleotides; ``protein``: base 21 on amino acids; ``comb``:
+    every second letter of 2k; the letters between may differ.
+    """
+    if kind == "protein":
+        table = np.full(256, -1, np.int64)
+        for i, c in enumerate(PROTEIN):
+            table[ord(c)] = i
+        base, offsets = 21, np.arange(k)
+    else:
+        table = np.where(CODE == 255, -1, CODE.astype(np.int64))
+        base, offsets = 4, np.arange(k) * (2 if kind == "comb" else 1)
+    codes = table[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
+    n = len(codes) - int(offsets[-1]) if len(codes) else 0
+    if n < 1:
+        return np.empty(0, np.int64)
+    out, bad = np.zeros(n, np.int64), np.zeros(n, bool)
+    for o in offsets:
+        c = codes[o : o + n]
+        out, bad = out * base + np.maximum(c, 0), bad | (c < 0)
+    return np.where(bad, -1, out)
+
+
+def coded_words(sequences: DataFrame, k: int, kind: str = "exact", id_col: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """``id, word, pos`` of every word of ``word_codes``, forward strand. Codes fit a long: k is at most 31 for nucleotides and combs, 14 for proteins."""
+    if not 0 < k <= (14 if kind == "protein" else 31):
+        raise ValueError("k is too large or too small")
+    rows = sequences.select(F.col(id_col).alias("id"), F.col(seq).alias("seq")).where("seq is not null")
+    kind_of_id, over = dict(rows.dtypes)["id"], word_width(k, kind) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                s = b.column("seq")[i].as_py()
+                for a in range(0, max(1, len(s) - over), RUN):
+                    codes = word_codes(s[a : a + RUN + over], k, kind)
+                    at = np.flatnonzero(codes >= 0)
+                    if len(at):
+                        yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(np.full(len(at), i, np.int64))), pa.array(codes[at]), pa.array(at + a)], ["id", "word", "pos"])
+
+    return rows.mapInArrow(run, f"id {kind_of_id}, word long, pos long")
+
+
+def word_hits(query: DataFrame, target: DataFrame, k: int, kind: str = "exact", most: int | None = None) -> DataFrame:
+    """``query_id, q_pos, target_id, t_pos`` of every pair of equal words; with ``most``, of those that stand at most so often on both sides."""
+    q, t = coded_words(query, k, kind), coded_words(target, k, kind)
+    if most is not None:
+        few = lambda df: df.join(df.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("word"), "word", "left_semi")
+        q = few(q)
+    t = wanted_only(t, q, ["word"])
+    t = t if most is None else few(t)
+    return q.select("word", F.col("id").alias("query_id"), F.col("pos").alias("q_pos")).join(t.select("word", F.col("id").alias("target_id"), F.col("pos").alias("t_pos")), "word").drop("word")
+
+
+def spaced_seeds(query: DataFrame, target: DataFrame, k: int = 12, kind: str = "comb", jump: int = 1, least: int = 0, most: int | None = None) -> DataFrame:
+    """Blocks ``query_id, target_id, q_start, t_start, len`` of equal words of any kind, forward strand, each at most ``jump`` letters behind the one before on its diagonal. Letters between those of a comb may differ."""
+    found = word_hits(query, target, k, kind, most).withColumn("rc", F.lit(False))
+    return extend(found, word_width(k, kind), jump, least).select("query_id", "target_id", "q_start", "t_start", "len")
+
+
+def lookahead_words(query: DataFrame, target: DataFrame, k: int = 12, words: int = 2, ahead: int = 3, kind: str = "exact") -> DataFrame:
+    """``query_id, q_pos, target_id, t_pos, penalty``: places where each of ``words`` words in a row is met, itself or by a word up to ``ahead`` - 1 letters further on, on the same diagonal.
+
+    So a differing letter in a word doesn't hide the place. ``penalty`` counts the words that are met
+    by a later one only. Every word's place counts, however frequent.
+    """
+    width = word_width(k, kind)
+    hits = word_hits(query, target, k, kind).withColumn("diagonal", F.col("t_pos") - F.col("q_pos"))
+    keys = ["query_id", "target_id", "diagonal"]
+    slots = hits.withColumn("late", F.explode(F.sequence(F.lit(0), F.lit(ahead - 1)))).withColumn("slot", F.col("q_pos") - F.col("late"))
+    slots = slots.groupBy(*keys, "slot").agg(F.min("late").alias("late"))
+    starts = slots.withColumn("q_pos", F.explode(F.array(*[F.col("slot") - i * width for i in range(words)])))
+    sizes = query.select(F.col("seq_id").alias("query_id"), F.length("seq").alias("size"))
+    met = starts.where("q_pos >= 0 and q_pos + diagonal >= 0").groupBy(*keys, "q_pos").agg(F.count("*").alias("n"), F.sum(F.when(F.col("late") > 0, 1).otherwise(0)).alias("penalty")).where(F.col("n") == words)
+    return met.join(sizes, "query_id").where(F.col("q_pos") + words * width <= F.col("size")).select("query_id", "q_pos", "target_id", (F.col("q_pos") + F.col("diagonal")).alias("t_pos"), F.col("penalty").cast("long").alias("penalty"))
+
+
 def kmers_plain(sequences: DataFrame, k: int, id_col: str = "seq_id", seq: str = "seq") -> DataFrame:
     """``id, word, pos`` on the forward strand only (the k-mer code, not made canonical)."""
     return kmers(sequences, k, id_col, seq, plain=True).select("id", F.col("kmer").alias("word"), "pos")

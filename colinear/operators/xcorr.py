@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from colinear.functions.sequence import AMINO, IUPAC
+from colinear.functions.sequence import AMINO, IUPAC, PROTEIN
 
 #: Envelope block; peaks above envelope * cutoff + 1; least run, share of equal columns in a run's windows.
 ENVELOPE, CUTOFF, CUTOFF_FAST, LEAST, SHARE = 256, 1.8, 2.9, 45, 0.42
@@ -17,7 +17,6 @@ WEIGHTS = np.zeros((256, 4), np.float32)
 for _c, _bases in IUPAC.items():
     for _b in _bases:
         WEIGHTS[ord(_c), "ACGT".index(_b)] = 1 / len(_bases)
-PROTEIN = "ARNDCQEGHILKMFPSTWYV*"
 
 
 def weights_of(seq: str) -> np.ndarray:

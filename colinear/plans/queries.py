@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from colinear.functions import scoring
 from colinear.functions import sequence as S
-from colinear.operators import blocks, grid, intervals, matches, ranking, scaffold, seeds
+from colinear.operators import blocks, grid, intervals, matches, overlaps, ranking, scaffold, seeds
 from colinear.session import table
 from colinear.sources import sequences as fasta
 from colinear.sources import tables
@@ -118,16 +118,26 @@ def ambiguity_code(spark, d):
 _codes = "(VALUES " + ", ".join(f"('{c}', " + ", ".join(str(1 / len(b) if x in b else 0.0) + "::DOUBLE" for x in "ACGT") + ")" for c, b in S.IUPAC.items()) + ") AS codes(c, a, g1, g2, g3)"
 
 
+_code_of = "upper(regexp_replace({t}, '[^ACGTRYKMSWBDHVNXacgtrykmswbdhvnx]', '', 'g'))"
+
+
 @query(
-    f"""WITH k AS (SELECT * FROM {_codes}), p AS (SELECT x.c AS c1, y.c AS c2, x.a*y.a + x.g1*y.g1 + x.g2*y.g2 + x.g3*y.g3 AS e FROM k x, k y)
-SELECT c1, c2, e AS same, CASE WHEN c1 = c2 AND c1 NOT IN ('N', 'X') THEN 1.0 ELSE e END::DOUBLE AS same_amb, CASE WHEN e > 0.26 THEN least(e + 0.2, 1.0) ELSE e END::DOUBLE AS same_emph, 1 - e AS diff,
- CASE WHEN c1 IN ('A','C','G','T') THEN c1 WHEN c2 IN ('A','C','G','T') THEN c2 ELSE c1 END AS resolved FROM p"""
+    f"""WITH k AS (SELECT * FROM {_codes}), e AS (SELECT x.c AS c1, y.c AS c2, x.a*y.a + x.g1*y.g1 + x.g2*y.g2 + x.g3*y.g3 AS e FROM k x, k y),
+t AS (SELECT {_code_of.format(t="d.text")} AS a, {_code_of.format(t="b.text")} AS b FROM documents AS d JOIN benchmark AS b ON d.doc_id % 40 = b.item_id % 40),
+p AS (SELECT substr(a, i, 1) AS c1, substr(b, i, 1) AS c2, count(*) AS n FROM t, LATERAL (SELECT unnest(range(1, least(length(a), length(b)) + 1)) AS i) GROUP BY ALL)
+SELECT c1, c2, n, e AS same, CASE WHEN c1 = c2 AND c1 NOT IN ('N', 'X') THEN 1.0 ELSE e END::DOUBLE AS same_amb, CASE WHEN e > 0.26 THEN least(e + 0.2, 1.0) ELSE e END::DOUBLE AS same_emph, 1 - e AS diff,
+ CASE WHEN c1 IN ('A','C','G','T') THEN c1 WHEN c2 IN ('A','C','G','T') THEN c2 ELSE c1 END AS resolved FROM p JOIN e USING (c1, c2)"""
 )
 def code_similarity(spark, d):
-    codes = spark.createDataFrame([(c,) for c in S.IUPAC], "c string")
+    """Letters of documents and items at the same places, read as codes: how often each pair meets, and its scores."""
+    code = lambda t: F.upper(F.regexp_replace(t, "[^ACGTRYKMSWBDHVNXacgtrykmswbdhvnx]", ""))
+    x = table(spark, d, "documents").select((F.col("doc_id") % 40).alias("g"), code("text").alias("a"))
+    y = table(spark, d, "benchmark").select((F.col("item_id") % 40).alias("g"), code("text").alias("b"))
+    letters = lambda c: F.split(c, "")
+    both = x.join(F.broadcast(y) if y.count() <= 10_000 else y, "g").withColumn("n", F.least(F.length("a"), F.length("b"))).where("n > 0")
+    pairs = both.select(F.explode(F.arrays_zip(letters(F.substr("a", F.lit(1), F.col("n"))).alias("c1"), letters(F.substr("b", F.lit(1), F.col("n"))).alias("c2"))).alias("p")).groupBy("p.c1", "p.c2").agg(F.count("*").alias("n")).where("c1 <> ''")
     a, b = F.col("c1"), F.col("c2")
-    pairs = codes.select(F.col("c").alias("c1"), F.explode(F.array(*[F.lit(c) for c in S.IUPAC])).alias("c2"))
-    return pairs.select("c1", "c2", S.equal(a, b).alias("same"), S.equal_ambiguous(a, b).alias("same_amb"), S.equal_emphasised(a, b).alias("same_emph"), S.differ(a, b).alias("diff"), S.resolve(a, b).alias("resolved"))
+    return pairs.select("c1", "c2", "n", S.equal(a, b).alias("same"), S.equal_ambiguous(a, b).alias("same_amb"), S.equal_emphasised(a, b).alias("same_emph"), S.differ(a, b).alias("diff"), S.resolve(a, b).alias("resolved"))
 
 
 @query(
@@ -240,6 +250,49 @@ def unique_seeds(spark, d):
     return seeds.unique_seeds(a, a, 12, 2)
 
 
+_comb = """w AS (SELECT seq_id, p, list_aggregate([substr(seq, p + 1 + 2 * i, 1) for i in range(12)], 'string_agg', '') AS word FROM items, LATERAL (SELECT unnest(range(greatest(length(seq) - 22, 0))) AS p)),
+h AS (SELECT a.seq_id AS query_id, b.seq_id AS target_id, a.p AS q_pos, b.p AS t_pos FROM w a JOIN w b USING (word)),
+b AS (SELECT *, CASE WHEN q_pos - lag(q_pos) OVER (PARTITION BY query_id, target_id, t_pos - q_pos ORDER BY q_pos) <= 1 THEN 0 ELSE 1 END AS new FROM h),
+i AS (SELECT *, sum(new) OVER (PARTITION BY query_id, target_id, t_pos - q_pos ORDER BY q_pos) AS blk FROM b)"""
+
+
+@query(f"WITH {ITEMS}, {_comb} SELECT query_id, target_id, min(q_pos) AS q_start, min(t_pos) AS t_start, (max(q_pos) - min(q_pos) + 23)::BIGINT AS len FROM i GROUP BY query_id, target_id, t_pos - q_pos, blk")
+def comb_seeds(spark, d):
+    a = items(spark, d)
+    return seeds.spaced_seeds(a, a, 12, "comb")
+
+
+@query(
+    f"""WITH {ITEMS}, w AS {_words("items", 8)}, h AS (SELECT a.seq_id AS query_id, b.seq_id AS target_id, a.p AS q, b.p - a.p AS diagonal FROM w a JOIN w b USING (word)),
+s AS (SELECT query_id, target_id, diagonal, q - l AS slot, min(l) AS late FROM h, unnest([0, 1, 2]) AS r(l) GROUP BY ALL),
+m AS (SELECT query_id, target_id, diagonal, slot - 8 * i AS q_pos, count(*) AS n, sum(CASE WHEN late > 0 THEN 1 ELSE 0 END) AS penalty FROM s, unnest([0, 1, 2]) AS r(i) GROUP BY ALL)
+SELECT query_id, q_pos, target_id, q_pos + diagonal AS t_pos, penalty::BIGINT AS penalty FROM m JOIN items ON seq_id = query_id WHERE n = 3 AND q_pos >= 0 AND q_pos + diagonal >= 0 AND q_pos + 24 <= length(seq)"""
+)
+def lookahead_words(spark, d):
+    a = items(spark, d)
+    return seeds.lookahead_words(a, a, 8, 3, 3)
+
+
+_bit = "(1 << (strpos('ACGT', {c}) - 1))"
+
+
+@query(
+    f"""WITH {ITEMS}, p AS (SELECT seq_id * 1000 + i AS id, substr(seq, i * 40 + 1, 64) AS seq FROM items, LATERAL (SELECT unnest(range(length(seq) // 40 + 1)) AS i)),
+x AS (SELECT id, CASE WHEN id % 3 = 0 AND length(seq) > 50 THEN substr(seq, 1, 49) || translate(substr(seq, 50, 1), 'ACGT', 'CATG') || substr(seq, 51) ELSE seq END AS seq FROM p WHERE length(seq) >= 16),
+c AS (SELECT a.id AS a_id, b.id AS b_id, n AS overlap, hamming(right(a.seq, n), left(b.seq, n)) AS differences, a.seq AS a_seq, b.seq AS b_seq FROM x a JOIN x b ON a.id <> b.id, LATERAL (SELECT unnest(range(16, least(length(a.seq), length(b.seq), 40) + 1)) AS n)),
+g AS (SELECT * FROM c WHERE differences <= floor((1 - 0.95::DOUBLE) * overlap + 0.5) QUALIFY row_number() OVER (PARTITION BY a_id, b_id ORDER BY overlap DESC) = 1),
+u AS (SELECT *, right(a_seq, overlap) AS s, left(b_seq, overlap) AS t FROM g)
+SELECT a_id, b_id, overlap::INTEGER AS overlap, differences::INTEGER AS differences, left(a_seq, length(a_seq) - overlap) || list_aggregate([CASE WHEN s[i] = t[i] THEN s[i] ELSE substr('-ACMGRSVTWYHKDBN', ({_bit.format(c="s[i]")} | {_bit.format(c="t[i]")})::INTEGER + 1, 1) END for i in range(1, overlap + 1)], 'string_agg', '') || substr(b_seq, overlap + 1) AS seq FROM u"""
+)
+def overlap_merges(spark, d):
+    """Items cut into overlapping pieces, a letter of every third one changed, and joined again."""
+    cut = items(spark, d).select((F.col("seq_id") * 1000).alias("base"), "seq", F.explode(F.sequence(F.lit(0), F.floor(F.length("seq") / 40).cast("int"))).alias("i"))
+    pieces = cut.select((F.col("base") + F.col("i")).alias("seq_id"), S.slice_clamped(F.col("seq"), F.col("i") * 40, F.lit(64)).alias("seq")).where("length(seq) >= 16")
+    changed = F.concat(F.substring("seq", 1, 49), F.translate(F.substring("seq", 50, 1), "ACGT", "CATG"), F.substr("seq", F.lit(51)))
+    pieces = pieces.withColumn("seq", F.when((F.col("seq_id") % 3 == 0) & (F.length("seq") > 50), changed).otherwise(F.col("seq")))
+    return overlaps.overlap_merges(pieces, pieces, 16, 40, 0.95)
+
+
 # Matches
 
 

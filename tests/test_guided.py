@@ -2,14 +2,14 @@ import random
 
 import numpy as np
 
-from colinear.operators import guided
+from colinear.operators import guided, seeds
 
 
 def test_word_codes():
-    assert guided.word_codes("ACGTN", 2).tolist() == [1, 6, 11, -1]
-    assert guided.word_codes("ACGTA", 2, "comb").tolist() == [0 * 4 + 2, 1 * 4 + 3, 2 * 4 + 0]
-    assert guided.word_codes("ARx", 2, "protein").tolist() == [1, -1]
-    assert guided.word_codes("", 3).tolist() == []
+    assert seeds.word_codes("ACGTN", 2).tolist() == [1, 6, 11, -1]
+    assert seeds.word_codes("ACGTA", 2, "comb").tolist() == [0 * 4 + 2, 1 * 4 + 3, 2 * 4 + 0]
+    assert seeds.word_codes("ARx", 2, "protein").tolist() == [1, -1]
+    assert seeds.word_codes("", 3).tolist() == []
 
 
 def test_best_words_follow_the_diagonal():
