@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from colinear.functions.scoring import repeat_score
 from colinear.operators.intervals import depth_at, trimmed
-from colinear.operators.islands import FEW, before, dealt
+from colinear.operators.islands import HEADS, before, dealt
 from colinear.operators.matches import best_query
 from colinear.session import stored
 
@@ -103,8 +103,9 @@ def chain(matches: DataFrame, negate_rc: bool = True, segment: int = SEGMENT, ah
     long_ = scored.groupBy("target_id").agg(F.count("*").alias("n")).where(F.col("n") > segment).select("target_id")
     if not long_.isEmpty():
         long_ = stored(long_, "long")
-        short = chain_whole(scored.join(F.broadcast(long_), "target_id", "left_anti"), matches.columns, negate_rc, ahead)
-        return short.unionByName(by_segments(scored.join(F.broadcast(long_), "target_id", "left_semi"), matches.columns, negate_rc, segment, ahead))
+        few = F.broadcast(long_) if long_.count() <= HEADS else long_
+        short = chain_whole(scored.join(few, "target_id", "left_anti"), matches.columns, negate_rc, ahead)
+        return short.unionByName(by_segments(scored.join(few, "target_id", "left_semi"), matches.columns, negate_rc, segment, ahead))
     return chain_whole(scored, matches.columns, negate_rc, ahead)
 
 
@@ -135,7 +136,7 @@ def by_segments(scored: DataFrame, columns: list[str], negate_rc: bool, segment:
     ranked = stored(ranked, "ranked")
     last = ranked.groupBy("target_id").agg(F.max("r").alias("last"))
     seg = F.explode(F.sequence(F.floor(F.col("r") / segment), F.least(F.floor((F.col("r") + ahead) / segment), F.floor(F.col("last") / segment))))
-    shared = ranked.join(F.broadcast(last) if last.count() <= FEW else last, "target_id").select("target_id", seg.alias("seg"), "r", "t_start", "q_start", "query_id", "rc", "prob", "rep")
+    shared = ranked.join(F.broadcast(last) if last.count() <= HEADS else last, "target_id").select("target_id", seg.alias("seg"), "r", "t_start", "q_start", "query_id", "rc", "prob", "rep")
     t_kind, q_kind = dict(scored.dtypes)["target_id"], dict(scored.dtypes)["query_id"]
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:

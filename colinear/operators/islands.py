@@ -16,16 +16,16 @@ from pyspark.sql.types import StructType
 
 from colinear.session import partitions, stored
 
-#: Rows up to which one window does.
-FEW = 200_000
+#: Rows up to which one window does; totals of pieces up to which they are broadcast.
+FEW, HEADS = 1_000_000, 200_000
 MERGE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
 def dealt(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``rows`` in the shared folder with ``_piece``, their range of (keys, order); null if there are few."""
+    """``rows`` in the shared folder; with ``_piece``, their range of (keys, order), unless there are few."""
     held = stored(rows, "rows")
     if held.count() <= FEW:
-        return held.withColumn("_piece", F.lit(None).cast("int"))
+        return held
     return stored(held.repartitionByRange(partitions(rows.sparkSession), *keys, *order).withColumn("_piece", F.spark_partition_id()), "pieces")
 
 
@@ -34,9 +34,10 @@ def before(rows: DataFrame, keys: list[str], order: list[str], **what: tuple[str
 
     The greatest struct that begins with the order is the row just before.
     """
-    within = Window.partitionBy(*keys, "_piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = ["_piece"] if "_piece" in rows.columns else []
+    within = Window.partitionBy(*keys, *pieces).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     own = rows.withColumns({name: MERGE[how](c).over(within) for name, (how, c) in what.items()})
-    if rows.where("_piece is not null").isEmpty():
+    if not pieces:
         return own
     heads = rows.groupBy(*keys, "_piece").agg(*[MERGE[how](c).alias(name) for name, (how, c) in what.items()])
     # a row for each group and each piece that it has rows in
@@ -46,7 +47,7 @@ def before(rows: DataFrame, keys: list[str], order: list[str], **what: tuple[str
     same = F.col("_piece") == F.col("_at")
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_key{i}"))
-    joined = own.join(F.broadcast(heads) if heads.count() <= FEW else heads, same, "left")
+    joined = own.join(F.broadcast(heads) if heads.count() <= HEADS else heads, same, "left")
     both = {"sum": lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b), "max": F.greatest, "min": F.least}
     return joined.withColumns({name: both[how](F.col(name), F.col(f"_{name}")) for name, (how, _) in what.items()}).select(*own.columns)
 
