@@ -22,8 +22,8 @@ from colinear.session import stored, table
 
 #: Words of a window, and of a shingle.
 WINDOW, SHINGLE = 10, 5
-#: Rows (of two longs) up to which a side is broadcast, by count.
-SMALL = 1_000_000
+#: Rows (of two longs), and bytes of the stretches' words, up to which a side is broadcast, by count.
+SMALL, SMALL_BYTES = 1_000_000, 32 << 20
 #: ASCII characters that separate words: all but digits and letters.
 SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -117,10 +117,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     heads, places = seen.where("pos < 0").select("id", "th", "n_words"), seen.where("pos >= 0")
     parts = stored(stretches(known, places.groupBy("g").agg(F.count("*").alias("n"))), "stretches")
     prefixes = parts.select("sid", "g", "rel", "m", "s_words").dropDuplicates(["sid"])
+    held = prefixes.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("s_words", " "))).alias("bytes")).first()
+    light = small and held["n"] <= SMALL // 10 and (held["bytes"] or 0) <= SMALL_BYTES
     # the one place of the stretch, and those of its windows that the document has room for
     at = F.col("pos") - F.col("rel")
     k_first, k_last = F.greatest(F.lit(0), -at), F.least(F.size("s_words") - F.col("m"), F.col("n_words") - F.col("m") - at)
-    near = places.distinct().join(F.broadcast(prefixes) if small else prefixes, "g").select("id", "th", F.struct(at.alias("at"), k_first.alias("k_first"), k_last.alias("k_last"), "sid", "m", "s_words").alias("c")).where("c.k_first <= c.k_last")
+    near = places.distinct().join(F.broadcast(prefixes) if light else prefixes, "g").select("id", "th", F.struct(at.alias("at"), k_first.alias("k_first"), k_last.alias("k_last"), "sid", "m", "s_words").alias("c")).where("c.k_first <= c.k_last")
     near = stored(near.groupBy("id", "th").agg(F.collect_list("c").alias("near")), "candidates")
     keys = near.select(F.col("id").alias("c_id"), F.col("th").alias("c_th"))
     same = texts["id"].eqNullSafe(F.col("c_id")) & (texts["th"] == F.col("c_th"))

@@ -266,11 +266,13 @@ def read_back(archives: DataFrame, known: DataFrame, folder: str) -> DataFrame:
     """``id, payload_bytes, payload_digest, record_type, refers_to``: the records read, and whose they are, by record id.
 
     Spark would take the records for as few as the files that they are read from, and broadcast them: it is told to sort and merge.
+    Responses, which refer to nothing, look for a name of their own that no record has, so that they don't meet under one null key.
+    Empty archives give no rows; ids may be null or repeat, as each record stands for one row.
     """
     known = known.hint("merge")
-    read = read_records(archives, folder).join(known, "record").hint("merge")
-    target = known.select(F.col("record").alias("refers_to_record"), F.col("id").alias("refers_to"))
-    return read.join(target.hint("merge"), "refers_to_record", "left").select("id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    read = read_records(archives, folder).join(known, "record").withColumn("wanted", F.coalesce("refers_to_record", F.concat(F.lit("none:"), "record"))).hint("merge")
+    target = known.select(F.col("record").alias("wanted"), F.col("id").alias("refers_to"))
+    return read.join(target.hint("merge"), "wanted", "left").select("id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
