@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from colinear.operators.islands import before, dealt, numbered
 from colinear.session import stored
 
 #: The order of matches, with tie-breakers that make it total.
@@ -37,16 +38,17 @@ def collapse(matches: DataFrame, near: int = 4) -> DataFrame:
     least start. Its end is the end of the last member that didn't start before
     all members so far (the first's, if there is none), so it may shrink.
     """
-    along = Window.partitionBy("target_id", "query_id", "rc").orderBy("t_start", "len", "q_start")
-    close = (F.abs(F.col("t_start") - F.lag("t_start").over(along)) < near) & (F.abs(F.col("q_start") - F.lag("q_start").over(along)) < near)
-    rows = matches.withColumn("new", F.when(close, 0).otherwise(1)).withColumn("rn", F.row_number().over(along)).withColumn("island", F.sum("new").over(along))
-    inside = Window.partitionBy("target_id", "query_id", "rc", "island").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
+    keys, order = ORDER[:3], ORDER[3:]
+    rows = before(dealt(matches.select(*keys, *order), keys, order), keys, order, last=("max", F.struct(*order)))
+    close = (F.abs(F.col("t_start") - F.col("last.t_start")) < near) & (F.abs(F.col("q_start") - F.col("last.q_start")) < near)
+    rows = numbered(rows, keys, order, ~F.coalesce(close, F.lit(False)))
+    inside = Window.partitionBy(*keys, "island").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("least", F.min("q_start").over(inside))
     sets_end = F.col("least").isNull() | (F.col("q_start") >= F.col("least"))
-    out = rows.groupBy("target_id", "query_id", "rc", "island").agg(
-        F.min_by("t_start", "rn").alias("t_start"),
+    out = rows.groupBy(*keys, "island").agg(
+        F.min("t_start").alias("t_start"),
         F.min("q_start").alias("q_start"),
-        F.max_by(F.col("q_start") + F.col("len"), F.when(sets_end, F.col("rn"))).alias("q_end"),
+        F.max_by(F.col("q_start") + F.col("len"), F.when(sets_end, F.struct(*order))).alias("q_end"),
         F.count("*").alias("members"),
     )
     return out.select("target_id", "query_id", "rc", "t_start", "q_start", (F.col("q_end") - F.col("q_start")).alias("len"), "members")
@@ -132,15 +134,16 @@ def synthetic_neighbours(matches: DataFrame, near: int = 50_000, least: int = 40
     mean angle of the steps. The synthetic matches lie ``step`` and twice ``step`` off
     its ends on the target, 50 + count long, with probability and identity 0.999.
     """
-    along = Window.partitionBy("target_id", "query_id", "rc").orderBy("t_start", "len", "q_start")
-    dt, dq = F.col("t_start") - F.lag("t_start").over(along), F.col("q_start") - F.lag("q_start").over(along)
-    rows = matches.withColumns({"dt": dt, "dq": dq, "before": F.lag(F.col("t_start") + F.col("len")).over(along), "rn": F.row_number().over(along)})
-    joins = (F.col("dt") < near) & (F.col("dq") < near) & (F.col("dq") > 0)
-    rows = rows.withColumn("new", F.when(joins, 0).otherwise(1)).withColumn("run", F.sum("new").over(along))
-    counts = (F.col("new") == 0) & (F.col("t_start") >= F.col("before")) & (F.col("dt") > 0)
-    runs = rows.groupBy("target_id", "query_id", "rc", "run").agg(
+    keys, order = ORDER[:3], ORDER[3:]
+    rows = before(dealt(matches.select(*keys, *order), keys, order), keys, order, last=("max", F.struct(*order)))
+    rows = rows.withColumns({"dt": F.col("t_start") - F.col("last.t_start"), "dq": F.col("q_start") - F.col("last.q_start"), "end": F.col("last.t_start") + F.col("last.len")})
+    joins = F.coalesce((F.col("dt") < near) & (F.col("dq") < near) & (F.col("dq") > 0), F.lit(False))
+    rows = numbered(rows.withColumn("joins", joins), keys, order, ~F.col("joins"), "run")
+    counts = F.col("joins") & (F.col("t_start") >= F.col("end")) & (F.col("dt") > 0)
+    at = F.struct(*order)
+    runs = rows.groupBy(*keys, "run").agg(
         F.sum(F.when(counts, 1).otherwise(0)).alias("n"), F.avg(F.when(counts, F.atan(F.col("dq") / F.col("dt")))).alias("angle"),
-        F.min_by("t_start", "rn").alias("t0"), F.min_by("q_start", "rn").alias("q0"), F.max_by("t_start", "rn").alias("t1"), F.max_by("q_start", "rn").alias("q1"),
+        F.min_by("t_start", at).alias("t0"), F.min_by("q_start", at).alias("q0"), F.max_by("t_start", at).alias("t1"), F.max_by("q_start", at).alias("q1"),
     ).where(F.col("n") >= least)
     sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.lit(j).alias("j")) for s in (-1, 1) for j in (1, 2)]))
     out = runs.withColumn("x", sides).withColumn("d", F.col("x.side") * F.col("x.j") * step)

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from colinear.operators import blocks, islands, tiles
+from colinear.operators import blocks, islands, matches, tiles
 from colinear.plans import programs
 
 
@@ -114,6 +114,8 @@ def test_summary_folds_in_pieces_equal_those_in_one(spark, monkeypatch):
     results = {}
     for few in (islands.FEW, 0):
         monkeypatch.setattr(islands, "FEW", few)
-        results[few] = [sorted(map(str, (tuple(x) for x in f.collect()))) for f in (blocks.synteny_blocks(df, 1), blocks.bounded_merge(df, 800), blocks.gap_regions(df))]
+        found = df.select(F.lit(1).alias("target_id"), F.when(F.col("q_name") == "q1", 1).otherwise(2).alias("query_id"), (F.col("ori") == "-").alias("rc"), "t_start", "q_start", (F.col("t_end") - F.col("t_start")).alias("len"))
+        more = [matches.collapse(found, 900), matches.synthetic_neighbours(found, 5000, 2)]
+        results[few] = [sorted(map(str, (tuple(x) for x in f.collect()))) for f in (blocks.synteny_blocks(df, 1), blocks.bounded_merge(df, 800), blocks.gap_regions(df), *more)]
     one, two = results.values()
     assert one == two and all(one)
