@@ -27,24 +27,38 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near copies."""
+    """Keeps one document of each class of near copies.
+
+    Exact copies and repeated rows are of one class; a text of fewer than five words is one shingle; null and empty texts are handled as
+    ``neardup.classes`` says. All columns stay. An empty table stays empty.
+    """
     return neardup.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages that an earlier document has; documents that hold nothing else go."""
+    """Removes passages that an earlier document has; documents that hold nothing else go, and so do null and blank texts.
+
+    Of repeated rows (id and text) none loses a passage to the other. ``n_chars`` is set to the length of the text that is left. An empty table stays empty.
+    """
     (away,) = fresh(docs, "removed_spans")
     found = linededup.remove(docs, into=away).withColumn("n_chars", F.length("text").cast(dict(docs.dtypes).get("n_chars", "long")))
     return found.where("text is not null and text rlike '\\\\S'").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each source's documents, some of them twice, up to its target."""
+    """Takes each source's documents, some of them twice, up to its target.
+
+    A null source is one of its own; null and empty texts have no words and are taken or not without changing any total.
+    Repeated rows are drawn each for itself. An empty table stays empty.
+    """
     return mixing.mix(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The tokens of every document of the mix: count, digest of the ids and of the text they decode to."""
+    """The tokens of every document of the mix: count, digest of the ids and of the text they decode to.
+
+    A null text counts as empty: no tokens. Repeated rows have equal results. An empty table gives no rows.
+    """
     return bpe.digests(docs, bpe.default_path())
 
 
