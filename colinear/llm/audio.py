@@ -12,8 +12,8 @@ Media are WAV files (8-bit unsigned PCM, one channel). Features of a file:
   float32), the last one padded with the floor, each with its time span. They are
   stored as an Arrow IPC stream with the canonical fixed-shape tensor type.
 
-A file is worked off in runs of frames, so memory doesn't grow with its length
-beyond the file itself. Its features depend on its own bytes only.
+A file is worked off in runs of frames. Its bytes, its resampled signal and its tensors
+are held at once: some 14 times the size of a long file. Its features depend on its own bytes only.
 """
 
 from __future__ import annotations
