@@ -118,3 +118,24 @@ def transition(dt: Column, dq: Column, other_query: Column, other_strand: Column
     jump = F.when(F.abs(dt) > 1_000_000, F.sqrt(F.abs(dt)) / 10 - 100).otherwise(0.0)
     near = F.when(off == 1, F.lit(0.0)).otherwise(F.least(F.lit(most), off / F.greatest(F.abs(dt), F.lit(300)) + jump + 0.01))
     return F.when(other_query, F.lit(150.0)).when(other_strand, F.lit(20.0)).otherwise(near)
+
+
+def alignment_scores(target: Column, query: Column) -> Column:
+    """(columns, matches, mismatches, edits, score, contiguity) of two aligned strings with gaps ``-``.
+
+    Gap columns that follow each other are one run. ``edits`` counts mismatches and runs, ``score`` is matches less mismatches less a
+    run's length, 10 at most; a run at the end enters neither. ``contiguity`` is the mean length of the runs of equal
+    letters, 0 if there are none. The longer string is cut to the shorter one's length; nulls give null.
+    """
+    n = F.least(F.length(target), F.length(query))
+    letters = lambda s: F.filter(F.split(F.substr(s, F.lit(1), n), ""), lambda c: c != "")
+    kind = lambda a, b: F.when((a == "-") | (b == "-"), F.lit("g")).when(a == b, F.lit("m")).otherwise(F.lit("x"))
+    kinds = F.array_join(F.zip_with(letters(target), letters(query), kind), "")
+    count = lambda c: (F.length(kinds) - F.length(F.replace(kinds, F.lit(c), F.lit("")))).cast("long")
+    gaps = F.regexp_extract_all(F.regexp_replace(kinds, "g+$", ""), F.lit("(g+)"), F.lit(1))
+    runs = F.size(F.regexp_extract_all(kinds, F.lit("(m+)"), F.lit(1)))
+    price = F.aggregate(gaps, F.lit(0).cast("long"), lambda s, g: s + F.least(F.length(g), F.lit(10)))
+    return F.struct(
+        n.cast("long").alias("columns"), count("m").alias("matches"), count("x").alias("mismatches"), (count("x") + F.size(gaps)).alias("edits"),
+        (count("m") - count("x") - price).alias("score"), (count("m") / F.greatest(runs, F.lit(1))).alias("contiguity"),
+    )

@@ -7,6 +7,7 @@ Aligners: ``SW`` and ``SWGA`` (linear, affine gaps; +1 / -1), ``NS`` and ``NSGA`
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -54,6 +55,12 @@ class Alignment:
             last = side
         return self.mismatches + runs
 
+    @property
+    def plain_score(self) -> int:
+        """Equal letters less mismatches less up to 10 for each run of gaps that a column of letters follows."""
+        kinds = "".join("g" if "-" in (a, b) else "m" if a == b else "x" for a, b in zip(self.target, self.query, strict=True)).rstrip("g")
+        return kinds.count("m") - kinds.count("x") - sum(min(len(g), 10) for g in re.findall("g+", kinds))
+
     @property
     def contiguity(self) -> float:
         """Mean length of the runs of equal letters."""

@@ -172,15 +172,6 @@ def compare_aligners(pairs: DataFrame) -> DataFrame:
     return out.groupBy("aligner", F.floor(F.col("identity") * 10).alias("decile")).agg(F.count("*").alias("pairs"), F.sum(matches).alias("matches"), F.sum("edits").alias("edits"))
 
 
-def conserved_motifs(columns: DataFrame, least: int = 6, share: float = 0.9) -> DataFrame:
-    """``first, last``: runs of at least ``least`` columns (pos, conserved) of which each is conserved by ``share``."""
-    from pyspark.sql import Window
-
-    along = Window.orderBy("pos")  # one row per column of one reference
-    rows = columns.where(F.col("conserved") >= share).withColumn("g", F.col("pos") - F.row_number().over(along))
-    return rows.groupBy("g").agg(F.min("pos").alias("first"), F.max("pos").alias("last")).where(F.col("last") - F.col("first") + 1 >= least).select("first", "last")
-
-
 def alignment_text(alignments: DataFrame, form: str = "csv") -> DataFrame:
     """``value``: alignments (id, t_off, q_off, score, identity, t_aligned, q_aligned) as ``csv``, ``mfa`` or ``xml`` records."""
     if form == "csv":

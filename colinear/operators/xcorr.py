@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colinear.functions.sequence import AMINO, IUPAC, PROTEIN
+from colinear.session import added
 
 #: Envelope block; peaks above envelope * cutoff + 1; least run, share of equal columns in a run's windows.
 ENVELOPE, CUTOFF, CUTOFF_FAST, LEAST, SHARE = 256, 1.8, 2.9, 45, 0.42
@@ -96,6 +98,57 @@ def runs_at(t: np.ndarray, q: np.ndarray, shift: int, least: int = LEAST, share:
     return out
 
 
+#: Columns of all shifts that are worked off at a time.
+HELD_SHIFTS = 1 << 20
+#: A column of two letters, in hundredths; the last letter stands for what lies outside a sequence.
+_LETTERS = "".join(IUPAC)
+_CODES = np.full(256, len(_LETTERS), np.uint8)
+_CODES[np.frombuffer(_LETTERS.encode(), np.uint8)] = np.arange(len(_LETTERS))
+_SAME = WEIGHTS[np.frombuffer(_LETTERS.encode(), np.uint8)] @ WEIGHTS[np.frombuffer(_LETTERS.encode(), np.uint8)].T
+_SAME = np.pad(_SAME, (0, 2)).astype(np.float64)
+
+
+def windowed_runs(target: str, query: str, least: int = LEAST, share: float = SHARE) -> list[tuple[int, int, int, float]]:
+    """What ``runs_at`` gives at every shift of the query, sorted, without a transform: no shift is left out for the lack of a peak.
+
+    Running sums along the query give all windows of a block of shifts at once. The work is the product of both lengths,
+    the memory that of ``HELD_SHIFTS`` columns, or of one shift of a longer query.
+    """
+    t, q = (_CODES[np.frombuffer(s.encode("ascii", "replace"), np.uint8)] for s in (target, query))
+    window, n = least + 1, len(q)
+    if min(len(t), n) < window:
+        return []
+    outside = len(_LETTERS) + 1
+    view = np.lib.stride_tricks.sliding_window_view(np.pad(t, n - window, constant_values=outside), n)  # row k: shift k - n + window
+    hundredths = (100 * _SAME.astype(np.float32)).astype(np.int64)
+    hundredths[outside] = -100 * window  # a window that reaches beyond the target is never good
+    bound, rows, out = int(least * share * 100), max(1, HELD_SHIFTS // n), []
+    for first in range(0, len(view), rows):
+        part = view[first : first + rows]
+        sums = np.cumsum(np.pad(hundredths[part, q], ((0, 0), (1, 0))), axis=1)
+        good = np.pad((sums[:, window:] - sums[:, :-window] > bound).astype(np.int8), ((0, 0), (1, 1)))
+        step = np.diff(good, axis=1)
+        for (k, i), j in zip(np.argwhere(step == 1), np.nonzero(step == -1)[1], strict=True):
+            end = int(j) - 1 + window
+            out.append((int(i) + first + int(k) - n + window, int(i), end - int(i), float(_SAME[part[k, i:end], q[i:end]].mean())))
+    return sorted(out)
+
+
+def windowed_matches(pairs: DataFrame, least: int = LEAST, share: float = SHARE, t: str = "t_seq", q: str = "q_seq") -> DataFrame:
+    """The columns of ``pairs`` but the two sequences, and ``t_start, q_start, len, ident`` of every run of good windows at any shift (``windowed_runs``).
+
+    For pairs of bounded size (chunks, surroundings of seeds). Nulls and sequences shorter than a window give no row; repeated pairs give their rows each.
+    """
+    def make(a: pa.Array, b: pa.Array) -> list[pa.Array]:
+        kind = pa.list_(pa.struct([("t_start", pa.int64()), ("q_start", pa.int64()), ("len", pa.int64()), ("ident", pa.float64())]))
+        names = ("t_start", "q_start", "len", "ident")
+        return [pa.array([[dict(zip(names, m, strict=True)) for m in windowed_runs(x or "", y or "", least, share)] for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], kind)]
+
+    others = [c for c in pairs.columns if c not in (t, q)]
+    found = added(pairs, "found_runs array<struct<t_start:bigint,q_start:bigint,len:bigint,ident:double>>", make, [t, q], others)
+    return found.select(*others, F.inline("found_runs"))
+
+
 def matches_of(target: str, query: str, cutoff: float = CUTOFF) -> list[tuple[int, int, int, float]]:
     """Matches of two chunks on one strand."""
     t, q = weights_of(target), weights_of(query)

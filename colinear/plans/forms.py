@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from colinear.functions import scoring
 from colinear.functions import sequence as S
-from colinear.operators import align, blocks, grid, guided, intervals, tiles, xcorr
+from colinear.operators import align, blocks, grid, guided, intervals, star, tiles, xcorr
 from colinear.plans import programs
 from colinear.plans.heavy import _SYNTENY, _regions, _seeds
-from colinear.plans.queries import DOCS, ITEMS, SUM, docs, items, summary_of
-from colinear.session import table
+from colinear.plans.queries import DOCS, ITEMS, RC, SUM, _blocks, docs, items, summary_of
+from colinear.session import stored, table
 from colinear.sources import sequences as fasta
 from colinear.sources import tables
 
@@ -180,3 +180,123 @@ def reference_columns(spark, d):
 def homopolymer_identities(spark, d):
     """Identity of every seed's surroundings, in which runs of one letter may differ in length."""
     return align.homopolymer_identities(_regions(spark, d).select("id", "t_seq", "q_seq"))
+
+
+# Stars and scores of alignments
+
+
+def _stack(spark, d) -> DataFrame:
+    """(ref_id, t_off, t_aligned, q_aligned): each item and the documents' letters beside it, wherever a forward seed puts it, without gaps."""
+    m = _seeds(spark, d).where("not rc").select("query_id", "target_id", (F.col("t_start") - F.col("q_start")).alias("first")).distinct()
+    m = m.join(items(spark, d).select(F.col("seq_id").alias("query_id"), F.col("seq").alias("item")), "query_id").withColumn("size", F.length("item"))
+    found = tiles.sliced(m, tiles.store(docs(spark, d)), "target_id", "first", "size", "q_aligned")
+    off = F.greatest(-F.col("first"), F.lit(0))
+    return found.select(F.col("query_id").alias("ref_id"), off.alias("t_off"), F.substr("item", off + 1, F.length("q_aligned")).alias("t_aligned"), "q_aligned")
+
+
+def _references(spark, d) -> DataFrame:
+    return items(spark, d).withColumnRenamed("seq_id", "ref_id")
+
+
+_STACK = f"""{DOCS}, {ITEMS}, sb AS (WITH {_blocks("items", "docs", 15, 4, 15)}), st AS (SELECT DISTINCT query_id, target_id, t_start - q_start AS f FROM sb WHERE NOT rc),
+l AS (SELECT query_id AS ref_id, p AS pos, substr(i.seq, p + 1, 1) AS ref, substr(d.seq, f + p + 1, 1) AS c FROM st JOIN items AS i ON i.seq_id = query_id JOIN docs AS d ON d.seq_id = target_id, LATERAL (SELECT unnest(range(greatest(0, -f), least(length(i.seq), length(d.seq) - f))) AS p))"""
+
+
+@query(
+    f"""WITH {_STACK}, r AS (SELECT seq_id AS ref_id, p AS pos, substr(seq, p + 1, 1) AS ref FROM items, LATERAL (SELECT unnest(range(length(seq))) AS p)),
+n AS (SELECT ref_id, pos, r.ref, count(c) AS members, {", ".join(f"count(*) FILTER (WHERE c = '{x}') AS {x.lower()}" for x in "ACGT")}, count(*) FILTER (WHERE c = r.ref) AS same FROM r LEFT JOIN l USING (ref_id, pos) GROUP BY ALL)
+SELECT *, CASE WHEN same = members THEN ref ELSE '?' END AS consensus FROM n"""
+)
+def star_counts(spark, d):
+    """Letters of the documents beside each letter of an item, stacked on their seeds without gaps."""
+    return star.star_profile(_stack(spark, d), _references(spark, d)).where("slot = 0").select("ref_id", "pos", "ref", "members", "a", "c", "g", "t", "same", "consensus")
+
+
+@query(
+    f"""WITH {_STACK}, n AS (SELECT query_id AS ref_id, count(*) AS n FROM st GROUP BY ALL),
+k AS (SELECT ref_id, pos, pos - row_number() OVER (PARTITION BY ref_id ORDER BY pos) AS g FROM (SELECT ref_id, pos, count(*) FILTER (WHERE c = ref) AS same FROM l GROUP BY ALL) JOIN n USING (ref_id) WHERE 10 * same >= 9 * n)
+SELECT ref_id, min(pos) AS first, max(pos) AS last, substr(any_value(seq), min(pos) + 1, max(pos) - min(pos) + 1) AS motif FROM k JOIN items ON seq_id = ref_id GROUP BY ref_id, g HAVING max(pos) - min(pos) + 1 >= 6"""
+)
+def motifs(spark, d):
+    """Stretches of items that nine of ten documents keep, of all that have a seed on the item."""
+    rows = stored(_stack(spark, d), "stack")
+    pairs = rows.groupBy("ref_id").agg(F.count("*").alias("pairs"))
+    columns = star.star_profile(rows, _references(spark, d)).where("slot = 0").select("ref_id", "pos", "same").join(pairs, "ref_id")
+    return star.conserved_motifs(columns, _references(spark, d))
+
+
+@query()
+def star_profile(spark, d):
+    """Items and the documents' surroundings of their seeds, aligned with gaps: every column, those of inserts too."""
+    m = _seeds(spark, d).where("not rc").select("query_id", "target_id", (F.col("t_start") - F.col("q_start") - 20).alias("first")).distinct()
+    m = m.join(items(spark, d).select(F.col("seq_id").alias("query_id"), F.col("seq").alias("t_seq")), "query_id").withColumn("size", F.length("t_seq") + 40)
+    found = tiles.sliced(m, tiles.store(docs(spark, d)), "target_id", "first", "size", "q_seq").select(F.col("query_id").alias("id"), "t_seq", "q_seq")
+    return star.star_profile(align.align_pairs(found.repartition("id", "q_seq"), "SWGA").withColumnRenamed("id", "ref_id"), _references(spark, d))
+
+
+_REGIONS = f"""{DOCS}, {ITEMS}, sb AS (WITH {_blocks("items", "docs", 15, 4, 15)}), m AS (SELECT *, CASE WHEN rc THEN length(i.seq) - len - q_start ELSE q_start END AS q_at, CASE WHEN rc THEN {RC.format(s="i.seq")} ELSE i.seq END AS q FROM sb JOIN items AS i ON i.seq_id = query_id),
+rg AS (SELECT DISTINCT substr(d.seq, greatest(t_start - 30, 0) + 1, t_start + len + 30 - greatest(t_start - 30, 0)) AS t, substr(q, greatest(q_at - 30, 0) + 1, q_at + len + 30 - greatest(q_at - 30, 0)) AS q FROM m JOIN docs AS d ON d.seq_id = target_id)"""
+
+
+@query(
+    f"""WITH {_REGIONS}, x AS (SELECT t, q, s + j AS i, j, s, CASE WHEN substr(t, s + j + 1, 1) = substr(q, j + 1, 1) THEN 1 ELSE 0 END AS e FROM rg, LATERAL (SELECT unnest(range(46 - length(q), length(t) - 45)) AS s), LATERAL (SELECT unnest(range(greatest(0, -s), least(length(q), length(t) - s))) AS j)),
+w AS (SELECT *, sum(e) OVER o AS n, count(*) OVER o AS size, sum(e) OVER (PARTITION BY t, q, s ORDER BY j) AS upto FROM x WINDOW o AS (PARTITION BY t, q, s ORDER BY j ROWS BETWEEN CURRENT ROW AND 45 FOLLOWING)),
+g AS (SELECT t, q, s, j, upto - e AS before, j - row_number() OVER (PARTITION BY t, q, s ORDER BY j) AS k FROM w WHERE size = 46 AND n >= 19),
+r AS (SELECT t, q, s, min(j) AS a, max(j) + 46 AS b FROM g GROUP BY t, q, s, k)
+SELECT md5(r.t || ',' || r.q) AS pair, a + r.s AS t_start, a AS q_start, b - a AS len, round((SELECT count(*) FROM range(a, b) AS u(p) WHERE substr(r.t, r.s + p + 1, 1) = substr(r.q, p + 1, 1))::DOUBLE / (b - a), 6) AS ident FROM r"""
+)
+def windowed_matches(spark, d):
+    """Runs of good windows at every shift of the surroundings of seeds, without a transform."""
+    pairs = _regions(spark, d).select("t_seq", "q_seq").distinct().withColumn("pair", F.md5(F.concat_ws(",", "t_seq", "q_seq").cast("binary")))
+    return xcorr.windowed_matches(pairs).withColumn("ident", F.round("ident", 6))
+
+
+_LINED = "x AS (SELECT doc_id, item_id, translate(d.text, ' .,', '---') AS a, translate(b.text, ' .,', '---') AS b, least(length(d.text), length(b.text)) AS n FROM documents AS d JOIN benchmark AS b ON d.doc_id % 40 = b.item_id % 40)"
+
+
+def _lined(spark, d) -> DataFrame:
+    """Documents and items of one remainder, side by side, with blanks, points and commas as gaps."""
+    gaps = lambda c, name: F.translate(c, " .,", "---").alias(name)
+    x = table(spark, d, "documents").select("doc_id", (F.col("doc_id") % 40).alias("g"), gaps("text", "a"))
+    y = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 40).alias("g"), gaps("text", "b"))
+    return x.join(F.broadcast(y) if y.count() <= 10_000 else y, "g").where("a is not null and b is not null").drop("g")
+
+
+@query(
+    f"""WITH {_LINED}, k AS (SELECT doc_id, item_id, n, array_to_string(list_transform(range(n), lambda i: CASE WHEN a[i + 1] = '-' OR b[i + 1] = '-' THEN 'g' WHEN a[i + 1] = b[i + 1] THEN 'm' ELSE 'x' END), '') AS k FROM x WHERE n IS NOT NULL),
+c AS (SELECT doc_id, item_id, n, (n - length(replace(k, 'm', '')))::BIGINT AS matches, (n - length(replace(k, 'x', '')))::BIGINT AS mismatches, regexp_extract_all(regexp_replace(k, 'g+$', ''), 'g+') AS gaps, len(regexp_extract_all(k, 'm+')) AS runs FROM k)
+SELECT doc_id, item_id, n AS columns, matches, mismatches, mismatches + len(gaps) AS edits, matches - mismatches - coalesce(list_sum(list_transform(gaps, lambda g: least(length(g), 10))), 0)::BIGINT AS score, round(matches / greatest(runs, 1), 6) AS contiguity FROM c"""
+)
+def alignment_scores(spark, d):
+    rows = _lined(spark, d).select("doc_id", "item_id", scoring.alignment_scores(F.col("a"), F.col("b")).alias("s"))
+    return rows.select("doc_id", "item_id", "s.*").withColumn("contiguity", F.round("contiguity", 6))
+
+
+# Features of a genome file
+
+_AXIS = "'c' || doc_id % 12"
+
+
+@query(
+    f"""WITH d AS (SELECT *, {_AXIS} AS seq FROM documents WHERE doc_id IS NOT NULL AND n_chars IS NOT NULL),
+f AS (SELECT seq, CASE WHEN l.toxic = 1 THEN 'toxic' WHEN l.quality = 1 THEN 'good' ELSE 'poor' END AS type, doc_id * 100 - 50 AS s, doc_id * 100 + least(n_chars, 5000) - 50 AS e FROM labels l JOIN d USING (doc_id)),
+c AS (SELECT seq, doc_id * 100 + 50 AS s, doc_id * 100 + 50 + n_chars // 10 AS e FROM d),
+z AS (SELECT seq, 0::BIGINT AS s, max(doc_id) * 100 + 5950 AS e FROM d GROUP BY seq),
+u AS (SELECT seq, type, s, e FROM f UNION ALL SELECT seq, '', s, e FROM c UNION ALL SELECT seq, '*', s, e FROM z),
+v AS (SELECT seq, type, s AS pos, 1 AS dl FROM u WHERE e > s UNION ALL SELECT seq, type, e, -1 FROM u WHERE e > s),
+w AS (SELECT seq, pos, {", ".join(f"sum(CASE WHEN type = '{t}' THEN dl ELSE 0 END) AS {n}" for t, n in (("", "c"), ("*", "z"), ("good", "g"), ("poor", "p"), ("toxic", "t")))} FROM v GROUP BY ALL),
+x AS (SELECT lead(pos) OVER o - pos AS size, {", ".join(f"sum({n}) OVER o > 0 AS {n}" for n in "czgpt")} FROM w WINDOW o AS (PARTITION BY seq ORDER BY pos)),
+y AS (SELECT 'good' AS type, size, c FROM x WHERE z AND g UNION ALL SELECT 'poor', size, c FROM x WHERE z AND p UNION ALL SELECT 'toxic', size, c FROM x WHERE z AND t UNION ALL SELECT 'None', size, c FROM x WHERE z AND NOT g AND NOT p AND NOT t)
+SELECT type, sum(size)::BIGINT AS bases, coalesce(sum(CASE WHEN c THEN size END), 0)::BIGINT AS covered, coalesce(sum(CASE WHEN c THEN size END), 0)::DOUBLE / sum(size) AS share FROM y GROUP BY type"""
+)
+def matches_by_feature(spark, d):
+    """Labelled documents as features of twelve chromosomes, in the lines of a genome file, and the documents' first tenths as matches."""
+    rows = table(spark, d, "documents").where("doc_id is not null and n_chars is not null").withColumn("seq", F.concat(F.lit("c"), F.col("doc_id") % 12))
+    line = lambda kind, start, end: F.concat_ws("\t", "seq", F.lit("."), kind, start.cast("string"), end.cast("string"), F.lit("."), F.lit("+"), F.lit("."), F.lit("ID=x")).alias("value")
+    at = F.col("doc_id") * 100
+    axes = rows.groupBy("seq").agg((F.max("doc_id") * 100 + 6000).alias("last")).select(line(F.lit("chromosome"), F.lit(51), F.col("last")))
+    kind = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("poor")
+    features = table(spark, d, "labels").join(rows, "doc_id").where("n_chars > 0").select(line(kind, at + 1, at + F.least(F.col("n_chars"), F.lit(5000))))
+    axes, features = tables.parse_gff(axes.unionByName(features))
+    found = rows.select(F.col("seq").alias("t_name"), (at + 50).alias("t_start"), (at + 50 + F.floor(F.col("n_chars") / 10)).alias("t_end"))
+    return programs.matches_by_feature(features, axes, found)

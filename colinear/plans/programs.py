@@ -62,15 +62,23 @@ def refined(held: DataFrame, query: DataFrame, target: DataFrame, cutoff: float
     return held.unionByName(scored(found, total, least_prob).select(*columns)).distinct()
 
 
-def synteny_search(query: DataFrame, target: DataFrame, k: tuple[int, ...] = tuple(range(11, 32, 2)), least_seed: int = 24, most: int = 1, t_chunk: int = 1024, q_chunk: int = 1024, rounds: int | None = None, per_round: int = 200, least_prob: float = 0.99999, least_yield: int = 1, patience: int = 10, old: DataFrame | None = None, dump: str | None = None) -> DataFrame:
+def next_batch(batch: int, found: float, before: float | None, least: int) -> int:
+    """How many pixels the next round searches: twice as many while a pixel yields three quarters of what one of the round before yielded, or more;
+    half as many, ``least`` at the fewest, where it yields less than half; as many in between. ``found``, ``before``: new matches for each pixel of the last two rounds."""
+    if before is None or found >= 0.75 * before:
+        return 2 * batch
+    return max(least, batch // 2) if found < 0.5 * before else batch
+
+
+def synteny_search(query: DataFrame, target: DataFrame, k: tuple[int, ...] = tuple(range(11, 32, 2)), least_seed: int = 24, most: int = 1, t_chunk: int = 1024, q_chunk: int = 1024, rounds: int | None = None, per_round: int = 200, least_prob: float = 0.99999, least_yield: int = 1, patience: int = 10, old: DataFrame | None = None, dump: str | None = None, least_ratio: float = 0.0, told: list[dict] | None = None) -> DataFrame:
     """Seeds, chains, and searches around the chains by correlation, until rounds find little.
 
     Each round weighs the pixels that hold the middle of a chained match, and the neighbours
     of those that were searched, searches the heaviest that are new, and adds what
-    it finds. The first round searches ``per_round`` pixels, each next one up to
-    twice as many. It ends when no new pixel is left, or when ``patience`` rounds in
-    a row found fewer than ``least_yield`` new matches; ``rounds``, if given, bounds
-    the rounds. Matches of an earlier search (``old``, see ``tables.read_matches``) take the
+    it finds. The first round searches ``per_round`` pixels, the next ones as many as ``next_batch``
+    makes of what a pixel yields. It ends when no new pixel is left, or when ``patience`` rounds in
+    a row found fewer than ``least_yield`` new matches, or fewer than ``least_ratio`` for each pixel; ``rounds``, if given, bounds
+    the rounds. Each round's number, pixels, new matches and ratio are added to ``told``, if given. Matches of an earlier search (``old``, see ``tables.read_matches``) take the
     place of seeds, so a search that stopped goes on from what it had found; with ``dump``
     each round's new matches are written there, by round (``tables.read_rounds`` gives them
     back). Returns the chained matches.
@@ -86,7 +94,7 @@ def synteny_search(query: DataFrame, target: DataFrame, k: tuple[int, ...] = tup
     if dump:
         files.write_round(held, dump, 0)
     pixel_keys = ["target_id", "query_id", "x", "y"]
-    searched, low, done, batch = None, 0, 0, per_round
+    searched, low, done, batch, ratio = None, 0, 0, per_round, None
     while rounds is None or done < rounds:
         f = matches.forward(stored(chain.chain(held), "chain"))
         x, y = grid.pixel(F.col("t_start") + F.floor(F.col("len") / 2), F.col("q_from") + F.floor(F.col("len") / 2), t_chunk, q_chunk)
@@ -104,11 +112,15 @@ def synteny_search(query: DataFrame, target: DataFrame, k: tuple[int, ...] = tup
             files.write_round(new, dump, done + 1)
         tried = tasks.select(*pixel_keys)
         searched = stored(tried if searched is None else searched.unionByName(tried), "searched")
-        low = low + 1 if new.count() < least_yield else 0
+        n, was = new.count(), ratio
+        ratio = n / min(left, batch)
+        if told is not None:
+            told.append({"round": done + 1, "pixels": min(left, batch), "matches": n, "ratio": ratio})
+        low = low + 1 if n < least_yield or ratio < least_ratio else 0
         held = stored(held.unionByName(new).distinct(), "held")
         if low >= patience:
             break
-        done, batch = done + 1, 2 * batch
+        done, batch = done + 1, next_batch(batch, ratio, was, per_round)
     return chain.chain(held)
 
 

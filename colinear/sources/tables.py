@@ -43,18 +43,25 @@ def write_summary(summary: DataFrame, path: str) -> None:
     summary_lines(summary).write.text(path)
 
 
-def read_gff(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(axes: seq, size) and (features: seq, type, start, end; 0-based, half-open) of a GFF3 file.
+def parse_gff(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(axes: seq, size) and (features: seq, type, start, end; 0-based, half-open) of the lines (``value``) of GFF3 files.
 
-    Rows of type ``chromosome`` with a name below 4 letters are axes; features on other sequences are left out.
+    Rows of type ``chromosome`` with a name below 4 letters are axes; features on other sequences are left out. So are comments and lines without numbers.
     """
-    schema = "seq string, source string, type string, start long, end long, score string, ori string, phase string, attributes string"
-    rows = spark.read.schema(schema).option("sep", "\t").option("comment", "#").csv(path)
+    p = F.split("value", "\t")
+    at = lambda k: F.try_element_at(p, F.lit(k))
+    rows = lines.where(~F.col("value").startswith("#")).select(at(1).alias("seq"), at(3).alias("type"), at(4).try_cast("long").alias("start"), at(5).try_cast("long").alias("end"))
+    rows = rows.where("start is not null and end is not null")
     axes = rows.where((F.col("type") == "chromosome") & (F.length("seq") < 4)).groupBy("seq").agg(F.min(F.col("start") - 1).alias("first"), F.max("end").alias("last"))
     features = rows.where(F.col("type") != "chromosome").join(axes, "seq").select("seq", "type", (F.col("start") - 1 - F.col("first")).alias("start"), (F.col("end") - F.col("first")).alias("end"))
     return axes.select("seq", (F.col("last") - F.col("first")).alias("size")), features
 
 
+def read_gff(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``parse_gff`` of a GFF3 file, or a folder of them."""
+    return parse_gff(spark.read.text(path))
+
+
 def gff(summary: DataFrame, on_target: bool = True, order: list[str] | None = None) -> DataFrame:
     """A summary as GFF3 rows (1-based, closed), numbered in the order of the target."""
     from colinear.operators.ranking import global_rank
