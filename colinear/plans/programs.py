@@ -62,12 +62,10 @@ def refined(held: DataFrame, query: DataFrame, target: DataFrame, cutoff: float
     return held.unionByName(scored(found, total, least_prob).select(*columns)).distinct()
 
 
-def next_batch(batch: int, found: float, before: float | None, least: int) -> int:
-    """How many pixels the next round searches: twice as many while a pixel yields three quarters of what one of the round before yielded, or more;
-    half as many, ``least`` at the fewest, where it yields less than half; as many in between. ``found``, ``before``: new matches for each pixel of the last two rounds."""
-    if before is None or found >= 0.75 * before:
-        return 2 * batch
-    return max(least, batch // 2) if found < 0.5 * before else batch
+def next_batch(batch: int, found: float, before: float | None) -> int:
+    """How many pixels the next round searches: twice as many, or as many again where a pixel yields more than in the round before, as what
+    it found moves the weights. ``found``, ``before``: new matches for each pixel of the last two rounds. A round is never smaller than the last, so a search has few of them."""
+    return batch if before is not None and found > before else 2 * batch
 
 
 def synteny_search(query: DataFrame, target: DataFrame, k: tuple[int, ...] = tuple(range(11, 32, 2)), least_seed: int = 24, most: int = 1, t_chunk: int = 1024, q_chunk: int = 1024, rounds: int | None = None, per_round: int = 200, least_prob: float = 0.99999, least_yield: int = 1, patience: int = 10, old: DataFrame | None = None, dump: str | None = None, least_ratio: float = 0.0, told: list[dict] | None = None) -> DataFrame:
@@ -120,7 +118,7 @@ def synteny_search(query: DataFrame, target: DataFrame, k: tuple[int, ...] = tup
         held = stored(held.unionByName(new).distinct(), "held")
         if low >= patience:
             break
-        done, batch = done + 1, next_batch(batch, ratio, was, per_round)
+        done, batch = done + 1, next_batch(batch, ratio, was)
     return chain.chain(held)
 
 

@@ -131,11 +131,10 @@ def test_scores_of_alignments(spark):
 
 
 def test_batches_follow_the_yield():
-    assert programs.next_batch(200, 0.5, None, 100) == 400
-    assert programs.next_batch(400, 0.4, 0.5, 100) == 800
-    assert programs.next_batch(800, 0.3, 0.5, 100) == 800
-    assert programs.next_batch(800, 0.1, 0.5, 100) == 400 and programs.next_batch(150, 0.1, 0.5, 100) == 100
-    assert programs.next_batch(100, 0.0, 0.0, 100) == 200  # nothing is found any more: what is left is searched in fewer rounds
+    assert programs.next_batch(200, 0.5, None) == 400
+    assert programs.next_batch(400, 0.4, 0.5) == 800 == programs.next_batch(400, 0.5, 0.5)
+    assert programs.next_batch(800, 0.6, 0.5) == 800
+    assert programs.next_batch(100, 0.0, 0.0) == 200
 
 
 def test_search_tells_its_rounds(spark):
@@ -144,7 +143,7 @@ def test_search_tells_its_rounds(spark):
     changed = "".join(c if r.random() < 0.85 else r.choice("ACGT") for c in genome[500:3500])
     target, query = (spark.createDataFrame([(0, s)], "seq_id long, seq string") for s in (genome, changed[:1500] + genome[2000:2060] + changed[1560:]))
     told = []
-    got = programs.synteny_search(query, target, k=(15,), per_round=2, patience=2, told=told).collect()
+    got = programs.synteny_search(query, target, k=(15,), per_round=2, rounds=2, told=told).collect()
     assert got and [x["round"] for x in told] == list(range(1, len(told) + 1))
     assert all(x["ratio"] == x["matches"] / x["pixels"] for x in told) and told[0]["pixels"] <= 2
     stopped = []
