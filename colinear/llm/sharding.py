@@ -137,7 +137,7 @@ def points_of(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sourc
     rows = parts.withColumn("copy", F.explode(F.sequence(first, F.least(F.col("n"), first + PART) - 1))).drop("n", "part")
     r = rows.agg(F.min(F.log("size")).alias("a"), F.max(F.log("size")).alias("b"), F.min(F.col("id").cast("double")).alias("c"), F.max(F.col("id").cast("double")).alias("d")).first()
     end = float(2**63)
-    # equal texts share the low bits as far as they can: they stay together unless a split falls among them
+    # low bits by the text first: rows that share a dimension's high bits lie together if their texts are equal
     dims = {
         "x_size": scaled(F.log("size"), r["a"] or 0, r["b"] or 0, F.col("th"), F.col("id"), F.col("copy")),
         "x_id": scaled(F.col("id"), r["c"] or 0, r["d"] or 0, F.col("th"), F.col("id"), F.col("copy")),
@@ -153,7 +153,8 @@ def shard(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None
     Size: UTF-8 bytes of the text (null: none) plus 8. Give the number of shards,
     or the bytes that a shard should reach. Shards differ in bytes by no more than
     a few splits' slack or a single large document. ``slot`` counts a shard's rows
-    from 0 without gaps, in an order that depends on the rows alone. Null ids and
+    from 0 without gaps, in an order that depends on the rows alone. Equal texts are points of their own, parted
+    where ids or sources part them: a group may hold more bytes than a shard. Null ids and
     sources are points like others; rows that repeat everything are numbered and part
     where a split falls among them. Empty tables give no rows; some shards are empty if there are few rows.
     """

@@ -232,3 +232,14 @@ def test_decontaminate_is_native_and_equals_sql(spark):
     plan = llm.queries()["op13_decontaminate"](spark, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     same_as_sql(spark, "op13_decontaminate", ["documents", "benchmark"], "/root/testdata/sf0.01")
+
+
+def test_a_group_of_equal_texts_is_parted_where_shards_need_it(spark):
+    from colinear.llm import sharding
+
+    rows = [(i, "one text that many share" if i % 3 == 0 else f"text of its own, number {i:04}", f"s{i % 5}") for i in range(600)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=4).collect()
+    assert sorted(r["id"] for r in got) == list(range(600))
+    size = [sum(r["size"] for r in got if r["shard"] == k) for k in range(4)]
+    assert max(size) - min(size) <= 0.05 * sum(size) / 4
+    assert len({r["shard"] for r in got if r["id"] % 3 == 0}) > 1
