@@ -5,11 +5,13 @@ Anchors: scaffold, chr, pos, dir (+1, -1), one row for each match of a scaffold
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colinear.functions.sequence import revcomp
-from colinear.operators.islands import before, dealt
+from colinear.operators.islands import HEADS, before, dealt, numbered
 from colinear.session import stored
 
 #: Letters between joined scaffolds; bounds of an estimated gap.
@@ -20,26 +22,52 @@ def anchors(hits: DataFrame, share: int = 5, run: int = 0) -> DataFrame:
     """``scaffold, lo_chr, lo_pos, hi_chr, hi_pos, dir``: a scaffold's ends, from hits (scaffold, s_pos, chr, pos, dir).
 
     Only chromosomes with at least 1/share of the scaffold's hits count; with ``run``,
-    only hits that begin so many hits of one direction. The ends are the first and last of them by
-    scaffold position; the direction is that of the first.
+    only hits that begin so many hits of one direction (a null direction ends a run). The ends are the first and last of them by
+    scaffold position; the direction is that of the first. Repeated hits count each time; nulls are names and places of their own.
+    A scaffold's hits are counted before they meet, and runs are found over ranges of them, so a scaffold may have any number.
     """
-    of = Window.partitionBy("scaffold")
-    rows = hits.withColumns({"n": F.count("*").over(of), "on": F.count("*").over(Window.partitionBy("scaffold", "chr"))}).where(F.col("on") >= F.floor(F.col("n") / share))
     order = ["s_pos", "chr", "pos", "dir"]
+    key = F.struct(*order)
+    held = hits.select("scaffold", *order)
+    held = stored(held, "hits") if run else held
+    # a row for each scaffold and chromosome
+    on = held.groupBy("scaffold", "chr").agg(F.count("*").alias("on"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+    on = on.withColumn("n", F.sum("on").over(Window.partitionBy("scaffold"))).where(F.col("on") >= F.floor(F.col("n") / share))
     if run:
-        ahead = Window.partitionBy("scaffold").orderBy(*order).rowsBetween(0, run - 1)
-        rows = rows.withColumns({"sum": F.abs(F.sum("dir").over(ahead)), "len": F.count("*").over(ahead)}).where((F.col("sum") == run) & (F.col("len") == run))
+        on = begun(same(held, on, ["scaffold", "chr"]), order, run)
+    return on.groupBy("scaffold").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("scaffold", F.col("lo.chr").alias("lo_chr"), F.col("lo.pos").alias("lo_pos"), F.col("hi.chr").alias("hi_chr"), F.col("hi.pos").alias("hi_pos"), F.col("lo.dir").alias("dir"))
+
+
+def same(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose ``keys`` are among those of ``groups``, nulls like values."""
+    few = stored(groups.select(*[F.col(k).alias(f"_{k}") for k in keys]), "groups")
+    alike = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return rows.join(F.broadcast(few) if few.count() <= HEADS else few, alike, "left_semi")
+
+
+def begun(hits: DataFrame, order: list[str], run: int) -> DataFrame:
+    """``scaffold, lo, hi`` (each a struct of ``order``): the first and last hits that begin ``run`` hits of one direction, for each stretch of one direction that is so long."""
     key = F.struct(*order)
-    return rows.groupBy("scaffold").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).select("scaffold", F.col("lo.chr").alias("lo_chr"), F.col("lo.pos").alias("lo_pos"), F.col("hi.chr").alias("hi_chr"), F.col("hi.pos").alias("hi_pos"), F.col("lo.dir").alias("dir"))
+    rows = before(dealt(hits, ["scaffold"], order), ["scaffold"], order, last=("max", key))
+    rows = numbered(rows, ["scaffold"], order, ~F.coalesce(F.col("last.dir") == F.col("dir"), F.lit(False)), "stretch").drop("last")
+    rows = stored(before(rows, ["scaffold", "stretch"], order, place=("sum", F.lit(1))).withColumn("place", F.coalesce("place", F.lit(0))), "stretches")
+    long_ = rows.where("dir is not null").groupBy("scaffold", "stretch").agg(F.count("*").alias("n"), F.min(key).alias("lo")).where(F.col("n") >= run)
+    at = long_.select(F.col("scaffold").alias("_scaffold"), F.col("stretch").alias("_stretch"), (F.col("n") - run).alias("_place"), "lo")
+    # one row of each stretch: equal keys on either side are few
+    ends = F.col("scaffold").eqNullSafe(F.col("_scaffold")) & (F.col("stretch") == F.col("_stretch")) & (F.col("place") == F.col("_place"))
+    return rows.join(at, ends).select("scaffold", "lo", key.alias("hi"))
 
 
 def adjacency(ends: DataFrame) -> DataFrame:
-    """``a, a_end, b, b_end``: neighbours on a chromosome, the end of each scaffold (lo or hi) that faces the other."""
+    """``a, a_end, b, b_end``: neighbours on a chromosome, the end of each scaffold (lo or hi) that faces the other.
+
+    Ends are dealt by ranges of (chromosome, position), so that a chromosome may hold any number.
+    """
     points = F.explode(F.array(F.struct(F.lit("lo").alias("end"), F.col("lo_chr").alias("chr"), F.col("lo_pos").alias("pos")), F.struct(F.lit("hi").alias("end"), F.col("hi_chr").alias("chr"), F.col("hi_pos").alias("pos"))))
+    order = ["pos", "scaffold", "end"]
     rows = ends.select("scaffold", points.alias("p")).select("scaffold", "p.*")
-    along = Window.partitionBy("chr").orderBy("pos", "scaffold", "end")
-    rows = rows.withColumns({"b": F.lead("scaffold").over(along), "b_end": F.lead("end").over(along)})
-    return rows.where(F.col("b") != F.col("scaffold")).select("chr", "pos", F.col("scaffold").alias("a"), F.col("end").alias("a_end"), "b", "b_end")
+    rows = before(dealt(rows, ["chr"], order), ["chr"], order, last=("max", F.struct(*order)))
+    return rows.where(F.col("last.scaffold") != F.col("scaffold")).select("chr", F.col("last.pos").alias("pos"), F.col("last.scaffold").alias("a"), F.col("last.end").alias("a_end"), F.col("scaffold").alias("b"), F.col("end").alias("b_end"))
 
 
 def taken(links: DataFrame) -> DataFrame:
@@ -135,14 +163,16 @@ def placement(hits: DataFrame) -> DataFrame:
     """``chr, place, scaffold, dir, gap``: each scaffold once, where its first anchor lies, with the gap to the one before.
 
     ``hits``: scaffold, size, s_pos, chr, pos, dir. The gap is estimated from the anchors and kept within bounds.
+    Of equal anchors the one of the least direction, then size, counts. Scaffolds are dealt by ranges of (chromosome, position).
     """
-    first = Window.partitionBy("scaffold").orderBy("chr", "pos", "s_pos")
-    rows = hits.withColumn("rn", F.row_number().over(first)).where("rn = 1")
-    along = Window.partitionBy("chr").orderBy("pos", "scaffold")
+    first = F.min(F.struct("chr", "pos", "s_pos", "dir", "size"))
     begin = F.when(F.col("dir") > 0, F.col("pos") - F.col("s_pos")).otherwise(F.col("pos") - (F.col("size") - F.col("s_pos")))
-    rows = rows.withColumns({"begin": begin, "place": F.row_number().over(along) - 1})
-    gap = F.col("begin") - F.lag(F.col("begin") + F.col("size")).over(along)
-    return rows.withColumn("gap", F.when(F.col("place") == 0, F.lit(0)).otherwise(F.least(F.greatest(gap, F.lit(LEAST_GAP)), F.lit(MOST_GAP)))).select(F.concat(F.lit("Pseudo"), F.col("chr").cast("string")).alias("chr"), "place", "scaffold", "dir", "gap")
+    rows = hits.groupBy("scaffold").agg(first.alias("f")).select("scaffold", "f.*").withColumn("begin", begin)
+    order = ["pos", "scaffold"]
+    rows = before(dealt(rows, ["chr"], order), ["chr"], order, last=("max", F.struct(*order, "begin", "size")), place=("sum", F.lit(1)))
+    place = F.coalesce("place", F.lit(0))
+    gap = F.col("begin") - (F.col("last.begin") + F.col("last.size"))
+    return rows.select(F.concat(F.lit("Pseudo"), F.col("chr").cast("string")).alias("chr"), place.cast("int").alias("place"), "scaffold", "dir", F.when(place == 0, F.lit(0)).otherwise(F.least(F.greatest(gap, F.lit(LEAST_GAP)), F.lit(MOST_GAP))).alias("gap"))
 
 
 def orient(summary: DataFrame, ident: float = 0.7, length: int = 200) -> DataFrame:

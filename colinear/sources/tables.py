@@ -222,8 +222,3 @@ def axis_extent(matches: DataFrame) -> DataFrame:
 def ticks(extent: int, step: int) -> list[int]:
     """Tick positions of an axis."""
     return list(range(0, extent + 1, step))
-
-
-def numbered(names: DataFrame) -> DataFrame:
-    """``name, i``: few names (chromosomes), numbered from 0."""
-    return names.select("name").distinct().withColumn("i", F.row_number().over(Window.orderBy("name")) - 1)
