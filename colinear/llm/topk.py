@@ -1,12 +1,13 @@
 """Exact top-k inner-product search by ball trees, one for each shard.
 
 Vectors are dealt into shards by hash. Each shard becomes one row: its vectors
-and a ball tree over them (centre and radius of every node). Queries are dealt
-in blocks. The blocks that go to a shard follow its tree in one stream, so a tree
+and a ball tree over them (centre and radius of every node). Shards grow with the
+number of vectors, up to a bound of bytes, so that queries meet few trees. Queries are dealt
+in blocks, which are packed once a round, and blocks have a home shard. The blocks that go to a shard follow its tree in one stream, so a tree
 travels once, however many they are. A block descends the tree level by level: a
 node with centre c and radius r holds no inner product above q.c + |q| r, and is
 left out once that is below the query's kth score. Leaves are visited in order of
-their bounds. The kth score is shared in rounds: every query first searches its
+their bounds. The kth score is shared in rounds: every block first searches its
 home shard, then 1, 2, 4, ... further ones, each round from the kth score of all
 that were searched before.
 """
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 
 from colinear.session import cut, partitions, table
 
-#: Vectors of a shard, queries of a block and vectors of a leaf.
+#: Vectors of a shard (more where a core would have several shards), queries of a block and vectors of a leaf.
 SHARD_ROWS, BLOCK_ROWS, LEAF_ROWS = 16384, 1024, 64
+#: Bytes of a shard's vectors.
+SHARD_BYTES = 32 << 20
 #: Inner products below this are exact in double precision.
 EXACT = float(2**53)
 
@@ -174,6 +177,11 @@ def search(q_ids: np.ndarray, q: np.ndarray, floors: np.ndarray, shard: tuple[np
     return best
 
 
+def shard_rows(rows: int, dims: int, cores: int) -> int:
+    """Vectors of a shard: ``SHARD_ROWS``, or what makes a shard for each core, if that is more; at most ``SHARD_BYTES``."""
+    return max(1, min(max(SHARD_ROWS, -(-rows // cores)), SHARD_BYTES // (8 * max(dims, 1))))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "vector") -> DataFrame:
     """The k highest integer inner products of each query with all rows but its own.
 
@@ -187,8 +195,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     spark = vectors.sparkSession
     clean = lambda df: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<long>").alias("v")).where("id is not null and size(v) > 0 and not exists(v, x -> x is null)")
     rows, asked = cut(clean(vectors)), clean(queries).groupBy("id").agg(F.min("v").alias("v"))
-    n_rows = rows.count()
-    shards = max(1, -(-n_rows // SHARD_ROWS))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()
+    cores = max(partitions(spark), spark.sparkContext.defaultParallelism)
+    shards = max(1, -(-size["n"] // shard_rows(size["n"], size["d"], cores)))
 
     def pack_shard(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches)
@@ -205,7 +214,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     def pack_block(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(batches).sort_by("id")
         blob = pack(t.column("id").to_numpy(), as_matrix(t.column("v").to_pylist()), t.column("floor").to_numpy())
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([blob], pa.binary())], ["block", "queries"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([blob], pa.binary())], ["group", "queries"])
 
     def hunt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard: tuple = ()
@@ -220,19 +229,18 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, size)), pa.array(np.concatenate(best.ids)), pa.array(np.concatenate(best.scores))], ["query_id", "vec_id", "score"])
 
     def round_of(asked: DataFrame, offsets: range) -> DataFrame:
-        """Each query against the shards that lie ``offsets`` behind its home shard."""
-        home = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards))
+        """Each block against the shards that lie ``offsets`` behind its home shard."""
         group = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n_asked // BLOCK_ROWS))))
-        blocks = asked.withColumn("group", group).withColumn("shard", F.explode(F.transform(F.sequence(F.lit(offsets.start), F.lit(offsets.stop - 1)), lambda o: F.pmod(home + o, F.lit(shards)).cast("int"))))
-        packed = blocks.withColumn("block", F.col("group") * F.lit(shards) + F.col("shard")).groupBy("block").applyInArrow(pack_block, "block long, queries binary")
-        lane = F.pmod(F.floor(F.col("block") / F.lit(shards)), F.lit(lanes)).cast("int")
-        asking = packed.select(F.pmod("block", F.lit(shards)).cast("int").alias("shard"), lane.alias("lane"), F.lit(None).cast("binary").alias("tree"), "queries")
+        packed = asked.withColumn("group", group).groupBy("group").applyInArrow(pack_block, "group long, queries binary")
+        lane, home = F.pmod("group", F.lit(lanes)).cast("int"), F.pmod(F.xxhash64("group", F.lit(1)), F.lit(shards))
+        places = F.transform(F.sequence(F.lit(offsets.start), F.lit(offsets.stop - 1)), lambda o: F.pmod(home + o, F.lit(shards)).cast("int"))
+        asking = packed.select(F.explode(places).alias("shard"), lane.alias("lane"), F.lit(None).cast("binary").alias("tree"), "queries")
         told = trees.select("shard", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), "tree", F.lit(None).cast("binary").alias("queries"))
         dealt = told.unionByName(asking).repartition(min(shards * lanes, 20 * cores), "shard", "lane")
         return dealt.sortWithinPartitions("shard", "lane", F.col("tree").isNull()).select("tree", "queries").mapInArrow(hunt, "query_id long, vec_id long, score long")
 
     asked = cut(asked)
-    n_asked, cores = asked.count(), max(partitions(spark), spark.sparkContext.defaultParallelism)
+    n_asked = asked.count()
     lanes = max(1, min(-(-n_asked // BLOCK_ROWS), cores // shards))  # copies of a shard's tree, where shards are fewer than cores
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     asked, done, found = asked.withColumn("floor", F.lit(float("-inf"))), 0, None

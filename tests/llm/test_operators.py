@@ -583,3 +583,21 @@ def test_exact_products_beyond_doubles():
     assert topk.exact_products(a, a)[0, 0] == 2**63 - 1
     b = np.array([[2**28 + 1, 5]], np.int64)
     assert topk.exact_products(b, b)[0, 0] == (2**28 + 1) ** 2 + 25
+
+
+def test_topk_shards_grow_and_blocks_share_a_home(spark, monkeypatch):
+    assert topk.shard_rows(10_000, 64, 100) == topk.SHARD_ROWS
+    assert topk.shard_rows(4_000_000, 64, 100) == 40_000
+    assert topk.shard_rows(10**9, 64, 1000) * 64 * 8 == topk.SHARD_BYTES
+    assert topk.shard_rows(10**9, 10**9, 1000) == topk.shard_rows(1, 0, 1) - topk.SHARD_ROWS + 1 == 1
+    r = np.random.default_rng(21)
+    m = r.integers(-9, 10, size=(300, 5))
+    m[200:] = m[:100]  # ties across shards
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, vector array<long>")
+    monkeypatch.setattr(topk, "SHARD_BYTES", 5 * 8 * 25)
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 7)
+    got = {}
+    for q, k, i, s in topk.top_k(rows, rows.where("vec_id % 10 = 0"), 6).collect():
+        got.setdefault(q, {})[k] = (i, s)
+    products = m @ m.T
+    assert got == {q: {k + 1: x for k, x in enumerate(sorted(((i, int(products[q, i])) for i in range(300) if i != q), key=lambda x: (-x[1], x[0]))[:6])} for q in range(0, 300, 10)}
