@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colinear.operators.islands import before, dealt
+from colinear.session import stored
 
 #: Places of a sequence whose events meet in one group of a sweep.
 PIECE = 1 << 16
@@ -84,12 +85,12 @@ def coverage_delta(before: DataFrame, after: DataFrame, key: str = "seq", start:
 
 
 def union(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, start, end``: the runs of places under any interval (keys, start, end), by keys."""
+    """``keys, start, end``: the runs of places under any interval (keys, start, end), by keys. Their borders are written once between the two sweeps, each of which names its input twice."""
     ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d"))))
     e = intervals.where(F.col("end") > F.col("start")).select(*keys, ends.alias("x")).select(*keys, "x.*").groupBy(*keys, "pos").agg(F.sum("d").alias("d"))
     e = running(e.withColumn("by", F.col("d")), ["d"], keys).withColumn("before", F.col("d") - F.col("by"))
     # only the places where a run begins or ends are left, in turn
-    e = e.where((F.col("d") == 0) | (F.col("before") == 0)).where("by <> 0").select(*keys, "pos", F.col("d").alias("open"))
+    e = stored(e.where((F.col("d") == 0) | (F.col("before") == 0)).where("by <> 0").select(*keys, "pos", F.col("d").alias("open")), "borders")
     return running(e, [], keys).where("open > 0").select(*keys, F.col("pos").alias("start"), F.col("next").alias("end"))
 
 
@@ -112,14 +113,15 @@ def feature_coverage(features: DataFrame, sizes: DataFrame, covered: DataFrame)
     ``features``: seq, type, start, end; ``sizes``: seq, size; ``covered``: seq, start, end.
     Overlapping features of one type count once. Types are rows of the sweeps, so any
     number of them will do. Features are cut at the ends of their sequence.
+    Each sweep begins at a written table, as plans of sweeps over sweeps double with each.
     """
     axis = sizes.select("seq", "size")
-    within = features.join(axis, "seq").select("seq", "type", F.greatest("start", F.lit(0)).alias("start"), F.least("end", "size").alias("end"))
+    within = stored(features.join(axis, "seq").select("seq", "type", F.greatest("start", F.lit(0)).alias("start"), F.least("end", "size").alias("end")), "features")
     every, hit = union(within, ["seq"]), union(covered, ["seq"])
     whole = axis.select("seq", F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end"))
     tag = lambda df, kind, name, sign: df.select("seq", F.lit(kind).alias("kind"), name.alias("type"), "start", "end", F.lit(sign).alias("sign"))
     none = F.lit(None).cast("string")
-    runs = tag(union(within, ["seq", "type"]), 0, F.col("type"), 1).unionByName(tag(whole, 1, none, 1)).unionByName(tag(every, 1, none, -1))
+    runs = stored(tag(union(within, ["seq", "type"]), 0, F.col("type"), 1).unionByName(tag(whole, 1, none, 1)).unionByName(tag(every, 1, none, -1)), "runs")
     ends = F.explode(F.array(F.struct(F.col("start").alias("pos"), (-F.col("sign")).alias("by")), F.struct(F.col("end").alias("pos"), F.col("sign").alias("by"))))
     points = runs.select("seq", "kind", "type", ends.alias("x")).select("seq", "kind", "type", "x.*")
     found = bases_before(points, hit).groupBy("kind", "type").agg(F.sum(F.col("by") * F.col("pos")).alias("bases"), F.sum(F.col("by") * F.col("below")).alias("covered"))
