@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +19,11 @@ AMINO = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
 #: The letters of any text read as nucleotides, in turn.
 FOLD_FROM, FOLD_TO = "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC"
+#: What every byte of a text is folded to, 0 if it is left out; the only other characters that are letters a-z in lower case.
+FOLD_BYTE = np.zeros(256, np.uint8)
+for _a, _b in zip(FOLD_FROM, FOLD_TO, strict=True):
+    FOLD_BYTE[ord(_a)] = FOLD_BYTE[ord(_a.upper())] = ord(_b)
+LOWER_ASCII = {"\u0130": "i", "\u212a": "k"}
 #: Amino acids in the order of their codes.
 PROTEIN = "ARNDCQEGHILKMFPSTWYV*"
 
@@ -25,6 +33,29 @@ def fold(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.lower(text), FOLD_FROM, FOLD_TO), "[^ACGT]", "")
 
 
+def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an Arrow array of strings in a row, and where each string begins in them (and the last one ends)."""
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    if not len(texts):
+        return np.empty(0, np.uint8), np.zeros(1, kind)
+    at = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1]
+    held = texts.buffers()[2]
+    return (np.frombuffer(held, np.uint8) if held is not None and held.size else np.empty(0, np.uint8))[at[0] : at[-1]], at - at[0]
+
+
+def folded(texts: pa.Array) -> pa.Array:
+    """``fold`` of an Arrow array of texts, all of them at once."""
+    for c, plain in LOWER_ASCII.items():
+        if pc.any(pc.match_substring(texts, c)).as_py():
+            texts = pc.replace_substring(texts, c, plain)
+    held, at = flat(texts)
+    letters = FOLD_BYTE[held]
+    kept = letters != 0
+    to = np.concatenate([[0], np.cumsum(kept, dtype=at.dtype)]).astype(at.dtype)[at]
+    kind = pa.LargeStringArray if at.dtype == np.int64 else pa.StringArray
+    return kind.from_buffers(len(texts), pa.py_buffer(to), pa.py_buffer(letters[kept]), texts.is_valid().buffers()[1] if texts.null_count else None)
+
+
 def complement(seq: Column) -> Column:
     return F.translate(seq, CODES, COMPLEMENTS)
 

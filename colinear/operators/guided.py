@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from colinear.functions.sequence import revcomp
 from colinear.operators import align, xcorr
 from colinear.operators.seeds import word_lookup
-from colinear.session import stored
+from colinear.session import spread, stored
 
 #: Bounds of the super matches: cost of a step, frames looked back, cost of leaving a word out.
 MOST_STEP, LOOK_BACK, NULL_STEP = 50_000, 16, 20.0
@@ -154,7 +154,7 @@ def guided_matches(pairs: DataFrame, proteins: bool = False) -> DataFrame:
             found = [(int(i), guided(t, q, proteins)) for i, t, q in zip(b["id"], b["t_seq"], b["q_seq"], strict=True)]
             yield pd.DataFrame([(i, g[0][0][0], g[0][0][1], len(g[0]), round(g[1], 6)) for i, g in found if g], columns=[c.split()[0] for c in schema.split(", ")])
 
-    return pairs.mapInPandas(run, schema)
+    return spread(pairs.select("id", "t_seq", "q_seq")).mapInPandas(run, schema)
 
 
 def hairpins(sequences: DataFrame, id_col: str = "seq_id", seq: str = "seq") -> DataFrame:
@@ -210,7 +210,7 @@ def reference_columns(pairs: DataFrame, least: int = 150, least_pairs: int = 20)
                     out.append((r.ref_id, len(r.t_seq), r.n, name, place[same & (place >= start) & (place < stop)].tolist()))
             yield pd.DataFrame(out, columns=["ref_id", "size", "n", "aligner", "kept"])
 
-    rows = pairs.where("t_seq <> '' and q_seq <> ''").groupBy("ref_id", "t_seq", "q_seq").agg(F.count("*").alias("n")).mapInPandas(run, schema)
+    rows = spread(pairs.where("t_seq <> '' and q_seq <> ''").groupBy("ref_id", "t_seq", "q_seq").agg(F.count("*").alias("n"))).mapInPandas(run, schema)
     rows = stored(rows, "kept")
     counts = rows.groupBy("ref_id", "aligner").agg(F.sum("n").alias("pairs"), F.max("size").alias("size")).where(F.col("pairs") >= least_pairs)
     every = counts.select("ref_id", "aligner", "pairs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1)).alias("pos"))

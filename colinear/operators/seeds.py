@@ -1,6 +1,7 @@
 """k-mer seeds: encoding, frequency filter, equi-join and extension into blocks.
 
-Only the encoder is Python (numpy over Arrow batches). Filter, join and extension
+Only the encoder is Python (numpy over Arrow batches); where the other side has few k-mers, it
+keeps theirs only. Filter, join and extension
 are native: a block is a run of hits on one diagonal with small gaps, found by
 ``lag`` and a running sum.
 """
@@ -14,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colinear.functions.sequence import PROTEIN
-from colinear.session import stored
+from colinear.functions.sequence import PROTEIN, flat
+from colinear.session import stored, tidy
 
 #: 2-bit codes by byte; 255 for letters that break a k-mer.
 CODE = np.full(256, 255, np.uint8)
@@ -25,6 +26,8 @@ for _i, _c in enumerate("ACGT"):
 RUN = 1 << 20
 #: Query k-mers up to which they are broadcast to filter the target's before any shuffle (16 bytes each).
 SMALL = 1_000_000
+#: Letters that are looked up at a time: their words stay in a core's cache.
+LOOK = 1 << 16
 
 
 def kmers_of(seq: str, k: int, plain: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,6 +71,81 @@ def kmers(sequences: DataFrame, k: int, id_col: str = "seq_id", seq: str = "seq"
     return rows.mapInArrow(run, f"id {kind}, kmer long, pos long, neg boolean")
 
 
+def turned(words: np.ndarray, k: int) -> np.ndarray:
+    """The reverse complements of k-mers."""
+    left, out = words.copy(), np.zeros_like(words)
+    for _ in range(k):
+        out = (out << 2) | (3 - (left & 3))
+        left >>= 2
+    return out
+
+
+def forward_words(two: np.ndarray, k: int) -> np.ndarray:
+    """The forward k-mers of letters (2 bits each), put together from shorter ones of twice the length each time."""
+    words, width = two.astype(np.int64), 1
+    for bit in bin(k)[3:]:
+        words = (words[:-width] << (2 * width)) | words[width:]
+        width *= 2
+        if bit == "1":
+            words = (words[:-1] << 2) | two[width : width + len(words) - 1]
+            width += 1
+    return words
+
+
+class Sieve:
+    """Looks up words in a set of canonical k-mers and their reverse complements: a table of bits by hash leaves few of the others."""
+
+    def __init__(self, wanted: np.ndarray, k: int):
+        self.words = np.unique(np.concatenate([wanted, turned(wanted, k)]))
+        self.shift = np.uint64(64 - min(24, max(12, len(self.words).bit_length() + 4)))
+        self.table = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.table[self.slot(self.words)] = True
+
+    def slot(self, words: np.ndarray) -> np.ndarray:
+        return ((words.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def held(self, words: np.ndarray) -> np.ndarray:
+        """Places of the words that are in the set."""
+        at = np.flatnonzero(self.table[self.slot(words)])
+        if not len(at):
+            return at
+        place = np.minimum(np.searchsorted(self.words, words[at]), len(self.words) - 1)
+        return at[self.words[place] == words[at]]
+
+
+def sought(sequences: DataFrame, wanted: np.ndarray, k: int, id_col: str = "seq_id", seq: str = "seq") -> DataFrame:
+    """The rows of ``kmers`` whose k-mer is in ``wanted`` (canonical ones, at most ``SMALL``): all sequences of a batch are read in a row, and no other k-mer leaves the task."""
+    rows = sequences.select(F.col(id_col).alias("id"), F.col(seq).alias("seq")).where("seq is not null")
+    kind, held = dict(rows.dtypes)["id"], rows.sparkSession.sparkContext.broadcast(np.asarray(wanted, np.int64))
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not len(held.value):
+            return
+        sieve = Sieve(held.value, k)
+        for b in batches:
+            letters, ends = flat(b.column("seq"))
+            if len(letters) and letters.max() > 127:  # a byte for each character, as positions count these
+                kept = (letters & 0xC0) != 0x80
+                letters, ends = letters[kept], np.concatenate([[0], np.cumsum(kept)])[ends]
+            for first in range(0, max(0, len(letters) - k + 1), LOOK):
+                codes = CODE[letters[first : first + LOOK + k - 1]]
+                words = forward_words(codes & 3, k)
+                at = sieve.held(words)
+                row = np.searchsorted(ends, first + at, "right") - 1
+                own = first + at + k <= ends[row + 1]
+                if codes.max() == 255:  # letters that break a k-mer
+                    breaks = np.concatenate([[0], np.cumsum(codes == 255)])
+                    own &= breaks[at + k] == breaks[at]
+                at, row = at[own], row[own]
+                if len(at):
+                    forward = words[at]
+                    backward = turned(forward, k)
+                    yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(row)), pa.array(np.minimum(forward, backward)), pa.array(first + at - ends[row].astype(np.int64)), pa.array(backward < forward)], ["id", "kmer", "pos", "neg"])
+
+    return rows.mapInArrow(run, f"id {kind}, kmer long, pos long, neg boolean")
+
+
 def rare(found: DataFrame, most: int) -> DataFrame:
     """The k-mers that occur at most ``most`` times; counts are aggregated before they meet the positions."""
     often = found.groupBy("kmer").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("kmer")
@@ -98,10 +176,11 @@ def extend(found: DataFrame, k: int, jump: int, least: int) -> DataFrame:
 
 def seed_blocks(query: DataFrame, target: DataFrame, k: int = 15, jump: int | None = None, least: int | None = None, most: int = 1) -> DataFrame:
     """Seeds of one k between two sets of sequences (seq_id, seq): k-mers that are rare on both sides, joined and extended."""
-    q, t = stored(rare(kmers(query, k), most), "kmers"), kmers(target, k)
-    wanted = q.select("kmer").distinct()
-    if q.count() <= SMALL:  # the target's other k-mers needn't be shuffled, nor counted
-        t = t.join(F.broadcast(wanted), "kmer", "left_semi")
+    q = stored(rare(kmers(query, k), most), "kmers")
+    if q.count() <= SMALL:  # the target's other k-mers needn't leave their tasks, nor be counted
+        t = stored(sought(target, q.select("kmer").toArrow()["kmer"].to_numpy(), k), "sought")
+    else:
+        t = stored(kmers(target, k), "kmers")  # read twice, encoded once
     t = rare(t, most)
     return extend(hits(q, t), k, k - 1 if jump is None else jump, k if least is None else least)
 

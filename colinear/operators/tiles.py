@@ -36,8 +36,15 @@ def tiles(sequences: DataFrame, id_col: str = "seq_id", seq: str = "seq", size:
     return rows.mapInArrow(run, f"id {kind}, tile long, letters string, total long")
 
 
-def store(sequences: DataFrame, id_col: str = "seq_id", seq: str = "seq", size: int = TILE) -> DataFrame:
-    """``tiles``, written to the shared folder: what several slices are taken from."""
+#: Names of sequences up to which they are broadcast.
+FEW = 200_000
+
+
+def store(sequences: DataFrame, id_col: str = "seq_id", seq: str = "seq", size: int = TILE, only: DataFrame | None = None) -> DataFrame:
+    """``tiles``, written to the shared folder: what several slices are taken from. ``only``, if given, has the names of the sequences that are asked for (one column, repeats do no harm); the others aren't written."""
+    if only is not None:
+        names = stored(only.toDF("_name").distinct(), "names")
+        sequences = sequences.join(F.broadcast(names) if names.count() <= FEW else names, F.col(id_col) == F.col("_name"), "left_semi")
     return stored(tiles(sequences, id_col, seq, size), "tiles")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from colinear.functions.sequence import AMINO, IUPAC, PROTEIN
-from colinear.session import added
+from colinear.session import added, spread
 
 #: Envelope block; peaks above envelope * cutoff + 1; least run, share of equal columns in a run's windows.
 ENVELOPE, CUTOFF, CUTOFF_FAST, LEAST, SHARE = 256, 1.8, 2.9, 45, 0.42
@@ -181,7 +181,7 @@ def xcorr_matches(pairs: DataFrame, cutoff: float = CUTOFF, both: bool = True) -
                         out.append((r.target_id, r.query_id, r.q_size, r.t_off + ts, off + qs, n, rc, ident, *gc))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return pairs.mapInPandas(run, schema)
+    return spread(pairs).mapInPandas(run, schema)
 
 
 def amino_channels(seq: str) -> np.ndarray:

@@ -11,7 +11,7 @@ from colinear.operators import align, blocks, chain, guided, scaffold, tiles, xc
 from colinear.operators.seeds import as_matches, seed_blocks
 from colinear.plans import programs
 from colinear.plans.queries import HITS, SUM, M, docs, items, lineitem_matches, scaffold_hits, summary_of
-from colinear.session import table
+from colinear.session import spread, stored, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -57,15 +57,15 @@ SELECT a.scaffold, a.chr AS lo_chr, a.pos AS lo_pos, b.chr AS hi_chr, b.pos AS h
 
 
 def _seeds(spark, d) -> DataFrame:
-    """Seeds of the benchmark items on the documents, as matches."""
+    """Seeds of the benchmark items on the documents, as matches, written once."""
     q = items(spark, d)
-    return as_matches(seed_blocks(q, docs(spark, d), 15, most=4), q.select(F.col("seq_id").alias("query_id"), F.length("seq").cast("long").alias("query_size")))
+    return stored(as_matches(seed_blocks(q, docs(spark, d), 15, most=4), q.select(F.col("seq_id").alias("query_id"), F.length("seq").cast("long").alias("query_size"))), "seeds")
 
 
 def _regions(spark, d) -> DataFrame:
     """(id, t_seq, q_seq) of every seed with 30 letters around it."""
     m = _seeds(spark, d).withColumns({"t_from": F.col("t_start") - 30, "q_from": F.col("q_start") - 30, "size": F.col("len") + 60})
-    rows = tiles.sliced(tiles.sliced(m, tiles.store(docs(spark, d)), "target_id", "t_from", "size", "t_seq"), tiles.store(items(spark, d)), "query_id", "q_from", "size", "q_seq", "rc")
+    rows = tiles.sliced(tiles.sliced(m, tiles.store(docs(spark, d), only=m.select("target_id")), "target_id", "t_from", "size", "t_seq"), tiles.store(items(spark, d)), "query_id", "q_from", "size", "q_seq", "rc")
     return rows.select(F.xxhash64("target_id", "query_id", "rc", "t_start", "q_start").alias("id"), "t_seq", "q_seq", "target_id", "query_id", "t_start", "q_start", "len", "rc")
 
 
@@ -112,7 +112,7 @@ def xcorr_matches(spark, d):
     off = F.greatest(F.col("t_start") - 256, F.lit(0))
     rows = _seeds(spark, d).select("target_id", "query_id", (F.floor(off / 256) * 256).alias("t_off"), F.lit(1024).alias("size")).distinct()
     # items are read as they are: one query sequence of a pair, of some hundred letters
-    pairs = tiles.sliced(rows, tiles.store(docs(spark, d)), "target_id", "t_off", "size", "t_seq").join(items(spark, d).select(F.col("seq_id").alias("query_id"), F.col("seq").alias("q_seq")), "query_id")
+    pairs = tiles.sliced(rows, tiles.store(docs(spark, d), only=rows.select("target_id")), "target_id", "t_off", "size", "t_seq").join(items(spark, d).select(F.col("seq_id").alias("query_id"), F.col("seq").alias("q_seq")), "query_id")
     pairs = pairs.select("target_id", "query_id", "t_off", F.lit(0).cast("long").alias("q_off"), F.length("q_seq").cast("long").alias("q_size"), "t_seq", "q_seq")
     return xcorr.xcorr_matches(pairs).distinct()
 
@@ -168,17 +168,18 @@ def align_non_overlapping(spark, d):
             out = [(int(i), a.t_start, a.q_start, len(a.target), a.score) for i, found in zip(b["id"], align.non_overlapping_many(list(zip(b["t_seq"], b["q_seq"], strict=True)), "SWGA", 0.5), strict=True) for a in found]
             yield pd.DataFrame(out, columns=["id", "t_start", "q_start", "len", "score"])
 
-    return _regions(spark, d).select("id", "t_seq", "q_seq").mapInPandas(run, "id long, t_start long, q_start long, len long, score double")
+    return spread(_regions(spark, d).select("id", "t_seq", "q_seq")).mapInPandas(run, "id long, t_start long, q_start long, len long, score double")
 
 
 @query
 def align_skip(spark, d):
     def run(batches):
         for b in batches:
-            out = [(int(i), *(lambda c, p: (c, len(p)))(*align.skip_align(t, q))) for i, t, q in zip(b["id"], b["t_seq"], b["q_seq"], strict=True)]
+            found = align.skip_align_many(list(zip(b["t_seq"], b["q_seq"], strict=True)))
+            out = [(int(i), cost, len(path)) for i, (cost, path) in zip(b["id"], found, strict=True)]
             yield pd.DataFrame(out, columns=["id", "cost", "columns"])
 
-    return _regions(spark, d).select("id", "t_seq", "q_seq").mapInPandas(run, "id long, cost double, columns long")
+    return spread(_regions(spark, d).select("id", "t_seq", "q_seq")).mapInPandas(run, "id long, cost double, columns long")
 
 
 @query

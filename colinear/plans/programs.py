@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from colinear.functions import scoring
 from colinear.functions.sequence import revcomp
 from colinear.operators import align, blocks, chain, grid, guided, matches, scaffold, seeds, tiles, xcorr
-from colinear.session import stored
+from colinear.session import spread, stored
 from colinear.sources import tables as files
 
 
@@ -48,9 +48,9 @@ def search_pixels(tasks: DataFrame, query: DataFrame, target: DataFrame, t_chunk
 def refined(held: DataFrame, query: DataFrame, target: DataFrame, cutoff: float = 1.2, least_prob: float = 0.99999) -> DataFrame:
     """Matches and what a more lenient correlation finds in the gaps between consecutive ones (``blocks.guide_chunks``), with the columns of matches."""
     columns = ["target_id", "query_id", "query_size", "t_start", "q_start", "len", "rc", "prob", "ident"]
-    ts, qs = tiles.store(target), tiles.store(query)
-    total = float(tiles.totals(ts).agg(F.sum("total")).first()[0] or 1)
+    total = float(target.agg(F.sum(F.length("seq"))).first()[0] or 1)
     held = stored(held.select(*columns), "guide")
+    ts, qs = tiles.store(target, only=held.select("target_id")), tiles.store(query)
     rows = blocks.guide_chunks(held).withColumns({"t_len": F.col("t_to") - F.col("t_from"), "q_len": F.col("q_to") - F.col("q_from")})
     rows = tiles.sliced(tiles.sliced(rows, ts, "target_id", "t_from", "t_len", "t_seq"), qs, "query_id", "q_from", "q_len", "q_seq", "rc")
     pairs = stored(rows.join(tiles.totals(qs).toDF("query_id", "q_size"), "query_id").select("target_id", "query_id", "rc", F.col("t_from").alias("t_off"), F.col("q_from").alias("q_off"), "q_size", "t_seq", "q_seq"), "pairs")
@@ -125,7 +125,8 @@ def synteny_search(query: DataFrame, target: DataFrame, k: tuple[int, ...] = tup
 def merged_summary(found: DataFrame, target: DataFrame, query: DataFrame, least_prob: float = 0.6) -> DataFrame:
     """Merges overlapping matches and computes each block's identity on the sequences. Returns summary columns."""
     keys = ["target_id", "query_id", "rc"]
-    ts, qs = tiles.store(target), tiles.store(query)
+    found = stored(found, "found")
+    ts, qs = tiles.store(target, only=found.select("target_id")), tiles.store(query)
     merged = blocks.merge_overlaps(matches.at_least(found, 0, least_prob).select(*keys, "t_start", "q_start", "len"), members=True)
     merged = merged.select(*keys, "t_start", "t_end", "q_start", "q_end", F.col("list").alias("members"), (F.col("t_end") - F.col("t_start")).alias("t_len"), (F.col("q_end") - F.col("q_start")).alias("q_len"))
     rows = tiles.sliced(tiles.sliced(merged, ts, "target_id", "t_start", "t_len", "ts"), qs, "query_id", "q_start", "q_len", "qs", "rc")
@@ -141,17 +142,17 @@ def merged_summary(found: DataFrame, target: DataFrame, query: DataFrame, least_
                 out.append((f"t{r.target_id}", r.t_start, r.t_end, f"q{r.query_id}", a, z, round(ident, 6), "-" if r.rc else "+"))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return rows.mapInPandas(run, schema)
+    return spread(rows).mapInPandas(run, schema)
 
 
 def realign(summary: DataFrame, target: DataFrame, query: DataFrame, aligner: str = "SWGA", boundary: int = 5) -> DataFrame:
     """Joins neighbouring blocks, aligns them, and aligns the gaps between. ``kind`` tells blocks from gaps."""
-    merged = blocks.bounded_merge(summary, boundary)
+    merged = stored(blocks.bounded_merge(summary, boundary), "merged")
     gaps = blocks.gap_regions(merged).select("t_name", F.col("t_from").alias("t_start"), F.col("t_to").alias("t_end"), "q_name", F.col("q_from").alias("q_start"), F.col("q_to").alias("q_end"), "ori", F.lit("gap").alias("kind"))
     rows = merged.drop("n").withColumn("kind", F.lit("block")).unionByName(gaps)
     rows = rows.withColumn("id", F.xxhash64(*rows.columns)).withColumns({"t_len": F.col("t_end") - F.col("t_start"), "q_len": F.col("q_end") - F.col("q_start")})
-    named = lambda df, x: tiles.store(df.select(F.concat(F.lit(x), "seq_id").alias("name"), "seq"), "name")
-    rows = tiles.sliced(tiles.sliced(rows, named(target, "t"), "t_name", "t_start", "t_len", "t_seq"), named(query, "q"), "q_name", "q_start", "q_len", "q_seq")
+    named = lambda df, x, only=None: tiles.store(df.select(F.concat(F.lit(x), "seq_id").alias("name"), "seq"), "name", only=only)
+    rows = tiles.sliced(tiles.sliced(rows, named(target, "t", merged.select("t_name")), "t_name", "t_start", "t_len", "t_seq"), named(query, "q"), "q_name", "q_start", "q_len", "q_seq")
     # a summary's intervals are on the forward strand
     pairs = stored(rows.select("id", "kind", "t_seq", F.when(F.col("ori") == "-", revcomp(F.col("q_seq"))).otherwise(F.col("q_seq")).alias("q_seq")), "pairs")
     return align.align_pairs(pairs.select("id", "t_seq", "q_seq"), aligner).join(pairs.select("id", "kind").distinct(), "id").select("id", "kind", "t_off", "q_off", "score", "identity", "edits")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from colinear.functions import scoring
 from colinear.functions import sequence as S
 from colinear.operators import blocks, grid, intervals, matches, overlaps, ranking, scaffold, seeds
-from colinear.session import table
+from colinear.session import added, table
 from colinear.sources import sequences as fasta
 from colinear.sources import tables
 
@@ -46,7 +46,7 @@ s AS (SELECT 't' || target_id AS t_name, t_start, t_start + len AS t_end, 'q' ||
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), S.fold(F.col("text")).alias("seq"))
+    return added(table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), "text"), "seq string", lambda t: [S.folded(t)], ["text"], ["seq_id"])
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:

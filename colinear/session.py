@@ -63,6 +63,12 @@ def stored(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt evenly: few small rows that each take long would share one task, as tasks are cut by bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(partitions(spark), 2 * spark.sparkContext.defaultParallelism))
+
+
 def release() -> None:
     """Hands memory that is free back to the system: Spark keeps its Python workers from stage to stage."""
     pa.default_memory_pool().release_unused()
