@@ -43,6 +43,20 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(held, np.uint8) if held is not None and held.size else np.empty(0, np.uint8))[at[0] : at[-1]], at - at[0]
 
 
+def characters(texts: pa.Array) -> pa.Array:
+    """An Arrow array of strings with a byte for each character: of those beyond ASCII the first one stays, as places count characters. The bytes are no text any more where there are such."""
+    held, at = flat(texts)
+    if not len(held) or held.max() < 128:
+        return texts
+    kept = (held & 0xC0) != 0x80
+    return _packed(texts, held[kept], np.concatenate([[0], np.cumsum(kept, dtype=at.dtype)]).astype(at.dtype)[at])
+
+
+def _packed(texts: pa.Array, held: np.ndarray, at: np.ndarray) -> pa.Array:
+    kind = pa.LargeStringArray if at.dtype == np.int64 else pa.StringArray
+    return kind.from_buffers(len(texts), pa.py_buffer(at), pa.py_buffer(held), texts.is_valid().buffers()[1] if texts.null_count else None)
+
+
 def folded(texts: pa.Array) -> pa.Array:
     """``fold`` of an Arrow array of texts, all of them at once."""
     for c, plain in LOWER_ASCII.items():
@@ -51,9 +65,7 @@ def folded(texts: pa.Array) -> pa.Array:
     held, at = flat(texts)
     letters = FOLD_BYTE[held]
     kept = letters != 0
-    to = np.concatenate([[0], np.cumsum(kept, dtype=at.dtype)]).astype(at.dtype)[at]
-    kind = pa.LargeStringArray if at.dtype == np.int64 else pa.StringArray
-    return kind.from_buffers(len(texts), pa.py_buffer(to), pa.py_buffer(letters[kept]), texts.is_valid().buffers()[1] if texts.null_count else None)
+    return _packed(texts, letters[kept], np.concatenate([[0], np.cumsum(kept, dtype=at.dtype)]).astype(at.dtype)[at])
 
 
 def complement(seq: Column) -> Column:

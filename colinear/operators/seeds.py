@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colinear.functions.sequence import PROTEIN, flat
+from colinear.functions.sequence import PROTEIN, characters, flat
 from colinear.session import stored, tidy
 
 #: 2-bit codes by byte; 255 for letters that break a k-mer.
@@ -124,10 +124,7 @@ def sought(sequences: DataFrame, wanted: np.ndarray, k: int, id_col: str = "seq_
             return
         sieve = Sieve(held.value, k)
         for b in batches:
-            letters, ends = flat(b.column("seq"))
-            if len(letters) and letters.max() > 127:  # a byte for each character, as positions count these
-                kept = (letters & 0xC0) != 0x80
-                letters, ends = letters[kept], np.concatenate([[0], np.cumsum(kept)])[ends]
+            letters, ends = flat(characters(b.column("seq")))
             for first in range(0, max(0, len(letters) - k + 1), LOOK):
                 codes = CODE[letters[first : first + LOOK + k - 1]]
                 words = forward_words(codes & 3, k)

@@ -172,8 +172,8 @@ e AS (SELECT doc_id, x, sum(length(x)) OVER (PARTITION BY doc_id ORDER BY i)::BI
 SELECT doc_id AS seq_id, e - length(x) AS start, e AS "end" FROM e WHERE x LIKE 'N%'"""
 )
 def n_runs(spark, d):
-    rows = table(spark, d, "documents").select(F.col("doc_id").alias("name"), F.translate(F.lower("text"), "n", "N").alias("seq"))
-    return fasta.n_gaps(rows).withColumnRenamed("name", "seq_id")
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("name"), F.lower("text").alias("seq"))
+    return fasta.n_gaps(rows, "n").withColumnRenamed("name", "seq_id")
 
 
 # Seeds

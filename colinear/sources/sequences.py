@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colinear.functions.sequence import clean_name
+from colinear.functions.sequence import characters, clean_name, flat
 from colinear.session import stored
 
+#: Runs that are handed on at a time.
+GAPS = 1 << 16
+
 
 def records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """``value, file``: what stands between the ``>`` that begin a line; text before the first is left out, and so are empty records."""
@@ -105,11 +112,28 @@ def name_ids(names: DataFrame) -> DataFrame:
     return ranked.withColumnRenamed("_rank", "id")
 
 
-def n_gaps(sequences: DataFrame) -> DataFrame:
-    """``name, start, end`` of the runs of N."""
-    from colinear.functions.sequence import gap_runs
-
-    return sequences.select("name", F.explode(gap_runs(F.col("seq"))).alias("g")).select("name", "g.*")
+def n_gaps(sequences: DataFrame, letter: str = "N") -> DataFrame:
+    """``name, start, end`` of the runs of N, or of another ASCII letter. The sequences of a batch are read in a row, and runs end where a sequence does."""
+    if len(letter) != 1 or not letter.isascii():
+        raise ValueError("one ASCII letter")
+    rows = sequences.select("name", "seq").where("seq is not null")
+    kind = dict(rows.dtypes)["name"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held, ends = flat(characters(b.column("seq")))
+            ends = ends.astype(np.int64)
+            own = held == ord(letter)
+            edge = np.zeros(len(own) + 1, bool)
+            edge[ends] = True  # a sequence begins or ends here
+            first = np.flatnonzero(own & (edge[:-1] | ~np.concatenate([[False], own[:-1]])))
+            last = np.flatnonzero(own & (edge[1:] | ~np.concatenate([own[1:], [False]])))
+            row = np.searchsorted(ends, first, "right") - 1
+            for k in range(0, len(first), GAPS):
+                x = slice(k, k + GAPS)
+                yield pa.RecordBatch.from_arrays([b.column("name").take(pa.array(row[x])), pa.array(first[x] - ends[row[x]]), pa.array(last[x] + 1 - ends[row[x]])], ["name", "start", "end"])
+
+    return rows.mapInArrow(run, f"name {kind}, start long, end long")
 
 
 def first_seen(rows: DataFrame, key: str, order: list[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from colinear.functions import sequence as S
 from colinear.operators import align, seeds, tiles
+from colinear.sources import sequences as fasta
 
 
 def letters(n: int, seed: int, of: str = "ACGT") -> str:
@@ -44,6 +45,16 @@ def test_sought_words_are_those_of_the_encoder(spark):
         assert {tuple(r) for r in seeds.sought(df, words, k).collect()} == {r for r in every if r[1] in wanted}
 
 
+def test_runs_of_a_letter_are_the_native_ones_and_end_with_their_sequence(spark):
+    texts = ["NNacN", "N", "", None, "NN", "éN中NN😀N", "acgt", "NNN"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "name long, seq string").coalesce(1)
+    native = df.select("name", F.explode(S.gap_runs(F.col("seq"))).alias("g")).select("name", "g.*")
+    found = fasta.n_gaps(df)
+    assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r) for r in native.collect())
+    assert "regexp" not in found._jdf.queryExecution().toString().lower()  # a list of all runs and others was kept for each text, and copied for each run
+    assert found.schema == native.schema or found.dtypes == native.dtypes
+
+
 def test_folding_in_arrow_is_the_native_one(spark):
     texts = ["Hello, World 12", "", None, "İK éß中 z", "ZzYy", "\U0001f600ab"]
     native = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(S.fold(F.col("t"))).collect()]
