@@ -84,14 +84,19 @@ def best_path(t: np.ndarray, q: np.ndarray, query: np.ndarray, rc: np.ndarray, p
     return path[::-1]
 
 
-def with_repeat_scores(matches: DataFrame) -> DataFrame:
-    """Adds ``rep``: the lower of the repeat scores at the match's middle on both axes."""
-    rows = stored(matches.withColumn("_id", F.monotonically_increasing_id()), "matches")
+def with_repeat_scores(matches: DataFrame, least: float = 0.0) -> DataFrame:
+    """Adds ``rep``: the lower of the repeat scores at the match's middle on both axes. Rows whose score isn't above ``least`` are left out, those of the target axis before the query's is found.
+
+    ``matches`` should be written already, as they are read several times. A match goes through the sweeps whole, so it meets its depths without a join.
+    """
+    match = F.struct(*matches.columns)
     middle = lambda start: F.col(start) + F.floor(F.col("len") / 2)
-    t = depth_at(rows.select(F.col("_id").alias("id"), F.col("target_id").alias("seq"), middle("t_start").alias("pos")), trimmed(matches)).select(F.col("id").alias("_id"), F.col("depth").alias("_dt"))
+    t = depth_at(matches.select(match.alias("id"), F.col("target_id").alias("seq"), middle("t_start").alias("pos")), trimmed(matches, True))
+    own = t.withColumn("_rt", repeat_score(F.col("depth"))).where(F.col("_rt") > least).select("id.*", "_rt")
     q_spans = matches.select(F.col("query_id").alias("seq"), F.col("q_start").alias("start"), (F.col("q_start") + F.col("len")).alias("end"))
-    q = depth_at(rows.select(F.col("_id").alias("id"), F.col("query_id").alias("seq"), middle("q_start").alias("pos")), q_spans).select(F.col("id").alias("_id"), F.col("depth").alias("_dq"))
-    return rows.join(t, "_id").join(q, "_id").withColumn("rep", F.least(repeat_score(F.col("_dt")), repeat_score(F.col("_dq")))).drop("_id", "_dt", "_dq")
+    q = depth_at(own.select(F.struct(*own.columns).alias("id"), F.col("query_id").alias("seq"), middle("q_start").alias("pos")), q_spans)
+    both = q.select("id.*", repeat_score(F.col("depth")).alias("_rq")).withColumn("rep", F.least("_rt", "_rq")).drop("_rt", "_rq")
+    return both.where(F.col("rep") > least)
 
 
 def chain(matches: DataFrame, negate_rc: bool = True, segment: int = SEGMENT, ahead: int = AHEAD_ROWS) -> DataFrame:
@@ -99,7 +104,7 @@ def chain(matches: DataFrame, negate_rc: bool = True, segment: int = SEGMENT, ah
 
     A target of up to ``segment`` matches is one task; longer ones are worked off in segments of so many (``by_segments``), with the same result.
     """
-    scored = stored(with_repeat_scores(matches.distinct()).where(F.col("rep") > LEAST_REPEAT_SCORE), "scored")
+    scored = stored(with_repeat_scores(stored(matches.distinct(), "matches"), LEAST_REPEAT_SCORE), "scored")
     long_ = scored.groupBy("target_id").agg(F.count("*").alias("n")).where(F.col("n") > segment).select("target_id")
     if not long_.isEmpty():
         long_ = stored(long_, "long")
@@ -213,7 +218,9 @@ def by_segments(scored: DataFrame, columns: list[str], negate_rc: bool, segment:
 
 def chain_duplicates(matches: DataFrame) -> DataFrame:
     """Chains each target twice: its best query's matches, and all the others'; the union of both."""
-    best = best_query(matches).select("target_id", "query_id")
+    matches = stored(matches, "matches")
+    best = stored(best_query(matches).select("target_id", "query_id"), "best")
+    best = F.broadcast(best) if best.count() <= HEADS else best
     own = matches.join(best, ["target_id", "query_id"], "left_semi")
     other = matches.join(best, ["target_id", "query_id"], "left_anti")
     return chain(own.select(*matches.columns)).unionByName(chain(other.select(*matches.columns)))

@@ -137,10 +137,10 @@ def depth_at(points: DataFrame, intervals: DataFrame) -> DataFrame:
     return rows.where("kind = 1").select("id", "seq", "pos", F.col("delta").alias("depth"))
 
 
-def trimmed(matches: DataFrame) -> DataFrame:
-    """Target intervals ``seq, start, end`` of matches, each from where its predecessor (same query, rising) ends: tandem overlaps count once."""
+def trimmed(matches: DataFrame, written: bool = False) -> DataFrame:
+    """Target intervals ``seq, start, end`` of matches, each from where its predecessor (same query, rising) ends: tandem overlaps count once. ``written``: they are in the shared folder already."""
     keys, order = ["target_id", "query_id", "rc"], ["t_start", "len", "q_start"]
-    rows = before(dealt(matches.select(*keys, *order), keys, order), keys, order, last=("max", F.struct(*order)))
+    rows = before(dealt(matches.select(*keys, *order), keys, order, written), keys, order, last=("max", F.struct(*order)))
     start = F.when(F.col("last.q_start") < F.col("q_start"), F.greatest(F.col("t_start"), F.col("last.t_start") + F.col("last.len"))).otherwise(F.col("t_start"))
     return rows.select(F.col("target_id").alias("seq"), start.alias("start"), (F.col("t_start") + F.col("len")).alias("end")).where(F.col("end") > F.col("start"))
 

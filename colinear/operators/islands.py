@@ -21,9 +21,9 @@ FEW, HEADS = 1_000_000, 200_000
 MERGE = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def dealt(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """``rows`` in the shared folder; with ``_piece``, their range of (keys, order), unless there are few."""
-    held = stored(rows, "rows")
+def dealt(rows: DataFrame, keys: list[str], order: list[str], written: bool = False) -> DataFrame:
+    """``rows`` in the shared folder; with ``_piece``, their range of (keys, order), unless there are few. ``written``: they are there already."""
+    held = rows if written else stored(rows, "rows")
     if held.count() <= FEW:
         return held
     return stored(held.repartitionByRange(partitions(rows.sparkSession), *keys, *order).withColumn("_piece", F.spark_partition_id()), "pieces")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from colinear.functions import sequence as S
-from colinear.operators import align, seeds, tiles
+from colinear.operators import align, chain, seeds, tiles
 from colinear.sources import sequences as fasta
 
 
@@ -81,3 +81,24 @@ def test_skip_alignments_side_by_side_are_those_of_one_pair():
     pairs = [(letters(r.randrange(0, 60), i), letters(r.randrange(0, 90), i + 1)) for i in range(60)]
     pairs += [(t[:10] + t[20:], t) for t, _ in pairs if len(t) > 30]
     assert align.skip_align_many(pairs) == [align.skip_align(t, q) for t, q in pairs]
+
+
+def test_chains_read_their_matches_once(spark):
+    columns = "target_id long, query_id long, query_size long, t_start long, q_start long, len long, rc boolean, prob double, ident double"
+    r = random.Random(3)
+    rows = [(i % 3, i % 2, 10_000, 10 * i, max(0, 10 * i + r.choice([-40, 0, 7])), r.randint(20, 60), r.random() < 0.2, 0.95, 0.9) for i in range(90)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    plain = spark.createDataFrame(rows, columns)
+    df = plain.mapInArrow(counted, columns)
+    one = sorted(map(tuple, chain.chain(df).collect()))
+    assert read.value == len(rows)  # was three times
+    both = sorted(map(tuple, chain.chain_duplicates(df).collect()))
+    assert read.value == 2 * len(rows)  # was seven times
+    assert one == sorted(map(tuple, chain.chain(plain).collect())) and set(one) <= set(rows)
+    assert both == sorted(map(tuple, chain.chain_duplicates(plain).collect())) and len(both) > len(one)
