@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,6 +26,7 @@ FOLD_BYTE = np.zeros(256, np.uint8)
 for _a, _b in zip(FOLD_FROM, FOLD_TO, strict=True):
     FOLD_BYTE[ord(_a)] = FOLD_BYTE[ord(_a.upper())] = ord(_b)
 LOWER_ASCII = {"\u0130": "i", "\u212a": "k"}
+FOLD_TABLE, LEFT_OUT = FOLD_BYTE.tobytes(), np.flatnonzero(FOLD_BYTE == 0).astype(np.uint8).tobytes()
 #: Amino acids in the order of their codes.
 PROTEIN = "ARNDCQEGHILKMFPSTWYV*"
 
@@ -63,9 +66,8 @@ def folded(texts: pa.Array) -> pa.Array:
         if pc.any(pc.match_substring(texts, c)).as_py():
             texts = pc.replace_substring(texts, c, plain)
     held, at = flat(texts)
-    letters = FOLD_BYTE[held]
-    kept = letters != 0
-    return _packed(texts, letters[kept], np.concatenate([[0], np.cumsum(kept, dtype=at.dtype)]).astype(at.dtype)[at])
+    parts = [held[a:b].tobytes().translate(FOLD_TABLE, LEFT_OUT) for a, b in pairwise(at.tolist())]
+    return _packed(texts, np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)]).astype(at.dtype))
 
 
 def complement(seq: Column) -> Column:

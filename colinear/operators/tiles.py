@@ -42,10 +42,13 @@ FEW = 200_000
 
 def store(sequences: DataFrame, id_col: str = "seq_id", seq: str = "seq", size: int = TILE, only: DataFrame | None = None) -> DataFrame:
     """``tiles``, written to the shared folder: what several slices are taken from. ``only``, if given, has the names of the sequences that are asked for (one column, repeats do no harm); the others aren't written."""
-    if only is not None:
-        names = stored(only.toDF("_name").distinct(), "names")
-        sequences = sequences.join(F.broadcast(names) if names.count() <= FEW else names, F.col(id_col) == F.col("_name"), "left_semi")
-    return stored(tiles(sequences, id_col, seq, size), "tiles")
+    return stored(tiles(sequences if only is None else named(sequences, only, id_col), id_col, seq, size), "tiles")
+
+
+def named(rows: DataFrame, only: DataFrame, id_col: str = "seq_id") -> DataFrame:
+    """The rows whose name is in ``only`` (one column, repeats do no harm)."""
+    names = stored(only.toDF("_name").distinct(), "names")
+    return rows.join(F.broadcast(names) if names.count() <= FEW else names, F.col(id_col) == F.col("_name"), "left_semi")
 
 
 def totals(held: DataFrame) -> DataFrame:

@@ -171,7 +171,7 @@ def reference_columns(spark, d):
     """Every item against the documents' surroundings of its seeds."""
     m = _seeds(spark, d).where("not rc").select("query_id", "target_id", (F.col("t_start") - F.col("q_start") - 20).alias("first")).distinct()
     m = m.join(items(spark, d).select(F.col("seq_id").alias("query_id"), F.col("seq").alias("t_seq")), "query_id").withColumn("size", F.length("t_seq") + 40)
-    found = tiles.sliced(m, tiles.store(docs(spark, d), only=m.select("target_id")), "target_id", "first", "size", "q_seq")
+    found = tiles.sliced(m, tiles.store(docs(spark, d, m.select("target_id"))), "target_id", "first", "size", "q_seq")
     pairs = found.select(F.col("query_id").alias("ref_id"), "target_id", "first", "t_seq", "q_seq")
     return guided.reference_columns(pairs, least=100, least_pairs=2)
 
@@ -189,7 +189,7 @@ def _stack(spark, d) -> DataFrame:
     """(ref_id, t_off, t_aligned, q_aligned): each item and the documents' letters beside it, wherever a forward seed puts it, without gaps."""
     m = _seeds(spark, d).where("not rc").select("query_id", "target_id", (F.col("t_start") - F.col("q_start")).alias("first")).distinct()
     m = m.join(items(spark, d).select(F.col("seq_id").alias("query_id"), F.col("seq").alias("item")), "query_id").withColumn("size", F.length("item"))
-    found = tiles.sliced(m, tiles.store(docs(spark, d), only=m.select("target_id")), "target_id", "first", "size", "q_aligned")
+    found = tiles.sliced(m, tiles.store(docs(spark, d, m.select("target_id"))), "target_id", "first", "size", "q_aligned")
     off = F.greatest(-F.col("first"), F.lit(0))
     return found.select(F.col("query_id").alias("ref_id"), off.alias("t_off"), F.substr("item", off + 1, F.length("q_aligned")).alias("t_aligned"), "q_aligned")
 
@@ -230,7 +230,7 @@ def star_profile(spark, d):
     """Items and the documents' surroundings of their seeds, aligned with gaps: every column, those of inserts too."""
     m = _seeds(spark, d).where("not rc").select("query_id", "target_id", (F.col("t_start") - F.col("q_start") - 20).alias("first")).distinct()
     m = m.join(items(spark, d).select(F.col("seq_id").alias("query_id"), F.col("seq").alias("t_seq")), "query_id").withColumn("size", F.length("t_seq") + 40)
-    found = tiles.sliced(m, tiles.store(docs(spark, d), only=m.select("target_id")), "target_id", "first", "size", "q_seq").select(F.col("query_id").alias("id"), "t_seq", "q_seq")
+    found = tiles.sliced(m, tiles.store(docs(spark, d, m.select("target_id"))), "target_id", "first", "size", "q_seq").select(F.col("query_id").alias("id"), "t_seq", "q_seq")
     return star.star_profile(align.align_pairs(found.repartition("id", "q_seq"), "SWGA").withColumnRenamed("id", "ref_id"), _references(spark, d))
 
 

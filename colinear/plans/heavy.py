@@ -65,7 +65,7 @@ def _seeds(spark, d) -> DataFrame:
 def _regions(spark, d) -> DataFrame:
     """(id, t_seq, q_seq) of every seed with 30 letters around it."""
     m = _seeds(spark, d).withColumns({"t_from": F.col("t_start") - 30, "q_from": F.col("q_start") - 30, "size": F.col("len") + 60})
-    rows = tiles.sliced(tiles.sliced(m, tiles.store(docs(spark, d), only=m.select("target_id")), "target_id", "t_from", "size", "t_seq"), tiles.store(items(spark, d)), "query_id", "q_from", "size", "q_seq", "rc")
+    rows = tiles.sliced(tiles.sliced(m, tiles.store(docs(spark, d, m.select("target_id"))), "target_id", "t_from", "size", "t_seq"), tiles.store(items(spark, d)), "query_id", "q_from", "size", "q_seq", "rc")
     return rows.select(F.xxhash64("target_id", "query_id", "rc", "t_start", "q_start").alias("id"), "t_seq", "q_seq", "target_id", "query_id", "t_start", "q_start", "len", "rc")
 
 
@@ -112,7 +112,7 @@ def xcorr_matches(spark, d):
     off = F.greatest(F.col("t_start") - 256, F.lit(0))
     rows = _seeds(spark, d).select("target_id", "query_id", (F.floor(off / 256) * 256).alias("t_off"), F.lit(1024).alias("size")).distinct()
     # items are read as they are: one query sequence of a pair, of some hundred letters
-    pairs = tiles.sliced(rows, tiles.store(docs(spark, d), only=rows.select("target_id")), "target_id", "t_off", "size", "t_seq").join(items(spark, d).select(F.col("seq_id").alias("query_id"), F.col("seq").alias("q_seq")), "query_id")
+    pairs = tiles.sliced(rows, tiles.store(docs(spark, d, rows.select("target_id"))), "target_id", "t_off", "size", "t_seq").join(items(spark, d).select(F.col("seq_id").alias("query_id"), F.col("seq").alias("q_seq")), "query_id")
     pairs = pairs.select("target_id", "query_id", "t_off", F.lit(0).cast("long").alias("q_off"), F.length("q_seq").cast("long").alias("q_size"), "t_seq", "q_seq")
     return xcorr.xcorr_matches(pairs).distinct()
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from colinear.functions import scoring
 from colinear.functions import sequence as S
-from colinear.operators import blocks, grid, intervals, matches, overlaps, ranking, scaffold, seeds
+from colinear.operators import blocks, grid, intervals, matches, overlaps, ranking, scaffold, seeds, tiles
 from colinear.session import added, table
 from colinear.sources import sequences as fasta
 from colinear.sources import tables
@@ -45,8 +45,10 @@ SUM = M + """, f AS (SELECT *, CASE WHEN rc THEN query_size - len - q_start ELSE
 s AS (SELECT 't' || target_id AS t_name, t_start, t_start + len AS t_end, 'q' || query_id AS q_name, q_from AS q_start, q_from + len AS q_end, ident, CASE WHEN rc THEN '-' ELSE '+' END AS ori FROM f)"""
 
 
-def docs(spark: SparkSession, d: str) -> DataFrame:
-    return added(table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), "text"), "seq string", lambda t: [S.folded(t)], ["text"], ["seq_id"])
+def docs(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
+    """The documents as sequences. ``only``, if given, names the ones that are asked for (one column): the others don't go to Python."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("seq_id"), "text")
+    return added(rows if only is None else tiles.named(rows, only), "seq string", lambda t: [S.folded(t)], ["text"], ["seq_id"])
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:

@@ -6,10 +6,12 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from colinear.functions import sequence as S
 from colinear.operators import align, chain, seeds, tiles
+from colinear.plans import queries, registry
 from colinear.sources import sequences as fasta
 
 
@@ -102,3 +104,39 @@ def test_chains_read_their_matches_once(spark):
     assert read.value == 2 * len(rows)  # was seven times
     assert one == sorted(map(tuple, chain.chain(plain).collect())) and set(one) <= set(rows)
     assert both == sorted(map(tuple, chain.chain_duplicates(plain).collect())) and len(both) > len(one)
+
+
+@pytest.fixture(scope="module")
+def few_with_seeds(spark, tmp_path_factory):
+    """A folder of 40 documents, 3 of which hold a passage of an item; and the letters of all of them."""
+    d = str(tmp_path_factory.mktemp("few"))
+    held = [letters(120, i, "abcdefghijklmnopqrstuvwxyz") for i in range(4)]
+    docs = [(i, letters(300, 50 + i, "abcdefghijklmnopqrstuvwxyz") + (held[i][20:100] + " - " + letters(90, i, "acgt") if i < 3 else "")) for i in range(38)] + [(38, ""), (39, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(list(enumerate(held)), "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return d, sum(c.isalpha() for _, t in docs for c in t or "")
+
+
+def folded_rows(monkeypatch, spark):
+    """Counts the documents that go to Python, by what comes back."""
+    plain, read = queries.added, {}
+
+    def counting(df, kinds, *args):
+        n = read.setdefault(kinds, spark.sparkContext.accumulator(0))
+
+        def counted(batches):
+            for b in batches:
+                n.add(b.num_rows)
+                yield b
+
+        return plain(df.mapInArrow(counted, df.schema), kinds, *args)
+
+    monkeypatch.setattr(queries, "added", counting)
+    return read
+
+
+@pytest.mark.parametrize("name", ["alignment_records", "star_counts"])
+def test_documents_without_seeds_are_folded_once(spark, monkeypatch, few_with_seeds, name):
+    read = folded_rows(monkeypatch, spark)
+    assert registry.queries()[name](spark, few_with_seeds[0]).count() > 0
+    assert read["seq string"].value == 40 + 3  # was 80
