@@ -10,7 +10,7 @@ from colinear.functions import sequence as S
 from colinear.operators import align, blocks, grid, guided, intervals, star, tiles, xcorr
 from colinear.plans import programs
 from colinear.plans.heavy import _SYNTENY, _regions, _seeds
-from colinear.plans.queries import DOCS, ITEMS, RC, SUM, _blocks, docs, items, summary_of
+from colinear.plans.queries import DOCS, ITEMS, RC, SUM, _blocks, docs, docs_size, items, summary_of
 from colinear.session import stored, table
 from colinear.sources import sequences as fasta
 from colinear.sources import tables
@@ -158,7 +158,8 @@ def block_file(spark, d):
 @query()
 def refined_matches(spark, d):
     """The seeds of the items on the documents, and what a lenient correlation finds between them."""
-    return programs.refined(_seeds(spark, d), items(spark, d), docs(spark, d))
+    m = _seeds(spark, d)
+    return programs.refined(m, items(spark, d), docs(spark, d, m.select("target_id")), total=docs_size(spark, d))
 
 
 @query()

@@ -45,10 +45,13 @@ def search_pixels(tasks: DataFrame, query: DataFrame, target: DataFrame, t_chunk
     return xcorr.xcorr_matches(pairs, cutoff)
 
 
-def refined(held: DataFrame, query: DataFrame, target: DataFrame, cutoff: float = 1.2, least_prob: float = 0.99999) -> DataFrame:
-    """Matches and what a more lenient correlation finds in the gaps between consecutive ones (``blocks.guide_chunks``), with the columns of matches."""
+def refined(held: DataFrame, query: DataFrame, target: DataFrame, cutoff: float = 1.2, least_prob: float = 0.99999, total: int | None = None) -> DataFrame:
+    """Matches and what a more lenient correlation finds in the gaps between consecutive ones (``blocks.guide_chunks``), with the columns of matches.
+
+    ``total``, if given, is the number of letters that were searched; ``target`` needs no more than the sequences with matches then.
+    """
     columns = ["target_id", "query_id", "query_size", "t_start", "q_start", "len", "rc", "prob", "ident"]
-    total = float(target.agg(F.sum(F.length("seq"))).first()[0] or 1)
+    total = float((target.agg(F.sum(F.length("seq"))).first()[0] if total is None else total) or 1)
     held = stored(held.select(*columns), "guide")
     ts, qs = tiles.store(target, only=held.select("target_id")), tiles.store(query)
     rows = blocks.guide_chunks(held).withColumns({"t_len": F.col("t_to") - F.col("t_from"), "q_len": F.col("q_to") - F.col("q_from")})

@@ -7,6 +7,7 @@ intervals. Every query runs over whole tables.
 
 from __future__ import annotations
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,12 @@ def docs(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFram
     return added(rows if only is None else tiles.named(rows, only), "seq string", lambda t: [S.folded(t)], ["text"], ["seq_id"])
 
 
+def docs_size(spark: SparkSession, d: str) -> int:
+    """The letters of all documents: counted where they are folded, so that no letters come back from Python."""
+    sizes = added(table(spark, d, "documents").select("text"), "size int", lambda t: [pc.binary_length(S.folded(t))], ["text"], [])
+    return sizes.agg(F.sum("size")).first()[0] or 0
+
+
 def items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("seq_id"), S.fold(F.col("text")).alias("seq"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from colinear.functions import sequence as S
 from colinear.operators import align, chain, seeds, tiles
-from colinear.plans import queries, registry
+from colinear.plans import heavy, programs, queries, registry
 from colinear.sources import sequences as fasta
 
 
@@ -140,3 +140,14 @@ def test_documents_without_seeds_are_folded_once(spark, monkeypatch, few_with_se
     read = folded_rows(monkeypatch, spark)
     assert registry.queries()[name](spark, few_with_seeds[0]).count() > 0
     assert read["seq string"].value == 40 + 3  # was 80
+
+
+def test_letters_searched_are_counted_in_place(spark, monkeypatch, few_with_seeds):
+    d, size = few_with_seeds
+    assert queries.docs_size(spark, d) == size == queries.docs(spark, d).agg(F.sum(F.length("seq"))).first()[0]
+    m = heavy._seeds(spark, d)
+    whole = sorted(map(tuple, programs.refined(m, queries.items(spark, d), queries.docs(spark, d)).collect()))
+    read = folded_rows(monkeypatch, spark)
+    assert sorted(map(tuple, registry.queries()["refined_matches"](spark, d).collect())) == whole
+    assert read["seq string"].value == 40 + 3  # was 120
+    assert read["size int"].value == 40
