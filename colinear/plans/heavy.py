@@ -202,7 +202,8 @@ def synteny_search(spark, d):
 
 @query
 def merged_summary(spark, d):
-    return programs.merged_summary(_seeds(spark, d), docs(spark, d), items(spark, d))
+    m = _seeds(spark, d)
+    return programs.merged_summary(m, docs(spark, d, m.select("target_id")), items(spark, d))
 
 
 @query
@@ -212,7 +213,9 @@ def scaffold_assembly(spark, d):
 
 @query
 def realigned(spark, d):
-    return programs.realign(programs.merged_summary(_seeds(spark, d), docs(spark, d), items(spark, d)), docs(spark, d), items(spark, d))
+    m = _seeds(spark, d)
+    found = stored(docs(spark, d, m.select("target_id")), "targets")  # sliced for the summary and again for its blocks
+    return programs.realign(programs.merged_summary(m, found, items(spark, d)), found, items(spark, d))
 
 
 @query

@@ -151,3 +151,12 @@ def test_letters_searched_are_counted_in_place(spark, monkeypatch, few_with_seed
     assert sorted(map(tuple, registry.queries()["refined_matches"](spark, d).collect())) == whole
     assert read["seq string"].value == 40 + 3  # was 120
     assert read["size int"].value == 40
+
+
+def test_blocks_are_realigned_on_the_documents_of_their_summary(spark, monkeypatch, few_with_seeds):
+    d, _ = few_with_seeds
+    docs, items = queries.docs(spark, d), queries.items(spark, d)
+    whole = sorted(map(tuple, programs.realign(programs.merged_summary(heavy._seeds(spark, d), docs, items), docs, items).collect()))
+    read = folded_rows(monkeypatch, spark)
+    assert sorted(map(tuple, registry.queries()["realigned"](spark, d).collect())) == whole
+    assert read["seq string"].value == 40 + 3  # was 120
